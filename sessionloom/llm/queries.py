@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .decontam import contamination
 from .merkle import edited_documents
 from .neardup import near_duplicates
+from .secrets import find_secrets
 from .sharding import sharded
+from .toxicity import fit, score_toxicity
 from .urlfilter import Rule, judge
 from .warc import archived_pages
 
@@ -38,10 +40,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharded(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -58,7 +69,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_decontamination": op2_decontamination,
+    "op3_secrets": op3_secrets,
     "op4_fingerprints": op4_fingerprints,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,

@@ -61,6 +61,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
+def runs(kept: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True in ``kept`` that do not cross the row bounds ``at``."""
+    n = len(kept)
+    near = np.empty(n, bool)
+    near[:1] = False
+    near[1:] = kept[:-1]
+    near[at[:-1][at[:-1] < n]] = False
+    starts = np.flatnonzero(kept & ~near)
+    near[-1:] = False
+    near[:-1] = kept[1:]
+    near[at[1:][at[1:] > 0] - 1] = False
+    return starts, np.flatnonzero(kept & ~near) + 1
+
+
 class Words:
     """Words of consecutive rows: numbers, and the row's first word at ``rows``."""
 
@@ -68,17 +82,7 @@ class Words:
         base, end = int(at[0]), int(at[-1])
         b, at = data[base:end], at - base
         n = len(b)
-        is_word = kept[b]
-        before = np.empty(n, bool)
-        before[:1] = False
-        before[1:] = is_word[:-1]
-        before[at[:-1][at[:-1] < n]] = False
-        self.starts = np.flatnonzero(is_word & ~before)
-        after = np.empty(n, bool)
-        after[-1:] = False
-        after[:-1] = is_word[1:]
-        after[at[1:][at[1:] > 0] - 1] = False
-        self.ends = np.flatnonzero(is_word & ~after) + 1
+        self.starts, self.ends = runs(kept[b], at)
         power, inverse = _power_tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUES[b] * power[:n], out=sums[1:])
