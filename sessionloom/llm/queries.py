@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encoded
 from .decontam import contamination
+from .lm import score_documents
 from .merkle import edited_documents
 from .neardup import near_duplicates
 from .secrets import find_secrets
@@ -69,6 +70,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), vocabulary(), full=False)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
+    "op8_language_model": op8_language_model,
     "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,
 }
