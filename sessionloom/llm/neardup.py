@@ -9,11 +9,12 @@
 3. Each bucket links its members to its least member (a star). Candidate links
    are checked on signatures, then confirmed on the full sets.
 4. Components of the confirmed links come from alternating stars.
-5. A bucket that still holds two components is not finished: members outside
-   the component of its least member become further pivots, in growing blocks,
-   until all pairs from different components have been compared or the bucket
-   is one component. So no link that a bucket holds is lost, and pairs within a
-   component are never listed.
+5. A bucket whose other members still lie in two components is not finished.
+   Its members are dealt into blocks of bounded size, and blocks of those
+   outside the component of its least member meet all of its blocks: pairs
+   from different components are compared in the first bucket they share, on
+   full sets, and only links come out. So no link that a bucket holds is lost,
+   and pairs within a component are never listed.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .components import components
 from .scratch import Scratch
@@ -39,8 +39,10 @@ CHECKED = 128
 PERCENT = 75
 #: Below this share of equal minima a candidate is dropped: 5 standard deviations under 0.75.
 SIGNATURE_LEAST = 0.55
-#: Pivots that an unfinished bucket takes in its first further round; then four times as many.
-FIRST_PIVOTS = 8
+#: Members and shingles of a block of an unfinished bucket, on average at most.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 96, 30_000
+#: Bits of the filter that keeps most texts without candidates out of a shuffle: 4 MB at most.
+FILTER_BITS = 1 << 25
 
 _rng = np.random.default_rng(75)
 _MUL = _rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,16 +128,86 @@ def _sets_agree(percent: int):
                 if x != last[0]:
                     last = (x, next(left))
                 a = last[1]
-                both = np.concatenate([a, b])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(a) + len(b) - common):
+                if _linked(a, b, percent):
                     keep.append(i)
             yield pa.record_batch([batch.column(j).take(pa.array(keep, pa.int64())) for j in (0, 1)], names=["u", "v"])
 
     return confirm
 
 
+def _linked_blocks(percent: int):
+    """Blocks of probes and of members -> links between different components."""
+
+    def unpack(rows: list[dict]) -> tuple:
+        ids, roots, main = ([r[k] for r in rows] for k in ("doc_id", "root", "is_main"))
+        bands = np.array([r["bands"] for r in rows], np.int64)
+        low = np.frombuffer(b"".join(r["signature"] for r in rows), np.uint16).reshape(-1, CHECKED)
+        return np.array(ids), roots, np.array(main), bands, low, [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = [], []
+            for bucket, probes, members in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                ids, roots, _, bands, low, sets = unpack(probes.as_py())
+                ids2, roots2, main2, bands2, low2, sets2 = unpack(members.as_py())
+                up: dict = {}
+
+                def find(x, up=up):
+                    while x in up:
+                        x = up[x]
+                    return x
+
+                n2 = np.array([len(x) for x in sets2])
+                for i in range(len(ids)):
+                    same = bands2 == bands[i]
+                    first = np.where(same.any(axis=1), bands[i][same.argmax(axis=1)], 0)
+                    n = len(sets[i])
+                    good = (first == bucket) & (main2 | (ids2 > ids[i])) & (100 * np.minimum(n, n2) >= percent * np.maximum(n, n2))
+                    good = np.flatnonzero(good)
+                    agree = (low2[good] == low[i]).mean(axis=1)
+                    for j in good[np.argsort(-agree, kind="stable")][: int((agree >= SIGNATURE_LEAST).sum())]:
+                        x, y = find(roots[i]), find(roots2[j])
+                        if x != y and _linked(sets[i], sets2[j], percent):
+                            up[max(x, y)] = min(x, y)
+                            u.append(int(ids[i]))
+                            v.append(int(ids2[j]))
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return compare
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
+        yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+
+
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """One text for each of ``ids`` (doc_id).
+
+    A bit filter of bounded size over the ids goes to all tasks first; what it
+    lets through by chance the join takes out. With very many ids it lets all
+    through, and the join does the work alone.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    page, bit = (place / 32768).cast("int"), (place % 32768).cast("int")
+    bits = ids.select(page.alias("page"), bit.cast("long").alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.expr("shiftright(byte, bit % 8) & 1 = 1")
+    some = (
+        texts.where("doc_id is not null").withColumn("page", page).withColumn("bit", bit).join(F.broadcast(bits), "page")
+        .withColumn("byte", byte).where(set_).select("doc_id", "text")
+    )
+    return some.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Those of the candidate pairs (u, v) whose full sets agree, as a table."""
     sig = reps.select(F.col("doc_id").alias("id"), "signature", "n_shingles")
@@ -148,7 +220,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scr
     )
     near = scratch.save(near, "near")
     ids = near.select(F.col("u").alias("doc_id")).union(near.select(F.col("v").alias("doc_id"))).distinct()
-    held = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    held = _texts_of(ids, texts)
     full = (
         near.join(held.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
         .join(held.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
@@ -196,45 +268,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = components(links.union(tied), scratch)
     scratch.drop(links)
 
-    # Buckets that still hold several components.
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(stars.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-
-    def unfinished(rows: DataFrame) -> DataFrame:
-        mixed = rows.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-        return rows.join(mixed, "bucket", "left_semi")
-
-    roots = scratch.save(labelled(shared), "roots")
+    # Buckets whose members besides the pivot, which all have met, lie in several components.
+    roots = stars.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
+    pivots = stars.select(F.col("u").alias("pivot"), F.col("v").alias("main"))
+    others = shared.where("doc_id <> pivot").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    others = scratch.save(others, "others")
     scratch.drop(shared)
-    counts = reps.select("doc_id", F.col("n_shingles").alias("n"))
-    main = stars.select(F.col("u").alias("pivot"), F.col("v").alias("main"))
-    by_rank = Window.partitionBy("bucket").orderBy("is_main", "doc_id")
+    mixed = others.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 <> r1")
     rest = (
-        unfinished(roots)
-        .join(counts, "doc_id").join(main, "pivot", "left")
-        .withColumn("is_main", F.col("root") == F.coalesce("main", "pivot"))
-        .withColumn("rank", F.row_number().over(by_rank))
-        .where("doc_id <> pivot")
-        .select("bucket", "doc_id", "n", "root", "is_main", "rank")
+        others.join(mixed.select("bucket", "members"), "bucket").join(pivots, "pivot", "left")
+        .select("bucket", "doc_id", "root", "members", (F.col("root") == F.coalesce("main", "pivot")).alias("is_main"))
     )
     rest = scratch.save(rest, "rest")
-    scratch.drop(roots)
-    done, step = 0, FIRST_PIVOTS
-    while not rest.where(f"not is_main and rank > {done}").isEmpty():
-        pivots = rest.where(f"not is_main and rank > {done} and rank <= {done + step}").select("bucket", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("root").alias("pr"), F.col("rank").alias("pk"))
-        pairs = (
-            rest.join(pivots, "bucket")
-            .where(f"rank > pk and root <> pr and 100 * least(n, pn) >= {percent} * greatest(n, pn)")
-            .select(F.least("p", "doc_id").alias("u"), F.greatest("p", "doc_id").alias("v")).distinct()
-        )
-        links = _confirmed(pairs, reps, texts, scratch, percent)
-        if not links.isEmpty():
-            old, stars = stars, components(stars.union(links), scratch)
-            scratch.drop(old)
-            old, rest = rest, scratch.save(unfinished(labelled(rest.drop("root"))).select(*rest.columns), "rest")
-            scratch.drop(old)
-        scratch.drop(links)
-        done, step = done + step, step * 4
+    scratch.drop(others)
+    if not rest.isEmpty():
+        ids = scratch.save(rest.select("doc_id").distinct(), "ids")
+        sets = reps.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "bands", "signature").dropDuplicates(["doc_id"])
+        sets = scratch.save(sets.join(_texts_of(ids, texts).mapInArrow(_shingled, "doc_id long, shingles binary"), "doc_id"), "sets")
+        sizes = rest.join(sets.select("doc_id", "n_shingles"), "doc_id").groupBy("bucket").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("n"))
+        sizes = sizes.select("bucket", F.ceil(F.greatest(F.col("weight") / BLOCK_SHINGLES, F.col("n") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+        dealt = rest.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+        packed = scratch.save(
+            dealt.join(sets, "doc_id").groupBy("bucket", "block")
+            .agg(F.collect_list(F.struct("doc_id", "root", "is_main", "bands", "signature", "shingles")).alias("members")), "packed")
+        probes = packed.select("bucket", F.filter("members", lambda m: ~m["is_main"]).alias("probes")).where("size(probes) > 0")
+        pairs = probes.join(packed, "bucket").select("bucket", "probes", "members")
+        links = scratch.save(pairs.mapInArrow(_linked_blocks(percent), "u long, v long"), "more")
+        old, stars = stars, components(stars.union(links), scratch)
+        scratch.drop(old, ids, sets, packed, links)
 
     named = scratch.save(
         classes.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
