@@ -182,6 +182,25 @@ def _blocks(windows: DataFrame, size: int) -> Iterator[Block]:
             return
 
 
+def _windows(items: DataFrame) -> DataFrame:
+    """Distinct windows and the items that have them."""
+    rows = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null")
+    return (
+        rows.mapInArrow(window_table, "key binary, words binary, item string")
+        .groupBy("key").agg(F.first("words").alias("words"), F.array_sort(F.collect_set("item")).alias("items"))
+    )
+
+
+def _shingle_counts(texts: DataFrame, block: Block) -> np.ndarray:
+    """How often each of a block's shingles stands in all texts; one number per shingle comes back."""
+    sent = texts.sparkSession.sparkContext.broadcast(block)
+    counts = np.zeros(len(block.shingles), np.int64)
+    for r in texts.mapInArrow(_counted(sent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["shingle"]] = r["n"]
+    sent.unpersist()
+    return counts
+
+
 def contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, hits (merged word spans), item_ids, n_hit, contaminated for every row of ``docs``.
 
@@ -195,12 +214,7 @@ def contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    windows = scratch.save(
-        items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(window_table, "key binary, words binary, item string").where("item is not null")
-        .groupBy("key").agg(F.first("words").alias("words"), F.array_sort(F.collect_set("item")).alias("items")),
-        "windows",
-    )
+    windows = scratch.save(_windows(items), "windows")
     several = windows.count() > block_windows
     # Only where blocks are merged do rows need a name beside doc_id, which may repeat.
     rowed = texts.select("doc_id", (F.monotonically_increasing_id() if several else F.lit(0)).cast("long").alias("row"), "text")
@@ -208,12 +222,7 @@ def contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_
         rowed = scratch.save(rowed, "rowed")
     parts = []
     for block in _blocks(windows, block_windows):
-        sent = spark.sparkContext.broadcast(block)
-        counts = np.zeros(len(block.shingles), np.int64)
-        for r in texts.select("text").mapInArrow(_counted(sent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator():
-            counts[r["shingle"]] = r["n"]
-        sent.unpersist()
-        block.index(counts)
+        block.index(_shingle_counts(texts.select("text"), block))
         found = rowed.mapInArrow(_searched(spark.sparkContext.broadcast(block)), _HITS)
         parts.append(scratch.save(found, "part") if several else found)
     if not parts:
@@ -234,6 +243,41 @@ def contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_
     )
 
 
+def _cleaned(block, place: int):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _searched(block)
+        for batch in batches:
+            nothing = pa.nulls(batch.num_rows, pa.int64())
+            for got in search(iter([pa.record_batch([nothing, nothing, batch.column(place)], names=["doc_id", "row", "text"])])):
+                rows = zip(got.column(2).to_pylist(), got.column(3).to_pylist(), strict=True)
+                hit = ((n, sum(h["b"] - h["a"] for h in hits)) for n, hits in rows)
+                yield batch.filter(pa.array([not (h > 0 and 20 * h >= n) for n, h in hit], pa.bool_()))
+
+    return clean
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated by ``items``.
+
+    With one block of windows rows are filtered where they stand. With several
+    the hits of a row must meet, so rows get a name that is written down first.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "clean")
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    windows = scratch.save(_windows(items), "windows")
+    if windows.count() <= block_windows:
+        block = next(_blocks(windows, block_windows), None) or Block([], [])
+        block.index(_shingle_counts(texts, block))
+        sent = spark.sparkContext.broadcast(block)
+        return docs.mapInArrow(_cleaned(sent, docs.columns.index("text")), docs.schema)
+    name = "_row_of_" + "_".join(docs.columns)
+    rows = scratch.save(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    hit = contamination(rows.select(F.col(name).alias("doc_id"), "text"), items, block_windows).where("contaminated")
+    hit = scratch.save(hit.select(F.col("doc_id").alias(name)), "hit")
+    return rows.join(hit, name, "left_anti").drop(name)
+
+
 def _merged(hits: str):
     """Overlapping spans as one, within an expression."""
     kind = "array<struct<a:int,b:int>>"

@@ -306,3 +306,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, of the document that stays of each group.
+
+    Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "deduplicated")
+    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = scratch.save(kept, "kept")
+    same = docs.schema["doc_id"].dataType
+    chosen = docs.where("doc_id is not null").join(kept.select(F.col("doc_id").cast(same).alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.select(docs.columns).unionByName(docs.where("doc_id is null"))
