@@ -1,8 +1,62 @@
-"""A corpus from raw documents to token ids, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
 
-STAGES = []
+Documents that the toxicity classifier rejects go; of each group of near
+duplicates one stays; documents contaminated by the benchmark go; secrets are
+replaced within texts; what is left is encoded. Every stage reads the table
+that the one before it wrote.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionloom.llm import bpe, decontam, neardup, secrets, toxicity
+from sessionloom.llm.queries import table, vocabulary
+from sessionloom.llm.scratch import Scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.deduplicated(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay; ``n_chars`` follows the new text."""
+    clean = secrets.redact_secrets(docs)
+    kind = docs.schema["n_chars"].dataType
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = bpe.encoded(docs, vocabulary())
+    return out.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", replace_secrets),
+    ("bpe", encode),
+]
+
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        before, docs = docs, scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(before)
+    return docs
