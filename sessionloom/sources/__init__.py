@@ -1,0 +1,28 @@
+"""Where sessions come from. A source gives the tables sessions, messages and parts."""
+
+from __future__ import annotations
+
+from typing import Protocol
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .session_files import SessionFiles
+from .sqlite import SqliteSource
+
+
+class SessionSource(Protocol):
+    """``strict_since``: whether a session updated exactly at ``since`` is left out."""
+
+    strict_since: bool
+
+    def table(self, name: str) -> DataFrame: ...
+
+    def project_filter(self, df: DataFrame, project: str) -> DataFrame: ...
+
+
+def create_source(spark: SparkSession, kind: str, path: str) -> SessionSource:
+    """``sqlite`` or ``files``, in either case of letters."""
+    kinds = {"sqlite": SqliteSource, "files": SessionFiles}
+    if kind.lower() not in kinds:
+        raise ValueError(f"unknown source {kind!r}; known are {', '.join(sorted(kinds))}")
+    return kinds[kind.lower()](spark, path)
