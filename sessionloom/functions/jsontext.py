@@ -10,6 +10,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _parsed(text: str):
@@ -89,7 +90,7 @@ def extract(text: str):
     return {"raw_response": text, "_parse_error": True}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _extract_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else json.dumps(extract(t), ensure_ascii=False))
 
@@ -99,7 +100,7 @@ def extract_json(c: Column) -> Column:
     return _extract_udf(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _repr_udf(texts: pd.Series) -> pd.Series:
     def shown(t):
         found, value = (False, None) if t is None else _parsed(t)
