@@ -58,7 +58,7 @@ def inferred(token: np.ndarray) -> str | None:
     digit = ((token >= 48) & (token <= 57)).any()
     upper = ((token >= 65) & (token <= 90)).any()
     lower = ((token >= 97) & (token <= 122)).any()
-    if digit + upper + lower < 2:
+    if int(digit) + int(upper) + int(lower) < 2:
         return None
     return next(name for name, place in _PLACES.items() if (place[token] >= 0).all())
 
