@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch.drop(rest, stars, classes, reps)
     return (
         sketches.select("doc_id", "n_shingles", "class_key").join(named, "class_key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
