@@ -97,6 +97,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _host(rest: str) -> str:
+    return f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path(rest: str) -> str:
+    return f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+
+
+def _rule(host: str, path: str, action: bool) -> str:
+    whens = [
+        f"WHEN ({host} = '{r.host}' OR ends_with({host}, '.{r.host}')) AND starts_with({path}, '{r.path}') THEN '{r.action if action else r.name}'"
+        for r in sorted(RULES, key=lambda r: (-len(r.name), r.action, r.name))
+    ]
+    return f"CASE {' '.join(whens)} END"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_near_duplicates": rf"""
 WITH RECURSIVE worded AS (
@@ -156,5 +174,30 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
 FROM f
+""",
+    "op9_url_filters": rf"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), q AS (
+  SELECT *, coalesce({_host("rest")}, '') AS host, coalesce({_path("rest")}, '') AS path, {_host("rest")} || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS node FROM p
+), found AS (
+  SELECT node, host, regexp_extract(url, '^(.*?)://', 1) AS scheme, replace(unnest([
+    regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b'))[1], '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1], '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*([^"''\s>]+)', 1)
+  ]), '&amp;', '&') AS link FROM q WHERE rest IS NOT NULL
+), target AS (
+  SELECT node AS u, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN scheme || '://' || host || link END AS url
+  FROM found WHERE link <> ''
+), edges AS (
+  SELECT u, {_host("rest")} || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS v FROM (SELECT u, substr(url, instr(url, '://') + 3) AS rest FROM target WHERE url IS NOT NULL)
+), sides AS (
+  SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v
+), reach AS (
+  SELECT u, u AS v FROM sides UNION SELECT r.u, s.v FROM reach r JOIN sides s ON r.v = s.u
+), acts AS (
+  SELECT u, min({_rule(_host("v"), _path("v"), True)}) AS action FROM reach GROUP BY u
+)
+SELECT page_id, host, path, {_rule("host", "path", False)} AS rule, coalesce({_rule("host", "path", True)}, action, 'allow') AS verdict
+FROM q LEFT JOIN acts ON node = u
 """,
 }
