@@ -92,7 +92,8 @@ def chunk_bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(wide):
         cuts = np.unique(np.concatenate([cuts, *(np.arange(cuts[i], cuts[i + 1], MOST) for i in wide)]))
     # A bound within a character moves to the next one's start.
-    while len(inside := np.flatnonzero((b[cuts[:-1]] & 0xC0) == 0x80)):
+    padded = np.append(b, np.uint8(0))
+    while len(inside := np.flatnonzero((padded[cuts] & 0xC0) == 0x80)):
         cuts[inside] += 1
     cuts = np.unique(cuts)
     # The hash is over bytes with A-Z as a-z; encodings are of lower case too.
