@@ -6,6 +6,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exports import SessionExports
 from .session_files import SessionFiles
 from .sqlite import SqliteSource
 
@@ -21,8 +22,8 @@ class SessionSource(Protocol):
 
 
 def create_source(spark: SparkSession, kind: str, path: str) -> SessionSource:
-    """``sqlite`` or ``files``, in either case of letters."""
-    kinds = {"sqlite": SqliteSource, "files": SessionFiles}
+    """``sqlite``, ``files`` or ``exports``, in either case of letters."""
+    kinds = {"sqlite": SqliteSource, "files": SessionFiles, "exports": SessionExports}
     if kind.lower() not in kinds:
         raise ValueError(f"unknown source {kind!r}; known are {', '.join(sorted(kinds))}")
     return kinds[kind.lower()](spark, path)

@@ -113,6 +113,19 @@ def test_session_files(spark, tmp_path):
     assert S.listing(src.table("sessions"), src.table("messages"), src, project="PROJ", since_ms=1704153600000).count() == 1
 
 
+def test_exports(spark, tmp_path):
+    messages = [{"info": {"role": r, "time": {"created": i}, "finish": "stop", "tokens": {"total": 4}} | ({"error": {"data": {"message": "boom"}}} if i == 5 else {}), "parts": p} for i, (r, p) in enumerate(TALK)]
+    (tmp_path / "a.json").write_text(json.dumps({"info": {"id": "x", "title": "T", "directory": "/w/p", "time": {"created": 1, "updated": 2}}, "messages": messages}))
+    (tmp_path / "b.json").write_text("{")
+    (tmp_path / "c.json").write_text("[]")
+    src = create_source(spark, "exports", str(tmp_path))
+    r = S.rollup(src.table("messages"), src.table("parts")).collect()
+    assert [(x["session_id"], x["message_count"], x["tool_count"], x["has_patches"], x["has_errors"], x["total_tokens"]) for x in r] == [("x", 6, 5, True, True, 12)]
+    lines = [x["line"] for x in S.block_lines(src.table("messages"), S.compress_parts(src.table("parts"))).orderBy("msg_idx", "rank", "part_idx").collect()]
+    assert "[TOOL] other({'k': True}) → o" in lines and lines[-1] == "[ERROR] boom"
+    assert S.listing(src.table("sessions"), src.table("messages"), src, project="W/P").first()["timestamp"] == 2
+
+
 def test_blocks_are_slices(spark):
     n = 4
     m = spark.createDataFrame([("s", i, "user", None) for i in range(n)], "session_id string, msg_idx int, role string, error string")
