@@ -21,6 +21,7 @@ PATCH, EXPLORATION, CLEAN_STOP = 1.0, 0.8, 0.7
 ERROR_ALONE, ERROR = -0.3, -0.8
 OUTCOME_SUCCESS, OUTCOME_FAILURE, LESSONS, DECISIONS = 0.5, -0.3, 0.3, 0.4
 SUCCESS, PARTIAL = 0.7, 0.2
+NO_REASON = "综合评分不足"
 
 
 def listing(sessions: DataFrame, messages: DataFrame, source=None, project: str | None = None, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
@@ -194,9 +195,7 @@ def label_of(score: Column) -> Column:
 
 
 def label_reason(label: Column, problems: Column, lessons: Column) -> Column:
-    """Why a session is no success: its first problem and lesson."""
-    problem, lesson = (F.coalesce(prefix(F.get(c, 0), 80), F.lit("")) for c in (problems, lessons))
-    both = F.array_join(F.filter(F.array(problem, lesson), lambda x: x != ""), "；")
-    return F.when(label == "success", "").otherwise(F.when(both == "", "未达到成功标准").otherwise(both))
-
-
+    """Why a session is no success: its first problem and its first lesson."""
+    first = lambda c: F.transform(F.slice(c, 1, 1), lambda x: prefix(x, 80))
+    known = F.concat(first(problems), first(lessons))
+    return F.when(label == "success", "").when(F.size(known) == 0, NO_REASON).otherwise(F.array_join(known, "；"))

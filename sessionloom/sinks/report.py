@@ -18,7 +18,7 @@ _STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td
 
 
 def duration(seconds: float) -> str:
-    return f"{seconds:.1f} 秒" if seconds < 60 else f"{int(seconds // 60)} 分 {int(seconds % 60)} 秒"
+    return f"{seconds:.1f} 秒" if seconds < 60 else f"{int(seconds // 60)} 分 {seconds % 60:.0f} 秒"
 
 
 @dataclass

@@ -151,6 +151,11 @@ def test_labels(spark):
     assert got.where("p and e and t = 4 and f = '' and o = '' and l = 0 and d = 0").first()["x"] == "failure"
 
 
+def test_label_reasons(spark):
+    df = spark.createDataFrame([("success", ["p"], []), ("partial", ["p" * 99, "q"], ["l", "m"]), ("failure", [], ["l"]), ("failure", [], [])], "label string, p array<string>, l array<string>")
+    assert [r[0] for r in df.select(S.label_reason(F.col("label"), F.col("p"), F.col("l"))).collect()] == ["", "p" * 80 + "；l", "l", S.NO_REASON]
+
+
 def test_topics(spark):
     t = P.aliased(spark.createDataFrame([(x, i) for i, x in enumerate(["a", "s2", "c", "d"])], "session_id string, ts int"), [F.col("ts")])
     assert [r["alias"] for r in t.orderBy("ts").collect()] == ["s0", "s1", "s2", "s3"]

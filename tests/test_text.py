@@ -97,8 +97,8 @@ def test_small_functions(spark):
     shares = spark.createDataFrame([(0, 0.125), (1, 0.135), (2, 2.0), (3, -1.0)], "i int, s double").orderBy("i")
     assert [r["x"] for r in shares.select(T.percent(F.col("s")).alias("x")).collect()] == [12, 14, 100, 0]
     assert column(spark, T.iso_to_ms, ["2024-01-01T00:00:01Z", "2024-01-01T00:00:00+01:00", "2024-01-01T00:00:00", "", "x"]) == [1704067201000, 1704063600000, 1704067200000, 0, 0]
-    durations = spark.createDataFrame([(0, 3.14), (1, 125.0)], "i int, s double").orderBy("i")
-    assert [r["x"] for r in durations.select(T.duration_text(F.col("s")).alias("x")).collect()] == ["3.1 秒", "2 分 5 秒"]
+    durations = spark.createDataFrame([(0, 3.14), (1, 125.5)], "i int, s double").orderBy("i")
+    assert [r["x"] for r in durations.select(T.duration_text(F.col("s")).alias("x")).collect()] == ["3.1 秒", "2 分 6 秒"]
 
 
 REPLIES = [
