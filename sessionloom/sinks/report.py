@@ -13,7 +13,7 @@ from .files import _safe, put
 
 #: Rows of the report's tables; totals are of all rows.
 SHOWN = 500
-LABEL_NAMES = {"success": "成功", "partial": "部分成功", "failure": "失败"}
+LABEL_NAMES = {"success": "成功", "partial": "部分", "failure": "失败"}
 _STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:4px 8px}.bar{background:#48c;height:10px}"
 
 
