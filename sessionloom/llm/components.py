@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("u", "v"), 16)).alias("h")).first()
-    return row["n"], row["h"] or 0
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node with a lesser neighbour has one only, which has none itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -37,15 +38,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Self-loops, repeated and reversed pairs are allowed; an empty input gives
     an empty result. Nodes of any orderable type serve.
     """
-    now = scratch.save(edges.where("u <> v").distinct(), "edges")
-    before = _state(now)
-    while before[0]:
+    now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _are_stars(now):
         # The large star's result is read by the small star twice, so it is a table too.
         large = scratch.save(_large_star(now), "large")
         new = scratch.save(_small_star(large), "small")
         scratch.drop(now, large)
-        now, state = new, _state(new)
-        if state == before:
-            break
-        before = state
+        now = new
     return now

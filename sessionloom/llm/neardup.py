@@ -208,28 +208,35 @@ def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     return some.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Those of the candidate pairs (u, v) whose full sets agree, as a table."""
+def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of the candidate pairs (u, v) whose sizes and signatures agree."""
     sig = reps.select(F.col("doc_id").alias("id"), "signature", "n_shingles")
-    near = (
+    return (
         pairs.join(sig.select(F.col("id").alias("u"), F.col("signature").alias("a"), F.col("n_shingles").alias("na")), "u")
         .join(sig.select(F.col("id").alias("v"), F.col("signature").alias("b"), F.col("n_shingles").alias("nb")), "v")
         .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         .select("u", "v", "a", "b")
         .mapInArrow(_signatures_agree, "u long, v long")
     )
-    near = scratch.save(near, "near")
-    ids = near.select(F.col("u").alias("doc_id")).union(near.select(F.col("v").alias("doc_id"))).distinct()
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs whose full sets agree. ``pairs`` is a table."""
+    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
     held = _texts_of(ids, texts)
-    full = (
-        near.join(held.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
+    return (
+        pairs.join(held.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
         .join(held.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
         .select("u", "v", "tu", "tv")
         .mapInArrow(_sets_agree(percent), "u long, v long")
     )
-    out = scratch.save(full, "links")
-    scratch.drop(near)
-    return out
+
+
+def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
+    roots = stars.select(F.col("u").alias("x"), F.col("v").alias("r"))
+    both = pairs.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left")
+    return both.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -264,9 +271,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tied = real.join(tied, "doc_id", "left_semi").join(classes, "class_key").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).distinct()
 
     first = shared.where("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct()
-    links = _confirmed(first, reps, texts, scratch, percent)
+    near = scratch.save(_near(first, reps, percent), "near")
+    # One pair for each document first: most others then lie within a component
+    # and their texts need not be brought together.
+    one = scratch.save(near.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "one")
+    links = scratch.save(_confirmed(one, texts, percent), "links")
     stars = components(links.union(tied), scratch)
-    scratch.drop(links)
+    scratch.drop(one, links)
+    left = scratch.save(_apart(near, stars), "left")
+    if not left.isEmpty():
+        links = scratch.save(_confirmed(left, texts, percent), "links")
+        old, stars = stars, components(stars.union(links), scratch)
+        scratch.drop(old, links)
+    scratch.drop(near, left)
 
     # Buckets whose members besides the pivot, which all have met, lie in several components.
     roots = stars.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
