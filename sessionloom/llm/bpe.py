@@ -63,31 +63,47 @@ class Store(dict):
         return got
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable Latin-1 as itself, all others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTER_OF = _byte_letters()
+
+
 class Words(Store):
-    """Word -> (ids, tokens), each joined by a space."""
+    """Word -> (ids, tokens), each joined by a space; a word is one piece of the split, lower-cased."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, model):
         super().__init__(KEPT_WORDS)
-        self.tokenizer = tokenizer
+        self.model = model
 
     def __missing__(self, word):
         got = self.old.get(word)
         if got is None:
-            e = self.tokenizer.encode(word, add_special_tokens=False)
-            got = (" ".join(map(str, e.ids)), " ".join(e.tokens))
+            written = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTER_OF)
+            tokens = self.model.tokenize(written)
+            got = (" ".join([str(t.id) for t in tokens]), " ".join([t.value for t in tokens]))
         return self.put(word, got)
 
 
-def chunk_bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the chunks of a text's UTF-8 bytes, from 0 to their number, and the chunks' hashes."""
+def chunk_bounds(b: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the chunks of UTF-8 bytes, from 0 to their number, and the chunks' hashes.
+
+    Texts start at ``at`` (last: the end) and are cut as each would be alone.
+    """
     n = len(b)
+    at = np.array([0, n]) if at is None else at
     power, inverse = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUES[b] * power[:n], out=sums[1:])
     seen = (sums[SEEN:] - sums[: n + 1 - SEEN]) * inverse[: n + 1 - SEEN] if n >= SEEN else np.zeros(0, np.uint64)
     cuts = np.flatnonzero(mix(seen) % np.uint64(MEAN) == 0) + SEEN
-    cuts = cuts[cuts < n]
-    cuts = np.concatenate([[0], cuts, [n]]) if n else np.array([0])
+    # What the hash sees must lie within one text.
+    cuts = cuts[cuts - at[np.searchsorted(at, cuts, side="left") - 1] >= SEEN]
+    cuts = np.unique(np.concatenate([at, cuts]))
     wide = np.flatnonzero(np.diff(cuts) > MOST)
     if len(wide):
         cuts = np.unique(np.concatenate([cuts, *(np.arange(cuts[i], cuts[i + 1], MOST) for i in wide)]))
@@ -110,7 +126,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = Words(self.tokenizer)
+        self.words = Words(self.tokenizer.model)
         self.chunks = Store(KEPT_CHUNKS)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -138,16 +154,26 @@ class Codec:
 
     def encode(self, text: str) -> tuple[str, str]:
         """(ids, tokens) of a text, each joined by a space; the second is what decoding gives."""
-        if not text:
-            return "", ""
-        if not self.sure(text):
-            e = self.tokenizer.encode(text, add_special_tokens=False)
-            return " ".join(map(str, e.ids)), self.tokenizer.decode(e.ids, skip_special_tokens=False)
-        raw = text.encode()
-        cuts, hashes = chunk_bounds(np.frombuffer(raw, np.uint8))
+        return next(self.encode_all(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])))
+
+    def encode_all(self, b: np.ndarray, at: np.ndarray) -> Iterator[tuple[str, str]]:
+        """``encode`` of each of the texts that start at ``at``."""
+        cuts, hashes = chunk_bounds(b, at)
+        first, raw = np.searchsorted(cuts, at).tolist(), b.tobytes()
+        cuts, keys = cuts.tolist(), hashes.tolist()
+        for i in range(len(at) - 1):
+            text = raw[at[i] : at[i + 1]].decode()
+            if self.sure(text):
+                yield self._joined(raw, cuts, keys, first[i], first[i + 1])
+            else:
+                e = self.tokenizer.encode(text, add_special_tokens=False)
+                yield " ".join(map(str, e.ids)), self.tokenizer.decode(e.ids, skip_special_tokens=False)
+
+    def _joined(self, raw: bytes, cuts: list[int], keys: list[int], lo: int, hi: int) -> tuple[str, str]:
+        """The chunks ``lo`` to ``hi`` one after the other, with what their joins hold encoded anew."""
         ids, tokens, open_ = [], [], ""
-        for i, key in enumerate(hashes.tolist()):
-            head, inner, tail = self.chunk(key, raw[cuts[i] : cuts[i + 1]])
+        for k in range(lo, hi):
+            head, inner, tail = self.chunk(keys[k], raw[cuts[k] : cuts[k + 1]])
             open_ += head
             if inner is None:
                 continue
@@ -180,8 +206,7 @@ def _encoded(path: str, full: bool):
             data, at = utf8(batch.column(1))
             for lo, hi in sliced(data, at):
                 rows = []
-                for i in range(lo, hi):
-                    ids, text = c.encode(data[at[i] : at[i + 1]].tobytes().decode())
+                for ids, text in c.encode_all(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]):
                     n = ids.count(" ") + 1 if ids else 0
                     if full:
                         rows.append((n, np.array(ids.split(), np.int32), text))
