@@ -32,7 +32,7 @@ SEEN = 16
 #: A bound every so many bytes on average; at most so many between two.
 MEAN, MOST = 256, 4096
 #: Entries of either generation of the stores of words and of chunks.
-KEPT_WORDS, KEPT_CHUNKS = 150_000, 25_000
+KEPT_WORDS, KEPT_CHUNKS = 80_000, 6_000
 
 # The split pattern of the vocabulary file, written out for Latin letters.
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ňŊ-ž"
