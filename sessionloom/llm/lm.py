@@ -8,9 +8,8 @@ rare words that is the smoothed share by the counts, so the probabilities of
 all words and one unknown word sum to one.
 
 Training is truncated back-propagation in numpy. A first model is fitted on
-SEED_DOCS documents; then every partition trains its own copy on a fixed share
-of all training documents (one in SHARE), and the copies are averaged, weighted
-by their tokens. Scoring carries the state through a whole document: lanes of
+SEED_DOCS documents; then every partition trains its own copy on all of its
+training documents, and the copies are averaged, weighted by their tokens. Scoring carries the state through a whole document: lanes of
 documents run side by side, each document after the other in its lane, and the
 state is reset at a document's start only.
 
@@ -21,6 +20,7 @@ those of all others are joined.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,8 +40,6 @@ HIDDEN = 24
 SENT_WORDS = 400_000
 #: Documents of the first model, those with the least hash of doc_id.
 SEED_DOCS, SEED_EPOCHS = 300, 2
-#: One training document in so many takes part in each partition's training.
-SHARE = 24
 #: Steps of back-propagation, lanes in training, lanes and steps at once in scoring.
 WINDOW, TRAIN_LANES, LANES, STEPS = 24, 32, 256, 64
 #: Models averaged in one task, at most about.
@@ -51,6 +49,8 @@ END = np.uint64(0x5EED0E4D0FD0C5)
 SMOOTH = 0.1
 #: Tokens that are scored, and looked up, at once: they bound a worker's memory.
 GROUP_TOKENS, LOOK_TOKENS = 2_500_000, 250_000
+#: Tokens laid out at once in training, about: they bound a worker's memory.
+TRAIN_TOKENS = 500_000
 #: Words of a partition held before they are sent on.
 HELD = 1_000_000
 
@@ -136,9 +136,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 class Network:
@@ -228,44 +230,57 @@ class Network:
         g = Network(np.zeros_like(self.flat))
         flat = states.reshape(-1, HIDDEN)
         at = np.flatnonzero(mask.ravel())
+        k = np.minimum(words.ravel()[at] // CLASS_WORDS, CLASSES)
+        # By class, so that each class is one slice.
+        order = np.argsort(k, kind="stable")
+        at, k = at[order], k[order]
         s, y = flat[at], words.ravel()[at]
-        k = np.minimum(y // CLASS_WORDS, CLASSES)
         scale = np.float32(1 / max(1, len(at)))
-        p = np.exp(_log_softmax(s @ self.c + self.cb))
+        p = _softmax(s @ self.c + self.cb)
         p[np.arange(len(k)), k] -= 1
         p *= scale
         g.c[:] = s.T @ p
         g.cb[:] = p.sum(axis=0)
         ds = p @ self.c.T
-        order = np.argsort(k, kind="stable")
-        cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[cuts[c] : cuts[c + 1]]
-            if len(own):
-                q = np.exp(_log_softmax(s[own] @ self.w[c] + self.wb[c]))
-                q[np.arange(len(own)), y[own] - c * CLASS_WORDS] -= 1
-                q *= scale
-                g.w[c] = s[own].T @ q
-                g.wb[c] = q.sum(axis=0)
-                ds[own] += q @ self.w[c].T
+        cuts = np.searchsorted(k, np.arange(CLASSES + 1))
+        m = cuts[CLASSES]
+        own = [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+        q = self.wb[k[:m]]
+        for c, part in own:
+            q[part] += s[part] @ self.w[c]
+        q = _softmax(q)
+        q[np.arange(m), y[:m] - k[:m] * CLASS_WORDS] -= 1
+        q *= scale
+        for c, part in own:
+            g.w[c] = s[part].T @ q[part]
+            g.wb[c] = q[part].sum(axis=0)
+            ds[part] += q[part] @ self.w[c].T
         dstates = np.zeros_like(flat)
         dstates[at] = ds
         dstates = dstates.reshape(steps, lanes, HIDDEN)
+        before, z, r, rh, c = (np.stack(x) for x in zip(*tape, strict=True))
+        # What does not depend on later steps, for all steps at once.
+        by_c, by_z, by_r, left = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r), 1 - z
         dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+        dz, dr, dg, dc = dx[..., :HIDDEN], dx[..., HIDDEN : 2 * HIDDEN], dx[..., : 2 * HIDDEN], dx[..., 2 * HIDDEN :]
+        ut, vt = self.u.T.copy(), self.v.T.copy()
+        starts = fresh.any(axis=1)
         dh = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(steps - 1, -1, -1):
-            before, z, r, rh, c = tape[t]
-            dh = dh + dstates[t]
-            dc = dh * z * (1 - c * c)
-            drh = dc @ self.v.T
-            dz = dh * (c - before) * z * (1 - z)
-            dr = drh * before * r * (1 - r)
-            dg = np.concatenate([dz, dr], axis=1)
-            g.v += rh.T @ dc
-            g.u += before.T @ dg
-            dx[t] = np.concatenate([dg, dc], axis=1)
-            dh = dh * (1 - z) + drh * r + dg @ self.u.T
-            dh[fresh[t]] = 0
+            dh += dstates[t]
+            np.multiply(dh, by_c[t], out=dc[t])
+            drh = dc[t] @ vt
+            np.multiply(dh, by_z[t], out=dz[t])
+            np.multiply(drh, by_r[t], out=dr[t])
+            dh *= left[t]
+            drh *= r[t]
+            dh += drh
+            dh += dg[t] @ ut
+            if starts[t]:
+                dh[fresh[t]] = 0
+        wide = dx.reshape(-1, 3 * HIDDEN)
+        g.v[:] = rh.reshape(-1, HIDDEN).T @ wide[:, 2 * HIDDEN :]
+        g.u[:] = before.reshape(-1, HIDDEN).T @ wide[:, : 2 * HIDDEN]
         which, rows = ids.ravel(), dx.reshape(-1, 3 * HIDDEN)
         order = np.argsort(which, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(which[order]) > 0))
@@ -311,7 +326,7 @@ class Trainer:
 
     def __init__(self, network: Network, rate: float):
         self.network, self.rate, self.t = network, rate, 0
-        self.m, self.v = np.zeros_like(network.flat), np.zeros_like(network.flat)
+        self.m, self.v, self.spare = (np.zeros_like(network.flat) for _ in range(3))
 
     def learn(self, texts: list[np.ndarray]) -> None:
         before, words, row, fresh = _grid(texts, TRAIN_LANES)
@@ -320,14 +335,24 @@ class Trainer:
             z = a + WINDOW
             g, h = self.network.gradients(before[a:z], words[a:z], row[a:z] >= 0, fresh[a:z], h)
             g = g.flat
-            norm = float(np.sqrt((g * g).sum()))
+            norm = math.sqrt(float(g @ g))
             if norm > 1:
                 g /= norm
             self.t += 1
-            self.m += 0.1 * (g - self.m)
-            self.v += 0.01 * (g * g - self.v)
-            step = self.rate / (1 - 0.9**self.t)
-            self.network.flat -= step * self.m / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
+            spare = self.spare
+            np.multiply(g, g, out=spare)
+            g -= self.m
+            g *= 0.1
+            self.m += g
+            spare -= self.v
+            spare *= 0.01
+            self.v += spare
+            np.divide(self.v, 1 - 0.99**self.t, out=spare)
+            np.sqrt(spare, out=spare)
+            spare += 1e-8
+            np.divide(self.m, spare, out=spare)
+            spare *= self.rate / (1 - 0.9**self.t)
+            self.network.flat -= spare
 
 
 def _model_ids(texts: list[np.ndarray], lexicon: Lexicon) -> list[np.ndarray]:
@@ -337,15 +362,27 @@ def _model_ids(texts: list[np.ndarray], lexicon: Lexicon) -> list[np.ndarray]:
     return np.split(ids, np.cumsum([len(x) for x in texts])[:-1])
 
 
+def _grouped(texts: Iterator[np.ndarray], most: int) -> Iterator[list[np.ndarray]]:
+    """All texts in order, in groups of about ``most`` tokens."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text)
+        n += len(text)
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _refined(sent):
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, flat = sent.value
         network = Network(flat.copy())
         trainer, n = Trainer(network, 1e-3), 0
         for batch in batches:
-            texts = _model_ids(list(tokens(batch.column(0))), lexicon)
-            if texts:
-                trainer.learn(texts)
+            for texts in _grouped(tokens(batch.column(0)), TRAIN_TOKENS):
+                trainer.learn(_model_ids(texts, lexicon))
                 n += sum(map(len, texts))
         if n:
             part = TaskContext.get().partitionId()
@@ -392,8 +429,7 @@ def train(docs: DataFrame, lexicon: Lexicon, scratch: Scratch) -> Network:
     for _ in range(SEED_EPOCHS):
         trainer.learn(texts)
     sent = docs.sparkSession.sparkContext.broadcast((lexicon, network.flat))
-    share = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARE)) == 0).select("text")
-    models = scratch.save(share.mapInArrow(_refined(sent), "part long, weight double, model binary"), "models")
+    models = scratch.save(docs.select("text").mapInArrow(_refined(sent), "part long, weight double, model binary"), "models")
     n = models.count()
     while n > MEET:
         n = -(-n // MEET)

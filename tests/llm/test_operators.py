@@ -371,6 +371,25 @@ def test_language_model(spark, awkward, nothing, monkeypatch, sent):
         assert lm.score_documents(nothing).count() == 0
 
 
+@pytest.mark.parametrize("most", [lm.TRAIN_TOKENS, 100])
+def test_all_training_documents_train(spark, monkeypatch, most):
+    monkeypatch.setattr(lm, "TRAIN_TOKENS", most)
+    docs = spark.createDataFrame([(i if i % 9 else None, prose(40, 400 + i)) for i in range(90)], "doc_id long, text string").repartition(3)
+    scratch, weights = Scratch(spark, "lm"), []
+    save = scratch.save
+
+    def kept(df, name):
+        out = save(df, name)
+        if name == "models":
+            weights.append(sum(r["weight"] for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(scratch, "save", kept)
+    _, lexicon = lm.count_words(docs, scratch)
+    lm.train(docs, lexicon, scratch)
+    assert weights == [lexicon.total] == [90 * 41]
+
+
 def test_gradients():
     r = np.random.default_rng(0)
     net = lm.Network(seed=1)
