@@ -36,7 +36,7 @@ class Rule(NamedTuple):
 
 #: The link of a page to its canonical URL, and the target of a redirect, as the attributes come.
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REDIRECT = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)"""
+_REDIRECT = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>]+)"""
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,18 +68,34 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<name:string,action:string>")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    parts = F.split(F.substr(path, F.lit(2)), "/", -1)
+    # A dot segment at the end leaves the slash before it.
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: (
+        F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))))
+    return F.when(F.contains(path, F.lit("/.")), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def _node(url: Column) -> Column:
-    """A URL as an alias: host lower-cased, without scheme and fragment."""
-    return F.concat(host_of(url), F.regexp_extract(F.substr(url, F.instr(url, "://") + 3), r"(?s)^[^/?#]*([^#]*)", 1))
+    """A URL as an alias: host lower-cased, without scheme, dot segments and fragment."""
+    query = F.regexp_extract(F.substr(url, F.instr(url, "://") + 3), r"(?s)^[^?#]*(\?[^#]*)", 1)
+    return F.concat(host_of(url), _without_dots(path_of(url)), query)
 
 
 def _absolute(link: Column, url: Column) -> Column:
-    """A link as a URL: what has a scheme stays, ``//`` and ``/`` are completed from the page's URL; else null."""
+    """A link as a URL, completed from the page's as RFC 3986 says; null for a fragment and for schemes without ``//``."""
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    site = F.concat(scheme, F.lit("://"), host_of(url))
+    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
     return (
-        F.when(F.contains(link, F.lit("://")), link)
+        F.when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), link)
+        .when(F.rlike(link, F.lit(r"^(#|[A-Za-z][A-Za-z0-9+.-]*:)")), F.lit(None))
         .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(scheme, F.lit("://"), host_of(url), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(site, link))
+        .when(F.startswith(link, F.lit("?")), F.concat(site, path_of(url), link))
+        .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), link))
     )
 
 

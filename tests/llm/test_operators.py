@@ -11,6 +11,7 @@ import math
 import random
 import re
 import zlib
+from urllib.parse import urljoin
 
 import numpy as np
 import pyarrow as pa
@@ -440,6 +441,25 @@ def test_url_rules(spark):
     assert urlfilter.judge(fewer.limit(0), rules).count() == 0 and {r["verdict"] for r in urlfilter.judge(fewer, []).collect()} == {"allow"}
 
 
+def test_links_resolve(spark):
+    canonical, refresh = '<link rel=canonical href="{}">', '<meta http-equiv="refresh" content={}>'
+    base = "http://A.net/b/c/d;p?q"
+    refs = ["g", "./g", "g/", "/g", "//h.net/g", "?y", "g?y", "g#s", "g?y#s", ";x", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./g/.", "g/./h", "g/../h", "g?y/../x", "/login?next=http://other.com/de/x", "next?u=http://o.com/"]
+    pages = [(base, canonical.format(x)) for x in refs] + [(base, refresh.format(x)) for x in ("\"0; url='http://h/p'\"", "'0; URL = \"http://h/p\"'", '"0;url=http://h/p"', "0;url=p", "\"0; url='../p'\"")]
+    pages += [(base, canonical.format(x)) for x in ("#s", "mailto:a@b.net", "https://O.org/a/../b?x#y")] + [("http://e.net", canonical.format("g"))]
+
+    def node(url):
+        host, rest = re.match(r"[^:]*://([^/?#]*)([^#]*)", url).groups()
+        return host.lower() + rest
+
+    want = {(node(base), node(urljoin(base, x))) for x in [*refs, "http://h/p", "p", "../p"]} | {("e.net", "e.net/g"), (node(base), "o.org/b?x")}
+    got = {(r["u"], r["v"]) for r in urlfilter.alias_edges(spark.createDataFrame(pages, "url string, html string")).collect()}
+    assert got == want
+    for url, html in [("http://a.net/b/c", canonical.format(x)) for x in ("bad", "../b/bad", "./bad?x=http://o.net/")] + [("http://o.net/", refresh.format("\"0; url='http://a.net/b/bad'\""))]:
+        rows = urlfilter.judge(spark.createDataFrame([(1, url, html)], "page_id long, url string, html string"), [urlfilter.Rule("block", "a.net", "/b/bad")]).collect()
+        assert [r["verdict"] for r in rows] == ["block"], html
+
+
 # --- 10 --------------------------------------------------------------------------
 
 def test_warc(spark):
