@@ -2,12 +2,13 @@
 
 Patterns give the base spans. Then every run of MIN_LENGTH or more letters,
 digits, ``+``, ``/``, ``_`` and ``-`` is a candidate. Its encoding is inferred
-(hexadecimal, base32, base64) and the battery asks whether it could be random
-text of that encoding: chi-squared uniformity over the alphabet, runs above and
+(hexadecimal, letters of one or both cases, base32, base36, base62, base64) and
+the battery asks whether it could be random text of that encoding: chi-squared uniformity over the alphabet, runs above and
 below its middle, and serial correlation. What passes is then weighed against
 ordinary text: the likelihood ratio between the uniform alphabet and the
-characters of all documents is an e-value, so its inverse is a p-value whatever
-the length, and longer strings give smaller ones. The step-up procedure of
+characters of all documents, over the number of encodings it could have been,
+is an e-value, so its inverse is a p-value whatever the length, and longer
+strings give smaller ones. The step-up procedure of
 Benjamini and Hochberg over all candidates of the corpus sets the threshold.
 """
 
@@ -45,7 +46,12 @@ _HEX[48:58] = _HEX[97:103] = True
 _TOKEN = np.zeros(256, bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[[43, 47, 95, 45]] = True
 
-_ALPHABETS = {"hex": b"0123456789abcdef", "HEX": b"0123456789ABCDEF", "base32": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+_UPPER, _LOWER, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
+#: From narrow to wide.
+_ALPHABETS = {
+    "hex": _DIGITS + b"abcdef", "HEX": _DIGITS + b"ABCDEF", "lower": _LOWER, "UPPER": _UPPER, "base32": _UPPER + b"234567",
+    "base36": _DIGITS + _LOWER, "BASE36": _DIGITS + _UPPER, "letters": _UPPER + _LOWER, "base62": _UPPER + _LOWER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + b"+/",
+}
 _PLACES: dict[str, np.ndarray] = {}
 for _name, _letters in _ALPHABETS.items():
     _PLACES[_name] = np.full(256, -1)
@@ -54,12 +60,13 @@ _PLACES["base64"][ord("-")], _PLACES["base64"][ord("_")] = 62, 63
 
 
 def inferred(token: np.ndarray) -> str | None:
-    """The narrowest encoding that holds all characters; None for digits alone or a single class of letters."""
+    """The narrowest encoding that holds all characters; None for digits alone, and for one letter case with signs only."""
     digit = ((token >= 48) & (token <= 57)).any()
     upper = ((token >= 65) & (token <= 90)).any()
     lower = ((token >= 97) & (token <= 122)).any()
     if int(digit) + int(upper) + int(lower) < 2:
-        return None
+        # Without a digit hexadecimal is left out: letters alone are drawn from letters.
+        return next((name for name in ("lower", "UPPER") if (_PLACES[name][token] >= 0).all()), None)
     return next(name for name, place in _PLACES.items() if (place[token] >= 0).all())
 
 
@@ -101,7 +108,7 @@ class Model:
     most: float = 0.0
 
     def log_p(self, token: np.ndarray, encoding: str) -> float:
-        return min(0.0, float(self.log_share[token].sum()) + len(token) * math.log(len(_ALPHABETS[encoding])))
+        return min(0.0, float(self.log_share[token].sum()) + len(token) * math.log(len(_ALPHABETS[encoding])) + math.log(len(_ALPHABETS)))
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

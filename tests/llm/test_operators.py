@@ -234,6 +234,26 @@ def test_battery():
     assert secrets.inferred(np.frombuffer(b"1234567890123456", np.uint8)) is None
 
 
+@pytest.mark.parametrize("name", ["0-9a-f", "A-F0-9", "a-z", "A-Z", "A-Z2-7", "0-9a-z", "0-9A-Z", "A-Za-z", "0-9A-Za-z", "0-9A-Za-z+/"])
+def test_random_strings_of_all_alphabets_pass(name):
+    letters = np.array([c for c in range(128) if re.match(f"[{name}]", chr(c))], np.uint8)
+    r = np.random.default_rng(8)
+    for n in (20, 32, 48, 64, 96, 256, 1000):
+        drawn = [letters[r.integers(0, len(letters), n)] for _ in range(300)]
+        kinds = [secrets.inferred(x) for x in drawn]
+        passed = np.mean([k is not None and min(secrets.battery(x, k)) >= secrets.REJECT for x, k in zip(drawn, kinds, strict=True)])
+        assert passed > 0.96, (n, passed)
+
+
+def test_keys_of_one_letter_case_are_found(spark):
+    r = random.Random(12)
+    keys = ["".join(r.choice(a) for _ in range(n)) for n in (48, 128) for a in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+    words = "the of and to in is that for it as was with be by on not he his but at are this have from or had".split()
+    docs = [(i, f"{' '.join(r.choice(words) for _ in range(400))} {k}") for i, k in enumerate(keys)] + [(100, "z" * 200 + " " + "-".join(words) + " " + "".join(words))]
+    got = {x["doc_id"]: x["spans"] for x in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: f"random:{len(t) - len(keys[i])}:{len(t)}" for i, t in docs[:-1]} | {100: ""}
+
+
 # --- 4 ---------------------------------------------------------------------------
 
 def test_fingerprints(spark, awkward, nothing):
