@@ -183,8 +183,8 @@ def _blocks(windows: DataFrame, size: int) -> Iterator[Block]:
 
 
 def _windows(items: DataFrame) -> DataFrame:
-    """Distinct windows and the items that have them."""
-    rows = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null")
+    """Distinct windows and the ids of the items that have them; none where only items with a null id do."""
+    rows = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     return (
         rows.mapInArrow(window_table, "key binary, words binary, item string")
         .groupBy("key").agg(F.first("words").alias("words"), F.array_sort(F.collect_set("item")).alias("items"))
@@ -208,7 +208,8 @@ def contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_
     ignored. A document word inside any occurrence of a window is hit; a
     document is contaminated when at least one in twenty words is. Null and
     empty texts have no words and no hits; items without words have no windows;
-    without items no document is hit. Repeated rows each get their own result,
+    without items no document is hit. An item with a null item_id hits as any
+    other, but is not among item_ids. Repeated rows each get their own result,
     repeated items count once by id.
     """
     spark = docs.sparkSession

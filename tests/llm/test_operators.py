@@ -193,6 +193,17 @@ def test_contamination(spark, awkward, nothing):
     assert rows_of(decontam.contamination(docs, table.limit(0)), *cols) == brute_contamination([(r["doc_id"], r["text"]) for r in docs.collect()], [])
 
 
+def test_items_without_an_id_hit(spark):
+    items = [(1, prose(20, 61)), (None, prose(20, 62)), (None, prose(20, 61)), (2, prose(20, 63))]
+    texts = [(k, prose(100, 70 + k) + " " + prose(20, 60 + k)) for k in (1, 2, 3, 4)]
+    docs, table = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = [(k, n, hit, [x for x in ids if x != "None"], bad) for k, n, hit, ids, bad in brute_contamination(texts, items)]
+    assert [(x[3], x[4]) for x in want] == [(["1"], True), ([], True), (["2"], True), ([], False)]
+    for size in (decontam.BLOCK_WINDOWS, 3):
+        assert rows_of(decontam.contamination(docs, table, size), "doc_id", "n_words", "n_hit", "item_ids", "contaminated") == want
+        assert [r["doc_id"] for r in decontam.uncontaminated(docs, table, size).collect()] == [4]
+
+
 # --- 3 ---------------------------------------------------------------------------
 
 def test_secrets(spark, awkward, nothing):
