@@ -90,7 +90,20 @@ def map_table(spark: SparkSession, chosen: dict[int, int], sums: dict[int, tuple
     return spark.createDataFrame(rows, MAP)
 
 
-def sharded(docs: DataFrame, shards: int = 40, slots: int = SLOTS, scratch: Scratch | None = None) -> DataFrame:
+def latest_map(spark: SparkSession, maps: str) -> tuple[int, dict[int, int]] | None:
+    """Version and shards by slot of the last map that was written whole in the folder; None if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(maps)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    whole = [f.getPath().getParent().getName() for f in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "v*/_SUCCESS"))]
+    if not whole:
+        return None
+    version = max(int(name[1:]) for name in whole)
+    return version, {r["vslot"]: r["shard"] for r in spark.read.schema(MAP).parquet(f"{maps}/v{version:06d}").collect()}
+
+
+def sharded(docs: DataFrame, shards: int = 40, slots: int = SLOTS, scratch: Scratch | None = None, maps: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, vslot, version for every row of ``docs`` (doc_id, text).
 
     The law is ``bytes``: shards get nearly equal sizes. ``slot`` is a row's
@@ -98,11 +111,20 @@ def sharded(docs: DataFrame, shards: int = 40, slots: int = SLOTS, scratch: Scra
     repeat each have a place of their own. An empty table gives an empty
     result. A single record larger than a shard's share stands out, as no slot
     is split.
+
+    ``maps`` is a folder of maps by version: the latest one is edited and stored
+    as the next, the first run stores version 1. Without it the map is new.
     """
     scratch = scratch or Scratch(docs.sparkSession, "shards")
     rows = scratch.save(records(docs, slots), "records")
     sums = slot_sums(rows)
-    chosen = scratch.save(map_table(docs.sparkSession, assign(sums, shards, slots), sums, 1), "map")
+    last = latest_map(docs.sparkSession, maps) if maps else None
+    if last and len(last[1]) != slots:
+        raise ValueError(f"the stored map has {len(last[1])} slots, not {slots}")
+    version = last[0] + 1 if last else 1
+    chosen = scratch.save(map_table(docs.sparkSession, rebalance(last[1], sums, shards) if last else assign(sums, shards, slots), sums, version), "map")
+    if maps:
+        chosen.write.parquet(f"{maps}/v{version:06d}")
     placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")))
     # The map has exactly ``slots`` rows.
     placed = placed.join(F.broadcast(chosen.select("vslot", "shard", "first_row", "version")), "vslot")

@@ -341,6 +341,15 @@ def test_sharding(spark, awkward, nothing):
     assert sharding.sharded(nothing).count() == 0
 
 
+def test_stored_map_is_edited(spark, tmp_path):
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text")
+    runs = [sharding.sharded(d, n, slots=64, maps=str(tmp_path / "maps")).collect() for d, n in ((docs.where("doc_id < 400"), 4), (docs, 5))]
+    assert [{r["version"] for r in got} for got in runs] == [{1}, {2}] and len(runs[1]) == 600
+    old, new = ({r["vslot"]: r["shard"] for r in got} for got in runs)
+    assert set(new.values()) == set(range(5)) and sum(new[v] != s for v, s in old.items()) < 32
+    assert sharding.latest_map(spark, str(tmp_path / "maps"))[0] == 2 and sharding.latest_map(spark, str(tmp_path / "none")) is None
+
+
 def test_rebalancing():
     r = random.Random(3)
     sums = {v: (1, r.randint(50, 150)) for v in range(400)}
