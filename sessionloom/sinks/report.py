@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.sessions import label_reason
 from .files import _safe, put
 
-#: Rows of the report's tables; totals are of all rows.
+#: Rows of the report's tables; totals and errors are of all rows.
 SHOWN = 500
 LABEL_NAMES = {"success": "成功", "partial": "部分", "failure": "失败"}
 _STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:4px 8px}.bar{background:#48c;height:10px}"
@@ -33,6 +33,8 @@ class Report:
     usage: dict[str, int] = field(default_factory=dict)
     paths: dict[str, str] = field(default_factory=dict)
     errors: list[str] = field(default_factory=list)
+    #: Rows that the tables leave out.
+    hidden: dict[str, int] = field(default_factory=dict)
 
     def step(self, name: str, seconds: float) -> None:
         self.steps.append((name, seconds))
@@ -46,13 +48,15 @@ class Report:
         why = label_reason(F.col("label"), F.transform("problems_encountered", lambda p: p["problem"]), F.col("lessons_learned"))
         rows = mined.orderBy("pos").limit(SHOWN).select("session_id", "title", "project", "message_count", "tool_count", "label", "label_score", "intent", why.alias("reason"), "error").collect()
         self.session_rows = [r.asDict() for r in rows]
-        self.errors += [f"{r['session_id']}: {r['error']}" for r in rows if r["error"]]
+        self.hidden["sessions"] = mined.count() - len(rows)
+        self.errors += [f"{r['session_id']}: {r['error']}" for r in mined.where("error <> ''").orderBy("pos").select("session_id", "error").collect()]
         self.labels = {r["label"]: r["count"] for r in mined.where("status = 'ok'").groupBy("label").count().collect()}
         self._use(mined)
 
     def skills(self, skills: DataFrame) -> None:
         rows = skills.orderBy("topic_id").limit(SHOWN).select("topic_id", "skill_title", "skill_type", "description", F.size("rules").alias("n_rules"), F.size("source_sessions").alias("n_sessions")).collect()
         self.topic_rows = [r.asDict() for r in rows]
+        self.hidden["topics"] = skills.count() - len(rows)
         self._use(skills)
 
     def html(self) -> str:
@@ -72,6 +76,8 @@ class Report:
             "sessions": table(self.session_rows), "topics": table(self.topic_rows), "timeline": bars, "usage": table([self.usage] if self.usage else []),
             "files": table([{"name": k, "path": v} for k, v in self.paths.items()]), "errors": "".join(f"<p>{e(x)}</p>" for x in self.errors) or "<p>–</p>",
         }
+        for k, n in self.hidden.items():
+            parts[k] += f"<p>{n} more rows are not shown</p>" if n else ""
         nav = " ".join(f"<a href='#{k}'>{k}</a>" for k in parts)
         body = "".join(f"<h2 id={k}>{k}</h2>{v}" for k, v in parts.items())
         return f"<!DOCTYPE html><meta charset=utf-8><title>{e(self.project)}</title><style>{_STYLE}</style><h1>{e(self.project)} {e(self.date)}</h1><p>{nav}</p><p>{counts}</p><p>{e(self.note)}</p>{body}"

@@ -17,6 +17,7 @@ from sessionloom.providers import ContextOverflow, Reply, RuleProvider, call_mod
 from sessionloom.providers.calls import ask
 from sessionloom.providers.http import HttpProvider, bypass_patterns, parse_reply
 from sessionloom.sinks import files
+from sessionloom.sinks import report as reports
 from sessionloom.sinks.state import StateStore
 from sessionloom.sources import create_source
 
@@ -245,3 +246,13 @@ def test_field_clusters(spark, store, tmp_path):
     models = Models(RuleProvider, RuleProvider, str(tmp_path / "cache"), 2)
     p = Pipeline(spark, src, models, Settings(str(tmp_path / "o"), str(tmp_path / "w"), today="d"), FieldClusters("project"))
     assert {r["topic_id"] for r in p.run().topic_rows} == {"my-project"}
+
+
+def test_report_tells_of_rows_that_are_not_shown(spark, monkeypatch):
+    monkeypatch.setattr(reports, "SHOWN", 2)
+    mined = spark.range(5).selectExpr(
+        "id as pos", "concat('s', id) as session_id", "'t' as title", "'p' as project", "1 as message_count", "1 as tool_count", "'success' as label", "1.0 as label_score", "'i' as intent", "'ok' as status",
+        "array(named_struct('problem', 'x')) as problems_encountered", "array('y') as lessons_learned", "if(id = 4, 'late', null) as error", "1 as calls", "1 as input_tokens", "1 as output_tokens")
+    report = reports.Report("p", "2024-01-01")
+    report.sessions(mined)
+    assert len(report.session_rows) == 2 and report.errors == ["s4: late"] and "3 more rows are not shown" in report.html()
