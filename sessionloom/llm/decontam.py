@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import ALNUM, Words, grams, sliced, utf8
+from .words import ALNUM, Words, grams, released, sliced, utf8
 
 WINDOW = 13
 SHINGLE = 5
@@ -186,7 +186,7 @@ def _windows(items: DataFrame) -> DataFrame:
     """Distinct windows and the ids of the items that have them; none where only items with a null id do."""
     rows = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     return (
-        rows.mapInArrow(window_table, "key binary, words binary, item string")
+        rows.mapInArrow(released(window_table), "key binary, words binary, item string")
         .groupBy("key").agg(F.first("words").alias("words"), F.array_sort(F.collect_set("item")).alias("items"))
     )
 
@@ -195,7 +195,7 @@ def _shingle_counts(texts: DataFrame, block: Block) -> np.ndarray:
     """How often each of a block's shingles stands in all texts; one number per shingle comes back."""
     sent = texts.sparkSession.sparkContext.broadcast(block)
     counts = np.zeros(len(block.shingles), np.int64)
-    for r in texts.mapInArrow(_counted(sent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in texts.mapInArrow(released(_counted(sent)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["shingle"]] = r["n"]
     sent.unpersist()
     return counts
@@ -224,12 +224,12 @@ def contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_
     parts = []
     for block in _blocks(windows, block_windows):
         block.index(_shingle_counts(texts.select("text"), block))
-        found = rowed.mapInArrow(_searched(spark.sparkContext.broadcast(block)), _HITS)
+        found = rowed.mapInArrow(released(_searched(spark.sparkContext.broadcast(block))), _HITS)
         parts.append(scratch.save(found, "part") if several else found)
     if not parts:
         empty = Block([], [])
         empty.index(np.zeros(0, np.int64))
-        parts = [rowed.mapInArrow(_searched(spark.sparkContext.broadcast(empty)), _HITS)]
+        parts = [rowed.mapInArrow(released(_searched(spark.sparkContext.broadcast(empty))), _HITS)]
     found = parts[0]
     if several:
         for p in parts[1:]:
@@ -271,7 +271,7 @@ def uncontaminated(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK
         block = next(_blocks(windows, block_windows), None) or Block([], [])
         block.index(_shingle_counts(texts, block))
         sent = spark.sparkContext.broadcast(block)
-        return docs.mapInArrow(_cleaned(sent, docs.columns.index("text")), docs.schema)
+        return docs.mapInArrow(released(_cleaned(sent, docs.columns.index("text"))), docs.schema)
     name = "_row_of_" + "_".join(docs.columns)
     rows = scratch.save(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
     hit = contamination(rows.select(F.col(name).alias("doc_id"), "text"), items, block_windows).where("contaminated")

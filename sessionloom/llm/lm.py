@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import SPACED, Words, sliced, utf8
+from .words import SPACED, Words, released, sliced, utf8
 
 CLASS_WORDS, CLASSES = 50, 40
 VOCABULARY = CLASS_WORDS * CLASSES
@@ -402,7 +402,7 @@ def _averaged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def count_words(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Lexicon]:
     """(word, n) over all texts as a table, and what is sent of it."""
-    counts = scratch.save(docs.select("text").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = scratch.save(docs.select("text").mapInArrow(released(_counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     # The least count whose words are few enough to send; found from how many words have each count.
     least, seen = 1, 0
@@ -429,7 +429,7 @@ def train(docs: DataFrame, lexicon: Lexicon, scratch: Scratch) -> Network:
     for _ in range(SEED_EPOCHS):
         trainer.learn(texts)
     sent = docs.sparkSession.sparkContext.broadcast((lexicon, network.flat))
-    models = scratch.save(docs.select("text").mapInArrow(_refined(sent), "part long, weight double, model binary"), "models")
+    models = scratch.save(docs.select("text").mapInArrow(released(_refined(sent)), "part long, weight double, model binary"), "models")
     n = models.count()
     while n > MEET:
         n = -(-n // MEET)
@@ -516,7 +516,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts, lexicon = count_words(training, scratch)
     network = train(training, lexicon, scratch)
     sent = docs.sparkSession.sparkContext.broadcast((lexicon, network.flat))
-    partial = scratch.save(rows.mapInArrow(_scored(sent), PARTIAL), "partial")
+    partial = scratch.save(rows.mapInArrow(released(_scored(sent)), PARTIAL), "partial")
     all_words, rare = (np.log10(n + SMOOTH * (v + 1)) for n, v in ((lexicon.total, lexicon.distinct), (lexicon.rare_total, lexicon.rare_distinct)))
     out = partial.drop("away").withColumn("train_tokens", F.lit(lexicon.total).cast("long"))
     if not lexicon.complete:

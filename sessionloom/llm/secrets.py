@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import runs, sliced, utf8
+from .words import released, runs, sliced, utf8
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_LENGTH = 20
@@ -157,12 +157,12 @@ def fit(docs: DataFrame, false_share: float = FALSE_SHARE) -> Model:
     """Characters and the threshold over all texts; what is gathered is one row per byte value or step."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counts = np.zeros(256)
-    for r in texts.mapInArrow(_histogram, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(released(_histogram), "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
         counts[r["c"]] = r["n"]
     counts = np.where(_TOKEN, counts + 1, 0)
     with np.errstate(divide="ignore"):
         model = Model(np.log(counts / counts.sum()))
-    rows = texts.mapInArrow(_tested(model), "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(released(_tested(model)), "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
     steps = {r["step"]: r["n"] for r in rows}
     tests = steps.pop(-1, 0)
     model.most, seen = -math.inf, 0
@@ -236,7 +236,7 @@ def find_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
     table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_found(model or fit(docs)), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    return rows.mapInArrow(released(_found(model or fit(docs))), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
 
 def without(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
@@ -269,4 +269,4 @@ def _redacted(model: Model, place: int, mark: str):
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", model: Model | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with every span in ``text`` replaced; texts without spans, null too, stay."""
-    return docs.mapInArrow(_redacted(model or fit(docs), docs.columns.index("text"), mark), docs.schema)
+    return docs.mapInArrow(released(_redacted(model or fit(docs), docs.columns.index("text"), mark)), docs.schema)

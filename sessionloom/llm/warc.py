@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .words import released
 
 #: Payloads of at least so many bytes may be revisits of an equal one.
 LEAST_SHARED = 100
@@ -165,14 +166,14 @@ def write_archives(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
         F.when(F.coalesce(revisit, F.lit(False)), "revisit").otherwise("response").alias("record_type"),
         F.when(F.coalesce(revisit, F.lit(False)), F.col("first")).alias("refers_to"),
     )
-    index = scratch.save(typed.mapInArrow(_writer(folder), INDEX), "index")
+    index = scratch.save(typed.mapInArrow(released(_writer(folder)), INDEX), "index")
     return index, folder
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records that ``index`` rows name, read from the archives in coalesced ranges."""
     order = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    return order.mapInArrow(_reader(folder), READ)
+    return order.mapInArrow(released(_reader(folder)), READ)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:

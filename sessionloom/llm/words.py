@@ -1,24 +1,29 @@
 """Words of Arrow string columns as 64-bit numbers, without a loop over words.
 
 Texts are cut at ASCII bytes only, and only A-Z is lower-cased, so that the
-UTF-8 bytes can be handled as they stand. A word's number is a polynomial in
-random byte values modulo 2**64, taken from running sums, then mixed. Two
-different words share a number with a chance of about 2**-64.
+UTF-8 bytes can be handled as they stand. A word's number is the sum of a
+pseudo-random value for each of its bytes at its place within the word
+(tabulation hashing), then mixed. Sums, unlike polynomials modulo 2**64, have no
+structured words that collide: any two different words share a number with a
+chance of about 2**-64.
 """
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are turned into numbers at once.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that are turned into numbers at once: they bound a worker's memory.
+SLICE_BYTES = 1 << 19
+#: Places within a word whose values are kept in a table.
+PLACES = 64
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _VALUES[65:91] = _VALUES[97:123]
 
@@ -29,7 +34,13 @@ SPACED[[32, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
-_powers: list[np.ndarray] = []
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,15 +53,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        _powers.clear()
-        for base in (_BASE, _INVERSE):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers.append(np.cumprod(steps, dtype=np.uint64))
-    return _powers
+def _value(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The value of a byte at a place within its word, from 0."""
+    return mix(_VALUES[byte] + place.astype(np.uint64) * _STEP)
+
+
+_TABLE = _value(*(x.ravel() for x in np.indices((PLACES, 256))))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,12 +89,17 @@ class Words:
     def __init__(self, data: np.ndarray, at: np.ndarray, kept: np.ndarray):
         base, end = int(at[0]), int(at[-1])
         b, at = data[base:end], at - base
-        n = len(b)
-        self.starts, self.ends = runs(kept[b], at)
-        power, inverse = _power_tables(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[b] * power[:n], out=sums[1:])
-        self.numbers = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        inside = kept[b]
+        self.starts, self.ends = runs(inside, at)
+        letters, lengths = b[inside], self.ends - self.starts
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(len(letters), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
+        values = _TABLE[(np.minimum(place, PLACES - 1) << 8) | letters]
+        far = np.flatnonzero(place >= PLACES)
+        values[far] = _value(place[far], letters[far])
+        sums = np.zeros(len(letters) + 1, np.uint64)
+        np.cumsum(values, out=sums[1:])
+        self.numbers = mix(sums[first + lengths] - sums[first])
         self.rows = np.searchsorted(self.starts, at)
 
 
@@ -102,6 +115,28 @@ def grams(numbers: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def released(work):
+    """A function over Arrow batches that gives its memory back to the system at its end.
+
+    Python workers serve many tasks; what one has freed would stay with them.
+    """
+    @functools.wraps(work)
+    def run(*args):
+        try:
+            yield from work(*args)
+        finally:
+            _give_back()
+
+    return run
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def sliced(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
     """Row ranges of about SLICE_BYTES; a longer text stands alone."""
     lo, n = 0, len(at) - 1
