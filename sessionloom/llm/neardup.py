@@ -1,13 +1,15 @@
 """Near-duplicate groups: MinHash, banding, verification, star components.
 
-1. Every document becomes the set of its distinct five-word shingles, and the
-   set becomes HASHES minima of universal hash functions. BANDS groups of ROWS
+1. Every row becomes the set of its distinct five-word shingles, and the set
+   becomes HASHES minima of universal hash functions. BANDS groups of ROWS
    minima are bucket keys. At a similarity of 0.75 a pair shares no bucket with
    a chance of (1 - 0.75**5)**40 = 2e-5, at 0.85 of 3e-11.
-2. Documents with equal sets form a class first, and only its least id goes on:
-   copies never multiply.
+2. Rows with equal sets form a class, and every class is one node: copies never
+   multiply. A doc_id that came with several sets ties their nodes together.
 3. Each bucket links its members to its least member (a star). Candidate links
-   are checked on signatures, then confirmed on the full sets.
+   are checked on signatures, then confirmed on the full sets: the partners of
+   a node meet it in blocks of bounded size, so a node with very many partners
+   is spread over tasks, and its text goes to each block once.
 4. Components of the confirmed links come from alternating stars.
 5. A bucket whose other members still lie in two components is not finished.
    Its members are dealt into blocks of bounded size, and blocks of those
@@ -15,6 +17,9 @@
    from different components are compared in the first bucket they share, on
    full sets, and only links come out. So no link that a bucket holds is lost,
    and pairs within a component are never listed.
+
+Joins of tables that grow with the corpus ask for a sort-merge plan, so that
+small and large inputs take the same way.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .scratch import Scratch
-from .words import mix, shingle_sets
+from .words import mix, released, shingle_sets
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
@@ -39,7 +44,7 @@ CHECKED = 128
 PERCENT = 75
 #: Below this share of equal minima a candidate is dropped: 5 standard deviations under 0.75.
 SIGNATURE_LEAST = 0.55
-#: Members and shingles of a block of an unfinished bucket, on average at most.
+#: Members of a block of a node's partners, and members and shingles of one of an unfinished bucket, on average at most.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 96, 30_000
 #: Bits of the filter that keeps most texts without candidates out of a shuffle: 4 MB at most.
 FILTER_BITS = 1 << 25
@@ -51,6 +56,7 @@ _BLOCK = 512
 
 SKETCH = T.StructType([
     T.StructField("doc_id", T.LongType()),
+    T.StructField("text_hash", T.LongType()),
     T.StructField("n_shingles", T.LongType()),
     T.StructField("class_key", T.BinaryType()),
     T.StructField("bands", T.ArrayType(T.LongType())),
@@ -78,10 +84,11 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return out
 
 
+@released
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, keys, sketches, have = [], [], [], []
-        for i, s in enumerate(shingle_sets(batch.column(1))):
+        for i, s in enumerate(shingle_sets(batch.column(2))):
             counts.append(len(s))
             if len(s):
                 have.append(i)
@@ -96,7 +103,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j, i in enumerate(have):
                 bands[i], signatures[i] = b[j], low[j].tobytes()
         yield pa.record_batch([
-            batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()),
+            batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()),
             pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary()),
         ], names=SKETCH.names)
 
@@ -107,6 +114,7 @@ def _set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+@released
 def _signatures_agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -116,21 +124,19 @@ def _signatures_agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _sets_agree(percent: int):
+    @released
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        block, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            # Links come sorted by u, so its set is built once for a run of them.
-            fresh = [i for i in range(len(u)) if u[i] != (u[i - 1] if i else last[0])]
-            left = shingle_sets(batch.column(2).take(pa.array(fresh, pa.int64())))
+            u, part, is_u, node = (batch.column(i).to_pylist() for i in range(4))
             keep = []
-            for i, (x, b) in enumerate(zip(u, shingle_sets(batch.column(3)), strict=True)):
-                if x != last[0]:
-                    last = (x, next(left))
-                a = last[1]
-                if _linked(a, b, percent):
+            # Rows come sorted: a block's own node stands before its partners.
+            for i, x in enumerate(shingle_sets(batch.column(4))):
+                if is_u[i]:
+                    block, own = (u[i], part[i]), x
+                elif block == (u[i], part[i]) and _linked(own, x, percent):
                     keep.append(i)
-            yield pa.record_batch([batch.column(j).take(pa.array(keep, pa.int64())) for j in (0, 1)], names=["u", "v"])
+            yield pa.record_batch([pa.array([x[i] for i in keep], pa.int64()) for x in (u, node)], names=["u", "v"])
 
     return confirm
 
@@ -139,11 +145,12 @@ def _linked_blocks(percent: int):
     """Blocks of probes and of members -> links between different components."""
 
     def unpack(rows: list[dict]) -> tuple:
-        ids, roots, main = ([r[k] for r in rows] for k in ("doc_id", "root", "is_main"))
+        ids, roots, main = ([r[k] for r in rows] for k in ("node", "root", "is_main"))
         bands = np.array([r["bands"] for r in rows], np.int64)
         low = np.frombuffer(b"".join(r["signature"] for r in rows), np.uint16).reshape(-1, CHECKED)
         return np.array(ids), roots, np.array(main), bands, low, [np.frombuffer(r["shingles"], np.uint64) for r in rows]
 
+    @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
@@ -183,34 +190,36 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+@released
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
-        yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+        yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
-def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """One text for each of ``ids`` (doc_id).
+def _with_texts(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``wanted`` (node, more) with the text of each node.
 
-    A bit filter of bounded size over the ids goes to all tasks first; what it
-    lets through by chance the join takes out. With very many ids it lets all
-    through, and the join does the work alone.
+    A bit filter of bounded size over the nodes' doc_ids goes to all tasks first;
+    what it lets through by chance the join takes out. With very many ids it lets
+    all through, and the join does the work alone.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    page, bit = (place / 32768).cast("int"), (place % 32768).cast("int")
-    bits = ids.select(page.alias("page"), bit.cast("long").alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    page = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    page, bit = (page / 32768).cast("int"), (page % 32768).cast("int")
+    placed = wanted.join(nodes.select("node", "doc_id", "text_hash"), "node")
+    bits = placed.select(page.alias("page"), bit.cast("long").alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
     byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    set_ = F.expr("shiftright(byte, bit % 8) & 1 = 1")
     some = (
         texts.where("doc_id is not null").withColumn("page", page).withColumn("bit", bit).join(F.broadcast(bits), "page")
-        .withColumn("byte", byte).where(set_).select("doc_id", "text")
+        .withColumn("byte", byte).where(F.expr("shiftright(byte, bit % 8) & 1 = 1")).select("doc_id", "text_hash", "text")
     )
-    return some.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Repeated rows meet within their own task first. An inner join stays above the filter; a semi join would be moved below it.
+    return placed.join(some.dropDuplicates(["doc_id", "text_hash"]), ["doc_id", "text_hash"]).drop("doc_id", "text_hash")
 
 
-def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of the candidate pairs (u, v) whose sizes and signatures agree."""
-    sig = reps.select(F.col("doc_id").alias("id"), "signature", "n_shingles")
+    sig = nodes.select(F.col("node").alias("id"), "signature", "n_shingles").hint("merge")
     return (
         pairs.join(sig.select(F.col("id").alias("u"), F.col("signature").alias("a"), F.col("n_shingles").alias("na")), "u")
         .join(sig.select(F.col("id").alias("v"), F.col("signature").alias("b"), F.col("n_shingles").alias("nb")), "v")
@@ -220,16 +229,17 @@ def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs whose full sets agree. ``pairs`` is a table."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    held = _texts_of(ids, texts)
-    return (
-        pairs.join(held.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
-        .join(held.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
-        .select("u", "v", "tu", "tv")
-        .mapInArrow(_sets_agree(percent), "u long, v long")
-    )
+def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (u, v) whose full sets agree. ``pairs`` is a table."""
+    many = pairs.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_MEMBERS)
+    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK_MEMBERS), F.lit(1)).cast("long")
+    dealt = pairs.join(many, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), blocks).cast("int").alias("block"))
+    dealt = scratch.save(dealt, "dealt")
+    wanted = dealt.select("u", "block", F.lit(False).alias("is_u"), F.col("v").alias("node")).union(
+        dealt.select("u", "block").distinct().select("u", "block", F.lit(True), F.col("u")))
+    met = _with_texts(scratch.save(wanted, "wanted"), nodes, texts).select("u", "block", "is_u", "node", "text")
+    met = met.repartition("u", "block").sortWithinPartitions("u", "block", F.desc("is_u"))
+    return scratch.save(met.mapInArrow(_sets_agree(percent), "u long, v long"), "links")
 
 
 def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
@@ -239,88 +249,94 @@ def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
 
+def _unfinished(shared: DataFrame, nodes: DataFrame, texts: DataFrame, stars: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Links between members of buckets that lie in several components; None where there is no such bucket."""
+    roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    pivots = stars.select(F.col("u").alias("pivot"), F.col("v").alias("main"))
+    others = scratch.save(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "others")
+    mixed = others.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+    rest = (
+        others.join(mixed, "bucket").join(pivots, "pivot", "left")
+        .select("bucket", "node", "root", (F.col("root") == F.coalesce("main", "pivot")).alias("is_main"))
+    )
+    rest = scratch.save(rest, "rest")
+    scratch.drop(others)
+    if rest.isEmpty():
+        return None
+    ids = scratch.save(rest.select("node").distinct(), "ids")
+    sets = _with_texts(ids, nodes, texts).select("node", "text").mapInArrow(_shingled, "node long, shingles binary")
+    sets = scratch.save(nodes.select("node", "n_shingles", "bands", "signature").join(sets, "node"), "sets")
+    sizes = rest.join(sets.select("node", "n_shingles"), "node").groupBy("bucket").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("n"))
+    sizes = sizes.select("bucket", F.ceil(F.greatest(F.col("weight") / BLOCK_SHINGLES, F.col("n") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    packed = scratch.save(
+        dealt.join(sets, "node").groupBy("bucket", "block")
+        .agg(F.collect_list(F.struct("node", "root", "is_main", "bands", "signature", "shingles")).alias("members")), "packed")
+    scratch.drop(rest, ids, sets)
+    probes = packed.select("bucket", F.filter("members", lambda m: ~m["is_main"]).alias("probes")).where("size(probes) > 0")
+    links = scratch.save(probes.join(packed, "bucket").select("bucket", "probes", "members").mapInArrow(_linked_blocks(percent), "u long, v long"), "more")
+    scratch.drop(packed)
+    return links
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id long, text string).
 
     ``component_id`` is the least doc_id reachable over links of at least
     ``percent`` % similarity; ``kept`` is true for that document. Null and
     word-less texts have an empty set and stand alone. A null doc_id stands
-    alone too, with a null component_id, and is kept. Repeated rows of one
-    doc_id are one document and get equal results. Other columns are ignored;
-    an empty table gives an empty result.
+    alone too, with a null component_id, and is kept. Rows of one doc_id are
+    one document: it has the links of all its texts, and its rows get equal
+    components. Other columns are ignored; an empty table gives an empty result.
     """
-    spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(docs.sparkSession, "neardup")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     sketches = scratch.save(texts.mapInArrow(_sketch, SKETCH), "sketches")
 
+    # A node's number is fixed by the table it is written to. Rows of a class have equal sets, so any one's will do.
     real = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.save(real.groupBy("class_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = scratch.save(
-        real.join(classes.withColumnRenamed("rep", "doc_id"), ["class_key", "doc_id"]).dropDuplicates(["class_key", "doc_id"]),
-        "reps",
+    first = real.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "signature")])
+    nodes = scratch.save(first.select(F.monotonically_increasing_id().alias("node"), "class_key", "at.doc_id", "at.text_hash", "n_shingles", "bands", "signature"), "nodes")
+
+    # The texts of a doc_id are one document: their classes are tied, and rows without words go with them.
+    several = sketches.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("class_key").alias("a"), F.max("class_key").alias("b"), F.count("class_key").alias("c"), F.count("*").alias("n")).where("a <> b or (c > 0 and c < n)")
+    several = scratch.save(several.select("doc_id", F.col("a").alias("main_key")), "several")
+    known = nodes.select("class_key", "node")
+    tied = (
+        real.join(several, "doc_id").where("class_key <> main_key").select("class_key", "main_key").distinct()
+        .join(known.toDF("class_key", "u"), "class_key").join(known.toDF("main_key", "v"), "main_key").select("u", "v")
     )
 
-    members = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = scratch.save(members.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").drop("last"), "buckets")
-    shared = scratch.save(members.join(buckets, "bucket"), "shared")
-    scratch.drop(buckets)
-
-    # One doc_id may have come with several texts: its classes are one node.
-    tied = real.join(classes, "class_key").where("doc_id <> rep").groupBy("doc_id").agg(F.min("class_key").alias("a"), F.max("class_key").alias("b")).where("a <> b").select("doc_id")
-    tied = real.join(tied, "doc_id", "left_semi").join(classes, "class_key").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).distinct()
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("bucket", "pivot")
+    shared = scratch.save(members.join(buckets.hint("merge"), "bucket").where("node <> pivot"), "shared")
 
-    first = shared.where("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct()
-    near = scratch.save(_near(first, reps, percent), "near")
-    # One pair for each document first: most others then lie within a component
+    near = scratch.save(_near(shared.select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), nodes, percent), "near")
+    # One pair for each node first: most others then lie within a component
     # and their texts need not be brought together.
     one = scratch.save(near.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "one")
-    links = scratch.save(_confirmed(one, texts, percent), "links")
-    stars = components(links.union(tied), scratch)
-    scratch.drop(one, links)
+    stars = components(_confirmed(one, nodes, texts, percent, scratch).union(tied), scratch)
     left = scratch.save(_apart(near, stars), "left")
     if not left.isEmpty():
-        links = scratch.save(_confirmed(left, texts, percent), "links")
-        old, stars = stars, components(stars.union(links), scratch)
-        scratch.drop(old, links)
-    scratch.drop(near, left)
-
-    # Buckets whose members besides the pivot, which all have met, lie in several components.
-    roots = stars.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
-    pivots = stars.select(F.col("u").alias("pivot"), F.col("v").alias("main"))
-    others = shared.where("doc_id <> pivot").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    others = scratch.save(others, "others")
-    scratch.drop(shared)
-    mixed = others.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 <> r1")
-    rest = (
-        others.join(mixed.select("bucket", "members"), "bucket").join(pivots, "pivot", "left")
-        .select("bucket", "doc_id", "root", "members", (F.col("root") == F.coalesce("main", "pivot")).alias("is_main"))
-    )
-    rest = scratch.save(rest, "rest")
-    scratch.drop(others)
-    if not rest.isEmpty():
-        ids = scratch.save(rest.select("doc_id").distinct(), "ids")
-        sets = reps.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "bands", "signature").dropDuplicates(["doc_id"])
-        sets = scratch.save(sets.join(_texts_of(ids, texts).mapInArrow(_shingled, "doc_id long, shingles binary"), "doc_id"), "sets")
-        sizes = rest.join(sets.select("doc_id", "n_shingles"), "doc_id").groupBy("bucket").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("n"))
-        sizes = sizes.select("bucket", F.ceil(F.greatest(F.col("weight") / BLOCK_SHINGLES, F.col("n") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
-        dealt = rest.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-        packed = scratch.save(
-            dealt.join(sets, "doc_id").groupBy("bucket", "block")
-            .agg(F.collect_list(F.struct("doc_id", "root", "is_main", "bands", "signature", "shingles")).alias("members")), "packed")
-        probes = packed.select("bucket", F.filter("members", lambda m: ~m["is_main"]).alias("probes")).where("size(probes) > 0")
-        pairs = probes.join(packed, "bucket").select("bucket", "probes", "members")
-        links = scratch.save(pairs.mapInArrow(_linked_blocks(percent), "u long, v long"), "more")
-        old, stars = stars, components(stars.union(links), scratch)
-        scratch.drop(old, ids, sets, packed, links)
-
-    named = scratch.save(
-        classes.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
-        .select("class_key", F.coalesce("root", "rep").alias("root")), "named")
-    scratch.drop(rest, stars, classes, reps)
+        stars = components(stars.union(_confirmed(left, nodes, texts, percent, scratch)), scratch)
+    scratch.drop(one, near, left)
+    more = _unfinished(shared, nodes, texts, stars, percent, scratch)
+    if more is not None:
+        stars = components(stars.union(more), scratch)
+
+    rooted = known.join(stars.toDF("node", "root"), "node", "left").select("class_key", F.coalesce("root", "node").alias("root"))
+    owners = nodes.select("class_key", "doc_id").join(rooted, "class_key")
+    least = owners.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = scratch.save(rooted.join(least, "root").select("class_key", "component_id"), "named")
+    scratch.keep_only(sketches, several, named)
+    rows = sketches.select("doc_id", "n_shingles", "class_key")
+    if not several.isEmpty():
+        rows = rows.join(several, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_key", "main_key")).alias("class_key"))
     return (
-        sketches.select("doc_id", "n_shingles", "class_key").join(named, "class_key", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+        rows.join(named, "class_key", "left")
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
