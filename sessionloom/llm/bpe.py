@@ -2,12 +2,13 @@
 
 Chunk bounds are where a rolling hash of the last bytes hits a pattern, so
 passages that documents share are cut alike wherever they stand. A worker
-encodes each chunk once and keeps the result by the chunk's hash, in a bounded
-store. What a chunk's ends hold depends on its neighbours: only what lies
-between its first and its last white space, which no token spans, is taken
-over. At a join the left tail and the right head are put together and encoded
-anew, over further chunks until white space on both sides, from where on the
-encodings agree exactly.
+encodes each chunk once and keeps the result by the chunk's bytes, in a bounded
+store. What a chunk's ends hold depends on its neighbours, so every join is
+repaired: the last piece of the left and the first of the right chunk are
+encoded anew together, and the stretch grows by a piece to either side until
+its outer pieces are those that the chunks had by themselves. The split into
+pieces reads from left to right and looks no further than a piece's end, so
+from there on both agree exactly.
 
 Misses are split by the tokenizer's own pattern and encoded word by word, with
 a bounded store of words. Texts outside the set of characters for which this
@@ -19,20 +20,21 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import _VALUES, _power_tables, mix, sliced, utf8
+from .words import _VALUES, mix, released, sliced, utf8
 
 #: Bytes that the rolling hash sees.
 SEEN = 16
 #: A bound every so many bytes on average; at most so many between two.
 MEAN, MOST = 256, 4096
-#: Entries of either generation of the stores of words and of chunks.
-KEPT_WORDS, KEPT_CHUNKS = 80_000, 6_000
+#: Entries of the stores of words and of chunks.
+KEPT_WORDS, KEPT_CHUNKS = 150_000, 10_000
 
 # The split pattern of the vocabulary file, written out for Latin letters.
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ňŊ-ž"
@@ -40,28 +42,24 @@ _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\x20\t\n\r0
 #: Characters whose lower case, normal form and class are known to be those of the library.
 _SURE = re.compile("[\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-įı-ňŊ-ž‐-‧‰-⁞₠-⃀]*")
 _SPACES = "\t\n\r "
+#: Of the rolling hash.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Store(dict):
-    """A mapping of bounded size: what was not used for two generations goes."""
+    """A mapping of bounded size: when it is full the older half goes, in the order of entry."""
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most = most
 
     def put(self, key, value):
         if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
+            for old in list(islice(self, self.most // 2)):
+                del self[old]
         self[key] = value
         return value
 
-    def find(self, key):
-        got = self.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
-        return got
-
 
 def _byte_letters() -> dict[int, str]:
     """How byte-level vocabularies write bytes: printable Latin-1 as itself, all others from U+0100 on."""
@@ -74,33 +72,37 @@ _LETTER_OF = _byte_letters()
 
 
 class Words(Store):
-    """Word -> (ids, tokens), each joined by a space; a word is one piece of the split, lower-cased."""
+    """Word -> (ids, tokens, word), the first two joined by a space; a word is one piece of the split, lower-cased."""
 
     def __init__(self, model):
         super().__init__(KEPT_WORDS)
         self.model = model
 
     def __missing__(self, word):
-        got = self.old.get(word)
-        if got is None:
-            written = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTER_OF)
-            tokens = self.model.tokenize(written)
-            got = (" ".join([str(t.id) for t in tokens]), " ".join([t.value for t in tokens]))
-        return self.put(word, got)
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTER_OF)
+        tokens = self.model.tokenize(written)
+        if len(tokens) == 1:
+            return self.put(word, (str(tokens[0].id), tokens[0].value, word))
+        return self.put(word, (" ".join([str(t.id) for t in tokens]), " ".join([t.value for t in tokens]), word))
 
 
-def chunk_bounds(b: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the chunks of UTF-8 bytes, from 0 to their number, and the chunks' hashes.
+def rolling(b: np.ndarray) -> np.ndarray:
+    """A number for every SEEN bytes in a row, put together from halves."""
+    out, step, width = _VALUES[b], np.array([_BASE]), 1
+    while width < SEEN:
+        out = out[:-width] * step + out[width:] if len(out) > width else out[:0]
+        step, width = step * step, 2 * width
+    return mix(out)
+
+
+def chunk_bounds(b: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Bounds of the chunks of UTF-8 bytes, from 0 to their number.
 
     Texts start at ``at`` (last: the end) and are cut as each would be alone.
     """
     n = len(b)
     at = np.array([0, n]) if at is None else at
-    power, inverse = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[b] * power[:n], out=sums[1:])
-    seen = (sums[SEEN:] - sums[: n + 1 - SEEN]) * inverse[: n + 1 - SEEN] if n >= SEEN else np.zeros(0, np.uint64)
-    cuts = np.flatnonzero(mix(seen) % np.uint64(MEAN) == 0) + SEEN
+    cuts = np.flatnonzero(rolling(b) % np.uint64(MEAN) == 0) + SEEN
     # What the hash sees must lie within one text.
     cuts = cuts[cuts - at[np.searchsorted(at, cuts, side="left") - 1] >= SEEN]
     cuts = np.unique(np.concatenate([at, cuts]))
@@ -111,10 +113,7 @@ def chunk_bounds(b: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarra
     padded = np.append(b, np.uint8(0))
     while len(inside := np.flatnonzero((padded[cuts] & 0xC0) == 0x80)):
         cuts[inside] += 1
-    cuts = np.unique(cuts)
-    # The hash is over bytes with A-Z as a-z; encodings are of lower case too.
-    hashes = mix((sums[cuts[1:]] - sums[cuts[:-1]]) * inverse[cuts[:-1]]) ^ np.diff(cuts).astype(np.uint64)
-    return cuts, hashes
+    return np.unique(cuts)
 
 
 class Codec:
@@ -133,23 +132,16 @@ class Codec:
     def sure(self, text: str) -> bool:
         return (text.isascii() and text.isprintable() or _SURE.fullmatch(text) is not None) and not any(s in text for s in self.specials)
 
-    def pieces(self, text: str) -> list[tuple[str, str]]:
-        words = self.words
-        return [words[w] for w in _SPLIT.findall(text.lower())]
+    def pieces(self, text: str) -> list[tuple[str, str, str]]:
+        """The encoded pieces of a lower-cased text."""
+        return list(map(self.words.__getitem__, _SPLIT.findall(text)))
 
-    def chunk(self, key: int, text: bytes) -> tuple[str, list, str]:
-        """Head, the encoding between the outer white spaces, and tail; without white space all is head."""
-        got = self.chunks.find(key)
+    def chunk(self, raw: bytes) -> tuple[int, list]:
+        """Characters and encoded pieces of a chunk by itself."""
+        got = self.chunks.get(raw)
         if got is None:
-            s = text.decode()
-            a = next((i for i, c in enumerate(s) if c in _SPACES), None)
-            if a is None:
-                got = (s, None, "")
-            else:
-                z = max(s.rfind(c) for c in _SPACES)
-                inner = self.pieces(s[a:z])
-                got = (s[:a], (" ".join([x for x, _ in inner]), " ".join([y for _, y in inner])), s[z:])
-            self.chunks.put(key, got)
+            s = raw.decode().lower()
+            got = self.chunks.put(raw, (len(s), self.pieces(s)))
         return got
 
     def encode(self, text: str) -> tuple[str, str]:
@@ -158,50 +150,63 @@ class Codec:
 
     def encode_all(self, b: np.ndarray, at: np.ndarray) -> Iterator[tuple[str, str]]:
         """``encode`` of each of the texts that start at ``at``."""
-        cuts, hashes = chunk_bounds(b, at)
+        cuts = chunk_bounds(b, at)
         first, raw = np.searchsorted(cuts, at).tolist(), b.tobytes()
-        cuts, keys = cuts.tolist(), hashes.tolist()
+        cuts = cuts.tolist()
         for i in range(len(at) - 1):
             text = raw[at[i] : at[i + 1]].decode()
             if self.sure(text):
-                yield self._joined(raw, cuts, keys, first[i], first[i + 1])
+                done = self._joined(text.lower(), [raw[x:y] for x, y in zip(cuts[first[i] : first[i + 1]], cuts[first[i] + 1 : first[i + 1] + 1], strict=True)])
+                ids, tokens, _ = zip(*done) if done else ((), (), ())
+                yield " ".join(ids), " ".join(tokens)
             else:
                 e = self.tokenizer.encode(text, add_special_tokens=False)
                 yield " ".join(map(str, e.ids)), self.tokenizer.decode(e.ids, skip_special_tokens=False)
 
-    def _joined(self, raw: bytes, cuts: list[int], keys: list[int], lo: int, hi: int) -> tuple[str, str]:
-        """The chunks ``lo`` to ``hi`` one after the other, with what their joins hold encoded anew."""
-        ids, tokens, open_ = [], [], ""
-        for k in range(lo, hi):
-            head, inner, tail = self.chunk(keys[k], raw[cuts[k] : cuts[k + 1]])
-            open_ += head
-            if inner is None:
-                continue
-            for x, y in self.pieces(open_):
-                ids.append(x)
-                tokens.append(y)
-            if inner[0]:
-                ids.append(inner[0])
-                tokens.append(inner[1])
-            open_ = tail
-        for x, y in self.pieces(open_):
-            ids.append(x)
-            tokens.append(y)
-        return " ".join(ids), " ".join(tokens)
-
-
-_codecs: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    def _joined(self, low: str, chunks: list[bytes]) -> list[tuple[str, str, str]]:
+        """The encoded pieces of a lower-cased text from those of its chunks."""
+        done: list[tuple[str, str, str]] = []
+        cut = 0
+        for raw in chunks:
+            n, own = self.chunk(raw)
+            # White space on either side of the join: no piece spans it.
+            if not cut or not done or low[cut - 1] in _SPACES or low[cut] in _SPACES:
+                done += own
+            else:
+                left, right, new = self._repaired(low, cut, done, own)
+                del done[len(done) - left :]
+                done += new
+                done += own[right:]
+            cut += n
+        return done
+
+    def _repaired(self, low: str, cut: int, done: list, own: list) -> tuple[int, int, list]:
+        """How many pieces to either side of ``cut`` are encoded anew, and what takes their place."""
+        left = right = 0
+        start = end = cut
+        grow_left = grow_right = True
+        while True:
+            if grow_left:
+                left += 1
+                while low[start - 1] in _SPACES:
+                    start -= 1
+                start -= len(done[-left][2])
+            if grow_right:
+                while low[end] in _SPACES:
+                    end += 1
+                end += len(own[right][2])
+                right += 1
+            new = self.pieces(low[start:end])
+            grow_left = left < len(done) and new[0][2] != done[-left][2]
+            grow_right = right < len(own) and new[-1][2] != own[right - 1][2]
+            if not grow_left and not grow_right:
+                return left, right, new
 
 
 def _encoded(path: str, full: bool):
+    @released
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = Codec(path)
         for batch in batches:
             data, at = utf8(batch.column(1))
             for lo, hi in sliced(data, at):

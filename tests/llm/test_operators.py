@@ -149,6 +149,40 @@ def test_near_duplicates(spark, awkward, nothing, monkeypatch):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("backwards", [False, True])
+def test_texts_of_one_id_are_one_document(spark, backwards):
+    a, b, c = prose(60, 71), prose(60, 72), prose(60, 73)
+    rows = [(1, a), (2, a + " tail"), (2, None), (3, b), (4, b + " x"), (4, c), (5, c + " y"), (6, prose(60, 74)), (2, a + " tail"), (0, ""), (0, c + " z w")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows[::-1] if backwards else rows, "doc_id long, text string")).collect()
+    want = brute_groups(rows)
+    assert len(got) == len(rows) and want[5] == 0 and want[2] == 1
+    assert all(r["component_id"] == want[r["doc_id"]] for r in got)
+
+
+def thue_morse(x, y, n=10):
+    word, other = x, y
+    for _ in range(n):
+        word, other = word + other, other + word
+    return word, other
+
+
+def test_structured_words_do_not_collide(spark):
+    """Words on which every polynomial modulo 2**64 agrees."""
+    for x, y in itertools.combinations("abno1", 2):
+        column = pa.array(thue_morse(x, y))
+        data, at = words.utf8(column)
+        for kept in (words.SPACED, words.ALNUM):
+            assert len(set(words.Words(data, at, kept).numbers.tolist())) == 2
+    rest = prose(3, 8)
+    texts = [w + " " + rest for w in thue_morse("n", "o")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in neardup.near_duplicates(docs).collect()} == {0, 1}
+    items = spark.createDataFrame([("a", texts[0])], "item_id string, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontam.contamination(docs, items).collect()} == {0: 4, 1: 0}
+    known = {r["doc_id"]: r["n_known"] for r in lm.score_documents(docs.union(docs.selectExpr("doc_id + 8", "text"))).collect()}
+    assert known[0] and known[1]
+
+
 def test_minima_estimate_likeness():
     a = np.random.default_rng(1).integers(0, 1 << 63, 4000, dtype=np.uint64)
     x, y = a[:3500], a[500:]
@@ -382,14 +416,33 @@ def test_bpe(spark, awkward, nothing):
 
 def test_chunks_are_content_defined():
     a, b = prose(2000, 1).encode(), prose(50, 2).encode() + b" " + prose(2000, 1).encode()
-    (cuts, x), (_, y) = (bpe.chunk_bounds(np.frombuffer(t, np.uint8)) for t in (a, b))
-    assert cuts[0] == 0 and cuts[-1] == len(a) and len(set(x.tolist()) & set(y.tolist())) >= len(x) - 2
+    chunks = lambda t: [t[i:j] for i, j in itertools.pairwise(bpe.chunk_bounds(np.frombuffer(t, np.uint8)).tolist())]
+    x, y = chunks(a), chunks(b)
+    assert b"".join(x) == a and len(set(x) & set(y)) >= len(set(x)) - 2
     for n in range(1, 40):
         raw = ("é" * n).encode()
-        cuts, _ = bpe.chunk_bounds(np.frombuffer(raw, np.uint8))
+        cuts = bpe.chunk_bounds(np.frombuffer(raw, np.uint8))
         assert "".join(raw[i:j].decode() for i, j in itertools.pairwise(cuts)) == "é" * n
 
 
+def test_joins_are_repaired_until_they_agree():
+    """Chunks cut at random places, within words and contractions too; and words on which polynomials agree."""
+    import public_tokenizers
+
+    codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    encode = lambda t: " ".join(map(str, codec.tokenizer.encode(t, add_special_tokens=False).ids))
+    r = random.Random(3)
+    parts = ["'", "'l", "ll", "re", "we", " ", "  ", "1", "12", "!", "?!", "ab", "c", "é", "E", "\n", "'s", "s", "t", "'t"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 30)))
+        cuts = sorted({0, len(text)} | {r.randrange(len(text) + 1) for _ in range(8)})
+        done = codec._joined(text.lower(), [text[i:j].encode() for i, j in itertools.pairwise(cuts)])
+        assert " ".join(x for x, _, _ in done) == encode(text), (text, cuts)
+    for x, y in itertools.combinations("abno", 2):
+        for word in thue_morse(x, y):
+            assert codec.encode(f" {word} ")[0] == encode(f" {word} ")
+
+
 # --- 8 ---------------------------------------------------------------------------
 
 @pytest.mark.parametrize("sent", [lm.SENT_WORDS, 20])
