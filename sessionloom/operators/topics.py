@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import prefix, topic_slug
+from ..scratch import Scratch
 
 
-def aliased(trajectories: DataFrame, order: list) -> DataFrame:
+def aliased(trajectories: DataFrame, order: list, scratch: Scratch | None = None) -> DataFrame:
     """Trajectories with ``pos``, their place in ``order``, and ``alias`` s0, s1, ….
 
     Places are counted in two steps, by range of the order and then within it,
-    so that no task sorts all rows.
+    so that no task sorts all rows. The sorted rows are written down first:
+    range bounds are sampled and partitions merged anew whenever a plan runs, so
+    only a table gives both steps the same partitions.
     """
+    scratch = scratch or Scratch(trajectories.sparkSession, "aliased")
     spread = trajectories.repartitionByRange(*order).sortWithinPartitions(*order)
     # ids grow with the partition and, from 0, within it.
-    spread = spread.withColumn("_mono", F.monotonically_increasing_id())
+    spread = scratch.save(spread.withColumn("_mono", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_mono", 33)
     counts = spread.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # A row for each partition of the table.
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     placed = spread.withColumn("_part", part).join(F.broadcast(before), "_part")
     pos = F.col("_before") + F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
@@ -95,14 +100,22 @@ def topic_members(trajectories: DataFrame, clusters: DataFrame) -> DataFrame:
     return trajectories.join(ids, "session_id")
 
 
-def topic_inputs(members: DataFrame) -> DataFrame:
+def topic_inputs(members: DataFrame, most_chars: int | None = None) -> DataFrame:
     """``good`` and ``bad`` texts of every topic: of successes, and of failures and partial ones, in order of ``pos``.
 
-    Topics without any labelled session are left out.
+    Topics without any labelled session are left out. With ``most_chars`` the
+    texts of either kind end after the first one that reaches so many
+    characters: the prompt they are for is cut there in any case, so a topic of
+    very many sessions never meets whole.
     """
+    good, bad = F.col("label") == "success", F.col("label").isin("failure", "partial")
+    rows = members.withColumn("good", F.when(good, True).when(bad, False)).where("good is not null").withColumn("t", trajectory_text())
+    if most_chars:
+        before = Window.partitionBy("topic_id", "good").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_before", F.coalesce(F.sum(F.length("t") + 5).over(before), F.lit(0))).where(F.col("_before") <= most_chars)
+
     def text(keep: Column) -> Column:
-        rows = F.array_sort(F.collect_list(F.when(keep, F.struct("pos", trajectory_text().alias("t")))))
-        return F.array_join(F.transform(rows, lambda x: x["t"]), "\n---\n")
+        found = F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "t"))))
+        return F.array_join(F.transform(found, lambda x: x["t"]), "\n---\n")
 
-    good, bad = F.col("label") == "success", F.col("label").isin("failure", "partial")
-    return members.groupBy("topic_id").agg(text(good).alias("good"), text(bad).alias("bad"), F.count_if(good | bad).alias("labelled")).where("labelled > 0").drop("labelled")
+    return rows.groupBy("topic_id").agg(text(F.col("good")).alias("good"), text(~F.col("good")).alias("bad"))
