@@ -6,6 +6,7 @@ Character automata that Spark has no expression for: Arrow-batched UDFs.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: What decides where a JSON text may end: strings (the last may be unfinished), brackets and commas.
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*"?|[][{},]', re.S)
+_CLOSED_BY = {"{": "}", "[": "]"}
+_FENCED = re.compile(r"^[^\S\n]*```[^\n]*\n(.*?)(?:^[^\S\n]*```[^\n]*$|\Z)", re.M | re.S)
+
+
 def _parsed(text: str):
     try:
         return True, json.loads(text)
@@ -20,74 +27,61 @@ def _parsed(text: str):
         return False, None
 
 
-def open_brackets(text: str) -> str:
-    """Brackets outside strings that nothing closes, outermost first."""
-    open_, quoted, skip = [], False, False
-    pair = {"}": "{", "]": "["}
-    for c in text:
-        if skip:
-            skip = False
-        elif c == "\\":
-            skip = True
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted and c in "{[":
-            open_.append(c)
-        elif not quoted and c in pair and open_[-1:] == [pair[c]]:
-            open_.pop()
-    return "".join(open_)
+def endings(text: str) -> tuple[list[tuple[int, str]], str]:
+    """Places where a cut-off JSON text may end, each with what closes it there; and what closes the whole text.
+
+    A value is complete before a comma and after a closing bracket. One scan
+    keeps the brackets that are open, so every place knows its own depth.
+    """
+    places: list[tuple[int, str]] = []
+    closing = ""
+    for mark in _MARKS.finditer(text):
+        c = mark[0]
+        if c in _CLOSED_BY:
+            closing = _CLOSED_BY[c] + closing
+        elif c == ",":
+            places.append((mark.start(), closing))
+        elif closing and c == closing[0]:
+            closing = closing[1:]
+            places.append((mark.end(), closing))
+    return places, closing
 
 
 def repaired(text: str):
-    """(found, value) of a cut-off JSON text: shortened to its last comma or colon that lets it be closed.
+    """(found, value) of a cut-off JSON text: all of it up to the last complete value, with its brackets closed.
 
-    Every bracket that is open at the end is closed, whichever place is cut.
-    A text without open brackets is not cut off and is not repaired.
+    A text whose brackets are all closed is not cut off and is not repaired.
     """
-    open_ = open_brackets(text)
-    if not open_:
-        return False, None
-    closing = open_[::-1].translate(str.maketrans("{[", "}]"))
-    places = [i for i, c in enumerate(text) if c in ",:"]
-    for head in (*(text[:i] for i in reversed(places)), text.rstrip(",\"': \t\n")):
-        found, value = _parsed(head + closing)
-        if found:
-            return True, value
+    places, closing = endings(text)
+    if closing:
+        for end, ending in (*reversed(places), (len(text), closing)):
+            found, value = _parsed(text[:end] + ending)
+            if found:
+                return True, value
     return False, None
 
 
-def unfenced(text: str) -> str:
-    """Only the lines within code fences, if there is any fence."""
-    if "```" not in text:
-        return text
-    kept, inside = [], False
-    for line in text.split("\n"):
-        if line.strip().startswith("```"):
-            inside = not inside
-        elif inside:
-            kept.append(line)
-    return "\n".join(kept)
-
-
 def extract(text: str):
-    """The JSON value of a reply: as it stands, between its braces, repaired, or between its square brackets."""
-    text = unfenced(text).strip()
-    found, value = _parsed(text)
-    if found:
-        return value
-    a, z = text.find("{"), text.rfind("}")
-    if 0 <= a < z:
-        for attempt in (_parsed, repaired):
-            found, value = attempt(text[a : z + 1])
-            # A repair that yields null counts as none.
-            if found and (attempt is _parsed or value is not None):
-                return value
-    a, z = text.find("["), text.rfind("]")
-    if 0 <= a < z:
-        found, value = _parsed(text[a : z + 1])
+    """The JSON value of a reply.
+
+    Where there are code fences only what they hold counts. In turn: the text
+    itself, from its first to its last brace, that repaired, and from its first
+    to its last square bracket, as ``items``. What is none comes back as
+    ``raw_response`` with ``_parse_error``.
+    """
+    if "```" in text:
+        text = "".join(_FENCED.findall(text))
+    text = text.strip()
+    braces, brackets = (re.search(p, text, re.S) for p in (r"\{.*\}", r"\[.*\]"))
+    ways = [(_parsed, text)]
+    if braces:
+        ways += [(_parsed, braces[0]), (repaired, braces[0])]
+    for way, part in ways:
+        found, value = way(part)
         if found:
-            return {"items": value}
-    return {"raw_response": text, "_parse_error": True}
+            return value
+    found, value = _parsed(brackets[0]) if brackets else (False, None)
+    return {"items": value} if found else {"raw_response": text, "_parse_error": True}
 
 
 @F.pandas_udf(StringType())

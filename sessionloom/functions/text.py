@@ -14,7 +14,7 @@ from ..schemas import NOISE_TOOLS
 CJK = "[一-鿿㐀-䶿豈-﫿]"
 TRUNCATED = "\n...[truncated to fit token budget]"
 ERROR_WORDS = "error|failed|not found|denied|fatal"
-SENTENCE_END = r"[。.!?！？]\s*"
+SENTENCE_ENDS = "。.!?！？"
 #: White space at either end, as Python's strip() takes it off.
 ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -108,9 +108,10 @@ def compress_bash(command: Column, output: Column) -> Column:
 
 
 def compress_read(path: Column, output: Column) -> Column:
-    lines = F.transform(lines_of(output), strip)
-    count = F.size(F.filter(lines, lambda x: x != ""))
-    first = F.get(F.filter(F.slice(lines, 1, 5), lambda x: (x != "") & ~F.startswith(x, F.lit("<"))), 0)
+    # From a line's first visible character to its end: one match for each line that has any.
+    count = F.regexp_count(output, F.lit(r"(?U)[^\s\x1c-\x1f][^\n]*"))
+    lines = F.transform(F.slice(F.split(output, "\n", 6), 1, 5), strip)
+    first = F.get(F.filter(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("<"))), 0)
     head = F.concat(F.lit("Read("), path, F.lit(") → "))
     return F.when(output == "", F.concat(head, F.lit("empty/no file"))).otherwise(
         F.concat(head, count.cast("string"), F.lit(" lines. Starts with: "), F.coalesce(prefix(first, 80), F.lit(""))))
@@ -178,13 +179,14 @@ def tool_summary(tool: Column, input_json: Column, output: Column, input_repr: C
 
 
 def reasoning_conclusion(c: Column) -> Column:
-    """A long thought as its first and its last sentence."""
-    sentences = F.filter(F.transform(F.split(strip(c), SENTENCE_END, -1), strip), lambda s: s != "")
+    """A long thought as its first and its last sentence; the last is the first from behind."""
+    sentence = lambda x: strip(F.regexp_extract(x, rf"(?U)^[{SENTENCE_ENDS}\s\x1c-\x1f]*([^{SENTENCE_ENDS}]+)", 1))
+    first, last = sentence(c), F.reverse(sentence(F.reverse(c)))
     return (
         F.when(F.coalesce(c, F.lit("")) == "", "")
-        .when(F.size(sentences) == 0, prefix(c, 150))
+        .when(first == "", prefix(c, 150))
         .when(F.length(c) <= 200, c)
-        .otherwise(F.concat(prefix(F.element_at(sentences, 1), 80), F.lit(" ... → "), F.element_at(sentences, -1)))
+        .otherwise(F.concat(prefix(first, 80), F.lit(" ... → "), last))
     )
 
 

@@ -1,6 +1,6 @@
-"""Text expressions against the same rules written out in Python."""
+"""Text expressions: literal inputs and what comes out."""
 
-import re
+import html
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,113 +8,92 @@ from pyspark.sql import functions as F
 from sessionloom.functions import jsontext as J
 from sessionloom.functions import text as T
 
-TEXTS = ["", " ", "a", "abcd", "你好世界这是中文测试", "x" * 301, "\n".join("abcdefg"), "\n".join("abcdef"), "\n", "  lead\n\ttail \u3000\x1c", "<x>\n\nreal line\n", "First one. Second! Third？ " * 12,
-         "emoji 😀 and 㐀 and 豈", "Error: FATAL thing", "a\r\nb\r\n", "---\nname: x\ndescription:  d e f \n---\n\n# T\n\nbody\n", "'q' & \"r\" <b>", "..." * 60]
 
+def check(spark, f, *pairs):
+    """Each input gives the text beside it."""
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(pairs)], "i int, t string")
+    got = [r["x"] for r in df.select("i", f(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == [want for _, want in pairs]
 
-def column(spark, f, texts=TEXTS):
-    rows = [(i, t) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "i int, t string")
-    return [r["x"] for r in df.select("i", f(F.col("t")).alias("x")).orderBy("i").collect()]
 
+def test_tokens(spark):
+    check(spark, T.estimate_tokens, ("", 0), (None, 0), (" ", 1), ("abc", 1), ("abcd", 2), ("x" * 301, 76), ("你好", 2), ("你好世界这是中文测试", 7), ("emoji 😀 and 㐀 and 豈", 6))
+    check(spark, lambda c: T.truncate_to_budget(c, 20), ("x" * 76, "x" * 76), ("x" * 80, "x" * 30 + "\n...[truncated to fit token budget]"), ("你" * 30, "你" * 30), ("你" * 31, "你" * 30 + "\n...[truncated to fit token budget]"))
 
-def tokens(t):
-    cjk = len(re.findall("[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff]", t))
-    return int((len(t) - cjk) / 4 + cjk / 1.5) + 1 if t else 0
 
+def test_slugs(spark):
+    check(spark, T.topic_slug, ("", "unnamed-topic"), ("--A__B--", "a-b"), ("A" * 60, "a" * 40), ("a" * 39 + " b", "a" * 39), ("中文", "unnamed-topic"), ("Straße 9", "stra-e-9"), ("  lead\n\ttail \u3000\x1c", "lead-tail"))
+    check(spark, T.skill_slug, ("", "unnamed-skill"), ("A" * 60, "a" * 60), ("'q' & \"r\" <b>", "q-r-b"))
 
-def test_tokens(spark):
-    assert column(spark, T.estimate_tokens) == [tokens(t) for t in TEXTS]
-    cut = column(spark, lambda c: T.truncate_to_budget(c, 20))
-    for t, got in zip(TEXTS, cut, strict=True):
-        assert got == (t[:30] + T.TRUNCATED if tokens(t) > 20 and len(t) > 30 else t)
 
+def test_bash(spark):
+    check(
+        spark, lambda c: T.compress_bash(F.lit("ls"), c), ("", "$ ls"), ("a", "$ ls  [OK]\na"), ("Error: FATAL thing", "$ ls  [ERR]\nError: FATAL thing"), ("\n", "$ ls  [OK]\n\n"),
+        ("a\nb\nc\nd\ne\nf", "$ ls  [OK]\na\nb\nc\nd\ne\nf"), ("a\nb\nc\nd\ne\nf\ng", "$ ls  [OK]\na\nb\nc\n  ... (2 more lines) ...\nf\ng"),
+        ("x" * 301, "$ ls  [OK]\n" + "x" * 300), ("y" * 500 + " denied", "$ ls  [OK]\n" + "y" * 300))
 
-def slug(t, most=None, default="unnamed-topic"):
-    s = re.sub("-+", "-", re.sub("[^a-z0-9-]+", "-", t.strip().lower())).strip("-")
-    return (s[:most].rstrip("-") if most else s) or default
 
+def test_read_and_write(spark):
+    check(
+        spark, lambda c: T.compress_read(F.lit("p"), c), ("", "Read(p) → empty/no file"), (" ", "Read(p) → 0 lines. Starts with: "), ("<x>\n\n real line \n", "Read(p) → 2 lines. Starts with: real line"),
+        ("\n\n\n\n\nsixth", "Read(p) → 1 lines. Starts with: "), ("x" * 90 + "\r\n\x1c\u3000\nb", "Read(p) → 2 lines. Starts with: " + "x" * 80))
+    check(
+        spark, lambda c: T.compress_write(F.lit("p"), c), ("", "Write(p, 1 lines)\n"), ("a\nb", "Write(p, 2 lines)\na\nb"), ("z" * 200, "Write(p, 1 lines)\n" + "z" * 150),
+        ("a\nb\nc\nd\ne\nf", "Write(p, 6 lines)\na\nb\n  ... (2 lines omitted) ...\ne\nf"))
 
-def test_slugs(spark):
-    texts = [*TEXTS, "--A__B--", "A" * 60, "a" * 39 + " b", "中文", "Straße 9"]
-    assert column(spark, T.topic_slug, texts) == [slug(t, 40) for t in texts]
-    assert column(spark, T.skill_slug, texts) == [slug(t, None, "unnamed-skill") for t in texts]
-
-
-def bash(cmd, out):
-    if not out:
-        return f"$ {cmd}"
-    lines = out.split("\n")
-    body = out[:300] if len(lines) <= 6 else "\n".join([*lines[:3], f"  ... ({len(lines) - 5} more lines) ...", *lines[-2:]])
-    mark = "ERR" if any(w in out.lower()[:500] for w in ("error", "failed", "not found", "denied", "fatal")) else "OK"
-    return f"$ {cmd}  [{mark}]\n{body[:300]}"
-
-
-def test_compressors(spark):
-    assert column(spark, lambda c: T.compress_bash(F.lit("ls"), c)) == [bash("ls", t) for t in TEXTS]
-    want = []
-    for t in TEXTS:
-        lines = t.split("\n")
-        first = next((x.strip()[:80] for x in lines[:5] if x.strip() and not x.strip().startswith("<")), "")
-        want.append(f"Read(p) → {sum(bool(x.strip()) for x in lines)} lines. Starts with: {first}" if t else "Read(p) → empty/no file")
-    assert column(spark, lambda c: T.compress_read(F.lit("p"), c)) == want
-    want = []
-    for t in TEXTS:
-        lines = t.split("\n")
-        body = t[:150] if len(lines) <= 5 else "\n".join([*lines[:2], f"  ... ({len(lines) - 4} lines omitted) ...", *lines[-2:]])
-        want.append(f"Write(p, {len(lines)} lines)\n{body}")
-    assert column(spark, lambda c: T.compress_write(F.lit("p"), c)) == want
-    for name, k, f in (("Glob", 5, T.compress_glob), ("Grep", 3, T.compress_grep)):
-        want = []
-        for t in TEXTS:
-            lines = t.strip().split("\n")
-            more = [f"... and {len(lines) - k} more"] if len(lines) > k else []
-            want.append(f"{name}(p) → {len(lines)} matches:\n  " + "\n  ".join(lines[:k] + more) if t.strip() else f"{name}(p) → 0 matches")
-        assert column(spark, lambda c, f=f: f(F.lit("p"), c)) == want
-    want = []
-    for t in TEXTS:
-        lines = t.strip().split("\n")
-        want.append(f"Edit(p) -{len(lines)}/+1 lines\n  - {lines[0][:60] if t.strip() else '(empty)'}\n  + (empty)")
-    assert column(spark, lambda c: T.compress_edit(F.lit("p"), c, F.lit(" "))) == want
-    assert column(spark, lambda c: T.compress_task(F.lit("?"), F.lit("d"), c), ["", "o" * 200, "o" * 201]) == ["Agent(?): d", "Agent(?): d\n  → " + "o" * 200, "Agent(?): d\n  → " + "o" * 200 + "..."]
+
+def test_searches_edits_and_tasks(spark):
+    check(spark, lambda c: T.compress_glob(F.lit("p"), c), (" \n", "Glob(p) → 0 matches"), ("a\nb\n", "Glob(p) → 2 matches:\n  a\n  b"), ("a\nb\nc\nd\ne\nf\ng", "Glob(p) → 7 matches:\n  a\n  b\n  c\n  d\n  e\n  ... and 2 more"))
+    check(spark, lambda c: T.compress_grep(F.lit("p"), c), ("", "Grep(p) → 0 matches"), ("a\nb\nc\nd", "Grep(p) → 4 matches:\n  a\n  b\n  c\n  ... and 1 more"))
+    check(spark, lambda c: T.compress_edit(F.lit("p"), c, F.lit(" ")), (" one\ntwo \n", "Edit(p) -2/+1 lines\n  - one\n  + (empty)"), ("", "Edit(p) -1/+1 lines\n  - (empty)\n  + (empty)"), ("w" * 70, "Edit(p) -1/+1 lines\n  - " + "w" * 60 + "\n  + (empty)"))
+    check(spark, lambda c: T.compress_task(F.lit("?"), F.lit("d"), c), ("", "Agent(?): d"), ("o" * 200, "Agent(?): d\n  → " + "o" * 200), ("o" * 201, "Agent(?): d\n  → " + "o" * 200 + "..."))
 
 
 def test_reasoning(spark):
-    want = []
-    for t in TEXTS:
-        parts = [x.strip() for x in re.split(r"[。.!?！？]\s*", t.strip()) if x.strip()]
-        want.append("" if not t else t[:150] if not parts else t if len(t) <= 200 else f"{parts[0][:80]} ... → {parts[-1]}")
-    assert column(spark, T.reasoning_conclusion) == want
+    many = "First one. Second! Third？ " * 12
+    check(
+        spark, T.reasoning_conclusion, ("", ""), (None, ""), ("Short. Kept whole!", "Short. Kept whole!"), ("..." * 60, "..." * 50), (many, "First one ... → Third"),
+        (" . " + "a" * 90 + "。" + "b" * 120 + "  \x1c", "a" * 80 + " ... → " + "b" * 120), ("n" * 201, "n" * 80 + " ... → " + "n" * 201), ("! \u3000 one.\n" + " 😀 two words \u3000?" * 20 + "  ...", "one ... → 😀 two words"))
 
 
 def test_small_functions(spark):
-    assert column(spark, T.mask_secret, ["", "abc", "abcd", "abcdef", None]) == ["(not set)", "***", "****", "abcd**", "(not set)"]
-    assert column(spark, T.project_name, ["", "/", "/a/b/", "C:\\x\\proj", "one", None]) == ["unknown", "", "b", "proj", "one", "unknown"]
-    import html
-    assert column(spark, T.html_escape) == [html.escape(t) for t in TEXTS]
-    assert column(spark, T.extract_body)[15] == "body"
-    assert column(spark, T.frontmatter_description)[15] == "d e f"
-    shares = spark.createDataFrame([(0, 0.125), (1, 0.135), (2, 2.0), (3, -1.0)], "i int, s double").orderBy("i")
-    assert [r["x"] for r in shares.select(T.percent(F.col("s")).alias("x")).collect()] == [12, 14, 100, 0]
-    assert column(spark, T.iso_to_ms, ["2024-01-01T00:00:01Z", "2024-01-01T00:00:00+01:00", "2024-01-01T00:00:00", "", "x"]) == [1704067201000, 1704063600000, 1704067200000, 0, 0]
-    durations = spark.createDataFrame([(0, 3.14), (1, 125.5)], "i int, s double").orderBy("i")
-    assert [r["x"] for r in durations.select(T.duration_text(F.col("s")).alias("x")).collect()] == ["3.1 秒", "2 分 6 秒"]
-
-
-REPLIES = [
-    ('{"a": 1}', {"a": 1}), ('```json\n{"a": 2}\n```', {"a": 2}), ('well: {"a": 3} so', {"a": 3}), ('[1, 2]', [1, 2]), ('see [1, 2] there', {"items": [1, 2]}),
-    ('x {"a": 1, "b": {"c": 2}, "d": [1, {"e": 5}', {"a": 1, "b": {"c": 2}, "d": [1]}), ("none", {"raw_response": "none", "_parse_error": True}),
+    check(spark, T.mask_secret, ("", "(not set)"), ("abc", "***"), ("abcd", "****"), ("abcdef", "abcd**"), (None, "(not set)"))
+    check(spark, T.project_name, ("", "unknown"), ("/", ""), ("/a/b/", "b"), ("C:\\x\\proj", "proj"), ("one", "one"), (None, "unknown"))
+    check(spark, T.html_escape, *[(t, html.escape(t)) for t in ("'q' & \"r\" <b>", "", "a < b && c")])
+    check(spark, T.markdown_to_html, ("## T\n### U\n# V\n- a\n* b **c** d **e**", "<h4>T</h4>\n<h4>U</h4>\n# V\n<li>a</li>\n<li>b <strong>c</strong> d <strong>e</strong></li>"))
+    skill = "---\nname: x\ndescription:  d e f \n---\n\n# T\n\nbody\n"
+    check(spark, T.extract_body, (skill, "body"), ("plain", "plain"))
+    check(spark, T.frontmatter_description, (skill, "d e f"), ("plain", ""))
+    check(spark, T.iso_to_ms, ("2024-01-01T00:00:01Z", 1704067201000), ("2024-01-01T00:00:00+01:00", 1704063600000), ("2024-01-01T00:00:00", 1704067200000), ("", 0), ("x", 0))
+    number = lambda f: lambda c: f(c.cast("double"))
+    check(spark, number(T.percent), ("0.125", 12), ("0.135", 14), ("2", 100), ("-1", 0))
+    check(spark, number(T.duration_text), ("3.14", "3.1 秒"), ("125.5", "2 分 6 秒"), ("60", "1 分 0 秒"))
+    check(spark, number(T.score_colour), ("0.7", "green"), ("0.4", "amber"), ("0.39", "red"))
+
+
+@pytest.mark.parametrize(("text", "value"), [
+    ('{"a": 1}', {"a": 1}), ('```json\n{"a": 2}\n```', {"a": 2}), ('x\n```\n{"a":\n```\ny\n```\n 3}\n```', {"a": 3}), ('```json\n{"a": 4}', {"a": 4}), ('well: {"a": 3} so', {"a": 3}),
+    ("[1, 2]", [1, 2]), ("see [1, 2] there", {"items": [1, 2]}), ("none", {"raw_response": "none", "_parse_error": True}), ("null", None),
     ('{"s": "a ``` b"}', {"raw_response": "", "_parse_error": True}), ('{"a": 1 "b"}', {"raw_response": '{"a": 1 "b"}', "_parse_error": True}),
-]
-
-
-@pytest.mark.parametrize(("text", "value"), REPLIES[:5] + REPLIES[6:])
+    ('so {"a": {"b": 1}, "c": [2', {"a": {"b": 1}}),
+])
 def test_json_of_replies(text, value):
     assert J.extract(text) == value
 
 
-def test_json_repair(spark):
-    assert J.repaired('{"a": 1}') == (False, None)
-    assert J.repaired('{"a": 1, "b":') == (True, {"a": 1})
-    assert column(spark, J.extract_json, ['{"a": 1}', None]) == ['{"a": 1}', None]
-    assert column(spark, J.pyrepr, ['{"a": true, "b": [null, "x"]}', "no json", None]) == ["{'a': True, 'b': [None, 'x']}", "no json", ""]
+@pytest.mark.parametrize(("text", "value"), [
+    ('{"a": 1, "b":', {"a": 1}), ('{"a": 1', {"a": 1}), ('{"a": "x, y: [", "b": "cut of', {"a": "x, y: ["}), ('{"a": 1, "b": {"c": 2}, "d": [1, {"e": 5}', {"a": 1, "b": {"c": 2}, "d": [1, {"e": 5}]}),
+    ('[{"a": 1, "x": 2}, {"b":', [{"a": 1, "x": 2}]), ('{"a": "q\\"uo, te", "b": [1, 2', {"a": 'q"uo, te', "b": [1]}), ("{", {}),
+])
+def test_cut_off_json(text, value):
+    assert J.repaired(text) == (True, value)
+
+
+@pytest.mark.parametrize("text", ['{"a": 1}', "[1, 2]", "words", "", '{"a": 1 "b"', '{"a": "'])
+def test_json_that_is_not_repaired(text):
+    assert J.repaired(text) == (False, None)
+
+
+def test_json_columns(spark):
+    check(spark, J.extract_json, ('{"a": 1}', '{"a": 1}'), (None, None))
+    check(spark, J.pyrepr, ('{"a": true, "b": [null, "x"]}', "{'a': True, 'b': [None, 'x']}"), ("no json", "no json"), (None, ""))
