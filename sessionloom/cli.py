@@ -59,7 +59,7 @@ def _ms(day: str | None) -> int | None:
 def _provider(m: C.ModelConfig):
     from .providers.http import HttpProvider
 
-    return HttpProvider(m.model, m.api_key, m.base_url, m.proxy, m.proxy_bypass, m.verify_ssl, m.timeout, m.user_agent, m.extra_headers)
+    return HttpProvider(m.model, m.api_key, m.base_url, m.proxy, m.proxy_bypass, m.verify_ssl, m.timeout, m.user_agent, m.extra_headers, m.connect_timeout)
 
 
 def build(cfg: C.Config, offline: bool, **chosen):
@@ -82,6 +82,11 @@ def build(cfg: C.Config, offline: bool, **chosen):
     return Pipeline(spark, source, models, settings, clusters, functools.partial(model_merge, models=models))
 
 
+def _load(path: Path) -> C.Config:
+    """The configuration with the .env file beside it, over which the environment goes."""
+    return C.load(path, C.read_env(path.with_name(".env")) | dict(os.environ))
+
+
 def _distil(cfg: C.Config, a: argparse.Namespace) -> int:
     run = build(cfg, a.offline, project=a.project, session_id=a.session, since_ms=_ms(a.since), until_ms=_ms(a.until), step=a.step, dry_run=a.dry_run)
     if a.incremental:
@@ -92,10 +97,10 @@ def _distil(cfg: C.Config, a: argparse.Namespace) -> int:
 
 
 def _inspect(cfg: C.Config, a: argparse.Namespace) -> int:
-    report = build(cfg, a.offline, session_id=a.session_id, step=2, dry_run=True).run()
+    report = build(cfg, a.offline, session_id=a.session_id, step=1, dry_run=True).run()
     for r in report.session_rows:
         print(*(f"{k}: {v}" for k, v in r.items()), sep="\n")
-    print(report.note, report.usage)
+    print(report.note, *report.usage, sep="\n")
     return 0
 
 
@@ -140,7 +145,7 @@ def _schedule(cfg: C.Config, a: argparse.Namespace, path: Path) -> int:
             now = datetime.now()
             if (now.hour, now.minute) >= (hour, minute) and ran != now.date():
                 ran = now.date()
-                _distil(C.load(path), _parser().parse_args(["distil", "--incremental"]))
+                _distil(_load(path), _parser().parse_args(["distil", "--incremental"]))
             time.sleep(60)
     return 0
 
@@ -152,7 +157,7 @@ def main(argv: list[str] | None = None) -> int:
         given = {k: getattr(a, k) for k in ("base_url", "fast_model", "strong_model", "source", "proxy", "proxy_bypass", "timeout", "connect_timeout")}
         print(C.init(path, a.api_key, verify_ssl=a.verify_ssl or None, **given))
         return 0
-    cfg = C.load(path, C.read_env(path.with_name(".env")) | dict(os.environ))
+    cfg = _load(path)
     try:
         return {"distil": lambda: _distil(cfg, a), "inspect": lambda: _inspect(cfg, a), "status": lambda: _status(cfg), "config": lambda: _config(cfg, a, path), "schedule": lambda: _schedule(cfg, a, path)}[a.command]()
     except (ValueError, FileNotFoundError) as e:

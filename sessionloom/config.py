@@ -131,7 +131,7 @@ def load(path: Path | None = None, env: dict[str, str] | None = None) -> Config:
 
 def settable() -> dict[str, type]:
     """Dotted keys that can be set, and their types."""
-    out = {f"{side}.{f.name}": type(getattr(ModelConfig(), f.name)) for side in ("fast", "strong") for f in fields(ModelConfig) if f.name not in ("extra_headers", "connect_timeout", "user_agent")}
+    out = {f"{side}.{f.name}": type(getattr(ModelConfig(), f.name)) for side in ("fast", "strong") for f in fields(ModelConfig) if f.name != "extra_headers"}
     out |= {"filter.min_messages": int, "filter.min_tools": int, "analysis.clustering_min_size": int, "analysis.clustering_max_topics": int}
     out |= {"output.skill_output_dir": str, "output.max_rules_per_skill": int, "output.format": str, "scheduler.enabled": bool, "scheduler.cron": str, "source.type": str, "source.path": str}
     return out

@@ -72,11 +72,12 @@ class FieldClusters:
 
 
 def distil(trajectories: DataFrame, clusters: DataFrame, models: Models, max_rules: int | None = None) -> DataFrame:
-    """Skills of all topics that have labelled sessions and yield a rule or a body; ``error`` says why one failed."""
+    """A row for each topic that has labelled sessions. ``error`` says why one has no skill: the call's, or that it gave no rule and no body."""
     system = prompts.DISTIL
     half = (DISTIL_BUDGET - len(system) // 4 - 1) // 2
     some = lambda c: F.when(c == "", "(none)").otherwise(truncate_to_budget(c, half))
-    topics = clusters.join(P.topic_inputs(P.topic_members(trajectories, clusters)), "topic_id")
+    # A text of four characters a token is over the budget whatever its characters are, and is cut to less than that.
+    topics = clusters.join(P.topic_inputs(P.topic_members(trajectories, clusters), 4 * half + 8), "topic_id")
     about = F.when(F.coalesce("topic_summary", F.lit("")) == "", F.col("topic_name")).otherwise(F.col("topic_summary"))
     prompt = F.concat(F.lit("Topic: "), "topic_name", F.lit("\nAbout: "), about, F.lit("\n\nWent well:\n"), some(F.col("good")), F.lit("\n\nDid not:\n"), some(F.col("bad")))
     asked = models.ask(topics.withColumn("prompt", prompt), "distil", "prompt", system, 8192, 0.3, strong=True).withColumn("r", F.from_json("response", SKILL_JSON))
@@ -92,4 +93,4 @@ def distil(trajectories: DataFrame, clusters: DataFrame, models: Models, max_rul
         "topic_id", "topic_name", text("skill_title", F.col("topic_name")), text("skill_type", F.lit("checklist")), text("description", F.lit("")),
         F.coalesce("r.summary", "topic_summary", F.lit("")).alias("summary"), rules.alias("rules"), text("body", F.lit("")), F.col("session_ids").alias("source_sessions"),
         "primary_project", "error", "input_tokens", "output_tokens", "calls")
-    return skills.where("error is null and (size(rules) > 0 or body <> '')")
+    return skills.withColumn("error", F.coalesce("error", F.when((F.size("rules") == 0) & (F.col("body") == ""), "the reply has no rules and no body")))

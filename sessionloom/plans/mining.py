@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import prefix, truncate_to_budget
@@ -30,9 +31,16 @@ class Models:
     strong: Callable[[], Provider]
     cache: str
     concurrency: int = 8
+    #: (task, model) -> calls, input_tokens and output_tokens of this run.
+    used: dict[tuple[str, str], dict[str, int]] = field(default_factory=dict)
+
+    def _count(self, task: str, model: str, sums: Row) -> None:
+        held = self.used.setdefault((task, model), dict.fromkeys(sums.asDict(), 0))
+        for k, v in sums.asDict().items():
+            held[k] += v
 
     def ask(self, df: DataFrame, task: str, prompt: str, system: str, max_tokens: int, temperature: float = 0.2, strong: bool = False) -> DataFrame:
-        return call_model(df, system, prompt, self.strong if strong else self.fast, f"{self.cache}/{task}", temperature, max_tokens, self.concurrency)
+        return call_model(df, system, prompt, self.strong if strong else self.fast, f"{self.cache}/{task}", temperature, max_tokens, self.concurrency, functools.partial(self._count, task))
 
 
 def _budget(c: Column, system: str) -> Column:

@@ -62,8 +62,9 @@ class Pipeline:
         report = Report(project, s.today or datetime.now(UTC).strftime("%Y-%m-%d"))
         sessions, messages, parts = (self.source.table(x) for x in ("sessions", "messages", "parts"))
         if s.session_id:
+            wanted = self.source.full_id(s.session_id)
             # A named session skips the listing's filter on messages; its tools still count.
-            listed = S.listing(sessions.where(F.col("session_id") == s.session_id), messages, self.source)
+            listed = S.listing(sessions.where(F.col("session_id") == wanted), messages, self.source)
             listed = listed.withColumn("msg_count", F.greatest("msg_count", F.lit(s.min_messages)))
         else:
             listed = S.listing(sessions, messages, self.source, s.project, s.since_ms, s.until_ms)
@@ -82,17 +83,20 @@ class Pipeline:
         if good.isEmpty():
             return self._end(report, "no trajectories")
         if s.step == 1:
-            files.write_trajectories(good, s.output, project, report.date)
+            if not s.dry_run:
+                report.paths["trajectories"] = files.write_trajectories(good, s.output, project, report.date)
             return self._end(report, "")
         existing = files.existing_topics(self.spark, s.output, project)
         clusters, _ = self.strategy.cluster(good, existing, s.protected)
         clusters = self._stage(report, "clusters", clusters)
-        skills = self._stage(report, "skills", distil(good, clusters, self.models, s.max_rules))
+        distilled = self._stage(report, "skills", distil(good, clusters, self.models, s.max_rules))
+        report.failed_topics(distilled.where("error is not null"))
+        skills = distilled.where("error is null")
         report.skills(skills)
         if skills.isEmpty():
             return self._end(report, "no skills")
         if s.step == 2 or s.dry_run:
-            return report
+            return self._end(report, "")
         if s.form == "knowledge_md":
             report.paths["knowledge"] = files.write_knowledge(skills, s.output, project, report.date)
         else:
@@ -106,6 +110,7 @@ class Pipeline:
 
     def _end(self, report: Report, why: str) -> Report:
         report.note = why
+        report.used(self.models.used)
         if not self.settings.dry_run:
             report.paths["report"] = report.write_html(self.settings.output)
         return report

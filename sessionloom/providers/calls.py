@@ -2,18 +2,20 @@
 
 Spark may evaluate a plan more than once, and repeats failed tasks; a model
 must not be asked again for that. So replies are written to a cache table,
-keyed by a hash of all that decides them, and only prompts that it lacks are
-sent. Usage is columns of that table: sums over it count each call once.
+keyed by a hash of all that decides them, the model among it, and only prompts
+that it lacks are sent. Every row names the request that wrote it, so sums over
+a request count each call once.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import extract
@@ -21,7 +23,7 @@ from .base import ContextOverflow, Provider
 
 ATTEMPTS = 3
 STRICTER = "\nReply with one valid JSON object and nothing else."
-CACHE = "prompt_key string, response string, input_tokens long, output_tokens long, calls int, error string"
+CACHE = "prompt_key string, response string, input_tokens long, output_tokens long, calls int, error string, request string"
 
 
 def ask(provider: Provider, system: str, prompt: str, temperature: float, max_tokens: int, wait: Callable[[float], None] = time.sleep) -> tuple:
@@ -49,17 +51,28 @@ def ask(provider: Provider, system: str, prompt: str, temperature: float, max_to
     return (None if value is None else json.dumps(value, ensure_ascii=False)), *spent, calls, error
 
 
+def identity(factory: Callable[[], Provider]) -> str:
+    """Kind and model of the providers that a factory makes."""
+    provider = factory()
+    try:
+        return f"{type(provider).__module__}.{type(provider).__qualname__}:{provider.model_name}"
+    finally:
+        provider.close()
+
+
 def call_model(
     df: DataFrame, system: str, prompt_col: str, factory: Callable[[], Provider], cache: str,
-    temperature: float = 0.2, max_tokens: int = 4096, concurrency: int = 8,
+    temperature: float = 0.2, max_tokens: int = 4096, concurrency: int = 8, used: Callable[[str, Row], None] | None = None,
 ) -> DataFrame:
     """``df`` with response (JSON), input_tokens, output_tokens, calls and error for the prompt of each row.
 
     ``cache`` is a folder of Parquet files that grows; equal prompts are asked
-    once. At most ``concurrency`` partitions ask at a time.
+    once. At most ``concurrency`` partitions ask at a time. ``used`` is told the
+    model and the sums (calls, input_tokens, output_tokens) of what was asked now.
     """
     spark = df.sparkSession
-    keyed = df.withColumn("prompt_key", F.sha2(F.concat_ws("\x1f", F.lit(system), F.lit(str(temperature)), F.lit(str(max_tokens)), F.col(prompt_col)), 256))
+    model, request = identity(factory), uuid.uuid4().hex
+    keyed = df.withColumn("prompt_key", F.sha2(F.concat_ws("\x1f", F.lit(model), F.lit(system), F.lit(str(temperature)), F.lit(str(max_tokens)), F.col(prompt_col)), 256))
     where = spark._jvm.org.apache.hadoop.fs.Path(cache)
     known = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
     wanted = keyed.select("prompt_key", F.col(prompt_col).alias("prompt")).where("prompt is not null").dropDuplicates(["prompt_key"])
@@ -71,7 +84,7 @@ def call_model(
         try:
             for batch in batches:
                 provider = provider or factory()
-                rows = [(k, *ask(provider, system, p, temperature, max_tokens)) for k, p in zip(batch["prompt_key"], batch["prompt"], strict=True)]
+                rows = [(k, *ask(provider, system, p, temperature, max_tokens), request) for k, p in zip(batch["prompt_key"], batch["prompt"], strict=True)]
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in CACHE.split(", ")])
         finally:
             if provider is not None:
@@ -79,6 +92,9 @@ def call_model(
 
     wanted.repartition(concurrency, "prompt_key").mapInPandas(run, CACHE).write.mode("append").parquet(cache)
     replies = spark.read.schema(CACHE).parquet(cache)
+    if used:
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "input_tokens", "output_tokens")]
+        used(model, replies.where(F.col("request") == request).agg(*sums).first())
     # A prompt that failed before and was asked again has two rows: the good one counts.
     best = replies.groupBy("prompt_key").agg(F.max_by(F.struct("response", "input_tokens", "output_tokens", "calls", "error"), F.when(F.col("error").isNull(), 1).otherwise(0)).alias("r"))
     return keyed.join(best, "prompt_key", "left").select(*df.columns, "r.*")

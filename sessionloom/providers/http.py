@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import http.client
 import json
 import re
 import ssl
@@ -20,6 +22,38 @@ def bypass_patterns(text: str) -> list[re.Pattern]:
         raise ValueError(f"invalid proxy bypass pattern: {e}") from e
 
 
+def _patient(kind: type, wait: float):
+    """A connection class that waits ``wait`` seconds to be connected, and then as long as the request says."""
+    class Connection(kind):
+        def connect(self) -> None:
+            reading, self.timeout = self.timeout, wait
+            try:
+                super().connect()
+            finally:
+                self.timeout = reading
+            self.sock.settimeout(reading)
+
+    return Connection
+
+
+class _Plain(urllib.request.HTTPHandler):
+    def __init__(self, wait: float):
+        super().__init__()
+        self._wait = wait
+
+    def http_open(self, request):
+        return self.do_open(_patient(http.client.HTTPConnection, self._wait), request)
+
+
+class _Secure(urllib.request.HTTPSHandler):
+    def __init__(self, wait: float, context: ssl.SSLContext):
+        super().__init__(context=context)
+        self._wait, self._used = wait, context
+
+    def https_open(self, request):
+        return self.do_open(functools.partial(_patient(http.client.HTTPSConnection, self._wait), context=self._used), request)
+
+
 @dataclass
 class HttpProvider:
     model_name: str
@@ -31,6 +65,7 @@ class HttpProvider:
     timeout: float = 120.0
     user_agent: str = "curl/8.0"
     headers: dict[str, str] = field(default_factory=dict)
+    connect_timeout: float = 10.0
 
     def __post_init__(self) -> None:
         if not self.api_key:
@@ -43,7 +78,7 @@ class HttpProvider:
             context.check_hostname, context.verify_mode = False, ssl.CERT_NONE
         host = re.sub(r"^[a-z]+://|[:/].*$", "", self.base_url)
         through = self.proxy and not any(p.search(host) for p in self._free)
-        return urllib.request.build_opener(urllib.request.ProxyHandler({"http": self.proxy, "https": self.proxy} if through else {}), urllib.request.HTTPSHandler(context=context))
+        return urllib.request.build_opener(urllib.request.ProxyHandler({"http": self.proxy, "https": self.proxy} if through else {}), _Plain(self.connect_timeout), _Secure(self.connect_timeout, context))
 
     def complete(self, system: str, prompt: str, temperature: float = 0.3, max_tokens: int = 4096) -> Reply:
         body = {"model": self.model_name, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}], "temperature": temperature, "max_tokens": max_tokens}

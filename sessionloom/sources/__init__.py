@@ -20,6 +20,10 @@ class SessionSource(Protocol):
 
     def project_filter(self, df: DataFrame, project: str) -> DataFrame: ...
 
+    def full_id(self, given: str) -> str:
+        """The session id that a given one, which may be short, stands for."""
+        ...
+
 
 def create_source(spark: SparkSession, kind: str, path: str) -> SessionSource:
     """``sqlite``, ``files`` or ``exports``, in either case of letters."""

@@ -44,6 +44,10 @@ class SessionFiles:
         both = self.raw().where((F.col("dir_name") == session_id[:SHORT_ID]) | (F.col("session_id") == session_id)).where("data is not null")
         return both.orderBy((F.col("dir_name") != session_id[:SHORT_ID]).cast("int"), "dir_name").limit(1)
 
+    def full_id(self, given: str) -> str:
+        found = self.resolve(given).select("session_id").first()
+        return found["session_id"] if found else given
+
     def _meta(self) -> DataFrame:
         return self.raw().where(F.try_variant_get("data", "$.meta", "variant").isNotNull())
 

@@ -45,3 +45,28 @@ def test_environment_file(tmp_path):
     path = tmp_path / ".env"
     path.write_text("# SESSIONLOOM_X=1\nSESSIONLOOM_API_KEY = k\nOTHER=2\n")
     assert C.read_env(path) == {"SESSIONLOOM_API_KEY": "k"}
+
+
+def test_every_command_reads_the_key(tmp_path, monkeypatch):
+    """Scheduled runs too: all load the configuration in one place."""
+    path = tmp_path / "c.yaml"
+    C.init(path, "from-file")
+    monkeypatch.delenv("SESSIONLOOM_API_KEY", raising=False)
+    assert cli._load(path).strong.api_key == "from-file"
+    monkeypatch.setenv("SESSIONLOOM_API_KEY", "from-environment")
+    assert cli._load(path).fast.api_key == "from-environment"
+    C.set_value("fast.user_agent", "agent/1", path)
+    C.set_value("fast.connect_timeout", "3", path)
+    assert (cli._load(path).fast.user_agent, cli._load(path).fast.connect_timeout) == ("agent/1", 3.0)
+    asked = []
+
+    def run(cfg, a):
+        asked.append((cfg.fast.api_key, a.incremental))
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(cli, "_distil", run)
+    C.set_value("scheduler.enabled", "true", path)
+    C.set_value("scheduler.cron", "0 0 * * *", path)
+    with pytest.raises(KeyboardInterrupt):
+        cli.main(["--config", str(path), "schedule", "start"])
+    assert asked == [("from-environment", True)]

@@ -3,8 +3,10 @@
 import itertools
 import json
 import sqlite3
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sessionloom.operators import sessions as S
@@ -21,6 +23,9 @@ from sessionloom.sinks import report as reports
 from sessionloom.sinks.state import StateStore
 from sessionloom.sources import create_source
 
+# Workers cannot import this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DDL = """
 CREATE TABLE session(id TEXT PRIMARY KEY, title TEXT, directory TEXT, time_created INT, time_updated INT);
 CREATE TABLE message(id TEXT PRIMARY KEY, session_id TEXT, time_created INT, data TEXT);
@@ -110,6 +115,7 @@ def test_session_files(spark, tmp_path):
     got = {r["call_id"]: (r["status"], r["output"], r["input_json"]) for r in src.table("parts").where("type = 'tool'").collect()}
     assert got == {"a": ("completed", "two", '{"command": "ls"}'), "b": ("completed", "", '{"raw":"not json"}'), "c": ("pending", "", '{"command":"x"}'), "d": ("pending", "", "{}")}
     assert [r["finish"] for r in src.table("messages").orderBy("msg_idx").collect()] == ["", "stop", ""]
+    assert [src.full_id(x) for x in ("abcdefghijkl", "abcdefghijkl-long", "nothing")] == ["abcdefghijkl-long", "abcdefghijkl-long", "nothing"]
     assert src.resolve("abcdefghijkl-long").count() == 1 and src.resolve("nothing").count() == 0
     assert S.listing(src.table("sessions"), src.table("messages"), src, project="PROJ", since_ms=1704153600000).count() == 1
 
@@ -170,6 +176,26 @@ def test_topics(spark):
     assert sorted((r["topic_id"], len(r["session_ids"])) for r in kept.collect()) == [("my-topic", 4), ("old", 0)]
 
 
+def test_aliases_number_every_row(spark):
+    """Wide rows at the engine's own settings: none is lost and every place is right."""
+    n = 100_000
+    rows = spark.range(n, numPartitions=7).selectExpr("pmod(id * 7919, 100000) as ts", "concat('s', id) as session_id", "repeat(sha2(cast(id as string), 256), 8) as wide")
+    t = P.aliased(rows, [F.desc("ts"), F.col("session_id")])
+    got = t.select("pos", "alias", "ts", F.length("wide").alias("w")).toPandas()
+    assert len(got) == n and (got.pos == n - 1 - got.ts).all() and (got.alias == "s" + got.pos.astype(str)).all() and (got.w == 512).all()
+
+
+def test_texts_of_a_topic_end_where_the_prompt_does(spark):
+    members = spark.range(30).selectExpr(
+        "'t' as topic_id", "id as pos", "concat('s', id) as session_id", "'k' as session_type", "if(id % 3 = 0, 'failure', 'success') as label", "repeat('w', 50) as intent",
+        *[f"cast(array() as array<struct<{a}:string,{b}:string>>) as {c}" for a, b, c in (("phase", "summary", "what_happened"), ("problem", "how_resolved", "problems_encountered"), ("decision", "rationale", "key_decisions"))],
+        "cast(array() as array<string>) as lessons_learned", "cast(array() as array<string>) as discoveries")
+    (whole,), (some,) = P.topic_inputs(members).collect(), P.topic_inputs(members, 400).collect()
+    for kind in ("good", "bad"):
+        assert whole[kind].startswith(some[kind]) and 400 <= len(some[kind]) < 700
+    assert whole["good"].count("### Session") == 20 and whole["bad"].count("### Session") == 10
+
+
 class Flaky:
     model_name = "flaky"
 
@@ -214,6 +240,44 @@ def test_cache(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "c")).count() == 1
 
 
+class Named(RuleProvider):
+    model_name = "another"
+
+    def complete(self, *a):
+        return Reply('{"by": "another"}', 5, 7)
+
+
+def test_models_do_not_share_replies(spark, tmp_path):
+    df = spark.createDataFrame([("a",)], "p string")
+    used = []
+    first, second = (call_model(df, "cluster\n", "p", f, str(tmp_path / "c"), used=lambda m, r: used.append((m, *r))).first()["response"] for f in (RuleProvider, Named))
+    assert "by" not in first and second == '{"by": "another"}'
+    assert [u[1] for u in used] == [1, 1] and used[0][0] != used[1][0] and used[1][2:] == (5, 7)
+    call_model(df, "cluster\n", "p", Named, str(tmp_path / "c"), used=lambda m, r: used.append((m, *r)))
+    assert used[2][1:] == (0, 0, 0)
+
+
+class NoSkill(RuleProvider):
+    model_name = "mute"
+
+    @staticmethod
+    def _distil(prompt):
+        return {}
+
+
+def test_usage_and_failed_topics(spark, store, tmp_path):
+    src = create_source(spark, "sqlite", store)
+    models = Models(RuleProvider, NoSkill, str(tmp_path / "cache"), 2)
+    run = Pipeline(spark, src, models, Settings(str(tmp_path / "o"), str(tmp_path / "w"), today="d"))
+    report = run.run()
+    calls = {r["task"]: r["calls"] for r in report.usage}
+    # Two sessions of three user messages each: a segmenting call, three blocks and an aggregating one; equal prompts are asked once.
+    assert set(calls) == {"segment", "extract", "aggregate", "cluster", "distil"} and calls["segment"] == 1 and calls["cluster"] == 1 and calls["distil"] >= 1
+    assert {r["model"].rsplit(":")[-1]: r["calls"] for r in report.by_model()} == {"rules": sum(calls.values()) - calls["distil"], "mute": calls["distil"]}
+    assert report.note == "no skills" and any("no rules and no body" in e for e in report.errors)
+    assert "no rules and no body" in report.html() and "mute" in report.html()
+
+
 def test_whole_run(spark, store, tmp_path):
     src = create_source(spark, "sqlite", store)
     models = Models(RuleProvider, RuleProvider, str(tmp_path / "cache"), 2)
@@ -228,6 +292,8 @@ def test_whole_run(spark, store, tmp_path):
     topics = files.existing_topics(spark, out, "all").collect()
     assert {r["topic_id"] for r in topics} == {r["topic_id"] for r in report.topic_rows}
     assert all("path" not in p or p for p in report.paths.values()) and (tmp_path / "out/all/_index.md").read_text().startswith("# all")
+    page = report.html()
+    assert "class=card" in page and "class='bar green'" in page and "aggregate" in page
     assert "Title 1" in (tmp_path / "out/reports/all_2024-01-01.html").read_text()
     state = StateStore(spark, f"{out}/state")
     assert state.since_ms() == 2002 and {r[0] for r in state.processed().collect()} == {"s-one", "s-two"}
@@ -236,6 +302,8 @@ def test_whole_run(spark, store, tmp_path):
     assert "points" in open(again.paths["knowledge"]).read()
     run().run()  # merges into what is written
     assert run(step=1).run().topic_rows == []
+    shown = run(session_id="s-one", step=1, dry_run=True).run()
+    assert len(shown.session_rows) == 1 and not shown.paths and not shown.topic_rows
     assert len(run(session_id="s-one", dry_run=True, step=2).run().session_rows) == 1
     (tmp_path / "out/state/state.json").write_text("{broken")
     assert state.since_ms() is None and state.processed().count() == 0
