@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import _VALUES, mix, released, sliced, utf8
+from .words import _VALUES, bound_batches, mix, released, sliced, utf8
 
 #: Bytes that the rolling hash sees.
 SEEN = 16
@@ -231,6 +231,7 @@ def encoded(docs: DataFrame, path: str, full: bool = True) -> DataFrame:
     text is empty: no ids, an empty decoded text. Repeated rows each get their
     own result; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "ids array<int>, decoded string" if full else "ids_sha256 string, decoded_sha256 string"
     return rows.mapInArrow(_encoded(path, full), f"doc_id long, n_tokens long, {kind}")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import ALNUM, Words, grams, released, sliced, utf8
+from .words import ALNUM, Words, bound_batches, grams, released, sliced, utf8
 
 WINDOW = 13
 SHINGLE = 5
@@ -213,6 +213,7 @@ def contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_
     repeated items count once by id.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "decontam")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     windows = scratch.save(_windows(items), "windows")
@@ -264,6 +265,7 @@ def uncontaminated(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK
     the hits of a row must meet, so rows get a name that is written down first.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "clean")
     texts = docs.select(F.col("text").cast("string").alias("text"))
     windows = scratch.save(_windows(items), "windows")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import SPACED, Words, released, sliced, utf8
+from .words import SPACED, Words, bound_batches, released, sliced, utf8
 
 CLASS_WORDS, CLASSES = 50, 40
 VOCABULARY = CLASS_WORDS * CLASSES
@@ -509,6 +509,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     training. Repeated rows count as often as they stand and each get their
     result; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lm")
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), (fold(doc_id, 10) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .scratch import Scratch
-from .words import mix, released, shingle_sets
+from .words import bound_batches, mix, released, shingle_sets
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
@@ -289,6 +289,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     one document: it has the links of all its texts, and its rows get equal
     components. Other columns are ignored; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "neardup")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")

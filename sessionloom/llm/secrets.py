@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import released, runs, sliced, utf8
+from .words import bound_batches, released, runs, sliced, utf8
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_LENGTH = 20
@@ -155,6 +155,7 @@ def _tested(model: Model):
 
 def fit(docs: DataFrame, false_share: float = FALSE_SHARE) -> Model:
     """Characters and the threshold over all texts; what is gathered is one row per byte value or step."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counts = np.zeros(256)
     for r in texts.mapInArrow(released(_histogram), "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
@@ -235,6 +236,7 @@ def find_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
     empty and has no spans; repeated rows each get their own result; an empty
     table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(released(_found(model or fit(docs))), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
@@ -269,4 +271,5 @@ def _redacted(model: Model, place: int, mark: str):
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", model: Model | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with every span in ``text`` replaced; texts without spans, null too, stay."""
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(released(_redacted(model or fit(docs), docs.columns.index("text"), mark)), docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import released
+from .words import bound_batches, released
 
 #: Payloads of at least so many bytes may be revisits of an equal one.
 LEAST_SHARED = 100
@@ -178,6 +178,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
 def archived_pages(pages: DataFrame) -> DataFrame:
     """Write all of ``pages`` to archives and read every record back; a row per page."""
+    bound_batches(pages.sparkSession)
     scratch = Scratch(pages.sparkSession, "warc")
     index, folder = write_archives(pages, scratch)
     return read_records(index, folder)

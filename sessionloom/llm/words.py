@@ -18,9 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text that are turned into numbers at once: they bound a worker's memory.
 SLICE_BYTES = 1 << 19
+#: Rows that Spark hands to a worker at once, at most: with texts of some KB Spark's own 10,000 fill a worker.
+BATCH_ROWS = 1000
 #: Places within a word whose values are kept in a table.
 PLACES = 64
 
@@ -115,6 +118,14 @@ def grams(numbers: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's rows in an Arrow batch to BATCH_ROWS; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(spark.conf.get(name))
+    if not 0 < given <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def released(work):
     """A function over Arrow batches that gives its memory back to the system at its end.
 
