@@ -46,6 +46,8 @@ PERCENT = 75
 SIGNATURE_LEAST = 0.55
 #: Members of a block of a node's partners, and members and shingles of one of an unfinished bucket, on average at most.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 96, 30_000
+#: Parts of a component that meet its least doc_id each by itself.
+SALTS = 16
 #: Bits of the filter that keeps most texts without candidates out of a shuffle: 4 MB at most.
 FILTER_BITS = 1 << 25
 
@@ -327,10 +329,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if more is not None:
         stars = components(stars.union(more), scratch)
 
-    rooted = known.join(stars.toDF("node", "root"), "node", "left").select("class_key", F.coalesce("root", "node").alias("root"))
-    owners = nodes.select("class_key", "doc_id").join(rooted, "class_key")
-    least = owners.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.save(rooted.join(least, "root").select("class_key", "component_id"), "named")
+    # Only nodes with links: all others are components of their own. A very large component is dealt into SALTS parts.
+    linked = stars.toDF("node", "root").union(stars.select("v", "v").distinct())
+    linked = scratch.save(linked.join(nodes.select("node", "doc_id"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")), "linked")
+    least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = nodes.select("node", "class_key", "doc_id").join(linked.join(least, ["root", "salt"]).select("node", "component_id"), "node", "left")
+    named = scratch.save(named.select("class_key", F.coalesce("component_id", "doc_id").alias("component_id")), "named")
     scratch.keep_only(sketches, several, named)
     rows = sketches.select("doc_id", "n_shingles", "class_key")
     if not several.isEmpty():
