@@ -7,11 +7,19 @@ probability of a word's class, then of the word within it; within the class of
 rare words that is the smoothed share by the counts, so the probabilities of
 all words and one unknown word sum to one.
 
+The recurrent unit is a minimal gated one: a gate and a candidate from the last
+two words, and a state that moves towards the candidate as far as the gate is
+open. No step multiplies matrices, so a window's gates are computed at once and
+the steps are a scan.
+
 Training is truncated back-propagation in numpy. A first model is fitted on
-SEED_DOCS documents; then every partition trains its own copy on all of its
-training documents, and the copies are averaged, weighted by their tokens. Scoring carries the state through a whole document: lanes of
-documents run side by side, each document after the other in its lane, and the
-state is reset at a document's start only.
+SEED_DOCS documents. Then all training documents, as the numbers of their
+words, are dealt by hash into parts of about PART_TOKENS tokens, whatever the
+cluster; every part trains its own copy on all of its documents in the order of
+doc_id, and the copies are averaged, weighted by their tokens, in groups of
+MEET. Scoring carries the state through a whole document: lanes of documents
+run side by side, each document after the other in its lane, and the state is
+reset at a document's start only.
 
 Counts of frequent words are sent to the tasks, at most SENT_WORDS of them;
 those of all others are joined.
@@ -22,7 +30,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +44,20 @@ from .words import SPACED, Words, bound_batches, released, sliced, utf8
 CLASS_WORDS, CLASSES = 50, 40
 VOCABULARY = CLASS_WORDS * CLASSES
 HIDDEN = 24
-#: Words whose counts go to all tasks, at most: 16 bytes each.
+#: Words whose counts go to all tasks, at most: 24 bytes each.
 SENT_WORDS = 400_000
-#: Documents of the first model, those with the least hash of doc_id.
-SEED_DOCS, SEED_EPOCHS = 300, 2
+#: Counts are told apart by so many steps to a doubling when the sent ones are chosen.
+COUNT_STEPS = 64
+#: Documents of the first model, those with the least hash of doc_id of at most so many bytes, and passes over them.
+SEED_DOCS, SEED_BYTES, SEED_EPOCHS = 300, 1 << 16, 2
+#: Tokens of a part, about; parts at most, beyond which they get larger.
+PART_TOKENS, MOST_PARTS = 1_000_000, 20_000
 #: Steps of back-propagation, lanes in training, lanes and steps at once in scoring.
-WINDOW, TRAIN_LANES, LANES, STEPS = 24, 32, 256, 64
-#: Models averaged in one task, at most about.
-MEET = 64
+WINDOW, TRAIN_LANES, LANES, STEPS = 48, 64, 256, 64
+#: Rates of the first model and of the parts.
+RATES = (5e-3, 3e-3)
+#: Models averaged in one task.
+MEET = 16
 #: The text's end, as a word's number; no word has it but by chance.
 END = np.uint64(0x5EED0E4D0FD0C5)
 SMOOTH = 0.1
@@ -105,6 +119,9 @@ class Lexicon:
     complete: bool
     rare_total: int = 0
     rare_distinct: int = 0
+    #: The model's words, sorted, and their ids.
+    model_words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    model_ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     @classmethod
     def of(cls, words: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> Lexicon:
@@ -115,8 +132,22 @@ class Lexicon:
         out = cls(words[by], counts[by], ids[by], total, distinct, len(words) == distinct)
         out.rare_total = total - int(counts[order].sum())
         out.rare_distinct = distinct - len(order)
+        out.model_words, out.model_ids = out.words[out.ids >= 0], out.ids[out.ids >= 0]
         return out
 
+    def coder(self) -> Lexicon:
+        """Only what gives words their ids."""
+        none = np.zeros(0, np.int64)
+        return Lexicon(np.zeros(0, np.uint64), none, none, self.total, self.distinct, False, model_words=self.model_words, model_ids=self.model_ids)
+
+    def code(self, numbers: np.ndarray) -> np.ndarray:
+        """Model ids (VOCABULARY: rare)."""
+        if not len(self.model_words):
+            return np.full(len(numbers), VOCABULARY, np.int16)
+        at = np.searchsorted(self.model_words, numbers)
+        at[at == len(self.model_words)] = 0
+        return np.where(self.model_words[at] == numbers, self.model_ids[at], VOCABULARY).astype(np.int16)
+
     def look(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts (-1: not here) and model ids (VOCABULARY: rare)."""
         if not len(self.words):
@@ -144,10 +175,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Gates in the order update, reset, candidate; the last word id stands for rare words."""
+    """``x`` and ``y`` hold what the last and the second last word give to the gate and to the candidate; the last id stands for rare words."""
 
     SHAPES = {
-        "x": (VOCABULARY + 1, 3 * HIDDEN), "u": (HIDDEN, 2 * HIDDEN), "v": (HIDDEN, HIDDEN),
+        "x": (VOCABULARY + 1, 2 * HIDDEN), "y": (VOCABULARY + 1, 2 * HIDDEN),
         "c": (HIDDEN, CLASSES + 1), "cb": (CLASSES + 1,), "w": (CLASSES, HIDDEN, CLASS_WORDS), "wb": (CLASSES, CLASS_WORDS),
     }
 
@@ -171,35 +202,22 @@ class Network:
         mass = np.append(byc.sum(axis=1), lexicon.rare_total + SMOOTH)
         self.cb[:] = np.log(mass / mass.sum())
 
-    def run(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
+    def run(self, last: np.ndarray, second: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
         """States before each word (steps, lanes, HIDDEN), and the last one.
 
-        ``ids`` are the words read before each step, ``fresh`` marks starts.
+        ``last`` and ``second`` are the words read before each step, ``fresh``
+        marks starts, ``h`` is the state so far.
         """
-        steps, lanes = ids.shape
-        states = np.empty((steps, lanes, HIDDEN), np.float32)
-        tape = []
-        for t in range(steps):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            x = self.x[ids[t]]
-            g = h @ self.u
-            g += x[:, : 2 * HIDDEN]
-            _sigmoid(g)
-            z, r = g[:, :HIDDEN], g[:, HIDDEN:]
-            rh = r * h
-            c = rh @ self.v
-            c += x[:, 2 * HIDDEN :]
-            np.tanh(c, out=c)
-            if keep:
-                tape.append((h, z, r, rh, c))
-                h = h + z * (c - h)
-            else:
-                c -= h
-                c *= z
-                h = c + h
-            states[t] = h
-        return (states, h, tape) if keep else (states, h)
+        g = self.x[last]
+        g += self.y[second]
+        gate, candidate = _sigmoid(g[..., :HIDDEN].copy()), np.tanh(g[..., HIDDEN:])
+        held = 1 - gate
+        held[fresh] = 0
+        states = gate * candidate
+        for t in range(len(last)):
+            states[t] += held[t] * h
+            h = states[t]
+        return (states, h, (gate, candidate, held)) if keep else (states, h)
 
     def log_p(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural logarithms of the words' probabilities; of a rare word, that of its class."""
@@ -223,10 +241,10 @@ class Network:
                 out[at] -= np.log(inner.sum(axis=1))
         return out
 
-    def gradients(self, ids: np.ndarray, words: np.ndarray, mask: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[Network, np.ndarray]:
+    def gradients(self, last: np.ndarray, second: np.ndarray, words: np.ndarray, mask: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[Network, np.ndarray]:
         """Of the mean loss of a window, and the state after it."""
-        steps, lanes = ids.shape
-        states, last, tape = self.run(ids, fresh, h, keep=True)
+        steps, lanes = last.shape
+        states, end, (gate, candidate, held) = self.run(last, second, fresh, h, keep=True)
         g = Network(np.zeros_like(self.flat))
         flat = states.reshape(-1, HIDDEN)
         at = np.flatnonzero(mask.ravel())
@@ -255,37 +273,23 @@ class Network:
             g.w[c] = s[part].T @ q[part]
             g.wb[c] = q[part].sum(axis=0)
             ds[part] += q[part] @ self.w[c].T
-        dstates = np.zeros_like(flat)
-        dstates[at] = ds
-        dstates = dstates.reshape(steps, lanes, HIDDEN)
-        before, z, r, rh, c = (np.stack(x) for x in zip(*tape, strict=True))
-        # What does not depend on later steps, for all steps at once.
-        by_c, by_z, by_r, left = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r), 1 - z
-        dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-        dz, dr, dg, dc = dx[..., :HIDDEN], dx[..., HIDDEN : 2 * HIDDEN], dx[..., : 2 * HIDDEN], dx[..., 2 * HIDDEN :]
-        ut, vt = self.u.T.copy(), self.v.T.copy()
-        starts = fresh.any(axis=1)
-        dh = np.zeros((lanes, HIDDEN), np.float32)
-        for t in range(steps - 1, -1, -1):
-            dh += dstates[t]
-            np.multiply(dh, by_c[t], out=dc[t])
-            drh = dc[t] @ vt
-            np.multiply(dh, by_z[t], out=dz[t])
-            np.multiply(drh, by_r[t], out=dr[t])
-            dh *= left[t]
-            drh *= r[t]
-            dh += drh
-            dh += dg[t] @ ut
-            if starts[t]:
-                dh[fresh[t]] = 0
-        wide = dx.reshape(-1, 3 * HIDDEN)
-        g.v[:] = rh.reshape(-1, HIDDEN).T @ wide[:, 2 * HIDDEN :]
-        g.u[:] = before.reshape(-1, HIDDEN).T @ wide[:, : 2 * HIDDEN]
-        which, rows = ids.ravel(), dx.reshape(-1, 3 * HIDDEN)
-        order = np.argsort(which, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(which[order]) > 0))
-        g.x[which[order][first]] = np.add.reduceat(rows[order], first, axis=0)
-        return g, last
+        down = np.zeros_like(flat)
+        down[at] = ds
+        down = down.reshape(steps, lanes, HIDDEN)
+        for t in range(steps - 2, -1, -1):
+            down[t] += down[t + 1] * held[t + 1]
+        before = np.concatenate([h[None], states[:-1]])
+        before[fresh] = 0
+        into = np.empty((steps, lanes, 2 * HIDDEN), np.float32)
+        np.multiply(down, (candidate - before) * gate * (1 - gate), out=into[..., :HIDDEN])
+        np.multiply(down, gate * (1 - candidate * candidate), out=into[..., HIDDEN:])
+        rows = into.reshape(-1, 2 * HIDDEN)
+        for table, ids in ((g.x, last.ravel()), (g.y, second.ravel())):
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            table[ids[first]] = np.add.reduceat(rows[order], first, axis=0)
+        return g, end
 
 
 def laned(lengths: list[int], lanes: int) -> list[list[int]]:
@@ -299,11 +303,11 @@ def laned(lengths: list[int], lanes: int) -> list[list[int]]:
     return out
 
 
-def _grid(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(steps, lanes) arrays: words read before, words to come, row (-1: none) and starts."""
+def _grid(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, ...]:
+    """(steps, lanes) arrays: the last and the second last word read, the word to come, row (-1: none) and starts."""
     plan = laned([len(x) for x in texts], lanes)
     steps = max((sum(len(texts[i]) for i in lane) for lane in plan), default=0)
-    words = np.full((len(plan), steps), VOCABULARY, np.int32)
+    words = np.full((len(plan), steps), VOCABULARY, np.int16)
     row = np.full((len(plan), steps), -1, np.int32)
     fresh = np.zeros((len(plan), steps), bool)
     for k, lane in enumerate(plan):
@@ -314,11 +318,14 @@ def _grid(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray,
             row[k, at : at + n] = i
             fresh[k, at] = True
             at += n
-    before = np.empty_like(words)
-    before[:, 1:] = words[:, :-1]
-    before[fresh] = VOCABULARY
-    before[:, :1] = VOCABULARY
-    return before.T.copy(), words.T.copy(), row.T.copy(), fresh.T.copy()
+    def before(x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        out[:, 1:] = x[:, :-1]
+        out[:, :1] = out[fresh] = VOCABULARY
+        return out
+
+    last = before(words)
+    return tuple(x.T.copy() for x in (last, before(last), words, row, fresh))
 
 
 class Trainer:
@@ -329,11 +336,11 @@ class Trainer:
         self.m, self.v, self.spare = (np.zeros_like(network.flat) for _ in range(3))
 
     def learn(self, texts: list[np.ndarray]) -> None:
-        before, words, row, fresh = _grid(texts, TRAIN_LANES)
-        h = np.zeros((before.shape[1], HIDDEN), np.float32)
-        for a in range(0, len(before), WINDOW):
+        last, second, words, row, fresh = _grid(texts, TRAIN_LANES)
+        h = np.zeros((last.shape[1], HIDDEN), np.float32)
+        for a in range(0, len(last), WINDOW):
             z = a + WINDOW
-            g, h = self.network.gradients(before[a:z], words[a:z], row[a:z] >= 0, fresh[a:z], h)
+            g, h = self.network.gradients(last[a:z], second[a:z], words[a:z], row[a:z] >= 0, fresh[a:z], h)
             g = g.flat
             norm = math.sqrt(float(g @ g))
             if norm > 1:
@@ -355,91 +362,106 @@ class Trainer:
             self.network.flat -= spare
 
 
-def _model_ids(texts: list[np.ndarray], lexicon: Lexicon) -> list[np.ndarray]:
-    if not texts:
-        return []
-    ids = lexicon.look(np.concatenate(texts))[1].astype(np.int32)
-    return np.split(ids, np.cumsum([len(x) for x in texts])[:-1])
-
-
-def _grouped(texts: Iterator[np.ndarray], most: int) -> Iterator[list[np.ndarray]]:
-    """All texts in order, in groups of about ``most`` tokens."""
+def _grouped(texts: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
+    """All rows (key, …, tokens) in order, in runs of one key and of at most ``most`` tokens; a longer text stands alone."""
     held, n = [], 0
-    for text in texts:
-        held.append(text)
-        n += len(text)
-        if n >= most:
+    for row in texts:
+        if held and (row[0] != held[-1][0] or n + len(row[-1]) > most):
             yield held
             held, n = [], 0
+        held.append(row)
+        n += len(row[-1])
     if held:
         yield held
 
 
+def _coded(sent):
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = sent.value
+        for batch in batches:
+            ids = [lexicon.code(x).tobytes() for x in tokens(batch.column(2))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+
+    return code
+
+
 def _refined(sent):
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, flat = sent.value
-        network = Network(flat.copy())
-        trainer, n = Trainer(network, 1e-3), 0
-        for batch in batches:
-            for texts in _grouped(tokens(batch.column(0)), TRAIN_TOKENS):
-                trainer.learn(_model_ids(texts, lexicon))
-                n += sum(map(len, texts))
-        if n:
-            part = TaskContext.get().partitionId()
-            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([float(n)], pa.float64()), pa.array([network.flat.tobytes()], pa.binary())], names=["part", "weight", "model"])
+        flat = sent.value
+        rows = ((part, np.frombuffer(ids.as_buffer(), np.int16)) for batch in batches for part, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        now, trainer, n = None, None, 0
+
+        def model() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([now], pa.int64()), pa.array([float(n)], pa.float64()), pa.array([trainer.network.flat.tobytes()], pa.binary())], names=["part", "weight", "model"])
+
+        for group in _grouped(rows, TRAIN_TOKENS):
+            if group[0][0] != now:
+                if trainer is not None:
+                    yield model()
+                now, trainer, n = group[0][0], Trainer(Network(flat.copy()), RATES[1]), 0
+            trainer.learn([x for _, x in group])
+            n += sum(len(x) for _, x in group)
+        if trainer is not None:
+            yield model()
 
     return refine
 
 
 def _averaged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, weight = None, 0.0
-    for batch in batches:
-        for w, m in zip(batch.column("weight").to_pylist(), batch.column("model").to_pylist(), strict=True):
-            x = np.frombuffer(m, np.float32) * np.float64(w)
-            total, weight = (x if total is None else total + x), weight + w
+    rows = sorted(((p, w, m) for b in batches for p, w, m in zip(*(b.column(c).to_pylist() for c in ("part", "weight", "model")), strict=True)), key=lambda r: r[0])
+    weight = sum(w for _, w, _ in rows)
+    total = sum(np.frombuffer(m, np.float32) * w for _, w, m in rows)
     yield pa.record_batch([pa.array([key[0].as_py()], pa.int64()), pa.array([weight], pa.float64()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["part", "weight", "model"])
 
 
 def count_words(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Lexicon]:
-    """(word, n) over all texts as a table, and what is sent of it."""
+    """(word, n) over all texts as a table, and what is sent of it: the most frequent words, SENT_WORDS at most.
+
+    They are found from how many words have a count within each step; the steps
+    grow with the count, so they are few whatever the corpus. Words of the
+    step that would go over the bound are joined, as all rarer ones.
+    """
     counts = scratch.save(docs.select("text").mapInArrow(released(_counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    # The least count whose words are few enough to send; found from how many words have each count.
-    least, seen = 1, 0
-    for r in counts.groupBy(F.least("n", F.lit(5000)).alias("n")).agg(F.count("*").alias("v")).orderBy(F.desc("n")).collect():
+    step = F.floor(F.log2("n") * COUNT_STEPS)
+    least, seen = 0, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("v")).orderBy(F.desc("step")).collect():
         seen += r["v"]
         if seen > SENT_WORDS:
-            least = r["n"] + 1
+            least = r["step"] + 1
             break
-    got = counts.where(F.col("n") >= least).toArrow()
+    got = counts.where(step >= least).toArrow()
     words = got["word"].to_numpy().view(np.uint64) if len(got) else np.zeros(0, np.uint64)
     return counts, Lexicon.of(words, got["n"].to_numpy() if len(got) else np.zeros(0, np.int64), sums["n"] or 0, sums["v"])
 
 
 def train(docs: DataFrame, lexicon: Lexicon, scratch: Scratch) -> Network:
-    """The averaged network from training documents (doc_id, text)."""
-    network = Network()
+    """The averaged network from training documents (doc_id, text).
+
+    A document's part depends on its doc_id and text and on the number of
+    tokens only, so the network does not depend on how rows are partitioned.
+    """
+    spark, network = docs.sparkSession, Network()
     network.start(lexicon)
-    seed = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SEED_DOCS)
-    rows = docs.join(F.broadcast(seed), "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    texts = [t for c in rows["text"].chunks for t in _model_ids(list(tokens(c)), lexicon)]
-    if not texts:
-        return network
-    trainer = Trainer(network, 3e-3)
-    for _ in range(SEED_EPOCHS):
-        trainer.learn(texts)
-    sent = docs.sparkSession.sparkContext.broadcast((lexicon, network.flat))
-    models = scratch.save(docs.select("text").mapInArrow(released(_refined(sent)), "part long, weight double, model binary"), "models")
-    n = models.count()
-    while n > MEET:
+    seed = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") <= SEED_BYTES)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SEED_DOCS)
+    rows = docs.join(F.broadcast(seed), "doc_id").where(F.octet_length("text") <= SEED_BYTES).groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()
+    texts = [lexicon.code(t) for c in rows["text"].chunks for t in tokens(c)]
+    if texts:
+        trainer = Trainer(network, RATES[0])
+        for _ in range(SEED_EPOCHS):
+            trainer.learn(texts)
+    n = parts = max(1, min(MOST_PARTS, -(-lexicon.total // PART_TOKENS)))
+    coder, start = (spark.sparkContext.broadcast(x) for x in (lexicon.coder(), network.flat))
+    coded = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"), "doc_id", "text").mapInArrow(released(_coded(coder)), "part int, doc_id long, ids binary")
+    dealt = coded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "ids").select("part", "ids")
+    models = scratch.save(dealt.mapInArrow(released(_refined(start)), "part long, weight double, model binary"), "models")
+    while n > 1:
         n = -(-n // MEET)
-        old, models = models, scratch.save(models.withColumn("part", F.pmod("part", F.lit(n))).groupBy("part").applyInArrow(_averaged, "part long, weight double, model binary"), "models")
+        group = (F.col("part") % n).alias("group")
+        old, models = models, scratch.save(models.groupBy(group).applyInArrow(_averaged, "part long, weight double, model binary"), "models")
         scratch.drop(old)
-    rows = models.orderBy("part").collect()
-    if rows:
-        flat = sum(np.frombuffer(r["model"], np.float32) * r["weight"] for r in rows) / sum(r["weight"] for r in rows)
-        network = Network(flat)
-    return network
+    row = models.first()
+    return Network(np.frombuffer(row["model"], np.float32)) if row else network
 
 
 def score_rows(network: Network, lexicon: Lexicon, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -448,7 +470,7 @@ def score_rows(network: Network, lexicon: Lexicon, texts: list[np.ndarray]) -> t
     lengths = np.array([len(x) for x in texts])
     row = np.repeat(np.arange(count, dtype=np.int32), lengths)
     sums = np.zeros((4, count))
-    ids = np.empty(len(row), np.int32)
+    ids = np.empty(len(row), np.int16)
     away_rows, away_words = [], []
     numbers = np.concatenate(texts)
     for a in range(0, len(row), LOOK_TOKENS):
@@ -464,10 +486,10 @@ def score_rows(network: Network, lexicon: Lexicon, texts: list[np.ndarray]) -> t
     known, base, score, found = sums
     base = base - found * np.log10(lexicon.total + SMOOTH * (lexicon.distinct + 1))
     del numbers, row
-    before, words, of, fresh = _grid(np.split(ids, np.cumsum(lengths)[:-1]), LANES)
-    h = np.zeros((before.shape[1], HIDDEN), np.float32)
-    for a in range(0, len(before), STEPS):
-        states, h = network.run(before[a : a + STEPS], fresh[a : a + STEPS], h)
+    last, second, words, of, fresh = _grid(np.split(ids, np.cumsum(lengths)[:-1]), LANES)
+    h = np.zeros((last.shape[1], HIDDEN), np.float32)
+    for a in range(0, len(last), STEPS):
+        states, h = network.run(last[a : a + STEPS], second[a : a + STEPS], fresh[a : a + STEPS], h)
         r = of[a : a + STEPS].ravel()
         at = np.flatnonzero(r >= 0)
         p = network.log_p(states.reshape(-1, HIDDEN)[at], words[a : a + STEPS].ravel()[at])
@@ -485,19 +507,15 @@ def _scored(sent):
         lexicon, flat = sent.value
         network, done = Network(flat), TaskContext.get().partitionId() << 36
         kind = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
-        for batch in batches:
-            texts = list(tokens(batch.column(2)))
-            ends = np.cumsum([len(x) for x in texts])
-            lo = 0
-            while lo < len(texts):
-                before = ends[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, before + GROUP_TOKENS, side="right")))
-                n, known, base, score, row, word, times = score_rows(network, lexicon, texts[lo:hi])
-                cuts = np.searchsorted(row, np.arange(hi - lo + 1))
-                away = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(word.view(np.int64)), pa.array(times.astype(np.int64))], ["word", "n"])).cast(kind)
-                ids, held = (batch.column(k).slice(lo, hi - lo) for k in (0, 1))
-                yield pa.record_batch([pa.array(np.arange(done, done + hi - lo)), ids, held, pa.array(n), pa.array(known), pa.array(base), pa.array(score), away], names=[x.split()[0] for x in PARTIAL.split(", ")[:8]])
-                done, lo = done + hi - lo, hi
+        # Groups run over batches, so that lanes are long.
+        rows = ((None, (k, h), x) for b in batches for k, h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), tokens(b.column(2)), strict=True))
+        for group in _grouped(rows, GROUP_TOKENS):
+            n, known, base, score, row, word, times = score_rows(network, lexicon, [x for *_, x in group])
+            cuts = np.searchsorted(row, np.arange(len(group) + 1))
+            away = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(word.view(np.int64)), pa.array(times.astype(np.int64))], ["word", "n"])).cast(kind)
+            ids, held = pa.array([r[0] for _, r, _ in group], pa.int64()), pa.array([r[1] for _, r, _ in group], pa.bool_())
+            yield pa.record_batch([pa.array(np.arange(done, done + len(group))), ids, held, pa.array(n), pa.array(known), pa.array(base), pa.array(score), away], names=[x.split()[0] for x in PARTIAL.split(", ")[:8]])
+            done += len(group)
 
     return score
 

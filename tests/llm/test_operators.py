@@ -465,39 +465,84 @@ def test_language_model(spark, awkward, nothing, monkeypatch, sent):
         assert lm.score_documents(nothing).count() == 0
 
 
-@pytest.mark.parametrize("most", [lm.TRAIN_TOKENS, 100])
-def test_all_training_documents_train(spark, monkeypatch, most):
-    monkeypatch.setattr(lm, "TRAIN_TOKENS", most)
-    docs = spark.createDataFrame([(i if i % 9 else None, prose(40, 400 + i)) for i in range(90)], "doc_id long, text string").repartition(3)
-    scratch, weights = Scratch(spark, "lm"), []
-    save = scratch.save
-
-    def kept(df, name):
-        out = save(df, name)
+def brute_score(network, lexicon, counts, text):
+    """A text's log10 probability, word by word and with plain loops."""
+    ids = dict(zip(lexicon.model_words.tolist(), lexicon.model_ids.tolist(), strict=True))
+    h, last, second, out = [0.0] * lm.HIDDEN, lm.VOCABULARY, lm.VOCABULARY, 0.0
+    for k, number in enumerate(next(lm.tokens(pa.array([text]))).tolist()):
+        g = [float(a) + float(b) for a, b in zip(network.x[last], network.y[second], strict=True)]
+        for i in range(lm.HIDDEN):
+            gate, candidate = 1 / (1 + math.exp(-g[i])), math.tanh(g[lm.HIDDEN + i])
+            h[i] = (h[i] * (1 - gate) if k else 0.0) + gate * candidate
+        word = ids.get(number, lm.VOCABULARY)
+        group = min(word // lm.CLASS_WORDS, lm.CLASSES)
+        share = lambda logits, at: logits[at] - math.log(sum(math.exp(x) for x in logits))
+        out += share([float(np.dot(h, network.c[:, j])) + float(network.cb[j]) for j in range(lm.CLASSES + 1)], group) / math.log(10)
+        if group < lm.CLASSES:
+            out += share([float(np.dot(h, network.w[group][:, j])) + float(network.wb[group][j]) for j in range(lm.CLASS_WORDS)], word % lm.CLASS_WORDS) / math.log(10)
+        else:
+            out += math.log10((counts.get(number, 0) + 0.1) / (lexicon.rare_total + 0.1 * (lexicon.rare_distinct + 1)))
+        last, second = word, last
+    return out
+
+
+def many_documents(spark):
+    rows = [(i if i % 9 else None, prose(40 + i % 7, 400 + i) + f" w{i}") for i in range(150)]
+    return spark.createDataFrame([*rows, (1000, prose(900, 5)), (1001, ""), (1002, None), (5, "again five")], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("tokens_", [(lm.PART_TOKENS, lm.TRAIN_TOKENS, lm.GROUP_TOKENS), (500, 300, 700)])
+def test_model_scores(spark, monkeypatch, tokens_):
+    """Against brute force; however the rows lie; and all training documents teach, each in one part."""
+    for name, n in zip(("PART_TOKENS", "TRAIN_TOKENS", "GROUP_TOKENS"), tokens_, strict=True):
+        monkeypatch.setattr(lm, name, n)
+    docs = many_documents(spark)
+    text_of = {(r["doc_id"], len(spaced(r["text"])) + 1): r["text"] for r in docs.where("doc_id is not null").collect()}
+    weights, save = [], Scratch.save
+
+    def kept(self, df, name):
+        out = save(self, df, name)
         if name == "models":
-            weights.append(sum(r["weight"] for r in out.collect()))
+            weights.append((out.count(), sum(r["weight"] for r in out.collect())))
         return out
 
-    monkeypatch.setattr(scratch, "save", kept)
-    _, lexicon = lm.count_words(docs, scratch)
-    lm.train(docs, lexicon, scratch)
-    assert weights == [lexicon.total] == [90 * 41]
+    monkeypatch.setattr(Scratch, "save", kept)
+    one = {(r["doc_id"], r["n_tokens"]): (r["score"], r["train_tokens"]) for r in lm.score_documents(docs.coalesce(1)).where("doc_id is not null").collect()}
+    many = {(r["doc_id"], r["n_tokens"]): (r["score"], r["train_tokens"]) for r in lm.score_documents(docs.repartition(8)).where("doc_id is not null").collect()}
+    assert one.keys() == many.keys() == text_of.keys() and all(abs(one[k][0] - many[k][0]) < 1e-3 for k in one)
+    total = one[1000, 901][1]
+    assert weights[0] == (-(-total // tokens_[0]), total) and weights[-1][0] == 1
+    held = F.coalesce(lm.fold(F.col("doc_id"), 10) == 0, F.lit(False))
+    training, scratch = docs.where(~held), Scratch(spark, "lm")
+    table, lexicon = lm.count_words(training, scratch)
+    counts = {r["word"] % (1 << 64): r["n"] for r in table.collect()}
+    network = lm.train(training, lexicon, scratch)
+    for key, text in text_of.items():
+        assert abs(brute_score(network, lexicon, counts, text) - one[key][0]) < 1e-3 * key[1] + 1e-3
+
+
+def test_sent_counts_are_bounded(spark, monkeypatch):
+    """Even if all frequent words have one count."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(50))) for i in range(8)], "doc_id long, text string")
+    for most, sent in ((1000, 51), (51, 51), (50, 0)):
+        monkeypatch.setattr(lm, "SENT_WORDS", most)
+        assert len(lm.count_words(docs, Scratch(spark, "lm"))[1].words) == sent
 
 
 def test_gradients():
     r = np.random.default_rng(0)
     net = lm.Network(seed=1)
     net.flat *= 4
-    ids, ys = (r.integers(0, lm.VOCABULARY + 1, (5, 3)) for _ in range(2))
+    last, second, ys = (r.integers(0, lm.VOCABULARY + 1, (5, 3)) for _ in range(3))
     mask, fresh = r.random((5, 3)) < 0.8, np.zeros((5, 3), bool)
-    fresh[0] = fresh[3, 1] = True
-    h = np.zeros((3, lm.HIDDEN), np.float32)
+    fresh[0, :2] = fresh[3, 1] = True
+    h = r.normal(size=(3, lm.HIDDEN)).astype(np.float32)
 
     def loss(flat):
-        states, _ = lm.Network(flat).run(ids, fresh, h)
+        states, _ = lm.Network(flat).run(last, second, fresh, h)
         return -lm.Network(flat).log_p(states.reshape(-1, lm.HIDDEN)[mask.ravel()], ys.ravel()[mask.ravel()]).mean()
 
-    g, _ = net.gradients(ids, ys, mask, fresh, h)
+    g, _ = net.gradients(last, second, ys, mask, fresh, h)
     direction = g.flat / np.sqrt((g.flat**2).sum())
     eps = 1e-2
     slope = (loss(net.flat + eps * direction) - loss(net.flat - eps * direction)) / (2 * eps)
