@@ -2,10 +2,12 @@
 
 A text is cut, losing nothing, after blank lines into sections, after line ends
 into paragraphs, and into pieces of up to four words, the leaves. A paragraph's
-digest is of its leaves', a section's of its paragraphs', the root of the
-sections'. The fingerprint writes the tree down: ``root|section(paragraph:leaves)``.
-Equal roots mean equal texts; where roots differ, only branches whose digests
-differ have to be followed to find the edit. DataFrame expressions only.
+digest is SHA-256 of its text, a section's of its paragraphs' digests, the root
+of the sections'. So equal roots mean equal texts, up to a collision of
+SHA-256. The fingerprint writes the tree down: ``root|section(paragraph:leaves)``,
+inner digests and leaves shortened; they serve to follow differing branches
+only. Where roots differ, branches that both sides have are passed over by their
+digests, and leaves are compared within the others. DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -35,36 +37,70 @@ def _leaf(piece: Column) -> Column:
     return F.substring(F.lpad(F.lower(F.hex(F.xxhash64(piece))), 16, "0"), 1, LEAF)
 
 
+def _digest(c: Column) -> Column:
+    return F.sha2(c.cast("binary"), 256)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; a null text counts as empty."""
     text = F.coalesce(text, F.lit(""))
     pieces = lambda p: F.when(F.length(p) < SHORT, F.regexp_extract_all(p, F.lit("(?s).{1,4}"), 0)).otherwise(F.regexp_extract_all(p, F.lit(_PIECES), 0))
-    paragraph = lambda p: F.transform(pieces(p), _leaf)
-    leaves = lambda p: F.array_join(paragraph(p), "")
-    named = lambda x: F.concat(F.substring(F.sha2(x.cast("binary"), 256), 1, PARAGRAPH), F.lit(":"), x)
-    section = lambda s: F.array_join(F.transform(F.transform(F.split(s, _PARAGRAPHS, -1), leaves), named), ",")
-    inner = F.transform(
-        F.transform(F.split(text, _SECTIONS, -1), section),
-        lambda s: F.concat(F.substring(F.sha2(F.regexp_replace(s, r":[0-9a-f]*", "").cast("binary"), 256), 1, SECTION), F.lit("("), s, F.lit(")")),
-    )
-    tree = F.array_join(inner, ";")
-    return F.concat(F.sha2(F.regexp_replace(tree, r"\([^)]*\)", "").cast("binary"), 256), F.lit("|"), tree)
+    leaves = lambda p: F.array_join(F.transform(pieces(p), _leaf), "")
+    paragraph = lambda p: F.struct(_digest(p).alias("d"), leaves(p).alias("t"))
+    # A letter keeps the digests of inner nodes apart from those of texts.
+    above = lambda name, nodes: _digest(F.concat(F.lit(name), F.array_join(F.transform(nodes, lambda x: x["d"]), "")))
+    written = lambda nodes, n, before, after, sep: F.array_join(
+        F.transform(nodes, lambda x: F.concat(F.substring(x["d"], 1, n), F.lit(before), x["t"], F.lit(after))), sep)
+    paragraphs = F.transform(F.split(text, _SECTIONS, -1), lambda s: F.transform(F.split(s, _PARAGRAPHS, -1), paragraph))
+    sections = F.transform(paragraphs, lambda ps: F.struct(above("S", ps).alias("d"), written(ps, PARAGRAPH, ":", "", ",").alias("t")))
+    return _bound(sections, lambda ss: F.concat(above("R", ss), F.lit("|"), written(ss, SECTION, "(", ")", ";")))
+
 
+def _sections(fp: Column) -> Column:
+    return F.split(F.substring_index(fp, "|", -1), ";")
 
-def leaves_of(fp: Column) -> Column:
-    """The distinct leaf digests that a fingerprint lists."""
-    runs = F.regexp_extract_all(fp, F.lit(r":([0-9a-f]+)"), 1)
-    return F.array_distinct(F.regexp_extract_all(F.array_join(runs, ""), F.lit("[0-9a-f]{8}"), 0))
+
+def _paragraphs(sections: Column) -> Column:
+    return F.flatten(F.transform(sections, lambda s: F.split(F.regexp_extract(s, r"\((.*)\)", 1), ",")))
+
+
+def _leaves(paragraphs: Column) -> Column:
+    """The distinct leaves of paragraphs as a fingerprint writes them."""
+    return F.array_distinct(F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(F.substr(p, F.lit(PARAGRAPH + 2)), F.lit("[0-9a-f]{8}"), 0))))
+
+
+def _weight(branches: Column) -> Column:
+    """How many leaves there are in all under branches: sections, or paragraphs."""
+    letters = lambda b: F.length(F.regexp_replace(b, f"^[0-9a-f]{{{SECTION}}}\\(|[0-9a-f]{{{PARAGRAPH}}}:|[,)]", ""))
+    return F.aggregate(branches, F.lit(0), lambda n, b: n + letters(b)) / F.lit(LEAF)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 for two fingerprints: twice the shared leaves over all leaves; equal ones give 1."""
-    return F.when(a == b, F.lit(1.0)).otherwise(_dice(leaves_of(a), leaves_of(b)))
+    """0 to 1 for two fingerprints: twice the shared leaves over all leaves; equal ones give 1.
 
+    The trees are walked from the top: sections that both have count whole, then
+    paragraphs that both have within the other sections, then the distinct
+    leaves of what is left.
+    """
+    def from_leaves(shared: Column, x: Column, y: Column) -> Column:
+        both = shared + F.size(F.array_intersect(x, y))
+        n = 2 * shared + F.size(x) + F.size(y)
+        return F.when(n == 0, F.lit(1.0)).otherwise(2.0 * both / n)
 
-def _dice(x: Column, y: Column) -> Column:
-    n = F.size(x) + F.size(y)
-    return F.when(n == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / n)
+    def from_paragraphs(shared: Column, x: Column, y: Column) -> Column:
+        rest = F.struct((shared + _weight(F.array_intersect(x, y))).alias("n"), _leaves(F.array_except(x, y)).alias("x"), _leaves(F.array_except(y, x)).alias("y"))
+        return _bound(rest, lambda r: from_leaves(r["n"], r["x"], r["y"]))
+
+    def from_sections(x: Column, y: Column) -> Column:
+        rest = F.struct(_weight(F.array_intersect(x, y)).alias("n"), _paragraphs(F.array_except(x, y)).alias("x"), _paragraphs(F.array_except(y, x)).alias("y"))
+        return _bound(rest, lambda r: from_paragraphs(r["n"], r["x"], r["y"]))
+
+    return F.when(a == b, F.lit(1.0)).otherwise(_bound(F.struct(_sections(a).alias("x"), _sections(b).alias("y")), lambda s: from_sections(s["x"], s["y"])))
 
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
@@ -72,13 +108,11 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
 
     Sections that both have are passed over by their digest.
     """
-    sections = lambda fp: F.split(F.substring_index(fp, "|", -1), ";")
-    known = F.transform(sections(a), lambda s: F.substring(s, 1, SECTION))
-    paragraphs = F.flatten(F.transform(sections(a), lambda s: F.transform(F.split(F.regexp_extract(s, r"\((.*)\)", 1), ","), lambda p: F.substring(p, 1, PARAGRAPH))))
+    known = F.transform(_sections(a), lambda s: F.substring(s, 1, SECTION))
+    paragraphs = F.transform(_paragraphs(_sections(a)), lambda p: F.substring(p, 1, PARAGRAPH))
     place = lambda s, i: F.transform(
-        F.split(F.regexp_extract(s, r"\((.*)\)", 1), ","),
-        lambda p, j: F.when(~F.array_contains(paragraphs, F.substring(p, 1, PARAGRAPH)), F.struct(i.alias("section"), j.alias("paragraph"))))
-    found = F.transform(sections(b), lambda s, i: F.when(~F.array_contains(known, F.substring(s, 1, SECTION)), place(s, i)).otherwise(F.array().cast("array<struct<section:int,paragraph:int>>")))
+        _paragraphs(F.array(s)), lambda p, j: F.when(~F.array_contains(paragraphs, F.substring(p, 1, PARAGRAPH)), F.struct(i.alias("section"), j.alias("paragraph"))))
+    found = F.transform(_sections(b), lambda s, i: F.when(~F.array_contains(known, F.substring(s, 1, SECTION)), place(s, i)).otherwise(F.array().cast("array<struct<section:int,paragraph:int>>")))
     return F.filter(F.flatten(found), lambda x: x.isNotNull())
 
 
@@ -102,31 +136,56 @@ def _part(cuts: list[int]) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["lo"])
 
 
+#: Numbers of parts of one cut: more than any id is dealt into.
+_WITHIN = 1 << 20
+
+
+def _dealt(rows: DataFrame, part_rows: int) -> DataFrame:
+    """``rows`` (doc_id, text_hash) with ``part``, which ascends with doc_id and then text_hash.
+
+    The bounds are quantiles of all ids. An id that is several quantiles at
+    once, or null, has so many rows that they are dealt further by their hash.
+    """
+    sizes = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    parts = max(1, min(MOST_PARTS, -(-sizes["n"] // part_rows)))
+    at: list[int] = []
+    if parts > 1:
+        at = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0] or []
+    cuts = sorted(set(at))
+    place = F.col("text_hash") / F.lit(2.0**64) + F.lit(0.5)
+    within = lambda times: F.least(F.floor(place * times), times - 1)
+    none = F.lit(max(1, -(-(sizes["n"] - sizes["known"]) // part_rows)))
+    first, own = _part(cuts), F.lit(_WITHIN - 1)
+    if cuts:
+        times, held = (F.array(*[F.lit(x) for x in xs]) for xs in ([at.count(c) for c in cuts] if len(at) > len(cuts) else [1] * len(cuts), cuts))
+        # Rows of the cut's own id stand before all others of its part.
+        own = F.when(F.get(held, first - 1) == F.col("doc_id"), within(F.get(times, first - 1))).otherwise(own)
+    part = F.when(F.col("doc_id").isNull(), within(none) - F.lit(_WITHIN)).otherwise(first * F.lit(_WITHIN) + own)
+    return rows.withColumn("part", part.cast("long"))
+
+
 def with_next(docs: DataFrame, scratch: Scratch, part_rows: int = PART_ROWS) -> DataFrame:
-    """doc_id, text and next_text, the text of the next row by ascending doc_id (after the last: the first).
+    """doc_id, text, fingerprint and next_text and next_fingerprint, those of the next row by ascending doc_id (after the last: the first).
 
-    Rows are dealt by parts of the id range, whose bounds are quantiles of all
-    ids, and a row's next is found within its part. The last row of a part
-    takes the first of the following part, from a table of one row per part.
+    Rows are dealt by parts of the id range, and a row's next is found within
+    its part. The last row of a part takes the first of the following part,
+    from a table of one row per part.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
-    parts = max(1, min(MOST_PARTS, -(-n // part_rows)))
-    cuts: list[int] = []
-    if parts > 1:
-        at = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0]
-        cuts = sorted(set(at or []))
-    # A null doc_id sorts before all others.
-    part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_part(cuts)).cast("int")
-    dealt = rows.withColumn("part", part)
-    order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    firsts = scratch.save(dealt.groupBy("part").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text")), "firsts")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    dealt = _dealt(rows, part_rows)
+    firsts = dealt.groupBy("part").agg(F.min_by("text", F.struct("doc_id", "text_hash", "text")).alias("text"))
+    firsts = scratch.save(firsts.withColumn("fingerprint", fingerprint(F.col("text"))), "firsts")
     present = sorted(r["part"] for r in firsts.select("part").collect())
-    follows = spark.createDataFrame([(p, present[(i + 1) % len(present)]) for i, p in enumerate(present)], "part int, after int")
-    heads = follows.join(firsts.select(F.col("part").alias("after"), F.col("text").alias("head")), "after").select("part", "head")
-    led = dealt.withColumn("next_text", F.lead("text").over(order))
-    return led.join(heads, "part").select("doc_id", "text", F.coalesce("next_text", "head").alias("next_text"))
+    follows = spark.createDataFrame([(p, present[(i + 1) % len(present)]) for i, p in enumerate(present)], "part long, after long")
+    heads = follows.join(firsts.select(F.col("part").alias("after"), F.col("text").alias("head"), F.col("fingerprint").alias("head_fingerprint")), "after").drop("after")
+    order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "text_hash", "text")
+    # Fingerprints are made before rows meet: each text's once.
+    led = dealt.withColumn("fingerprint", fingerprint(F.col("text")))
+    led = led.withColumns({"next_text": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)})
+    return led.join(heads, "part").select(
+        "doc_id", "text", "fingerprint", F.coalesce("next_text", "head").alias("next_text"), F.coalesce("next_fingerprint", "head_fingerprint").alias("next_fingerprint"))
 
 
 def edited_documents(docs: DataFrame) -> DataFrame:
@@ -135,22 +194,16 @@ def edited_documents(docs: DataFrame) -> DataFrame:
     The edited text has its last quarter of code points replaced by as many of
     the next document's first ones, or all it has. A null text is empty and an
     empty text has a fingerprint; of a single row the next one is itself. Rows
-    that repeat a doc_id are ordered by text. An empty table gives an empty
-    result.
+    that repeat a doc_id are ordered by a hash of their texts; a null doc_id
+    comes before all others. An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "merkle")
-    rows = with_next(docs, scratch)
+    rows = with_next(docs, Scratch(docs.sparkSession, "merkle"))
     n = F.length("text")
     k = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_text"), F.lit(1), k))
-    made = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_text").select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("next_fingerprint"),
-    )
-    with_leaves = made.withColumns({x: leaves_of(F.col(y)) for x, y in (("own", "fingerprint"), ("changed", "edited_fingerprint"), ("after", "next_fingerprint"))})
-    same = lambda a, b, x, y: F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(_dice(F.col(x), F.col(y)))
-    return with_leaves.select(
+    made = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
+    made = made.select("doc_id", "n_chars", _digest(F.col("edited")).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    return made.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        same("fingerprint", "edited_fingerprint", "own", "changed").alias("near_edited"),
-        same("fingerprint", "next_fingerprint", "own", "after").alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )

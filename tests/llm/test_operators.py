@@ -16,6 +16,7 @@ from urllib.parse import urljoin
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, components, decontam, lm, merkle, neardup, secrets, sharding, toxicity, urlfilter, warc, words
@@ -301,24 +302,69 @@ def test_keys_of_one_letter_case_are_found(spark):
 
 # --- 4 ---------------------------------------------------------------------------
 
+_SPACE = "[\x20\x09-\x0D]"
+
+
+def brute_print(text):
+    """The tree of a text: root, and sections (digest, paragraphs (digest, leaves))."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections = []
+    for s in re.split(r"(?<=\n\n)(?!\n)", text) if text else [""]:
+        paragraphs = []
+        for p in re.split(r"(?<=\n)(?!\n)", s) if s else [""]:
+            if len(p) < 64:
+                pieces = [p[i : i + 4] for i in range(0, len(p), 4)]
+            else:
+                pieces = [m[0] for m in re.finditer(rf"(?:[^\x20\x09-\x0D]{{1,64}}{_SPACE}*+){{1,4}}|{_SPACE}+", p)]
+            assert "".join(pieces) == p
+            paragraphs.append((sha(p), [f"{xxhash.xxh64_intdigest(x.encode(), 42):016x}"[:8] for x in pieces]))
+        sections.append((sha("S" + "".join(d for d, _ in paragraphs)), paragraphs))
+    return sha("R" + "".join(d for d, _ in sections)), sections
+
+
+def written(tree):
+    root, sections = tree
+    return root + "|" + ";".join(f"{d[:16]}({','.join(p[:16] + ':' + ''.join(leaves) for p, leaves in ps)})" for d, ps in sections)
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    key = lambda s: (s[0][:16], tuple((p[:16], tuple(leaves)) for p, leaves in s[1]))
+    x, y = ({key(s) for s in t[1]} for t in (a, b))
+    shared = sum(len(leaves) for s in x & y for _, leaves in s[1])
+    x, y = ({p for s in one - two for p in s[1]} for one, two in ((x, y), (y, x)))
+    shared += sum(len(leaves) for _, leaves in x & y)
+    x, y = ({leaf for _, leaves in one - two for leaf in leaves} for one, two in ((x, y), (y, x)))
+    n = 2 * shared + len(x) + len(y)
+    return 2 * (shared + len(x & y)) / n if n else 1.0
+
+
 def test_fingerprints(spark, awkward, nothing):
-    got = merkle.edited_documents(awkward).collect()
-    docs = sorted(((r["doc_id"], r["text"] or "") for r in awkward.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    paged = [(200 + i, "\n\n".join("\n".join(prose(r.randint(0, 30), 900 + 10 * i + j) for j in range(4)) for _ in range(r.randint(1, 4)))) for i in range(12) for r in [random.Random(i)]]
+    docs = awkward.select("doc_id", "text", "key").unionByName(spark.createDataFrame(paged, "doc_id long, text string"), allowMissingColumns=True)
+    got = merkle.edited_documents(docs).collect()
+    rank = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, rank(x[1])))
     want = []
-    for i, (k, t) in enumerate(docs):
-        after, n = docs[(i + 1) % len(docs)][1], len(t)
-        want.append((k, n, hashlib.sha256((t[: n - n // 4] + after[: n // 4]).encode()).hexdigest()))
-    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=str) == sorted(want, key=str)
-    prints = {}
-    for r in got:
-        assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
-        if r["doc_id"] is not None:
-            assert prints.setdefault(TEXTS[r["doc_id"]] or "", r["fingerprint"]) == r["fingerprint"]
-    assert len(set(prints.values())) == len(prints)
+    for i, (k, t) in enumerate(rows):
+        after, n = rows[(i + 1) % len(rows)][1], len(t)
+        edited = t[: n - n // 4] + after[: n // 4]
+        trees = [brute_print(x) for x in (t, edited, after)]
+        want.append((k, n, hashlib.sha256(edited.encode()).hexdigest(), written(trees[0]), written(trees[1]), round(brute_likeness(*trees[:2]), 9), round(brute_likeness(trees[0], trees[2]), 9)))
+    assert sorted(((*r[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got), key=str) == sorted(want, key=str)
+    assert len({r[3] for r in want}) == len({t for _, t in rows})
     assert next(r for r in got if r["doc_id"] == 14)["near_edited"] > 0.6
     assert merkle.edited_documents(nothing).count() == 0
 
 
+def test_short_leaves_do_not_make_equal_roots(spark, monkeypatch):
+    """Leaves of a few digits collide at once; roots are of the whole texts."""
+    monkeypatch.setattr(merkle, "_leaf", lambda piece: F.lit("0" * merkle.LEAF))
+    df = spark.createDataFrame([(i, prose(40, i)) for i in range(20)], "i int, t string").select(merkle.fingerprint(F.col("t")).alias("f"))
+    assert len({r["f"].split("|")[0] for r in df.collect()}) == 20
+
+
 def test_merkle_finds_the_edit(spark):
     a = "# One\n\nfirst line here\nsecond line there\n\n# Two\n\nthird line of many words in a row\n"
     b = a.replace("there", "where")
@@ -333,6 +379,17 @@ def test_parts_of_next(spark):
     assert got == {i * i: f"t{(i + 1) % 100}" for i in range(100)}
 
 
+def test_an_id_with_many_rows_is_dealt_further(spark):
+    rows = [(5, f"five {i}") for i in range(60)] + [(i, f"one {i}") for i in range(30) if i != 5] + [(None, f"none {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rank = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, rank(x[1])))
+    got = {r["text"]: r["next_text"] for r in merkle.with_next(docs, Scratch(spark, "t"), 10).collect()}
+    assert got == {t: order[(i + 1) % len(order)][1] for i, (_, t) in enumerate(order)}
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    assert max(r["count"] for r in merkle._dealt(hashed, 10).groupBy("part").count().collect()) <= 25
+
+
 # --- 5 ---------------------------------------------------------------------------
 
 def test_toxicity(spark, awkward, nothing):
