@@ -154,14 +154,19 @@ def _dealt(rows: DataFrame, part_rows: int) -> DataFrame:
     cuts = sorted(set(at))
     place = F.col("text_hash") / F.lit(2.0**64) + F.lit(0.5)
     within = lambda times: F.least(F.floor(place * times), times - 1)
-    none = F.lit(max(1, -(-(sizes["n"] - sizes["known"]) // part_rows)))
-    first, own = _part(cuts), F.lit(_WITHIN - 1)
-    if cuts:
-        times, held = (F.array(*[F.lit(x) for x in xs]) for xs in ([at.count(c) for c in cuts] if len(at) > len(cuts) else [1] * len(cuts), cuts))
+    nulls = sizes["n"] - sizes["known"]
+    # Columns of their own are evaluated once.
+    rows = rows.withColumn("first", _part(cuts))
+    last = F.lit(_WITHIN - 1)
+    if len(at) > len(cuts):
+        times, held = (F.array(*[F.lit(x) for x in xs]) for xs in ([at.count(c) for c in cuts], cuts))
+        rows = rows.withColumn("own", F.when(F.get(held, F.col("first") - 1) == F.col("doc_id"), F.get(times, F.col("first") - 1)))
         # Rows of the cut's own id stand before all others of its part.
-        own = F.when(F.get(held, first - 1) == F.col("doc_id"), within(F.get(times, first - 1))).otherwise(own)
-    part = F.when(F.col("doc_id").isNull(), within(none) - F.lit(_WITHIN)).otherwise(first * F.lit(_WITHIN) + own)
-    return rows.withColumn("part", part.cast("long"))
+        last = F.coalesce(within(F.col("own")), last)
+    part = F.col("first") * F.lit(_WITHIN) + last
+    if nulls:
+        part = F.when(F.col("doc_id").isNull(), within(F.lit(-(-nulls // part_rows))) - F.lit(_WITHIN)).otherwise(part)
+    return rows.withColumn("part", part.cast("long")).drop("first", "own")
 
 
 def with_next(docs: DataFrame, scratch: Scratch, part_rows: int = PART_ROWS) -> DataFrame:
