@@ -418,6 +418,70 @@ def test_toxicity(spark, awkward, nothing):
     assert {x["score"] for x in toxicity.score_toxicity(awkward, plain).collect()} and toxicity.fit(nothing, table) is not None
 
 
+def brute_raw(model, numbers):
+    """One text's probability: every filter at every place, with plain loops."""
+    gap = max(toxicity.WIDTHS) - 1
+    embedded = []
+    for x in [int(n) for n in numbers] + [None] * gap:
+        ids = (toxicity.PAD, toxicity.PAD) if x is None else (x >> (64 - toxicity.BITS), (x >> 16) & (toxicity.PAD - 1))
+        embedded.append(np.concatenate([model.tables[h][i] for h, i in enumerate(ids)]).astype(float))
+    total = model.bias
+    for k, w in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for i in range(len(numbers)):
+                y = float(model.shift[k][f]) + sum(float(embedded[i + j] @ model.filters[k][j][:, f]) for j in range(w) if i + j < len(embedded))
+                best = max(best, y)
+            total += best * float(model.out[k * toxicity.FILTERS + f])
+    return 1 / (1 + math.exp(-total))
+
+
+def test_forward_pass_against_brute_force():
+    r = np.random.default_rng(3)
+    model = toxicity.Classifier.fresh(4)
+    for x in (*model.tables, *model.shift):
+        x += r.normal(0, 0.3, x.shape)
+    for t in model.tables:
+        t[toxicity.PAD] = 0
+    texts = [r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) for n in (0, 1, 2, 3, 17, 60)]
+    rows = np.append(0, np.cumsum([len(t) for t in texts]))
+    got = model.raw(np.concatenate(texts), rows)
+    assert np.allclose(got, [brute_raw(model, t) for t in texts], atol=1e-5)
+    # A text's score does not depend on its neighbours, and follows the threshold.
+    assert np.allclose(got, [model.raw(t, np.array([0, len(t)]))[0] for t in texts], atol=1e-6)
+    model.thresholds[:] = 0.2
+    assert ((model.scores(np.concatenate(texts), rows) >= 0.5) == (got >= 0.2)).all()
+
+
+def test_training_sees_whole_texts(monkeypatch):
+    """Rare words keep their place: neighbours in training are neighbours in the text."""
+    monkeypatch.setattr(toxicity, "LEAST_TEXTS", 3)
+    seen = []
+    padded = toxicity.Classifier.padded
+
+    def spy(self, numbers, rows, known=None):
+        out = padded(self, numbers, rows, known)
+        seen.append((len(numbers), out[0].shape[1], int((~known).sum()), int((out[0][0] == toxicity.PAD).sum())))
+        return out
+
+    monkeypatch.setattr(toxicity.Classifier, "padded", spy)
+    texts = [words.mix(np.array([5, 9, 100 + i, 7], np.uint64)) for i in range(8)]
+    toxicity.train(texts, np.array([0, 1] * 4), epochs=1)
+    (words_, places, rare, zeros), = seen
+    assert (words_, rare) == (32, 8) and places == 32 + 2 * 8 and zeros == 8 + 2 * 8
+
+
+def test_fit_is_bounded_and_repeatable(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 50}" for j in range(1, 41))) for i in range(200)] + [(7, "another text")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    sizes, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: sizes.append(sum(map(len, texts))) or train(texts, y, epochs=1))
+    one, two = (toxicity.fit(d, labels) for d in (docs.repartition(7), docs.coalesce(1)))
+    assert (one.tables[0] == two.tables[0]).all() and (one.out == two.out).all() and one.bias == two.bias
+    toxicity.fit(docs, labels, most_words=1000)
+    assert sizes[0] == sizes[1] > 1000 >= sizes[2] > 500
+
+
 # --- 6 ---------------------------------------------------------------------------
 
 def test_sharding(spark, awkward, nothing):
