@@ -12,6 +12,7 @@ offset and joins ranges that lie close together into one read.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import uuid
@@ -30,6 +31,8 @@ LEAST_SHARED = 100
 GAP_BYTES = 64 << 10
 #: A coalesced read takes at most so many bytes, or one record.
 READ_BYTES = 8 << 20
+#: Bytes of archives that one task reads, about, and tasks at most.
+TASK_BYTES, MOST_TASKS = 4 << 20, 50_000
 #: Fixed, so that equal input gives equal archives.
 DATE = "2024-01-01T00:00:00Z"
 #: Of gzip.
@@ -38,21 +41,33 @@ LEVEL = 2
 INDEX = "page_id long, archive string, offset long, length long, url string, payload_digest string, record_type string, refers_to long"
 
 
-def _line(value: str | None) -> str:
-    """A header value: line breaks would end the field, and are sent as %0D and %0A."""
-    return (value or "").replace("\r", "%0D").replace("\n", "%0A")
+def _target(url: str | None) -> list[str]:
+    """The headers of a URL; none for a null one. Line breaks would end the field, so such a URL comes encoded too."""
+    if url is None:
+        return []
+    plain = url.replace("\r", "%0D").replace("\n", "%0A")
+    return [f"WARC-Target-URI: {plain}"] + ([f"X-Target-URI-Base64: {base64.b64encode(url.encode()).decode()}"] if plain != url else [])
+
+
+def _url(fields: dict[str, str]) -> str | None:
+    coded = fields.get("x-target-uri-base64")
+    return fields.get("warc-target-uri") if coded is None else base64.b64decode(coded).decode()
+
+
+def _record_id(page_id, digest: str) -> str:
+    """The same for rows of one page and payload only."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
 
 
 def record_bytes(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    """One WARC record; a revisit has no payload, and names the page it refers to."""
+    """One WARC record; a revisit has no payload, and names the record it refers to, whose payload is equal."""
     body = b"" if kind == "revisit" else payload
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {_line(url)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}",
-        "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page_id, digest)}", f"WARC-Date: {DATE}", *_target(url),
+        f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_record_id(refers_to, digest)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -121,9 +136,9 @@ def _reader(folder: str):
                 out = []
                 for r in rows[i:j]:
                     fields, payload = parse_record(gzip.decompress(block[r["offset"] - start : r["offset"] - start + r["length"]]))
-                    own, refers = fields["warc-record-id"][10:-1], fields.get("warc-refers-to", "")[10:-1]
+                    own, refers = (fields.get(k, "<urn:page::>").split(":")[2] for k in ("warc-record-id", "warc-refers-to"))
                     out.append((
-                        int(own) if own else None, fields["warc-target-uri"], int(fields["x-payload-length"]),
+                        int(own) if own else None, _url(fields), int(fields["x-payload-length"]),
                         fields["warc-payload-digest"].removeprefix("sha256:"), fields["warc-type"], int(refers) if refers else None, payload,
                     ))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()], strict=True)], names=[x.split()[0] for x in READ.split(", ")])
@@ -140,7 +155,7 @@ READ = "page_id long, url string, payload_bytes long, payload_digest string, rec
 def write_archives(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     """Archives of every row of ``pages`` (page_id, url, html), and their index, as a table.
 
-    A null html is an empty payload, a null url an empty target. Of records
+    A null html is an empty payload, a null url no target. Of records
     with equal payloads of LEAST_SHARED bytes or more the one with the least
     page_id is the response and the others revisit it. Rows with a null page_id
     are always responses; of rows that share both payload and least page_id all
@@ -171,8 +186,14 @@ def write_archives(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """The records that ``index`` rows name, read from the archives in coalesced ranges."""
-    order = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    """The records that ``index`` rows name, read from the archives in coalesced ranges.
+
+    Index rows are few bytes for many to be read, so it is the bytes that say how many tasks read.
+    """
+    bound_batches(index.sparkSession)
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = int(max(1, min(MOST_TASKS, -(-size // TASK_BYTES))))
+    order = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return order.mapInArrow(released(_reader(folder)), READ)
 
 
