@@ -5,12 +5,14 @@ To hold a window a document must hold every one of its shingles, so a prefix of
 one shingle is enough to find it; the join uses the window's rarest one, by
 counts over all documents. A match of that shingle fixes where the window would
 stand: it must start at or after the document's first word and end by its last
-(positional and length bounds), and then all of its words are compared.
-
-The items are the stated query set. They go to the executors in blocks of
-BLOCK_WINDOWS distinct windows, so what is broadcast is bounded whatever their
-number; each block is a pass over the documents, and hits of several blocks
-are merged per document.
+(positional and length bounds), and then all of its words are compared, first by
+their numbers and then letter by letter.
+
+The items are the stated query set. Their distinct windows go to the executors
+in blocks of BLOCK_WINDOWS windows and about BLOCK_BYTES bytes, so what is
+broadcast is bounded whatever their number; each block is a pass over the
+documents, and hits of several blocks are merged per document. Which items have
+a window stays in a table that the hits are joined with.
 """
 
 from __future__ import annotations
@@ -28,36 +30,47 @@ from .words import ALNUM, Words, bound_batches, grams, released, sliced, utf8
 
 WINDOW = 13
 SHINGLE = 5
-#: Distinct windows of a block: 13 words of 8 bytes, 9 shingles and an index each, 64 MB at most.
-BLOCK_WINDOWS = 200_000
+#: Distinct windows of a block, and bytes that they take in a task: their text, and 700 more each for numbers, shingles and index.
+BLOCK_WINDOWS, BLOCK_BYTES, WINDOW_BYTES = 100_000, 96 << 20, 700
+
+_HITS = "doc_id long, row long, n_words long, hits array<struct<a:int,b:int>>, keys array<binary>"
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
-_HITS = "doc_id long, row long, n_words long, hits array<struct<a:int,b:int>>, items array<string>"
+
+def plain(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Words, A-Z lower-cased, with a space between them."""
+    return b" ".join(_LOWER[data[a:b]].tobytes() for a, b in zip(starts, ends, strict=True))
 
 
 def window_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Item rows -> a row for every window: its words' numbers, its key and its item."""
+    """Item rows -> a row for every window: its words' numbers, its text, the text's key and its item."""
     for batch in batches:
         names = batch.column(0).to_pylist()
         data, at = utf8(batch.column(1))
         for lo, hi in sliced(data, at):
             w = Words(data, at[lo : hi + 1], ALNUM)
-            keys, words, items = [], [], []
+            keys, words, texts, items = [], [], [], []
             for i in range(hi - lo):
-                x = w.numbers[w.rows[i] : w.rows[i + 1]]
-                for j in range(max(1, len(x) - WINDOW + 1) if len(x) else 0):
-                    part = x[j : j + WINDOW]
-                    keys.append(hashlib.blake2b(part.tobytes(), digest_size=16).digest())
-                    words.append(part.tobytes())
+                first, stop = int(w.rows[i]), int(w.rows[i + 1])
+                for j in range(first, max(first + 1, stop - WINDOW + 1) if stop > first else first):
+                    part = slice(j, min(j + WINDOW, stop))
+                    text = plain(data[at[lo] :], w.starts[part], w.ends[part])
+                    keys.append(hashlib.blake2b(text, digest_size=16).digest())
+                    words.append(w.numbers[part].tobytes())
+                    texts.append(text)
                     items.append(names[lo + i])
-            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(words, pa.binary()), pa.array(items, pa.string())], names=["key", "words", "item"])
+            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(words, pa.binary()), pa.array(texts, pa.binary()), pa.array(items, pa.string())], names=["key", "words", "text", "item"])
 
 
 class Block:
     """Some windows: their words, their shingles, and the prefix index."""
 
-    def __init__(self, words: list[bytes], items: list[list[str]]):
+    def __init__(self, words: list[bytes], texts: list[bytes], keys: list[bytes]):
         self.words = [np.frombuffer(x, np.uint64) for x in words]
-        self.items = items
+        self.texts, self.keys = texts, keys
         shingles, self.of = [], []
         for x in self.words:
             g = grams(x, min(SHINGLE, len(x)))
@@ -82,8 +95,8 @@ class Block:
         self.window, self.offset = order, offset[order]
         self.length = np.array([len(x) for x in self.words], np.int64)
 
-    def hits(self, x: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
-        """Merged word spans of ``x`` within windows, and the windows found."""
+    def hits(self, x: np.ndarray, text) -> tuple[list[tuple[int, int]], set[int]]:
+        """Merged word spans of ``x`` within windows, and the windows found; ``text`` gives the words of a span."""
         spans, found = [], set()
         for size in self.sizes:
             g = grams(x, size)
@@ -95,7 +108,7 @@ class Block:
                     start, n = int(p - self.offset[k]), int(self.length[win])
                     if start < 0 or start + n > len(x) or min(SHINGLE, n) != size:
                         continue
-                    if np.array_equal(x[start : start + n], self.words[win]):
+                    if np.array_equal(x[start : start + n], self.words[win]) and text(start, start + n) == self.texts[win]:
                         spans.append((start, start + n))
                         found.add(win)
         return merged(spans), found
@@ -139,7 +152,7 @@ def _searched(block):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = block.value
         for batch in batches:
-            n_words, hits, items = [], [], []
+            n_words, hits, keys = [], [], []
             data, at = utf8(batch.column(2))
             for lo, hi in sliced(data, at):
                 w = Words(data, at[lo : hi + 1], ALNUM)
@@ -156,15 +169,15 @@ def _searched(block):
                     n_words.append(e - s)
                     if held[e] == held[s]:
                         hits.append([])
-                        items.append([])
+                        keys.append([])
                     else:
-                        spans, found = b.hits(w.numbers[s:e])
+                        spans, found = b.hits(w.numbers[s:e], lambda i, j, s=s, own=data[at[lo] :], w=w: plain(own, w.starts[s + i : s + j], w.ends[s + i : s + j]))
                         hits.append([{"a": x, "b": y} for x, y in spans])
-                        items.append(sorted({name for k in found for name in b.items[k]}))
+                        keys.append([b.keys[k] for k in sorted(found)])
             yield pa.record_batch([
                 batch.column(0), batch.column(1), pa.array(n_words, pa.int64()),
-                pa.array(hits, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(items, pa.list_(pa.string())),
-            ], names=["doc_id", "row", "n_words", "hits", "items"])
+                pa.array(hits, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(keys, pa.list_(pa.binary())),
+            ], names=["doc_id", "row", "n_words", "hits", "keys"])
 
     return search
 
@@ -177,18 +190,19 @@ def _blocks(windows: DataFrame, size: int) -> Iterator[Block]:
         rows = left.orderBy("key").limit(size).collect()
         if rows:
             after = bytes(rows[-1]["key"])
-            yield Block([bytes(r["words"]) for r in rows], [r["items"] for r in rows])
+            yield Block([bytes(r["words"]) for r in rows], [bytes(r["text"]) for r in rows], [bytes(r["key"]) for r in rows])
         if len(rows) < size:
             return
 
 
-def _windows(items: DataFrame) -> DataFrame:
-    """Distinct windows and the ids of the items that have them; none where only items with a null id do."""
+def _windows(items: DataFrame, scratch: Scratch, block_windows: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Distinct windows, the items (without null ids) that have each, the number of windows and that of a block."""
     rows = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    return (
-        rows.mapInArrow(released(window_table), "key binary, words binary, item string")
-        .groupBy("key").agg(F.first("words").alias("words"), F.array_sort(F.collect_set("item")).alias("items"))
-    )
+    every = scratch.save(rows.mapInArrow(released(window_table), "key binary, words binary, text binary, item string"), "every")
+    windows = scratch.save(every.groupBy("key").agg(F.first("words").alias("words"), F.first("text").alias("text")), "windows")
+    n, total = windows.agg(F.count("*"), F.sum(F.octet_length("text") + F.lit(WINDOW_BYTES))).first()
+    # Blocks follow the order of the keys, which are hashes, so their texts are of about equal size.
+    return windows, every.where("item is not null").select("key", "item").distinct(), n, max(1, min(block_windows, BLOCK_BYTES * n // (total or 1)))
 
 
 def _shingle_counts(texts: DataFrame, block: Block) -> np.ndarray:
@@ -216,30 +230,29 @@ def contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_
     bound_batches(spark)
     scratch = Scratch(spark, "decontam")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    windows = scratch.save(_windows(items), "windows")
-    several = windows.count() > block_windows
-    # Only where blocks are merged do rows need a name beside doc_id, which may repeat.
-    rowed = texts.select("doc_id", (F.monotonically_increasing_id() if several else F.lit(0)).cast("long").alias("row"), "text")
-    if several:
+    windows, owners, n, size = _windows(items, scratch, block_windows)
+    # Rows get a name beside doc_id, which may repeat; several passes must agree on it.
+    rowed = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    if n > size:
         rowed = scratch.save(rowed, "rowed")
     parts = []
-    for block in _blocks(windows, block_windows):
+    for block in _blocks(windows, size):
         block.index(_shingle_counts(texts.select("text"), block))
-        found = rowed.mapInArrow(released(_searched(spark.sparkContext.broadcast(block))), _HITS)
-        parts.append(scratch.save(found, "part") if several else found)
+        parts.append(scratch.save(rowed.mapInArrow(released(_searched(spark.sparkContext.broadcast(block))), _HITS), "part"))
     if not parts:
-        empty = Block([], [])
+        empty = Block([], [], [])
         empty.index(np.zeros(0, np.int64))
-        parts = [rowed.mapInArrow(released(_searched(spark.sparkContext.broadcast(empty))), _HITS)]
+        parts = [scratch.save(rowed.mapInArrow(released(_searched(spark.sparkContext.broadcast(empty))), _HITS), "part")]
     found = parts[0]
-    if several:
+    if len(parts) > 1:
         for p in parts[1:]:
             found = found.unionByName(p)
-        found = found.groupBy("doc_id", "row", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        found = found.groupBy("doc_id", "row", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("keys")).alias("keys"))
         found = found.withColumn("hits", _merged("hits"))
+    named = found.select("row", F.explode("keys").alias("key")).join(owners, "key").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     return (
-        found.select("doc_id", "n_words", "hits", F.array_sort("items").alias("item_ids"))
+        found.join(named, "row", "left").select("doc_id", "n_words", "hits", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
         .withColumn("n_hit", n_hit)
         .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     )
@@ -268,9 +281,9 @@ def uncontaminated(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK
     bound_batches(spark)
     scratch = Scratch(spark, "clean")
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    windows = scratch.save(_windows(items), "windows")
-    if windows.count() <= block_windows:
-        block = next(_blocks(windows, block_windows), None) or Block([], [])
+    windows, _, n, size = _windows(items, scratch, block_windows)
+    if n <= size:
+        block = next(_blocks(windows, size), None) or Block([], [], [])
         block.index(_shingle_counts(texts, block))
         sent = spark.sparkContext.broadcast(block)
         return docs.mapInArrow(released(_cleaned(sent, docs.columns.index("text"))), docs.schema)

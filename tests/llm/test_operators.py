@@ -228,6 +228,22 @@ def test_contamination(spark, awkward, nothing):
     assert rows_of(decontam.contamination(docs, table.limit(0)), *cols) == brute_contamination([(r["doc_id"], r["text"]) for r in docs.collect()], [])
 
 
+def test_equal_numbers_of_different_words_do_not_hit(spark, monkeypatch):
+    """Words are compared themselves, whatever their numbers say."""
+    monkeypatch.setattr(words, "_TABLE", words._TABLE * np.uint64(0))
+    data, at = words.utf8(pa.array(["one two six"]))
+    assert len(set(words.Words(data, at, words.ALNUM).numbers.tolist())) == 1
+    texts = ["one two six", "ONE,two  six!", "six two one", "one two ten"]
+    block = decontam.Block(*zip(*[(bytes(r["words"]), bytes(r["text"]), bytes(r["key"])) for b in decontam.window_table(iter([pa.record_batch([pa.array(["a"]), pa.array(["One two SIX"])], names=["i", "t"])])) for r in b.to_pylist()], strict=True))
+    block.index(np.zeros(len(block.shingles), np.int64))
+    found = []
+    for t in texts:
+        data, at = words.utf8(pa.array([t]))
+        w = words.Words(data, at, words.ALNUM)
+        found.append(block.hits(w.numbers, lambda i, j, data=data, w=w: decontam.plain(data, w.starts[i:j], w.ends[i:j]))[0])
+    assert found == [[(0, 3)], [(0, 3)], [], []]
+
+
 def test_items_without_an_id_hit(spark):
     items = [(1, prose(20, 61)), (None, prose(20, 62)), (None, prose(20, 61)), (2, prose(20, 63))]
     texts = [(k, prose(100, 70 + k) + " " + prose(20, 60 + k)) for k in (1, 2, 3, 4)]
@@ -737,6 +753,21 @@ def test_warc(spark):
     assert warc.archived_pages(df.limit(0)).count() == 0
 
 
+def test_urls_and_ids_come_back(spark, monkeypatch):
+    urls = [None, "", "http://a/%0D%0A", "http://a/\r\nX: 1", "http://a/\n", "plain", "é:// x"]
+    df = spark.createDataFrame([(-3 + i // 2, u, f"text {i}" * 40) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "TASK_BYTES", 500)
+    index, folder = warc.write_archives(df, Scratch(spark, "t"))
+    found = warc.read_records(index, folder)
+    assert sorted(((r["page_id"], r["url"]) for r in found.collect()), key=str) == sorted(((-3 + i // 2, u) for i, u in enumerate(urls)), key=str)
+    # Tasks follow the bytes to be read, and rows of one page with different payloads are different records.
+    assert found.rdd.getNumPartitions() == -(-index.agg(F.sum("length")).first()[0] // 500) > 3
+    ids = {warc.parse_record(warc.record_bytes(3, "u", x, hashlib.sha256(x).hexdigest(), "response", None))[0]["warc-record-id"] for x in (b"one", b"two")}
+    assert len(ids) == 2
+    digest = hashlib.sha256(b"one").hexdigest()
+    assert warc.parse_record(warc.record_bytes(4, "u", b"one", digest, "revisit", 3))[0]["warc-refers-to"] in ids
+
+
 def test_warc_refuses_damage():
     raw = warc.record_bytes(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), "response", None)
     assert warc.parse_record(raw)[1] == b"payload"
