@@ -180,11 +180,13 @@ WITH RECURSIVE p AS (
   SELECT page_id, url, coalesce(html, '') AS html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
 ), q AS (
   SELECT *, coalesce({_host("rest")}, '') AS host, coalesce({_path("rest")}, '') AS path, {_host("rest")} || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS node FROM p
+), tags AS (
+  SELECT node, host, split_part(url, '://', 1) AS scheme, unnest(string_split(html, '<')) AS tag FROM q WHERE rest IS NOT NULL
 ), found AS (
-  SELECT node, host, regexp_extract(url, '^(.*?)://', 1) AS scheme, replace(unnest([
-    regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b'))[1], '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1], '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*([^"''\s>]+)', 1)
-  ]), '&amp;', '&') AS link FROM q WHERE rest IS NOT NULL
+  SELECT node, host, scheme, replace(CASE
+    WHEN lower(tag) LIKE 'link %rel="canonical"%' THEN split_part(split_part(tag, 'href="', 2), '"', 1)
+    WHEN lower(tag) LIKE 'meta %"refresh"%' THEN split_part(split_part(tag, 'url=', 2), '"', 1) END, '&amp;', '&') AS link
+  FROM tags
 ), target AS (
   SELECT node AS u, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN scheme || '://' || host || link END AS url
   FROM found WHERE link <> ''

@@ -1,6 +1,7 @@
 """URL rules that reach a page's aliases.
 
-Pages name aliases by canonical links and by redirects (meta refresh). Those
+Pages name aliases by canonical links and by redirects (meta refresh), all that
+they have, relative to the page's base. Those
 edges join URLs to components, found by alternating star steps over tables, and
 a component's decisions reach the members that no rule fits. Everything is
 DataFrame expressions.
@@ -34,9 +35,18 @@ class Rule(NamedTuple):
         return self.host + self.path
 
 
-#: The link of a page to its canonical URL, and the target of a redirect, as the attributes come.
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REDIRECT = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>]+)"""
+def _tags(name: str) -> str:
+    """Whole tags of a name; a quoted value may hold ``>``, and quotes that do not close do not count."""
+    return rf"""(?is)<{name}\b(?:(?:[^>"']++|"[^"]*+"|'[^']*+'){{0,200}}+>|[^>]*>)"""
+
+
+def _attribute(name: str) -> str:
+    """An attribute's value, as one of three groups."""
+    return rf"""(?is)(?:^|[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
+
+
+#: The target within a refresh's content: after the seconds, with or without quotes of its own.
+_TARGET = r"""(?is)^[\s\d.]*[;,\s]\s*url\s*=\s*(?:"([^"]*)|'([^']*)|([^\s"'][^\s]*))"""
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,6 +78,11 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<name:string,action:string>")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _without_dots(path: Column) -> Column:
     """A path without its ``.`` and ``..`` segments."""
     parts = F.split(F.substr(path, F.lit(2)), "/", -1)
@@ -81,7 +96,7 @@ def _without_dots(path: Column) -> Column:
 def _node(url: Column) -> Column:
     """A URL as an alias: host lower-cased, without scheme, dot segments and fragment."""
     query = F.regexp_extract(F.substr(url, F.instr(url, "://") + 3), r"(?s)^[^?#]*(\?[^#]*)", 1)
-    return F.concat(host_of(url), _without_dots(path_of(url)), query)
+    return F.concat(host_of(url), _bound(path_of(url), _without_dots), query)
 
 
 def _absolute(link: Column, url: Column) -> Column:
@@ -99,15 +114,53 @@ def _absolute(link: Column, url: Column) -> Column:
     )
 
 
+def _value(tag: Column, name: str) -> Column:
+    """An attribute of a tag; empty if it has none."""
+    return _group(tag, _attribute(name))
+
+
+def _group(text: Column, pattern: str) -> Column:
+    return F.concat(*[F.regexp_extract(text, pattern, k) for k in (1, 2, 3)])
+
+
+def unescaped(text: Column) -> Column:
+    """Character references as characters: numbers of the basic plane, and the names of HTML's own signs."""
+    code = lambda part: F.regexp_extract(part, r"(?i)^(x[0-9a-f]{1,4}|[0-9]{1,5});", 1)
+    digits = lambda c: F.when(F.lower(F.substring(c, 1, 1)) == "x", F.substr(c, F.lit(2))).otherwise(F.conv(c, 10, 16))
+    letter = lambda c: F.decode(F.unhex(F.lpad(digits(c), 4, "0")), "UTF-16BE")
+    parts = F.transform(F.split(text, "&#", -1), lambda part, i: F.when(i == 0, part).when(code(part) == "", F.concat(F.lit("&#"), part)).otherwise(
+        F.concat(letter(code(part)), F.substr(part, F.length(code(part)) + 2))))
+    out = F.when(F.contains(text, F.lit("&#")), F.array_join(parts, "")).otherwise(text)
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return out
+
+
+def page_links(html: Column) -> tuple[Column, Column]:
+    """All canonical links and redirects of a page as its tags have them, and the first base that it names (null: none)."""
+    words = lambda c: F.split(F.lower(c), r"\s+", -1)
+    canonical = F.transform(
+        F.filter(F.regexp_extract_all(html, F.lit(_tags("link")), 0), lambda t: F.array_contains(words(_value(t, "rel")), "canonical")), lambda t: _value(t, "href"))
+    moved = F.transform(
+        F.filter(F.regexp_extract_all(html, F.lit(_tags("meta")), 0), lambda t: F.lower(F.trim(_value(t, "http-equiv"))) == "refresh"), lambda t: _group(_value(t, "content"), _TARGET))
+    ready = lambda c: F.trim(unescaped(c))
+    base = F.get(F.filter(F.transform(F.regexp_extract_all(html, F.lit(_tags("base")), 0), lambda t: ready(_value(t, "href"))), lambda x: x != ""), 0)
+    return F.filter(F.transform(F.concat(canonical, moved), ready), lambda x: x != ""), base
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(u, v) for every canonical link and redirect of a page with a URL to another URL."""
-    links = F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REDIRECT, 1))
-    marked = F.col("html").isNotNull() & (F.contains(F.lower("html"), F.lit("canonical")) | F.contains(F.lower("html"), F.lit("refresh")))
-    found = pages.where(marked & F.contains("url", F.lit("://"))).select("url", F.explode(links).alias("link")).where("link <> ''")
-    return (
-        found.select(_node(F.col("url")).alias("u"), _node(_absolute(F.replace("link", F.lit("&amp;"), F.lit("&")), F.col("url"))).alias("v"))
-        .where("u <> v").distinct()
-    )
+    low = F.lower("html")
+    marked = F.col("html").isNotNull() & (F.contains(low, F.lit("canonical")) | F.contains(low, F.lit("refresh")))
+    links, base = page_links(F.col("html"))
+    edge = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    # Values that are named more than once are bound, and nothing is filtered above this step: Spark would
+    # move the filter below and with it put these expressions into one another.
+    edges = lambda own, from_: F.transform(links, lambda x: _bound(_absolute(x, from_), lambda target: edge(own, _node(target))))
+    from_ = F.coalesce(_absolute(base, F.col("url")), F.col("url"))
+    every = _bound(F.struct(_node(F.col("url")).alias("own"), from_.alias("from")), lambda b: edges(b["own"], b["from"]))
+    found = pages.where(marked & F.contains("url", F.lit("://"))).select(F.explode(F.filter(every, lambda e: e["u"] != e["v"])).alias("e"))
+    return found.select("e.u", "e.v").distinct()
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:

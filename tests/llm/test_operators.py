@@ -730,6 +730,16 @@ def test_links_resolve(spark):
     want = {(node(base), node(urljoin(base, x))) for x in [*refs, "http://h/p", "p", "../p"]} | {("e.net", "e.net/g"), (node(base), "o.org/b?x")}
     got = {(r["u"], r["v"]) for r in urlfilter.alias_edges(spark.createDataFrame(pages, "url string, html string")).collect()}
     assert got == want
+    # All links of a page, in every way to write them, from the base that it names.
+    forms = [
+        ("<link rel='alternate canonical' href='one'><LINK HREF=two REL=Canonical /><link rel=\"not-canonical\" href=lost>", {"a.net/b/one", "a.net/b/two"}),
+        ("<link title='a > b' data-href=lost rel=canonical href='p?a=1&#38;b=2&#x26;c=3&amp;d'>", {"a.net/b/p?a=1&b=2&c=3&d"}),
+        ("<meta content='5,url=x' http-equiv=Refresh><meta http-equiv=refresh content='7'><meta http-equiv=' refresh ' content=\"0; URL= 'y'\">", {"a.net/b/x", "a.net/b/y"}),
+        ("<base href='/z/'><base href=lost/><link rel=canonical href=' k&#233;y '>", {"a.net/z/kéy"}), ("<base target=x><link rel=canonical href='it's'>", {"a.net/b/it"}),
+        ("<link rel=canonical href=''><link rel=canonical><p>canonical refresh</p><linker rel=canonical href=no>", set()),
+    ]
+    for html, want in forms:
+        assert {r["v"] for r in urlfilter.alias_edges(spark.createDataFrame([("http://a.net/b/c", html)], "url string, html string")).collect()} == want, html
     for url, html in [("http://a.net/b/c", canonical.format(x)) for x in ("bad", "../b/bad", "./bad?x=http://o.net/")] + [("http://o.net/", refresh.format("\"0; url='http://a.net/b/bad'\""))]:
         rows = urlfilter.judge(spark.createDataFrame([(1, url, html)], "page_id long, url string, html string"), [urlfilter.Rule("block", "a.net", "/b/bad")]).collect()
         assert [r["verdict"] for r in rows] == ["block"], html
