@@ -225,7 +225,7 @@ def frontmatter_description(content: Column) -> Column:
 
 def duration_text(seconds: Column) -> Column:
     whole = F.floor(seconds / 60).cast("string")
-    return F.when(seconds < 60, F.concat(F.format_string("%.1f", seconds), F.lit(" 秒"))).otherwise(
+    return F.when(seconds < 60, F.concat(F.format_string("%.1f", F.bround(seconds, 1)), F.lit(" 秒"))).otherwise(
         F.concat(whole, F.lit(" 分 "), F.rint(seconds % 60).cast("int").cast("string"), F.lit(" 秒")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from .functions import text as T
 from .operators import sessions as S
 from .operators import topics as P
+from .sources.sqlite import SqliteSource
 from .sources.tables import conversation_messages, event_parts, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,35 +101,26 @@ def session_labels(spark, sf):
     return q.select("session_id", score.alias("label_score")).withColumn("label", S.label_of(F.col("label_score")))
 
 
-@query("label_counts", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
-def label_counts(spark, sf):
-    return read(spark, sf, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
-
-
-@query("label_pivot", """
-SELECT quality, count(*) FILTER (WHERE toxic = 0) AS clean, count(*) FILTER (WHERE toxic = 1) AS toxic FROM labels GROUP BY 1
-""")
-def label_pivot(spark, sf):
-    return read(spark, sf, "labels").groupBy("quality").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"))
-
-
 @query("tool_histogram", "SELECT event_type AS tool, count(*) AS n, count(DISTINCT user_id) AS sessions FROM events GROUP BY 1")
 def tool_histogram(spark, sf):
     return event_parts(spark, sf).groupBy("tool").agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"))
 
 
-@query("noise_filtered_tools", "SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS n FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY 1")
-def noise_filtered_tools(spark, sf):
-    return event_parts(spark, sf).where(~F.col("tool").isin("view", "click")).groupBy("session_id").agg(F.count("*").alias("n"))
+@query("project_substring", "SELECT doc_id, source FROM documents WHERE contains(lower(source), lower('SRC1'))")
+def project_substring(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.col("source").alias("directory"))
+    return SqliteSource.project_filter(None, d, "SRC1").select("doc_id", F.col("directory").alias("source"))
 
 
-_SINCE = "SELECT CAST(user_id AS VARCHAR) AS session_id, max(epoch_us(ts)) // 1000 AS updated_ms FROM events GROUP BY 1 HAVING max(epoch_us(ts)) // 1000 {} epoch_ms(TIMESTAMP '2024-01-30 12:00:00')"
+def _since(spark, sf, strict):
+    """Listed with a source of either kind of bound."""
+    e = event_parts(spark, sf)
+    s = e.groupBy("session_id").agg(F.max("ts_ms").alias("updated_ms")).select("session_id", F.lit("").alias("title"), F.lit("").alias("directory"), "updated_ms")
+    listed = S.listing(s, e, SimpleNamespace(strict_since=strict), since_ms=1706616000000)
+    return listed.select("session_id", F.col("timestamp").alias("updated_ms"))
 
 
-def _since(spark, sf, strict):
-    s = event_parts(spark, sf).groupBy("session_id").agg(F.max("ts_ms").alias("updated_ms"))
-    bound = 1706616000000
-    return s.where(F.col("updated_ms") > bound if strict else F.col("updated_ms") >= bound)
+_SINCE = "SELECT CAST(user_id AS VARCHAR) AS session_id, max(epoch_us(ts)) // 1000 AS updated_ms FROM events GROUP BY 1 HAVING max(epoch_us(ts)) // 1000 {} epoch_ms(TIMESTAMP '2024-01-30 12:00:00')"
 
 
 QUERIES["sessions_since_strict"] = lambda spark, sf: _since(spark, sf, True)
@@ -136,23 +129,6 @@ QUERIES["sessions_since_inclusive"] = lambda spark, sf: _since(spark, sf, False)
 ORACLE_SQL["sessions_since_inclusive"] = _SINCE.format(">=")
 
 
-@query("session_listing", """
-SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS msg_count, CAST(max(turn) AS BIGINT) AS timestamp,
-  row_number() OVER (ORDER BY max(turn) DESC, CAST(conv_id AS VARCHAR)) AS place
-FROM conversations GROUP BY conv_id
-""")
-def session_listing(spark, sf):
-    m = conversation_messages(spark, sf)
-    s = m.groupBy("session_id").agg(F.max("msg_idx").cast("long").alias("timestamp"), F.count("*").alias("msg_count"))
-    placed = P.aliased(s, [F.desc("timestamp"), F.col("session_id")])
-    return placed.select("session_id", "msg_count", "timestamp", (F.col("pos") + 1).alias("place"))
-
-
-@query("project_substring", "SELECT doc_id, source FROM documents WHERE contains(lower(source), lower('SRC1'))")
-def project_substring(spark, sf):
-    return read(spark, sf, "documents").where(F.contains(F.lower("source"), F.lit("SRC1".lower()))).select("doc_id", "source")
-
-
 @query("project_names", r"""
 SELECT page_id, CASE WHEN url = '' THEN 'unknown' ELSE string_split(regexp_replace(replace(url, '\', '/'), '/+$', ''), '/')[-1] END AS project FROM pages
 """)
@@ -165,29 +141,6 @@ def json_path_input(spark, sf):
     return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("tool_call_pairing", """
-WITH calls AS (SELECT DISTINCT user_id, event_type FROM events),
-     results AS (SELECT user_id, event_type, arg_max(value, row(ts, event_id)) AS result FROM events WHERE event_type <> 'click' GROUP BY 1, 2)
-SELECT CAST(c.user_id AS VARCHAR) AS session_id, c.event_type AS call_id, r.result, CASE WHEN r.result IS NULL THEN 'pending' ELSE 'completed' END AS status
-FROM calls c LEFT JOIN results r ON c.user_id = r.user_id AND c.event_type = r.event_type
-""")
-def tool_call_pairing(spark, sf):
-    e = event_parts(spark, sf).withColumnRenamed("tool", "call_id")
-    results = e.where("call_id <> 'click'").groupBy("session_id", "call_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("result"))
-    calls = e.select("session_id", "call_id").distinct()
-    return calls.join(results, ["session_id", "call_id"], "left").withColumn("status", F.when(F.col("result").isNull(), "pending").otherwise("completed"))
-
-
-@query("usage_totals", "SELECT event_type AS model, count(*) AS calls, CAST(sum(floor(value)) AS BIGINT) AS tokens FROM events GROUP BY 1")
-def usage_totals(spark, sf):
-    return read(spark, sf, "events").groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("calls"), F.sum(F.floor("value")).cast("long").alias("tokens"))
-
-
-@query("longest_step", "SELECT coalesce(nullif(max(value), 0), 1) AS longest FROM events")
-def longest_step(spark, sf):
-    return read(spark, sf, "events").agg(F.coalesce(F.nullif(F.max("value"), F.lit(0.0)), F.lit(1.0)).alias("longest"))
-
-
 # --- anchors and blocks ------------------------------------------------------
 
 @query("user_anchors", """
@@ -421,16 +374,6 @@ def protected_topics(spark, sf):
     return P.with_protected(clusters, protected, protected.withColumn("summary", F.lit("kept"))).select("topic_id", F.size("session_ids").alias("n"))
 
 
-@query("processed_union", "SELECT CAST(conv_id AS VARCHAR) AS session_id FROM conversations UNION SELECT CAST(user_id AS VARCHAR) FROM events")
-def processed_union(spark, sf):
-    return conversation_messages(spark, sf).select("session_id").union(event_parts(spark, sf).select("session_id")).distinct()
-
-
-@query("rule_totals", "SELECT source AS topic_id, count(*) AS rules, count(DISTINCT doc_id) AS sessions FROM documents GROUP BY 1")
-def rule_totals(spark, sf):
-    return read(spark, sf, "documents").groupBy(F.col("source").alias("topic_id")).agg(F.count("*").alias("rules"), F.countDistinct("doc_id").alias("sessions"))
-
-
 @query("session_gaps", """
 WITH e AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 7200000000 THEN 0 ELSE 1 END AS fresh FROM events),
      s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)

@@ -40,7 +40,7 @@ def read_skills(spark: SparkSession, output: str, project: str) -> DataFrame:
     folder = f"{output}/{_safe(project)}"
     if not os.path.isdir(folder) or not any(os.path.exists(f"{folder}/{x}/SKILL.md") for x in os.listdir(folder)):
         return spark.createDataFrame([], "topic_id string, content string")
-    rows = spark.read.option("wholetext", "true").text(f"{folder}/*/SKILL.md")
+    rows = spark.read.text(f"{folder}/*/SKILL.md", wholetext=True)
     return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("topic_id"), F.col("value").alias("content"))
 
 

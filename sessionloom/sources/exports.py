@@ -19,11 +19,11 @@ class SessionExports:
 
     strict_since = True
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, pattern: str = "*.json"):
+        self.spark, self.folder, self.pattern = spark, folder.rstrip("/"), pattern
 
     def _raw(self) -> DataFrame:
-        files = self.spark.read.option("wholetext", "true").text(f"{self.folder}/*.json")
+        files = self.spark.read.text(f"{self.folder}/{self.pattern}", wholetext=True)
         return files.select(F.try_parse_json("value").alias("v")).select(F.try_variant_get("v", "$.info.id", "string").alias("session_id"), "v").where("session_id is not null")
 
     def _each(self) -> DataFrame:

@@ -26,15 +26,15 @@ class SessionFiles:
 
     strict_since = False
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, pattern: str = "*/session.json"):
+        self.spark, self.folder, self.pattern = spark, folder.rstrip("/"), pattern
 
     def raw(self, since_ms: int | None = None) -> DataFrame:
         """dir_name, session_id and the file as VARIANT. ``since_ms`` leaves out files not touched since."""
-        reader = self.spark.read.option("wholetext", "true")
+        reader = self.spark.read
         if since_ms:
             reader = reader.option("modifiedAfter", _iso(since_ms))
-        files = reader.text(f"{self.folder}/*/session.json")
+        files = reader.text(f"{self.folder}/{self.pattern}", wholetext=True)
         data = files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("dir_name"), F.try_parse_json("value").alias("data"))
         found = _text("data", "$.meta.session_id")
         return data.withColumn("session_id", F.when(found != "", found).otherwise(F.col("dir_name")))

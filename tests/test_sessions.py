@@ -108,7 +108,7 @@ def test_session_files(spark, tmp_path):
     meta = {"session_id": "abcdefghijkl-long", "title": "T", "primary_cwd": "/x/proj", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-02T00:00:00Z"}
     for name, body in (("abcdefghijkl", json.dumps({"meta": meta, "state": {"messages": messages}})), ("bad", "{oops"), ("bare", json.dumps({"meta": {"title": "no id"}}))):
         (tmp_path / name).mkdir()
-        (tmp_path / name / "session.json").write_text(body)
+        (tmp_path / name / "session.json").write_text(body.replace('", "', '",\n "'))
     (tmp_path / "empty").mkdir()
     src = create_source(spark, "files", str(tmp_path))
     assert {(r["session_id"], r["updated_ms"]) for r in src.table("sessions").collect()} == {("abcdefghijkl-long", 1704153600000), ("bare", 0)}
@@ -290,7 +290,7 @@ def test_whole_run(spark, store, tmp_path):
     report = run().run()
     assert report.note == "" and sum(report.labels.values()) == 2 and report.topic_rows
     topics = files.existing_topics(spark, out, "all").collect()
-    assert {r["topic_id"] for r in topics} == {r["topic_id"] for r in report.topic_rows}
+    assert {(r["topic_id"], r["summary"]) for r in topics} == {(r["topic_id"], r["description"]) for r in report.topic_rows}
     assert all("path" not in p or p for p in report.paths.values()) and (tmp_path / "out/all/_index.md").read_text().startswith("# all")
     page = report.html()
     assert "class=card" in page and "class='bar green'" in page and "aggregate" in page
