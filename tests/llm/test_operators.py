@@ -818,3 +818,32 @@ def test_pipeline(spark, tmp_path):
     text = {x["doc_id"]: x for x in seen["secrets"]}
     assert text[1003]["text"].endswith(" [secret]") and text[1003]["n_chars"] == len(text[1003]["text"]) and sorted(map(str, ids["secrets"])) == sorted(map(str, ids["decontamination"]))
     assert sorted(map(str, ids["bpe"])) == sorted(map(str, ids["secrets"])) and json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
+
+
+def pipeline_tables(spark, folder, rows, labels, items):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(k, t, "en", "s", None if t is None else len(t)) for k, t in rows], kind).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    pipeline_tables(spark, tmp_path, [], [], [])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.count() == 0
+
+
+def test_pipeline_with_repeated_ids_and_many_copies(spark, tmp_path):
+    """One id with different texts, hundreds of equal texts, empty ones, a very long one, and nulls everywhere."""
+    import corpus_pipeline
+
+    copied, item = prose(30, 1), prose(30, 2)
+    rows = [(i, copied) for i in range(300)] + [(500, prose(30, 3)), (500, prose(30, 4)), (501, prose(30, 4) + " end"), (502, item), (502, prose(30, 5)), (503, prose(40_000, 6)), (504, None), (505, ""), (None, None), (None, copied), (None, copied)]
+    pipeline_tables(spark, tmp_path, rows, [(i, 1, 0) for i in range(20)] + [(None, None, 1), (500, None, None)], [(None, item), (7, None), (8, "")])
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    ids = [k for k, _ in got]
+    # 500 and 501 are one group; of 502 one row stays, unless it is the one of the benchmark's words.
+    assert [k for k in ids if k != "502"] == sorted(["0", "500", "503", "504", "505", "None", "None", "None"]) and ids.count("502") <= 1
+    assert dict(got)["504"] == dict(got)["505"] == 0 and dict(got)["503"] > 40_000
