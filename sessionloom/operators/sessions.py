@@ -63,11 +63,13 @@ def processable(cleaned: DataFrame, min_messages: int = MIN_MESSAGES, min_tools:
 def compress_parts(parts: DataFrame) -> DataFrame:
     """Parts with ``line``, what is kept of each, and its ``kind``; steps and noise tools go.
 
-    Only tools without a summary of their own need the Python form of their input.
+    Only tools without a summary of their own need the Python form of their
+    input, so only their rows go through Python.
     """
-    known = F.col("tool").isin("bash", "read", "write", "edit", "glob", "grep", "task", *NOISE_TOOLS)
-    rows = parts.where(~((F.col("type") == "tool") & F.col("tool").isin(*NOISE_TOOLS)))
-    rows = rows.withColumn("input_repr", pyrepr(F.when((F.col("type") == "tool") & ~known, F.coalesce("input_json", F.lit("{}"))).otherwise("")))
+    tool = F.coalesce(F.col("type") == "tool", F.lit(False))
+    other = tool & ~F.coalesce(F.col("tool").isin("bash", "read", "write", "edit", "glob", "grep", "task"), F.lit(False))
+    rows = parts.where(~(tool & F.coalesce(F.col("tool").isin(*NOISE_TOOLS), F.lit(False))))
+    rows = rows.where(~other).withColumn("input_repr", F.lit("")).unionByName(rows.where(other).withColumn("input_repr", pyrepr(F.coalesce("input_json", F.lit("{}")))))
     files = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce("files", F.array().cast("array<string>")), _quoted), ", "), F.lit("]"))
     line = (
         F.when(F.col("type") == "text", text_or_empty(F.col("text")))
@@ -168,8 +170,10 @@ def block_texts(blocks: DataFrame, lines: DataFrame, counts: DataFrame) -> DataF
     """
     first, stop = sliced_range(F.col("start"), F.col("end"), F.col("message_count").cast("int"))
     ranged = blocks.join(counts.select("session_id", "message_count"), "session_id").withColumn("lo", first).withColumn("hi", stop)
-    inside = ranged.join(lines, "session_id", "left").where("line is null or (msg_idx >= lo and msg_idx < hi)")
-    ordered = F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("msg_idx", "rank", "part_idx", "line"))))
+    # A row for each message of a block, so that lines meet their own blocks only.
+    places = F.when(F.col("hi") > F.col("lo"), F.sequence(F.col("lo"), F.col("hi") - 1)).otherwise(F.array().cast("array<int>"))
+    inside = ranged.select("session_id", "block_id", F.explode(places).alias("msg_idx")).join(lines, ["session_id", "msg_idx"])
+    ordered = F.array_sort(F.collect_list(F.struct("msg_idx", "rank", "part_idx", "line")))
     texts = inside.groupBy("session_id", "block_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("content"))
     return blocks.join(texts, ["session_id", "block_id"], "left").withColumn("content", F.coalesce("content", F.lit("")))
 

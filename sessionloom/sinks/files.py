@@ -1,16 +1,15 @@
 """Skills, index, knowledge and trajectories as files.
 
-Texts are rendered by Spark. Skills are few, one row a topic, and each file is
-written by the task that holds its row; one-row documents are put together by
-ordered aggregation.
+Texts are rendered by Spark. Skills are few, one row a topic: the driver, which
+also reads the folder, takes one after the other and writes its file. One-row
+documents are put together by ordered aggregation.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +63,7 @@ def write_skills(skills: DataFrame, output: str, project: str, merge: Callable[[
         done = done.select(*[c for c in skills.columns if c not in ("body", "description")], F.coalesce("merged_body", "current_body").alias("body"), F.coalesce("merged_description", "description").alias("description"))
         skills = both.where("current_body is null").select(skills.columns).unionByName(done)
     root = f"{output}/{_safe(project)}"
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            paths = [put(f"{root}/{_safe(t)}/SKILL.md", c) for t, c in zip(b["topic_id"], b["content"], strict=True)]
-            yield pd.DataFrame({"topic_id": b["topic_id"], "path": paths})
-
-    return {r["topic_id"]: r["path"] for r in rendered(skills).mapInPandas(write, "topic_id string, path string").collect()}
+    return {r["topic_id"]: put(f"{root}/{_safe(r['topic_id'])}/SKILL.md", r["content"]) for r in rendered(skills).toLocalIterator()}
 
 
 def _listed(df: DataFrame, line: Column) -> str:
