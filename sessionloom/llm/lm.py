@@ -122,6 +122,9 @@ class Lexicon:
     #: The model's words, sorted, and their ids.
     model_words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     model_ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: Where the words of each run of first bits begin; made in each task.
+    starts: np.ndarray | None = None
+    shift: np.uint64 = np.uint64(0)
 
     @classmethod
     def of(cls, words: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> Lexicon:
@@ -135,6 +138,25 @@ class Lexicon:
         out.model_words, out.model_ids = out.words[out.ids >= 0], out.ids[out.ids >= 0]
         return out
 
+    def _places(self, numbers: np.ndarray) -> np.ndarray:
+        """Where each number stands among the words if it is there.
+
+        Numbers are hashes, so their first bits nearly give the place: the
+        search starts there and goes on by one while words are less.
+        """
+        if self.starts is None:
+            bits = max(1, len(self.words).bit_length())
+            self.shift = np.uint64(64 - bits)
+            self.starts = np.searchsorted(self.words, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        last = len(self.words) - 1
+        at = np.minimum(self.starts[numbers >> self.shift], last)
+        left = np.flatnonzero(self.words[at] < numbers)
+        while len(left):
+            left = left[at[left] < last]
+            at[left] += 1
+            left = left[self.words[at[left]] < numbers[left]]
+        return at
+
     def coder(self) -> Lexicon:
         """Only what gives words their ids."""
         none = np.zeros(0, np.int64)
@@ -152,8 +174,7 @@ class Lexicon:
         """Counts (-1: not here) and model ids (VOCABULARY: rare)."""
         if not len(self.words):
             return np.full(len(numbers), 0 if self.complete else -1), np.full(len(numbers), VOCABULARY)
-        at = np.searchsorted(self.words, numbers)
-        at[at == len(self.words)] = 0
+        at = self._places(numbers)
         here = self.words[at] == numbers
         counts = np.where(here, self.counts[at], 0 if self.complete else -1)
         ids = np.where(here, self.ids[at], -1)
@@ -167,10 +188,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+def _exponentials(x: np.ndarray) -> np.ndarray:
+    """Of logits, in place, and their sums by row; logits over 60 count as 60 and no sum is zero, so all stays finite."""
+    np.minimum(x, np.float32(60), out=x)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    return x @ np.ones(x.shape[1], np.float32) + np.float32(1e-30)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    total = _exponentials(x)
+    x /= total[:, None]
     return x
 
 
@@ -224,10 +251,8 @@ class Network:
         k = np.minimum(words // CLASS_WORDS, CLASSES)
         logits = states @ self.c
         logits += self.cb
-        logits -= logits.max(axis=1, keepdims=True)
         out = logits[np.arange(len(k)), k].astype(np.float64)
-        np.exp(logits, out=logits)
-        out -= np.log(logits.sum(axis=1))
+        out -= np.log(_exponentials(logits))
         order = np.argsort(k, kind="stable")
         cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
@@ -235,10 +260,8 @@ class Network:
             if len(at):
                 inner = states[at] @ self.w[c]
                 inner += self.wb[c]
-                inner -= inner.max(axis=1, keepdims=True)
-                out[at] += inner[np.arange(len(at)), words[at] - c * CLASS_WORDS]
-                np.exp(inner, out=inner)
-                out[at] -= np.log(inner.sum(axis=1))
+                own = inner[np.arange(len(at)), words[at] - c * CLASS_WORDS]
+                out[at] += own - np.log(_exponentials(inner))
         return out
 
     def gradients(self, last: np.ndarray, second: np.ndarray, words: np.ndarray, mask: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[Network, np.ndarray]:
