@@ -8,6 +8,7 @@ when ``spark.sql.python.filterPushdown.enabled`` is set.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import sqlite3
@@ -29,8 +30,15 @@ def _connect(path: str) -> sqlite3.Connection:
 
 
 class _Slice(InputPartition):
-    def __init__(self, index: int, of: int):
-        self.index, self.of = index, of
+    """Session ids from ``lo`` up to ``hi``, which is not one of them; None is no bound."""
+
+    def __init__(self, lo: str | None, hi: str | None):
+        self.lo, self.hi = lo, hi
+
+    def where(self, column: str) -> tuple[str, list[str]]:
+        """A condition on the column, which an index can serve, and its values."""
+        bounds = [(f"{column} >= ?", self.lo), (f"{column} < ?", self.hi)]
+        return " AND ".join(c for c, v in bounds if v is not None) or "TRUE", [v for _, v in bounds if v is not None]
 
 
 class _Reader(DataSourceReader):
@@ -48,28 +56,33 @@ class _Reader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [_Slice(i, self.slices) for i in range(self.slices)]
+        db = _connect(self.path)
+        try:
+            # The least id of each of so many equal shares; the first share is open below, the last above.
+            starts = [r[0] for r in db.execute("SELECT min(id) FROM (SELECT id, ntile(?) OVER (ORDER BY id) AS share FROM session) GROUP BY share ORDER BY share", (self.slices,))]
+        finally:
+            db.close()
+        return [_Slice(a, b) for a, b in itertools.pairwise([None, *starts[1:], None])]
 
     def read(self, part: _Slice) -> Iterator[tuple]:
-        import zlib
-
         db = _connect(self.path)
-        db.create_function("slice_of", 1, lambda s: zlib.crc32(str(s).encode()) % part.of, deterministic=True)
         try:
             if self.table == "sessions":
+                where, values = part.where("id")
                 since = "" if self.since is None else f" AND time_updated >= {int(self.since)}"
-                yield from db.execute(f"SELECT id, title, directory, time_created, time_updated FROM session WHERE slice_of(id) = {part.index}{since}")
+                yield from db.execute(f"SELECT id, title, directory, time_created, time_updated FROM session WHERE {where}{since}", values)
             elif self.table == "messages":
-                yield from self._messages(db, f"slice_of(session_id) = {part.index}")
+                yield from self._messages(db, part)
             else:
                 yield from self._parts(db, part)
         finally:
             db.close()
 
     @staticmethod
-    def _messages(db: sqlite3.Connection, where: str) -> Iterator[tuple]:
+    def _messages(db: sqlite3.Connection, part: _Slice) -> Iterator[tuple]:
         last, idx = None, 0
-        for session, data in db.execute(f"SELECT session_id, data FROM message WHERE {where} ORDER BY session_id, time_created, id"):
+        where, values = part.where("session_id")
+        for session, data in db.execute(f"SELECT session_id, data FROM message WHERE {where} ORDER BY session_id, time_created, id", values):
             last, idx = session, idx + 1 if session == last else 0
             yield message_row(session, idx, json.loads(data))
 
@@ -77,11 +90,12 @@ class _Reader(DataSourceReader):
     def _parts(db: sqlite3.Connection, part: _Slice) -> Iterator[tuple]:
         place: dict[str, int] = {}
         last, idx = None, 0
-        for session, message in db.execute(f"SELECT session_id, id FROM message WHERE slice_of(session_id) = {part.index} ORDER BY session_id, time_created, id"):
+        where, values = part.where("session_id")
+        for session, message in db.execute(f"SELECT session_id, id FROM message WHERE {where} ORDER BY session_id, time_created, id", values):
             last, idx = session, idx + 1 if session == last else 0
             place[message] = idx
         last, idx = None, 0
-        for session, message, data in db.execute(f"SELECT session_id, message_id, data FROM part WHERE slice_of(session_id) = {part.index} ORDER BY session_id, message_id, time_created, id"):
+        for session, message, data in db.execute(f"SELECT session_id, message_id, data FROM part WHERE {where} ORDER BY session_id, message_id, time_created, id", values):
             last, idx = message, idx + 1 if message == last else 0
             if message in place:
                 yield part_row(session, place[message], idx, json.loads(data))
