@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +42,56 @@ class Settings:
     today: str = ""
 
 
+class Distiller(Protocol):
+    """Skills of topics: a row for each, with ``error`` null where it has one."""
+
+    def __call__(self, trajectories: DataFrame, clusters: DataFrame) -> DataFrame: ...
+
+
+class Formatter(Protocol):
+    """Writes skills and gives the paths of what it wrote by name."""
+
+    def __call__(self, skills: DataFrame, output: str, project: str, date: str, merge: Callable | None) -> dict[str, str]: ...
+
+
+class Presenter(Protocol):
+    """Writes a report and gives its path."""
+
+    def __call__(self, report: Report, output: str) -> str: ...
+
+
+def skill_files(skills: DataFrame, output: str, project: str, date: str, merge: Callable | None) -> dict[str, str]:
+    """A file for each skill, and their index."""
+    paths = files.write_skills(skills, output, project, merge)
+    return paths | {"index": files.write_index(skills, output, project, date)}
+
+
+def knowledge_file(skills: DataFrame, output: str, project: str, date: str, merge: Callable | None) -> dict[str, str]:
+    """One file of all topics; nothing is merged."""
+    return {"knowledge": files.write_knowledge(skills, output, project, date)}
+
+
+FORMATS: dict[str, Formatter] = {"skill_md": skill_files, "knowledge_md": knowledge_file}
+
+
 class Pipeline:
-    """Stages are tables under ``work``; each is computed once, and later ones read its files."""
+    """Stages are tables under ``work``; each is computed once, and later ones read its files.
 
-    def __init__(self, spark: SparkSession, source: SessionSource, models: Models, settings: Settings, strategy: ClusterStrategy | None = None, merge: Callable | None = None):
+    How sessions are clustered, topics distilled, skills formatted and reports
+    presented can be exchanged.
+    """
+
+    def __init__(
+        self, spark: SparkSession, source: SessionSource, models: Models, settings: Settings, strategy: ClusterStrategy | None = None, merge: Callable | None = None,
+        distiller: Distiller | None = None, formats: dict[str, Formatter] | None = None, presenter: Presenter = Report.write_html,
+    ):
         self.spark, self.source, self.models, self.settings = spark, source, models, settings
         self.strategy = strategy or ModelClusters(models, settings.project or "")
+        self.distil = distiller or functools.partial(distil, models=models, max_rules=settings.max_rules)
+        known = FORMATS | (formats or {})
+        if settings.form not in known:
+            raise ValueError(f"unknown format {settings.form!r}; known are {', '.join(sorted(known))}")
+        self.format, self.present = known[settings.form], presenter
         self.state = StateStore(spark, f"{settings.output}/state")
         self.merge = merge
         self.run_id = uuid.uuid4().hex
@@ -89,7 +135,7 @@ class Pipeline:
         existing = files.existing_topics(self.spark, s.output, project)
         clusters, _ = self.strategy.cluster(good, existing, s.protected)
         clusters = self._stage(report, "clusters", clusters)
-        distilled = self._stage(report, "skills", distil(good, clusters, self.models, s.max_rules))
+        distilled = self._stage(report, "skills", self.distil(good, clusters))
         report.failed_topics(distilled.where("error is not null"))
         skills = distilled.where("error is null")
         report.skills(skills)
@@ -97,11 +143,7 @@ class Pipeline:
             return self._end(report, "no skills")
         if s.step == 2 or s.dry_run:
             return self._end(report, "")
-        if s.form == "knowledge_md":
-            report.paths["knowledge"] = files.write_knowledge(skills, s.output, project, report.date)
-        else:
-            report.paths |= files.write_skills(skills, s.output, project, self.merge)
-            report.paths["index"] = files.write_index(skills, s.output, project, report.date)
+        report.paths |= self.format(skills, s.output, project, report.date, self.merge)
         report.paths["trajectories"] = files.write_trajectories(good, s.output, project, report.date)
         # What was read, not when the run ended, bounds the next run.
         mark = listed.agg(F.max("timestamp")).first()[0]
@@ -112,5 +154,5 @@ class Pipeline:
         report.note = why
         report.used(self.models.used)
         if not self.settings.dry_run:
-            report.paths["report"] = report.write_html(self.settings.output)
+            report.paths["report"] = self.present(report, self.settings.output)
         return report

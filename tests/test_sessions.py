@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.operators import sessions as S
 from sessionloom.operators import topics as P
-from sessionloom.plans.analysis import FieldClusters
+from sessionloom.plans.analysis import FieldClusters, distil
 from sessionloom.plans.merging import model_merge
 from sessionloom.plans.mining import Models
 from sessionloom.plans.pipeline import Pipeline, Settings
@@ -309,6 +309,25 @@ def test_whole_run(spark, store, tmp_path):
     assert state.since_ms() is None and state.processed().count() == 0
 
 
+def test_layers_can_be_exchanged(spark, store, tmp_path):
+    src = create_source(spark, "sqlite", store)
+    models = Models(RuleProvider, RuleProvider, str(tmp_path / "cache"), 2)
+    settings = Settings(str(tmp_path / "o"), str(tmp_path / "w"), today="d", form="titles")
+
+    def fixed(trajectories, clusters):
+        return distil(trajectories, clusters, models).withColumn("skill_title", F.concat(F.lit("mine: "), "topic_id"))
+
+    def titles(skills, output, project, date, merge):
+        return {r["topic_id"]: r["skill_title"] for r in skills.collect()}
+
+    shown = []
+    run = Pipeline(spark, src, models, settings, FieldClusters("project"), distiller=fixed, formats={"titles": titles}, presenter=lambda report, output: shown.append(report.topic_rows) or "shown")
+    report = run.run()
+    assert report.paths["my-project"] == "mine: my-project" and report.paths["report"] == "shown" and len(shown[0]) == 1
+    with pytest.raises(ValueError, match="unknown format"):
+        Pipeline(spark, src, models, settings)
+
+
 def test_field_clusters(spark, store, tmp_path):
     src = create_source(spark, "sqlite", store)
     models = Models(RuleProvider, RuleProvider, str(tmp_path / "cache"), 2)
