@@ -30,12 +30,34 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+#: Folders made in this process.
+_made: list[str] = []
+
+
+def mark() -> int:
+    """A point in time for ``sweep``."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Remove the folders made since a mark: for when what reads them has been written down."""
+    for root in _made[since:]:
+        _remove(spark, root)
+    del _made[since:]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
     """A folder of its own within the shared one."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _made.append(self.root)
         self._n = 0
         self._saved: list[str] = []
 
@@ -67,5 +89,4 @@ class Scratch:
     def _remove(self, path: str) -> None:
         if path in self._saved:
             self._saved.remove(path)
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(self.spark, path)

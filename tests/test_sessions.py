@@ -2,13 +2,16 @@
 
 import itertools
 import json
+import os
 import sqlite3
 import sys
+from types import SimpleNamespace
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from sessionloom import scratch
 from sessionloom.operators import sessions as S
 from sessionloom.operators import topics as P
 from sessionloom.plans.analysis import FieldClusters, distil
@@ -18,6 +21,7 @@ from sessionloom.plans.pipeline import Pipeline, Settings
 from sessionloom.providers import ContextOverflow, Reply, RuleProvider, call_model
 from sessionloom.providers.calls import ask
 from sessionloom.providers.http import HttpProvider, bypass_patterns, parse_reply
+from sessionloom.scratch import Scratch
 from sessionloom.sinks import files
 from sessionloom.sinks import report as reports
 from sessionloom.sinks.state import StateStore
@@ -343,3 +347,21 @@ def test_report_tells_of_rows_that_are_not_shown(spark, monkeypatch):
     report = reports.Report("p", "2024-01-01")
     report.sessions(mined)
     assert len(report.session_rows) == 2 and report.errors == ["s4: late"] and "3 more rows are not shown" in report.html()
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {})
+    with pytest.raises(ValueError, match="checkpoint"):
+        Scratch(SimpleNamespace(sparkContext=context), "x")
+    assert Scratch(SimpleNamespace(sparkContext=SimpleNamespace(master="yarn", getConf=lambda: {"spark.checkpoint.dir": "hdfs://n/c/"})), "x").root.startswith("hdfs://n/c/x-")
+
+
+def test_scratch_is_emptied(spark):
+    begun = scratch.mark()
+    one = Scratch(spark, "one")
+    a, b = (one.save(spark.range(3), x) for x in "ab")
+    one.keep_only(b)
+    folder = one.root.removeprefix("file://")
+    assert len(os.listdir(folder)) == 1 and b.count() == 3
+    scratch.sweep(spark, begun)
+    assert not os.path.exists(folder)
