@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step groups the edges by a node with a map-side minimum and joins that
-minimum back, so a node with very many neighbours never meets in one task.
+minimum back. The join sorts the edges of a node with very many neighbours, 16
+bytes each, without holding them, and adaptive execution splits it once it is
+skewed; no list of neighbours is ever made.
 Edges between the steps are tables in the shared folder.
 """
 
