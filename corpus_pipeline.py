@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, decontam, neardup, secrets, toxicity
 from sessionloom.llm.queries import table, vocabulary
-from sessionloom.llm.scratch import Scratch
+from sessionloom.llm.scratch import Scratch, mark, sweep
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,10 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
+    """All stages over ``documents``; each result is written and read again, and what a stage wrote for itself then goes."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        before, docs = docs, scratch.save(stage(spark, docs, sf_dir), name)
+        begun, before = mark(), docs
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        sweep(spark, begun)
         scratch.drop(before)
     return docs
