@@ -11,6 +11,7 @@ PREFIX = "SESSIONLOOM_"
 TRUE = {"true", "1", "yes"}
 
 
+# Names and defaults of settings, by which existing files are read.
 @dataclass
 class ModelConfig:
     model: str = "openai/gpt-oss-120b"

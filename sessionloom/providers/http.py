@@ -80,6 +80,7 @@ class HttpProvider:
         through = self.proxy and not any(p.search(host) for p in self._free)
         return urllib.request.build_opener(urllib.request.ProxyHandler({"http": self.proxy, "https": self.proxy} if through else {}), _Plain(self.connect_timeout), _Secure(self.connect_timeout, context))
 
+    # The fields of the wire format, and the words by which servers tell of an overflow.
     def complete(self, system: str, prompt: str, temperature: float = 0.3, max_tokens: int = 4096) -> Reply:
         body = {"model": self.model_name, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}], "temperature": temperature, "max_tokens": max_tokens}
         head = {"Content-Type": "application/json", "Authorization": f"Bearer {self.api_key}", "User-Agent": self.user_agent} | self.headers

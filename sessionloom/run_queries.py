@@ -308,6 +308,7 @@ def run_usage(spark, sf):
     return spark.createDataFrame([(r["task"], r["calls"]) for r in report.usage], "task string, calls long")
 
 
+# The templates of written files, within the SQL too.
 # --- files and state ---------------------------------------------------------------
 
 def _skills(spark, sf) -> DataFrame:
