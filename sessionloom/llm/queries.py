@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoded
+from .centroids import clusters
 from .decontam import contamination
 from .lm import score_documents
+from .manifest import audited
 from .merkle import edited_documents
 from .neardup import near_duplicates
+from .packing import packed
 from .secrets import find_secrets
 from .sharding import sharded
 from .toxicity import fit, score_toxicity
@@ -82,6 +85,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), vocabulary(), full=False)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_decontamination": op2_decontamination,
@@ -93,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_packing": op12_packing,
+    "op13_centroids": op13_centroids,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,7 +133,80 @@ def _rule(host: str, path: str, action: bool) -> str:
     return f"CASE {' '.join(whens)} END"
 
 
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x}, '-')" for x in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256(concat({', '.join(parts)}))"
+
+
+#: Unsigned CRC-32 of the decimal doc_id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) // 2, 3988292384 * (xor(a, b) % 2))))"""
+
+
+def _manifest_sql(source_levels: int = 5, top_levels: int = 3) -> str:
+    """Levels are written out: sources of up to 16**5 rows, and 16**3 sources."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"a0 AS (SELECT *, {_leaf('text')} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_leaf(lower)} ELSE {_leaf('text')} END AS claimed FROM documents)",
+        "l0 AS (SELECT row_number() OVER () AS id, doc_id, source, leaf, claimed, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i FROM a0)",
+        "t0 AS (SELECT source AS g, i, leaf AS h FROM l0)",
+    ]
+
+    def levels(first: str, name: str, n: int) -> list[str]:
+        out, last = [], first
+        for k in range(1, n + 1):
+            # A segment of one node stays as it is.
+            out.append(f"""{name}{k} AS (SELECT g, i // 16 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h,
+              CASE WHEN any_value(n) > 1 THEN string_agg(h, '' ORDER BY i) END AS pre FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {last}) GROUP BY g, i // 16)""")
+            last = f"{name}{k}"
+        return out
+
+    steps += levels("t0", "t", source_levels)
+    steps.append(f"r0 AS (SELECT 0 AS g, g AS source, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h FROM t{source_levels})")
+    steps += levels("r0", "r", top_levels)
+    joins = [f"JOIN t{k} ON t{k}.g IS NOT DISTINCT FROM l0.source AND t{k}.i = l0.i // {16**k}" for k in range(1, source_levels + 1)]
+    joins += ["JOIN r0 ON r0.source IS NOT DISTINCT FROM l0.source", *[f"JOIN r{k} ON r{k}.i = r0.i // {16**k}" for k in range(1, top_levels + 1)]]
+    path = [(f"t{k}.pre", f"l0.i // {16 ** (k - 1)} % 16") for k in range(1, source_levels + 1)] + [(f"r{k}.pre", f"r0.i // {16 ** (k - 1)} % 16") for k in range(1, top_levels + 1)]
+    listed = ", ".join(f"{{'p': {p}, 's': CAST({s} AS BIGINT)}}" for p, s in path)
+    steps.append(f"w AS (SELECT l0.*, t{source_levels}.h AS subroot, r{top_levels}.h AS root, list_filter([{listed}], lambda x: x.p IS NOT NULL) AS path FROM l0 {' '.join(joins)})")
+    fold, last = [], "w"
+    for k in range(1, source_levels + top_levels + 1):
+        at = f"path[{k}]"
+        now = "claimed" if k == 1 else "folded"
+        keep = "* EXCLUDE (folded)" if k > 1 else "*"
+        fold.append(f"""f{k} AS (SELECT {keep}, CASE WHEN len(path) < {k} THEN {now}
+          ELSE sha256(substr({at}.p, 1, 64 * {at}.s) || {now} || substr({at}.p, 64 * {at}.s + 65)) END AS folded FROM {last})""")
+        last = f"f{k}"
+    return f"""WITH {", ".join(steps + fold)}
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: substr(x.p, 1, 64 * x.s) || substr(x.p, 64 * x.s + 65)), '')) AS proof_sha256,
+  folded AS folded_root, folded = root AS verified FROM {last}"""
+
+
+def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    steps = [
+        """v AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM v QUALIFY c < {k})",
+    ]
+    # Rows of one vector and centroid, their squared distance; the nearest, of equally near ones the least.
+    pick = """SELECT v.id, min_by(c.c, (list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) :: BIGINT, c.c)) AS c,
+      min(list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) :: BIGINT) AS d FROM v, {0} c GROUP BY v.id"""
+    for r in range(1, rounds + 1):
+        steps.append(f"p{r} AS ({pick.format(f'c{r - 1}')})")
+        steps.append(f"""m{r} AS (SELECT c, list(CAST(floor_sum AS BIGINT) ORDER BY j) AS v FROM (
+          SELECT c, j, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS floor_sum
+          FROM (SELECT p.c, unnest(v.v) AS x, generate_subscripts(v.v, 1) AS j FROM p{r} p JOIN v USING (id)) GROUP BY c, j) GROUP BY c)""")
+        steps.append(f"c{r} AS (SELECT a.c, coalesce(m.v, a.v) AS v FROM c{r - 1} a LEFT JOIN m{r} m ON a.c = m.c)")
+    steps.append(f"p AS ({pick.format(f'c{rounds}')})")
+    return f"""WITH {", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in steps)}
+SELECT vec_id, CAST(p.c AS INTEGER) AS cluster, p.d AS distance, CAST(sum(p.d) OVER (PARTITION BY p.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(p.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM p JOIN v USING (id) JOIN c{rounds} c ON c.c = p.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": _manifest_sql(),
+    "op13_centroids": _centroid_sql(),
     "op1_near_duplicates": rf"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
