@@ -85,8 +85,9 @@ class Tree:
 
 def grown(leaves: DataFrame, segment: list[str], scratch: Scratch) -> Tree:
     """The levels above ``leaves`` (segment, idx, n, hash), until every segment has one node left."""
-    nodes = [leaves]
-    while (nodes[-1].agg(F.max("n")).first()[0] or 0) > 1:
+    nodes, most = [leaves], leaves.agg(F.max("n")).first()[0] or 0
+    while most > 1:
+        most = -(-most // RUN)
         # RUN children at most.
         children = F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"])
         up = (
