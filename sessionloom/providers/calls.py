@@ -2,16 +2,16 @@
 
 Spark may evaluate a plan more than once, and repeats failed tasks; a model
 must not be asked again for that. So replies are written to a cache table,
-keyed by a hash of all that decides them, the model among it, and only prompts
-that it lacks are sent. Every row names the request that wrote it, so sums over
-a request count each call once.
+keyed by a hash of all that decides them, model and server among it, and only
+prompts that it lacks are sent. Until that table is written every call is in a
+write-ahead log (``log``), which a repeated task reads first.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,43 +19,56 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import extract
+from ..storage import Store
 from .base import ContextOverflow, Provider
+from .log import CallFailed, PromptLog, opened, usage
 
 ATTEMPTS = 3
 STRICTER = "\nReply with one valid JSON object and nothing else."
 CACHE = "prompt_key string, response string, input_tokens long, output_tokens long, calls int, error string, request string"
 
 
-def ask(provider: Provider, system: str, prompt: str, temperature: float, max_tokens: int, wait: Callable[[float], None] = time.sleep) -> tuple:
-    """One prompt's JSON reply: retried with growing waits, and asked once more if it is no JSON object."""
+def ask(
+    provider: Provider, system: str, prompt: str, temperature: float, max_tokens: int, wait: Callable[[float], None] = time.sleep, log: PromptLog | None = None,
+) -> tuple:
+    """One prompt's JSON reply: retried with growing waits, and asked once more if it is no JSON object.
+
+    With a ``log`` what it holds is not asked again, and calls and tokens are those of its request.
+    """
     spent, calls, error, value = [0, 0], 0, None, None
-    for suffix in ("", STRICTER):
+
+    def result(reply: str | None, why: str | None) -> tuple:
+        return (reply, *log.spent, log.made, why) if log else (reply, *spent, calls, why)
+
+    for step, suffix in enumerate(("", STRICTER)):
         for attempt in range(ATTEMPTS):
+            complete = functools.partial(provider.complete, system + suffix, prompt, temperature, max_tokens)
             try:
                 calls += 1
-                reply = provider.complete(system + suffix, prompt, temperature, max_tokens)
+                reply = log.call(step, attempt, complete)[0] if log else complete()
                 spent[0] += reply.input_tokens
                 spent[1] += reply.output_tokens
                 value, error = extract(reply.text), None
                 break
             except ContextOverflow as e:
-                return None, *spent, calls, f"context overflow: {e}"
+                return result(None, f"context overflow: {e}")
             except Exception as e:  # noqa: BLE001 - a failed call is a row's error, not the job's
-                error = f"{type(e).__name__}: {e}"
+                error = str(e) if isinstance(e, CallFailed) else f"{type(e).__name__}: {e}"
                 if attempt + 1 < ATTEMPTS:
                     wait(float(2**attempt))
         if error or (isinstance(value, dict) and not value.get("_parse_error")):
             break
     if error is None and not isinstance(value, dict):
         error = "the reply is no JSON object"
-    return (None if value is None else json.dumps(value, ensure_ascii=False)), *spent, calls, error
+    return result(None if value is None else json.dumps(value, ensure_ascii=False), error)
 
 
 def identity(factory: Callable[[], Provider]) -> str:
-    """Kind and model of the providers that a factory makes."""
+    """Kind, server and model of the providers that a factory makes."""
     provider = factory()
     try:
-        return f"{type(provider).__module__}.{type(provider).__qualname__}:{provider.model_name}"
+        server = getattr(provider, "base_url", "")
+        return ":".join([f"{type(provider).__module__}.{type(provider).__qualname__}", *[server] * bool(server), provider.model_name])
     finally:
         provider.close()
 
@@ -66,35 +79,40 @@ def call_model(
 ) -> DataFrame:
     """``df`` with response (JSON), input_tokens, output_tokens, calls and error for the prompt of each row.
 
-    ``cache`` is a folder of Parquet files that grows; equal prompts are asked
-    once. At most ``concurrency`` partitions ask at a time. ``used`` is told the
-    model and the sums (calls, input_tokens, output_tokens) of what was asked now.
+    ``cache`` is a folder in a store that all workers reach: Parquet files that
+    grow under ``replies``, and the log of running requests under ``log``. Equal
+    prompts are asked once; a null one is not asked. At most ``concurrency``
+    partitions ask at a time. ``used`` is told the model and the sums (calls,
+    input_tokens, output_tokens) of what was asked now, calls of lost tasks
+    included (their tokens only if the reply came).
     """
     spark = df.sparkSession
-    model, request = identity(factory), uuid.uuid4().hex
+    model = identity(factory)
+    log, logged = opened(spark, f"{cache}/log")
+    store = Store(spark, cache)
+    table = store.path("replies")
     keyed = df.withColumn("prompt_key", F.sha2(F.concat_ws("\x1f", F.lit(model), F.lit(system), F.lit(str(temperature)), F.lit(str(max_tokens)), F.col(prompt_col)), 256))
-    where = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    known = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
     wanted = keyed.select("prompt_key", F.col(prompt_col).alias("prompt")).where("prompt is not null").dropDuplicates(["prompt_key"])
-    if known:
-        wanted = wanted.join(spark.read.schema(CACHE).parquet(cache).where("error is null").select("prompt_key"), "prompt_key", "left_anti")
+    if store.exists("replies"):
+        wanted = wanted.join(spark.read.schema(CACHE).parquet(table).where("error is null").select("prompt_key"), "prompt_key", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = None
         try:
             for batch in batches:
                 provider = provider or factory()
-                rows = [(k, *ask(provider, system, p, temperature, max_tokens), request) for k, p in zip(batch["prompt_key"], batch["prompt"], strict=True)]
+                rows = [(k, *ask(provider, system, p, temperature, max_tokens, log=log.prompt(k)), log.request) for k, p in zip(batch["prompt_key"], batch["prompt"], strict=True)]
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in CACHE.split(", ")])
         finally:
             if provider is not None:
                 provider.close()
 
-    wanted.repartition(concurrency, "prompt_key").mapInPandas(run, CACHE).write.mode("append").parquet(cache)
-    replies = spark.read.schema(CACHE).parquet(cache)
+    wanted.repartition(concurrency, "prompt_key").mapInPandas(run, CACHE).write.mode("append").parquet(table)
     if used:
-        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "input_tokens", "output_tokens")]
-        used(model, replies.where(F.col("request") == request).agg(*sums).first())
+        used(model, usage(spark, log, logged))
+    # The table has all of it now.
+    logged.delete(log.request)
+    replies = spark.read.schema(CACHE).parquet(table).join(keyed.select("prompt_key"), "prompt_key", "left_semi")
     # A prompt that failed before and was asked again has two rows: the good one counts.
     best = replies.groupBy("prompt_key").agg(F.max_by(F.struct("response", "input_tokens", "output_tokens", "calls", "error"), F.when(F.col("error").isNull(), 1).otherwise(0)).alias("r"))
     return keyed.join(best, "prompt_key", "left").select(*df.columns, "r.*")

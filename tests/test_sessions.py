@@ -1,9 +1,11 @@
 """Sources, pairing, blocks, labels, topics and whole runs on small stores."""
 
+import hashlib
 import itertools
 import json
 import os
 import sqlite3
+import subprocess
 import sys
 from types import SimpleNamespace
 
@@ -19,13 +21,15 @@ from sessionloom.plans.merging import model_merge
 from sessionloom.plans.mining import Models
 from sessionloom.plans.pipeline import Pipeline, Settings
 from sessionloom.providers import ContextOverflow, Reply, RuleProvider, call_model
-from sessionloom.providers.calls import ask
+from sessionloom.providers.calls import ask, identity
 from sessionloom.providers.http import HttpProvider, bypass_patterns, parse_reply
+from sessionloom.providers.log import PromptLog
 from sessionloom.scratch import Scratch
 from sessionloom.sinks import files
 from sessionloom.sinks import report as reports
 from sessionloom.sinks.state import StateStore
 from sessionloom.sources import create_source
+from sessionloom.storage import WorkerStore
 
 # Workers cannot import this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -241,7 +245,7 @@ def test_cache(spark, tmp_path):
     for _ in range(2):
         out = {r["i"]: r["calls"] for r in call_model(df, "segment\n", "p", RuleProvider, str(tmp_path / "c")).collect()}
         assert out == {1: 1, 2: 1, 3: None}
-    assert spark.read.parquet(str(tmp_path / "c")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "c/replies")).count() == 1 and os.listdir(tmp_path / "c/log") == []
 
 
 class Named(RuleProvider):
@@ -261,6 +265,68 @@ def test_models_do_not_share_replies(spark, tmp_path):
     assert used[2][1:] == (0, 0, 0)
 
 
+class Counted(RuleProvider):
+    """Writes down every call; a worker dies once at the sixth, and a first reply to ``odd`` is no JSON."""
+
+    model_name = "counted"
+
+    def __init__(self, folder, dies=True):
+        self.folder, self.dies = folder, dies
+
+    def complete(self, system, prompt, temperature, max_tokens):
+        with open(f"{self.folder}/{len(os.listdir(self.folder)):04d}", "w") as f:
+            f.write(prompt)
+        if self.dies and len(os.listdir(self.folder)) == 6:
+            os._exit(1)
+        return Reply("no" if prompt == "p3" and "Reply with one" not in system else '{"a": 1}', 2, 3)
+
+
+def test_calls_of_a_lost_worker_are_kept_and_counted(spark, tmp_path):
+    folder, used = tmp_path / "calls", []
+    folder.mkdir()
+    df = spark.createDataFrame([(f"p{i}",) for i in range(10)], "p string")
+    script = f"""
+import sys; sys.path[:0] = {[os.path.dirname(os.path.dirname(os.path.abspath(__file__)))]!r}
+from sessionloom.session import get_session
+from tests.test_sessions import Counted
+from sessionloom.providers import call_model
+spark = get_session("lost", **{{"spark.master": "local[1,4]", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.task.maxFailures": "4"}})
+df = spark.createDataFrame([(f"p{{i}}",) for i in range(10)], "p string")
+used = []
+got = call_model(df, "s", "p", lambda: Counted({str(folder)!r}), {str(tmp_path / "cache")!r}, concurrency=1, used=lambda m, r: used.append(r)).collect()
+assert [r["response"] for r in got] == ['{{"a": 1}}'] * 10, got
+assert {{r["p"]: r["calls"] for r in got}} == {{f"p{{i}}": 2 if i == 3 else 1 for i in range(10)}}
+print("USED", used[0]["calls"], used[0]["input_tokens"], used[0]["output_tokens"])
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-3000:]
+    # Ten prompts, one of them asked again for JSON, and the call that the lost worker did not live to log.
+    assert len(os.listdir(folder)) == 12 and "USED 12 22 33" in out.stdout
+    # Replies that a run left in its log serve the next one, which asks and counts nothing.
+    os.rename(tmp_path / "cache/replies", tmp_path / "gone")
+    log = PromptLog(WorkerStore(f"file://{tmp_path}/cache/log"), "dead", (), call_key(df, "p1", lambda: Counted(str(folder))))
+    log.call(0, 0, lambda: Reply('{"kept": 1}', 1, 1))
+    one = call_model(df.where("p = 'p1'"), "s", "p", lambda: Counted(str(folder), False), str(tmp_path / "cache"), used=lambda m, r: used.append(r)).first()
+    assert one["response"] == '{"kept": 1}' and one["calls"] == 0 and used[-1]["calls"] == 0 and len(os.listdir(folder)) == 12
+
+
+def call_key(df, prompt, factory):
+    parts = [identity(factory), "s", "0.2", "4096", prompt]
+    return hashlib.sha256("\x1f".join(parts).encode()).hexdigest()
+
+
+def test_failed_calls_are_logged(tmp_path):
+    store = WorkerStore(f"file://{tmp_path}")
+    flaky = Flaky(OSError("x"), ContextOverflow("long"))
+    for _ in range(2):  # the second time all comes from the log
+        log = PromptLog(store, "r", (), "k")
+        assert ask(flaky, "s", "p", 0.2, 9, lambda s: None, log) == (None, 0, 0, 2, "context overflow: long")
+    (tmp_path / "r/k/0-5-x.reply").write_text('{"cut')
+    assert len(PromptLog(store, "r", (), "k").own) == 2
+    # Errors of a dead run are asked again.
+    assert ask(Flaky('{"a": 1}'), "s", "p", 0.2, 9, log=PromptLog(store, "new", ("r",), "k"))[0] == '{"a": 1}'
+
+
 class NoSkill(RuleProvider):
     model_name = "mute"
 
