@@ -89,10 +89,16 @@ def _load(path: Path) -> C.Config:
 
 def _distil(cfg: C.Config, a: argparse.Namespace) -> int:
     run = build(cfg, a.offline, project=a.project, session_id=a.session, since_ms=_ms(a.since), until_ms=_ms(a.until), step=a.step, dry_run=a.dry_run)
-    if a.incremental:
-        run.settings.since_ms = run.state.since_ms()
-    report = run.run()
-    print(report.note or "done", dict(report.labels), *(f"\n{k}: {v}" for k, v in report.paths.items()))
+    if a.incremental and hasattr(run.source, "changes") and not a.session:
+        reports = run.run_changes()
+    else:
+        if a.incremental:
+            run.settings.since_ms = run.state.since_ms()
+        reports = [run.run()]
+    for report in reports:
+        print(report.note or "done", dict(report.labels), *(f"\n{k}: {v}" for k, v in report.paths.items()))
+    if not reports:
+        print("nothing new")
     return 0
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import prefix, truncate_to_budget
 from ..operators import sessions as S
 from ..providers import Provider, call_model
+from ..scratch import Scratch
 from . import prompts
 
 #: Tokens of a prompt, and of its fixed part.
@@ -92,7 +93,9 @@ def mine(sessions: DataFrame, messages: DataFrame, parts: DataFrame, models: Mod
     """Trajectories of the given sessions (session_id, title, project, timestamp) that are worth it."""
     chosen = sessions.select("session_id")
     m, p = messages.join(chosen, "session_id", "left_semi"), parts.join(chosen, "session_id", "left_semi")
+    scratch = Scratch(sessions.sparkSession, "mining")
     cleaned = S.processable(S.rollup(m, p).join(sessions.select("session_id", "title", "project", "timestamp"), "session_id"), min_messages, min_tools)
+    cleaned = scratch.save(cleaned, "cleaned")
     kept = m.join(cleaned.select("session_id"), "session_id", "left_semi")
     anchors = S.anchor_texts(S.user_anchors(S.message_texts(kept, p)))
     blocks = intent_blocks(anchors, models)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import time
 import uuid
 from collections.abc import Callable
@@ -19,6 +20,8 @@ from ..sinks import files
 from ..sinks.report import Report
 from ..sinks.state import StateStore
 from ..sources import SessionSource
+from ..storage import Store
+from ..streaming.sessions import run_new
 from .analysis import ClusterStrategy, ModelClusters, distil
 from .mining import Models, mine
 
@@ -102,11 +105,35 @@ class Pipeline:
         report.step(name, time.monotonic() - begun)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def run(self) -> Report:
+    def run_changes(self) -> list[Report]:
+        """A run over the sessions that are new or changed since the last one.
+
+        The source's stream keeps its place in ``state/stream``. A run that was
+        killed is repeated over the same sessions: its model calls are in the
+        cache, its trajectories are written over, and if it had come to save its
+        state nothing is done again.
+        """
+        reports: list[Report] = []
+        checkpoint = f"{self.settings.output}/state/stream"
+
+        def handle(batch: DataFrame, number: int) -> None:
+            stream = json.loads(Store(self.spark, checkpoint).read("metadata") or "{}").get("id", "")
+            if not self.state.has_batch(stream, number):
+                reports.append(self.run(batch, (stream, number)))
+
+        # A run without a stream's place, the first one, starts where earlier runs ended.
+        run_new(self.source.changes(self.state.since_ms()), handle, checkpoint).awaitTermination()
+        return reports
+
+    def run(self, sessions: DataFrame | None = None, batch: tuple[str, int] | None = None) -> Report:
+        """A run over all sessions of the source, or over those given, a stream's ``batch``."""
         s = self.settings
         project = s.project or "all"
+        self.run_id = f"{batch[0]}-{batch[1]}-{uuid.uuid4().hex}" if batch else uuid.uuid4().hex
+        name = f"{batch[0]}-{batch[1]}" if batch else self.run_id
         report = Report(project, s.today or datetime.now(UTC).strftime("%Y-%m-%d"))
-        sessions, messages, parts = (self.source.table(x) for x in ("sessions", "messages", "parts"))
+        sessions = self.source.table("sessions") if sessions is None else sessions
+        messages, parts = self.source.table("messages"), self.source.table("parts")
         if s.session_id:
             wanted = self.source.full_id(s.session_id)
             # A named session skips the listing's filter on messages; its tools still count.
@@ -130,7 +157,7 @@ class Pipeline:
             return self._end(report, "no trajectories")
         if s.step == 1:
             if not s.dry_run:
-                report.paths["trajectories"] = files.write_trajectories(good, s.output, project, report.date)
+                report.paths["trajectories"] = files.write_trajectories(good, s.output, project, report.date, name)
             return self._end(report, "")
         existing = files.existing_topics(self.spark, s.output, project)
         clusters, _ = self.strategy.cluster(good, existing, s.protected)
@@ -144,10 +171,10 @@ class Pipeline:
         if s.step == 2 or s.dry_run:
             return self._end(report, "")
         report.paths |= self.format(skills, s.output, project, report.date, self.merge)
-        report.paths["trajectories"] = files.write_trajectories(good, s.output, project, report.date)
+        report.paths["trajectories"] = files.write_trajectories(good, s.output, project, report.date, name)
         # What was read, not when the run ended, bounds the next run.
         mark = listed.agg(F.max("timestamp")).first()[0]
-        self.state.save(good.select("session_id"), mark, good.count())
+        self.state.save(good.select("session_id"), mark, good.count(), batch)
         return self._end(report, "")
 
     def _end(self, report: Report, why: str) -> Report:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import extract
+from ..scratch import Scratch
 from ..storage import Store
 from .base import ContextOverflow, Provider
 from .log import CallFailed, PromptLog, opened, usage
@@ -92,6 +93,8 @@ def call_model(
     store = Store(spark, cache)
     table = store.path("replies")
     keyed = df.withColumn("prompt_key", F.sha2(F.concat_ws("\x1f", F.lit(model), F.lit(system), F.lit(str(temperature)), F.lit(str(max_tokens)), F.col(prompt_col)), 256))
+    # Read twice here and by all that follows: what led to the prompts is computed once.
+    keyed = Scratch(spark, "prompts").save(keyed, "prompts")
     wanted = keyed.select("prompt_key", F.col(prompt_col).alias("prompt")).where("prompt is not null").dropDuplicates(["prompt_key"])
     if store.exists("replies"):
         wanted = wanted.join(spark.read.schema(CACHE).parquet(table).where("error is null").select("prompt_key"), "prompt_key", "left_anti")

@@ -7,8 +7,6 @@ session has a patch, and the message with index 5 fails.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -331,9 +329,8 @@ SELECT '# all — 技能索引' || chr(10) || chr(10) || '共 ' || count(*) || '
   || chr(10) || '---' || chr(10) || '由 sessionloom 自动生成' AS content FROM k
 """)
 def skill_index(spark, sf):
-    path = files.write_index(_skills(spark, sf), tempfile.mkdtemp(prefix="sessionloom-"), "all", "2024-01-01")
-    with open(path, encoding="utf-8") as f:
-        return spark.createDataFrame([(f.read(),)], "content string")
+    path = files.write_index(_skills(spark, sf), Scratch(spark, "index").root, "all", "2024-01-01")
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("content"))
 
 
 @query("knowledge_file", _BY_SOURCE + """
@@ -344,14 +341,14 @@ SELECT '# Knowledge — all' || chr(10) || chr(10) || '> 2024-01-01 | ' || count
 FROM (SELECT *, row_number() OVER (ORDER BY source) AS place FROM k)
 """)
 def knowledge_file(spark, sf):
-    path = files.write_knowledge(_skills(spark, sf), tempfile.mkdtemp(prefix="sessionloom-"), "all", "2024-01-01")
-    return spark.read.text(f"file://{path}", wholetext=True).select(F.col("value").alias("content"))
+    path = files.write_knowledge(_skills(spark, sf), Scratch(spark, "knowledge").root, "all", "2024-01-01")
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("content"))
 
 
 @query("written_skills", "SELECT source AS topic_id, 'about ' || min(lang) AS summary FROM documents GROUP BY 1")
 def written_skills(spark, sf):
     """Skill files are written, found again, and give their descriptions."""
-    folder = tempfile.mkdtemp(prefix="sessionloom-")
+    folder = Scratch(spark, "skills").root
     files.write_skills(_skills(spark, sf), folder, "all")
     return files.existing_topics(spark, folder, "all")
 
@@ -359,7 +356,7 @@ def written_skills(spark, sf):
 @query("processed_union", "SELECT CAST(conv_id AS VARCHAR) AS session_id FROM conversations UNION SELECT CAST(user_id AS VARCHAR) FROM events")
 def processed_union(spark, sf):
     """Two runs' sessions in the state's table."""
-    state = StateStore(spark, tempfile.mkdtemp(prefix="sessionloom-"))
+    state = StateStore(spark, Scratch(spark, "state").root)
     for rows in (conversation_messages(spark, sf), event_parts(spark, sf)):
         state.save(rows.select("session_id"), 1, 1)
     return state.processed()

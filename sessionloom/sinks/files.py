@@ -1,19 +1,20 @@
 """Skills, index, knowledge and trajectories as files.
 
-Texts are rendered by Spark. Skills are few, one row a topic: the driver, which
-also reads the folder, takes one after the other and writes its file. One-row
-documents are put together by ordered aggregation.
+Texts are rendered by Spark. Skills are few, one row a topic: the driver takes
+one after the other and writes its file, to the store that Spark reads them
+from. One-row documents are put together by ordered aggregation.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_body, frontmatter_description, percent, skill_markdown
+from ..schemas import TRAJECTORIES
+from ..storage import Store
 
 
 def _safe(name: str) -> str:
@@ -22,11 +23,9 @@ def _safe(name: str) -> str:
 
 
 def put(path: str, content: str) -> str:
-    """Write beside, then rename: a reader sees the old file or the new one."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(f"{path}.new", "w", encoding="utf-8") as f:
-        f.write(content)
-    os.replace(f"{path}.new", path)
+    """Write a file to the store of its path; a reader sees the old one or the new one."""
+    folder, name = path.rsplit("/", 1)
+    Store(SparkSession.active(), folder).replace(name, content)
     return path
 
 
@@ -36,10 +35,10 @@ def rendered(skills: DataFrame) -> DataFrame:
 
 def read_skills(spark: SparkSession, output: str, project: str) -> DataFrame:
     """topic_id and content of the written skills of a project."""
-    folder = f"{output}/{_safe(project)}"
-    if not os.path.isdir(folder) or not any(os.path.exists(f"{folder}/{x}/SKILL.md") for x in os.listdir(folder)):
+    folder = Store(spark, f"{output}/{_safe(project)}")
+    if not any(folder.exists(f"{x}/SKILL.md") for x in folder.names()):
         return spark.createDataFrame([], "topic_id string, content string")
-    rows = spark.read.text(f"{folder}/*/SKILL.md", wholetext=True)
+    rows = spark.read.text(f"{folder.root}/*/SKILL.md", wholetext=True)
     return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("topic_id"), F.col("value").alias("content"))
 
 
@@ -101,8 +100,18 @@ def write_knowledge(skills: DataFrame, output: str, project: str, date: str) ->
     return put(f"{output}/{_safe(project)}_knowledge.md", f"{head}{numbered}\n\n{_listed(skills, entry)}\n---")
 
 
-def write_trajectories(trajectories: DataFrame, output: str, project: str, date: str) -> str:
-    """JSON lines in a folder of the project and day; a second run of a day replaces the first."""
-    path = f"{output}/trajectories/{_safe(project)}_{date}"
-    trajectories.write.mode("overwrite").json(path)
+def write_trajectories(trajectories: DataFrame, output: str, project: str, date: str, run: str) -> str:
+    """JSON lines under the project, the day and the run: runs of a day stay beside each other, a repeated run replaces its own."""
+    path = f"{output}/trajectories/project={_safe(project)}/day={date}/run={_safe(run)}"
+    trajectories.withColumn("mined_ms", F.unix_millis(F.current_timestamp())).write.mode("overwrite").json(path)
     return path
+
+
+def read_trajectories(spark: SparkSession, output: str) -> DataFrame:
+    """The written trajectories with project, day and run: of a session that several runs mined, the last one's."""
+    if not Store(spark, f"{output}/trajectories").names():
+        return spark.createDataFrame([], f"{TRAJECTORIES}, mined_ms long, day string, run string")
+    # Folder names would be read as dates and numbers: the schema says that they are text.
+    rows = spark.read.schema(f"{TRAJECTORIES}, mined_ms long, day string, run string").json(f"{output}/trajectories")
+    last = rows.groupBy("session_id").agg(F.max(F.struct("mined_ms", "run")).alias("last"))
+    return rows.join(last, "session_id").where((F.col("mined_ms") == F.col("last.mined_ms")) & (F.col("run") == F.col("last.run"))).drop("last")

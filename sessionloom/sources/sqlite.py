@@ -4,6 +4,10 @@
 with table ``sessions``, ``messages`` or ``parts``. Each read is split by
 session id over ``partitions`` tasks; a filter on ``updated_ms`` reaches SQLite
 when ``spark.sql.python.filterPushdown.enabled`` is set.
+
+``spark.readStream`` with the same options gives the sessions that are new or
+changed: its offsets are (time of the update, id), so each batch is a range of
+the store in that order, read again alike if the batch is repeated.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 
 from ..schemas import MESSAGES, PARTS, SESSIONS
 
@@ -119,6 +123,63 @@ def part_row(session: str, msg_idx: int, part_idx: int, p: dict) -> tuple:
     )
 
 
+class _Range(InputPartition):
+    """Sessions after ``start`` up to and with ``end``, both (updated, id)."""
+
+    def __init__(self, start: tuple[int, str], end: tuple[int, str]):
+        self.start, self.end = start, end
+
+
+class _Changes(DataSourceStreamReader):
+    _COLUMNS = "id, title, directory, time_created, time_updated"
+
+    def __init__(self, options: dict):
+        self.path, self.slices = options["path"], int(options.get("partitions", 8))
+        # Sessions updated at ``since`` or before are known.
+        self.since = int(options.get("since", -1))
+        _connect(self.path).close()
+
+    def initialOffset(self) -> dict:
+        return {"updated": self.since, "id": _LAST if self.since >= 0 else ""}
+
+    def latestOffset(self) -> dict:
+        db = _connect(self.path)
+        try:
+            found = db.execute("SELECT time_updated, id FROM session ORDER BY time_updated DESC, id DESC LIMIT 1").fetchone()
+        finally:
+            db.close()
+        first = self.initialOffset()
+        return max({"updated": found[0], "id": found[1]}, first, key=_place) if found else first
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        db = _connect(self.path)
+        try:
+            # The last of each of so many equal shares.
+            rows = db.execute(
+                "SELECT time_updated, id FROM (SELECT time_updated, id, share, row_number() OVER (PARTITION BY share ORDER BY time_updated DESC, id DESC) AS k FROM "
+                "(SELECT time_updated, id, ntile(?) OVER (ORDER BY time_updated, id) AS share FROM session WHERE (time_updated, id) > (?, ?) AND (time_updated, id) <= (?, ?))) WHERE k = 1 ORDER BY 1, 2",
+                (self.slices, *_place(start), *_place(end))).fetchall()
+        finally:
+            db.close()
+        bounds = [_place(start), *map(tuple, rows[:-1]), _place(end)]
+        return [_Range(a, b) for a, b in itertools.pairwise(bounds)]
+
+    def read(self, part: _Range) -> Iterator[tuple]:
+        db = _connect(self.path)
+        try:
+            yield from db.execute(f"SELECT {self._COLUMNS} FROM session WHERE (time_updated, id) > (?, ?) AND (time_updated, id) <= (?, ?)", (*part.start, *part.end))
+        finally:
+            db.close()
+
+
+#: After every id.
+_LAST = "\U0010ffff"
+
+
+def _place(offset: dict) -> tuple[int, str]:
+    return offset["updated"], offset["id"]
+
+
 class SessionStore(DataSource):
     """The data source behind ``session_sqlite``."""
 
@@ -132,6 +193,11 @@ class SessionStore(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        if self.options.get("table", "sessions") != "sessions":
+            raise ValueError("only the table of sessions has an order of changes")
+        return _Changes(dict(self.options))
+
 
 class SqliteSource:
     """Sessions of one SQLite store."""
@@ -145,6 +211,11 @@ class SqliteSource:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.format("session_sqlite").option("path", self.path).option("table", name).option("partitions", str(self.slices)).load()
 
+    def changes(self, since_ms: int | None = None) -> DataFrame:
+        """A stream of sessions that are new or were updated after ``since_ms``."""
+        reader = self.spark.readStream.format("session_sqlite").option("path", self.path).option("partitions", str(self.slices))
+        return (reader if since_ms is None else reader.option("since", str(since_ms))).load()
+
     def project_filter(self, df: DataFrame, project: str) -> DataFrame:
         """The whole directory contains ``project``, whatever the case of ASCII letters."""
         return df.where(F.contains(F.lower("directory"), F.lit(project.lower())))

@@ -4,13 +4,16 @@ import hashlib
 import itertools
 import json
 import os
+import shutil
 import sqlite3
 import subprocess
 import sys
+from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from sessionloom import scratch
@@ -27,8 +30,10 @@ from sessionloom.providers.log import PromptLog
 from sessionloom.scratch import Scratch
 from sessionloom.sinks import files
 from sessionloom.sinks import report as reports
+from sessionloom.sinks import state as states
 from sessionloom.sinks.state import StateStore
 from sessionloom.sources import create_source
+from sessionloom.sources.sqlite import _Changes
 from sessionloom.storage import WorkerStore
 
 # Workers cannot import this module.
@@ -375,8 +380,95 @@ def test_whole_run(spark, store, tmp_path):
     shown = run(session_id="s-one", step=1, dry_run=True).run()
     assert len(shown.session_rows) == 1 and not shown.paths and not shown.topic_rows
     assert len(run(session_id="s-one", dry_run=True, step=2).run().session_rows) == 1
-    (tmp_path / "out/state/state.json").write_text("{broken")
-    assert state.since_ms() is None and state.processed().count() == 0
+    kept = files.read_trajectories(spark, out).collect()
+    assert sorted(r["session_id"] for r in kept) == ["s-one", "s-two"] and {r["day"] for r in kept} == {"2024-01-01"}
+    # Every run of the day has its own rows still.
+    assert len(os.listdir(tmp_path / "out/trajectories/project=all/day=2024-01-01")) == 4
+
+
+def ids(spark, *names):
+    return spark.createDataFrame([(x,) for x in names], "session_id string")
+
+
+def test_state_of_runs_that_end_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(states, "MERGED_TABLES", 3)
+    monkeypatch.setattr(states, "KEPT_VERSIONS", 4)
+    folder = str(tmp_path / "state")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: StateStore(spark, folder).save(ids(spark, f"s{k}", "all"), k, 1), range(8)))
+    state = StateStore(spark, folder)
+    assert {r[0] for r in state.processed().collect()} == {"all", *(f"s{k}" for k in range(8))} and state.processed().count() == 9
+    assert state.since_ms() == 7 and state.load()["stats"] == {"runs": 8, "sessions": 8}
+    assert len(state.versions()) <= 5 and len(state.load()["ids"]) < 8
+    # A reader's snapshot outlives later saves.
+    before = state.processed()
+    state.save(ids(spark, "late"), 1, 1)
+    assert before.count() == 9 and state.processed().count() == 10 and state.since_ms() == 7
+    # A batch counts once.
+    assert state.save(ids(spark, "b"), 20, 1, ("q", 3)) and not state.save(ids(spark, "b"), 20, 1, ("q", 3)) and not state.save(ids(spark, "c"), 20, 1, ("q", 2))
+    assert state.has_batch("q", 3) and not state.has_batch("q", 4) and not state.has_batch("other", 0)
+    # A version that is not whole is passed over, and not overwritten.
+    last = state.versions()[-1]
+    (tmp_path / f"state/v{last + 1:09d}.json").write_text("{broken")
+    assert state.since_ms() == 20
+    state.save(ids(spark, "d"), 30, 1)
+    assert state.versions()[-1] >= last + 2 and state.since_ms() == 30 and state.processed().count() == 12
+    assert StateStore(spark, str(tmp_path / "none")).since_ms() is None
+
+
+def test_runs_over_changes(spark, store, tmp_path):
+    path = str(tmp_path / "s.db")
+    shutil.copy(store, path)
+    src = create_source(spark, "sqlite", path)
+    models = Models(RuleProvider, RuleProvider, str(tmp_path / "cache"), 2)
+    out = str(tmp_path / "out")
+
+    def run(state=None):
+        p = Pipeline(spark, src, models, Settings(out, str(tmp_path / "work"), today="2024-01-01"))
+        p.state = state or p.state
+        return p.run_changes()
+
+    class Killed(StateStore):
+        def save(self, *a):
+            super().save(*a) if self.saves else None
+            raise RuntimeError("killed")
+
+    # Killed before its state is saved, then after it.
+    for saves in (False, True):
+        killed = Killed(spark, f"{out}/state")
+        killed.saves = saves
+        with pytest.raises(StreamingQueryException, match="killed"):
+            run(killed)
+        models.used.clear()
+    assert run() == []
+    state = StateStore(spark, f"{out}/state")
+    assert sorted(r[0] for r in state.processed().collect()) == ["s-one", "s-two"] and state.load()["stats"]["runs"] == 1
+    # Two sessions change, one of them to something worth while; a third comes with the time of the last one.
+    db = sqlite3.connect(path)
+    db.execute("UPDATE session SET time_updated = 3000 WHERE id = 's-one'")
+    db.execute("INSERT INTO session VALUES ('s-aaa', 'new', '/w/new', 1, 3000)")
+    db.execute("INSERT INTO message SELECT 'n' || id, 's-aaa', time_created, data FROM message WHERE session_id = 's-two'")
+    db.execute("INSERT INTO part SELECT 'n' || id, 'n' || message_id, 's-aaa', time_created, data FROM part WHERE session_id = 's-two'")
+    db.commit()
+    (report,) = run()
+    assert sorted(r["session_id"] for r in report.session_rows) == ["s-aaa", "s-one"]
+    assert sorted(r["session_id"] for r in files.read_trajectories(spark, out).collect()) == ["s-aaa", "s-one", "s-two"]
+    db.execute("INSERT INTO session VALUES ('s-zzz', 'small', '/w/new', 1, 3000)")
+    db.commit()
+    db.close()
+    assert [r.note for r in run()] == ["no candidates"] and run() == []
+
+
+def test_changes_are_ranges(spark, store):
+    reader = _Changes({"path": store, "partitions": "2"})
+    start, end = reader.initialOffset(), reader.latestOffset()
+    assert end == {"updated": 2002, "id": "s-three"}
+    parts = reader.partitions(start, end)
+    assert len(parts) == 2 and [r[0] for p in parts for r in reader.read(p)] == ["s-one", "s-two", "s-three"]
+    assert [r[0] for p in reader.partitions({"updated": 2000, "id": "s-one"}, end) for r in reader.read(p)] == ["s-two", "s-three"]
+    assert [list(reader.read(p)) for p in reader.partitions(end, end)] == [[]]
+    later = _Changes({"path": store, "since": "2002"})
+    assert later.latestOffset() == later.initialOffset()
 
 
 def test_layers_can_be_exchanged(spark, store, tmp_path):
