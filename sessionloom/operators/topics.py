@@ -100,19 +100,45 @@ def topic_members(trajectories: DataFrame, clusters: DataFrame) -> DataFrame:
     return trajectories.join(ids, "session_id")
 
 
-def topic_inputs(members: DataFrame, most_chars: int | None = None) -> DataFrame:
+def running_sums(rows: DataFrame, group: list[str], order: list[str], value: str, scratch: Scratch | None = None) -> DataFrame:
+    """``rows`` with ``before``, the sum of ``value`` over those of the group that come earlier in ``order``.
+
+    In two steps, by range of (group, order) and then within it: sums of whole
+    partitions are added to those within one, so a group is never in one task.
+    """
+    scratch = scratch or Scratch(rows.sparkSession, "sums")
+    by = [*group, *order]
+    spread = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    # Range bounds are sampled anew whenever a plan runs: only a table gives both steps the same partitions.
+    spread = scratch.save(spread.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    spread = spread.withColumn("_part", F.shiftright("_at", 33))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each partition of each group.
+    sums = spread.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
+    sums = sums.select(*group, "_part", F.coalesce(F.sum("_sum").over(earlier(Window.partitionBy(*group).orderBy("_part"))), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(value).over(earlier(Window.partitionBy("_part", *group).orderBy("_at"))), F.lit(0))
+    placed = spread.withColumn("_inside", inside).join(sums, [*group, "_part"])
+    return placed.withColumn("before", F.col("_before") + F.col("_inside")).drop("_at", "_part", "_before", "_inside")
+
+
+def topic_inputs(members: DataFrame, most_chars: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """``good`` and ``bad`` texts of every topic: of successes, and of failures and partial ones, in order of ``pos``.
 
     Topics without any labelled session are left out. With ``most_chars`` the
     texts of either kind end after the first one that reaches so many
     characters: the prompt they are for is cut there in any case, so a topic of
-    very many sessions never meets whole.
+    very many sessions never meets whole. Where to end is found from the texts'
+    lengths alone.
     """
     good, bad = F.col("label") == "success", F.col("label").isin("failure", "partial")
     rows = members.withColumn("good", F.when(good, True).when(bad, False)).where("good is not null").withColumn("t", trajectory_text())
+    rows = rows.select("topic_id", "good", "pos", "t")
     if most_chars:
-        before = Window.partitionBy("topic_id", "good").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("_before", F.coalesce(F.sum(F.length("t") + 5).over(before), F.lit(0))).where(F.col("_before") <= most_chars)
+        scratch = scratch or Scratch(members.sparkSession, "topics")
+        rows = scratch.save(rows, "texts")
+        lengths = rows.select("topic_id", "good", "pos", (F.length("t") + 5).alias("n"))
+        read = running_sums(lengths, ["topic_id", "good"], ["pos"], "n", scratch).where(F.col("before") <= most_chars)
+        rows = rows.join(read.select("topic_id", "good", "pos"), ["topic_id", "good", "pos"], "left_semi")
 
     def text(keep: Column) -> Column:
         found = F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "t"))))

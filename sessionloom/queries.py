@@ -295,8 +295,8 @@ def alias_numbering(spark, sf):
 
 _TRAJ = """
 WITH t AS (
-  SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS session_id, source AS project, lang AS session_type, left(text, 200) AS intent,
-    CASE quality WHEN 1 THEN 'success' WHEN 0 THEN 'failure' ELSE '' END AS label, string_split(left(text, 300), '. ') AS lessons
+  SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS session_id, source AS project, lang AS session_type, text AS intent,
+    CASE quality WHEN 1 THEN 'success' WHEN 0 THEN 'failure' ELSE '' END AS label, string_split(text, '. ') AS lessons
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 )
 """
@@ -306,10 +306,10 @@ def _trajectories(spark, sf) -> DataFrame:
     d, q = read(spark, sf, "documents"), read(spark, sf, "labels").select("doc_id", "quality")
     none = F.array()
     return d.join(q, "doc_id", "left").select(
-        "doc_id", F.col("doc_id").cast("string").alias("session_id"), F.col("source").alias("project"), F.col("lang").alias("session_type"), T.prefix(text(), 200).alias("intent"),
+        "doc_id", F.col("doc_id").cast("string").alias("session_id"), F.col("source").alias("project"), F.col("lang").alias("session_type"), text().alias("intent"),
         F.when(F.col("quality") == 1, "success").when(F.col("quality") == 0, "failure").otherwise("").alias("label"),
         none.cast("array<struct<phase:string,summary:string>>").alias("what_happened"), none.cast("array<struct<problem:string,how_resolved:string,lessons:string>>").alias("problems_encountered"),
-        none.cast("array<struct<decision:string,rationale:string,outcome:string>>").alias("key_decisions"), F.split(T.prefix(text(), 300), r"\. ", -1).alias("lessons_learned"), none.cast("array<string>").alias("discoveries"))
+        none.cast("array<struct<decision:string,rationale:string,outcome:string>>").alias("key_decisions"), F.split(text(), r"\. ", -1).alias("lessons_learned"), none.cast("array<string>").alias("discoveries"))
 
 
 @query("trajectory_descriptor", _TRAJ + """

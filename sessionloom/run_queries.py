@@ -171,11 +171,11 @@ def label_reasons(spark, sf):
 
 @query("duration_texts", """
 SELECT event_id, CASE WHEN value < 60 THEN printf('%.1f', value) || ' 秒' ELSE CAST(floor(value / 60) AS BIGINT) || ' 分 ' || CAST(round_even(value % 60, 0) AS INT) || ' 秒' END AS duration
-FROM (SELECT event_id, (event_id % 4000) / 8.0::DOUBLE AS value FROM events) WHERE value >= 60 OR (event_id % 4 <> 1 AND event_id % 4 <> 3)
+FROM (SELECT event_id, (event_id % 4000) / 8.0::DOUBLE AS value FROM events)
 """)
 def duration_texts(spark, sf):
     e = read(spark, sf, "events").select("event_id", ((F.col("event_id") % 4000) / F.lit(8.0)).alias("value"))
-    return e.where("value >= 60 or event_id % 4 not in (1, 3)").select("event_id", T.duration_text(F.col("value")).alias("duration"))
+    return e.select("event_id", T.duration_text(F.col("value")).alias("duration"))
 
 
 @query("markdown_html", r"""

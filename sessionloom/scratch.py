@@ -8,9 +8,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .storage import local
+
+__all__ = ["Scratch", "local", "shared_dir", "swept"]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
@@ -30,20 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
-#: Folders made in this process.
-_made: list[str] = []
-
-
-def mark() -> int:
-    """A point in time for ``sweep``."""
-    return len(_made)
+#: The folder that new ones are made in, where a ``swept`` one is open in this thread.
+_within: ContextVar[str | None] = ContextVar("sessionloom_scratch", default=None)
 
 
-def sweep(spark: SparkSession, since: int) -> None:
-    """Remove the folders made since a mark: for when what reads them has been written down."""
-    for root in _made[since:]:
+@contextmanager
+def swept(spark: SparkSession, label: str) -> Iterator[None]:
+    """Folders made in here go at the end, and no others: what they are read for must be written by then, elsewhere."""
+    root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    before = _within.set(root)
+    try:
+        yield
+    finally:
+        _within.reset(before)
         _remove(spark, root)
-    del _made[since:]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -56,8 +63,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        _made.append(self.root)
+        self.root = f"{_within.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
         self._saved: list[str] = []
 

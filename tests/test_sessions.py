@@ -8,6 +8,7 @@ import shutil
 import sqlite3
 import subprocess
 import sys
+import threading
 from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
@@ -515,11 +516,41 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
 
 
 def test_scratch_is_emptied(spark):
-    begun = scratch.mark()
     one = Scratch(spark, "one")
     a, b = (one.save(spark.range(3), x) for x in "ab")
     one.keep_only(b)
-    folder = one.root.removeprefix("file://")
-    assert len(os.listdir(folder)) == 1 and b.count() == 3
-    scratch.sweep(spark, begun)
-    assert not os.path.exists(folder)
+    assert len(os.listdir(scratch.local(one.root))) == 1 and b.count() == 3
+
+
+def test_only_own_folders_are_swept(spark):
+    """Two threads at once, one of them in the middle of what the other sweeps."""
+    held, made, swept_ = Scratch(spark, "held").save(spark.range(2), "t"), threading.Event(), threading.Event()
+
+    def other():
+        with scratch.swept(spark, "other"):
+            t = Scratch(spark, "inner").save(spark.range(5), "t")
+            made.set()
+            assert swept_.wait(60)
+            return t.count()
+
+    with ThreadPoolExecutor(1) as pool:
+        running = pool.submit(other)
+        assert made.wait(60)
+        with scratch.swept(spark, "mine"):
+            inner = Scratch(spark, "inner")
+            inner.save(spark.range(3), "t")
+        swept_.set()
+        assert running.result() == 5
+    assert held.count() == 2 and not os.path.exists(scratch.local(inner.root)) and Scratch(spark, "x").root.count("/other") == 0
+
+
+def test_running_sums(spark):
+    """A group of most rows, whose sums are put together from many partitions."""
+    rows = spark.range(20_000).selectExpr("if(id % 10 < 7, 'hot', concat('t', id % 5)) as g", "pmod(id * 7919, 20000) as pos", "cast(id % 13 as int) as n")
+    got = P.running_sums(rows.repartition(9), ["g"], ["pos"], "n").collect()
+    want, before = {}, {}
+    for g, pos, n in sorted(map(tuple, rows.collect())):
+        want[g, pos] = before.get(g, 0)
+        before[g] = want[g, pos] + n
+    assert {(r["g"], r["pos"]): r["before"] for r in got} == want and len(got) == 20_000
+    assert P.running_sums(rows.limit(0), ["g"], ["pos"], "n").count() == 0
