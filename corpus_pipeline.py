@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, decontam, neardup, secrets, toxicity
 from sessionloom.llm.queries import table, vocabulary
-from sessionloom.llm.scratch import Scratch, mark, sweep
+from sessionloom.llm.scratch import Scratch, swept
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows, all columns, of the least doc_id of each group of near duplicates.
 
-    Of rows that repeat a doc_id one stays, rows with a null doc_id all stay,
-    and so does every document without words.
+    Of rows that repeat a doc_id the one of the least SHA-256 of its values
+    stays, in whatever order they come; rows with a null doc_id all stay, and so
+    does every document without words.
     """
     return neardup.deduplicated(docs)
 
@@ -73,8 +74,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        begun, before = mark(), docs
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
-        sweep(spark, begun)
+        before = docs
+        with swept(spark, name):
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
         scratch.drop(before)
     return docs

@@ -349,11 +349,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, of the document that stays of each group.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
+    Of rows that repeat a doc_id the one of the least SHA-256 of its values, as
+    JSON, stays, in whatever order they come; rows with a null doc_id all stay,
+    and so do those without words (null or empty texts). An empty table stays
+    empty.
     """
     scratch = Scratch(docs.sparkSession, "deduplicated")
-    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    kept = scratch.save(kept, "kept")
+    own = [F.col(f"`{c}`") for c in docs.columns]
     same = docs.schema["doc_id"].dataType
-    chosen = docs.where("doc_id is not null").join(kept.select(F.col("doc_id").cast(same).alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = scratch.save(kept, "kept").select(F.col("doc_id").cast(same).alias("doc_id"))
+    named = docs.where("doc_id is not null")
+    several = scratch.save(named.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    chosen = named.join(kept, "doc_id", "left_semi")
+    if not several.isEmpty():
+        again = chosen.join(several, "doc_id", "left_semi").withColumn("digest of the row", F.sha2(F.to_json(F.struct(*own)), 256))
+        least = again.groupBy("doc_id").agg(F.min("digest of the row").alias("digest of the row"))
+        # Rows of one id and digest are equal, so it doesn't matter which of them stays.
+        again = again.join(least, ["doc_id", "digest of the row"], "left_semi").dropDuplicates(["doc_id"])
+        chosen = chosen.join(several, "doc_id", "left_anti").unionByName(again.drop("digest of the row"))
+    return chosen.select(own).unionByName(docs.where("doc_id is null"))

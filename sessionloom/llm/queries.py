@@ -268,7 +268,8 @@ FROM f
 """,
     "op9_url_filters": rf"""
 WITH RECURSIVE p AS (
-  SELECT page_id, url, coalesce(html, '') AS html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+  SELECT page_id, url, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->', '', 'g'), '(?is)<(script|style|textarea|title|template)\b.*?</(script|style|textarea|title|template)\s*>', '', 'g') AS html,
+    CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
 ), q AS (
   SELECT *, coalesce({_host("rest")}, '') AS host, coalesce({_path("rest")}, '') AS path, {_host("rest")} || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS node FROM p
 ), tags AS (

@@ -1,5 +1,5 @@
 """Tables written in the shared folder: see ``sessionloom.scratch``."""
 
-from ..scratch import Scratch, mark, shared_dir, sweep
+from ..scratch import Scratch, shared_dir, swept
 
-__all__ = ["Scratch", "mark", "shared_dir", "sweep"]
+__all__ = ["Scratch", "shared_dir", "swept"]

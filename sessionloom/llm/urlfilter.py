@@ -45,8 +45,14 @@ def _attribute(name: str) -> str:
     return rf"""(?is)(?:^|[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
 
 
-#: The target within a refresh's content: after the seconds, with or without quotes of its own.
-_TARGET = r"""(?is)^[\s\d.]*[;,\s]\s*url\s*=\s*(?:"([^"]*)|'([^']*)|([^\s"'][^\s]*))"""
+#: The target within a refresh's content: after the seconds, with or without ``url=``, with or without quotes of its own.
+_TARGET = r"""(?is)^[\s\d.]*[;,\s]\s*(?:url\s*=\s*)?+(?:"([^"]*)|'([^']*)|([^\s"'][^\s]*))"""
+
+#: Comments, and elements whose content is text or not part of the page, up to their end or the page's; or any other tag, as a group.
+_HIDDEN = (
+    r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|xmp|iframe|noembed|noframes)\b.*?(?:</\1\s*>|\z)"
+    r"""|(<[a-z/](?:(?:[^>"']++|"[^"]*+"|'[^']*+'){0,200}+>|[^>]*>))"""
+)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -137,7 +143,15 @@ def unescaped(text: Column) -> Column:
 
 
 def page_links(html: Column) -> tuple[Column, Column]:
-    """All canonical links and redirects of a page as its tags have them, and the first base that it names (null: none)."""
+    """All canonical links and redirects of a page as its tags have them, and the first base that it names (null: none).
+
+    Comments count for nothing, nor does what is within scripts, styles, text
+    areas, titles, templates and frames.
+    """
+    return _links_of(F.regexp_replace(html, _HIDDEN, "$2"))
+
+
+def _links_of(html: Column) -> tuple[Column, Column]:
     words = lambda c: F.split(F.lower(c), r"\s+", -1)
     canonical = F.transform(
         F.filter(F.regexp_extract_all(html, F.lit(_tags("link")), 0), lambda t: F.array_contains(words(_value(t, "rel")), "canonical")), lambda t: _value(t, "href"))

@@ -191,6 +191,12 @@ def test_minima_estimate_likeness():
     assert abs(same - 0.75) < 0.13
 
 
+def test_which_of_repeated_rows_stays(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "g h i j k l", "y"), (1, "a b c d e f", "x"), (2, "m n o p q r", "z"), (2, None, None), (None, "a b c d e f", "x"), (None, None, None), (3, "", "w")]
+    found = [sorted(map(str, map(tuple, neardup.deduplicated(spark.createDataFrame(r, "doc_id int, text string, `a.b` string").repartition(n)).collect()))) for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert found[0] == found[1] and len(found[0]) == 5
+
+
 # --- 2 ---------------------------------------------------------------------------
 
 def brute_contamination(docs, items):
@@ -737,6 +743,14 @@ def test_links_resolve(spark):
         ("<meta content='5,url=x' http-equiv=Refresh><meta http-equiv=refresh content='7'><meta http-equiv=' refresh ' content=\"0; URL= 'y'\">", {"a.net/b/x", "a.net/b/y"}),
         ("<base href='/z/'><base href=lost/><link rel=canonical href=' k&#233;y '>", {"a.net/z/kéy"}), ("<base target=x><link rel=canonical href='it's'>", {"a.net/b/it"}),
         ("<link rel=canonical href=''><link rel=canonical><p>canonical refresh</p><linker rel=canonical href=no>", set()),
+        # What is no tag of the page, closed or not; and a tag that only looks as if it began a comment.
+        ('<!-- <link rel="canonical" href="no"> --><link rel=canonical href=yes><!-- > <link rel=canonical href=no>', {"a.net/b/yes"}),
+        ("<script type='x'>var s = '<link rel=canonical href=no>';</script ><STYLE><link rel=canonical href=no></style><link rel=canonical href=yes>", {"a.net/b/yes"}),
+        ("<textarea><link rel=canonical href=no></textarea><template><div><link rel=canonical href=no></div></template><title><link rel=canonical href=no></title>", set()),
+        ("<link rel=canonical href=yes><script><link rel=canonical href=no>", {"a.net/b/yes"}),
+        ("<p title='<!--'><link rel=canonical href=yes><p title='-->'>", {"a.net/b/yes"}),
+        # Refreshes without url=, and one with nothing after it.
+        ("<meta http-equiv=refresh content='0;http://h/p'><meta http-equiv=refresh content='3, q'><meta http-equiv=refresh content='0; url='>", {"h/p", "a.net/b/q"}),
     ]
     for html, want in forms:
         assert {r["v"] for r in urlfilter.alias_edges(spark.createDataFrame([("http://a.net/b/c", html)], "url string, html string")).collect()} == want, html
