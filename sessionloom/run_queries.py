@@ -25,6 +25,7 @@ from .sinks.state import StateStore
 from .sources.exports import SessionExports
 from .sources.session_files import SessionFiles
 from .sources.tables import conversation_messages, event_parts, read
+from .storage import Store
 
 
 def _tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -329,8 +330,10 @@ SELECT '# all — 技能索引' || chr(10) || chr(10) || '共 ' || count(*) || '
   || chr(10) || '---' || chr(10) || '由 sessionloom 自动生成' AS content FROM k
 """)
 def skill_index(spark, sf):
-    path = files.write_index(_skills(spark, sf), Scratch(spark, "index").root, "all", "2024-01-01")
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("content"))
+    folder = Scratch(spark, "index").root
+    files.write_index(_skills(spark, sf), folder, "all", "2024-01-01")
+    # Spark's readers pass over files whose names begin so.
+    return spark.createDataFrame([(Store(spark, folder).read("all/_index.md"),)], "content string")
 
 
 @query("knowledge_file", _BY_SOURCE + """
