@@ -493,13 +493,32 @@ def test_training_sees_whole_texts(monkeypatch):
     assert (words_, rare) == (32, 8) and places == 32 + 2 * 8 and zeros == 8 + 2 * 8
 
 
+def test_rare_words_count_alike_in_training_and_scoring():
+    """A word without an embedding scores as a zero in its place, whatever its hashes meet."""
+    model = toxicity.Classifier.fresh(4)
+    for t in model.tables:
+        t[:-1] += 1
+    text = words.mix(np.arange(1, 9, dtype=np.uint64))
+    model.words = np.sort(text[:4])
+    rows = np.array([0, 8])
+    pooled, _, _ = model.features(*model.padded(text, rows, np.arange(8) < 4))
+    assert np.allclose(model.raw(text, rows), 1 / (1 + np.exp(-(pooled @ model.out + model.bias))))
+    other = np.append(text[:4], words.mix(np.arange(50, 54, dtype=np.uint64)))
+    assert model.raw(text, rows) == model.raw(other, rows)
+    both = toxicity.Committee([model, toxicity.Classifier.fresh(5)])
+    assert np.allclose(both.raw(text, rows), (model.raw(text, rows) + both.members[1].raw(text, rows)) / 2)
+
+
 def test_fit_is_bounded_and_repeatable(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 50}" for j in range(1, 41))) for i in range(200)] + [(7, "another text")] * 3, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
-    sizes, train = [], toxicity.train
-    monkeypatch.setattr(toxicity, "train", lambda texts, y: sizes.append(sum(map(len, texts))) or train(texts, y, epochs=1))
+    sizes, committee = [], toxicity.committee
+    monkeypatch.setattr(toxicity, "committee", lambda s, texts, y: sizes.append(sum(map(len, texts))) or committee(s, texts, y, epochs=1))
     one, two = (toxicity.fit(d, labels) for d in (docs.repartition(7), docs.coalesce(1)))
-    assert (one.tables[0] == two.tables[0]).all() and (one.out == two.out).all() and one.bias == two.bias
+    assert len(one.members) == len(two.members) == len(toxicity.SEEDS)
+    for a, b in zip(one.members, two.members, strict=True):
+        assert (a.tables[0] == b.tables[0]).all() and (a.out == b.out).all() and a.bias == b.bias
+    assert not (one.members[0].out == one.members[1].out).all()
     toxicity.fit(docs, labels, most_words=1000)
     assert sizes[0] == sizes[1] > 1000 >= sizes[2] > 500
 
