@@ -1,7 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 Chunk bounds are where a rolling hash of the last bytes hits a pattern, so
-passages that documents share are cut alike wherever they stand. A worker
+passages that documents share are cut alike wherever they stand. A task
 encodes each chunk once and keeps the result by the chunk's bytes, in a bounded
 store. What a chunk's ends hold depends on its neighbours, so every join is
 repaired: the last piece of the left and the first of the right chunk are
@@ -117,7 +117,7 @@ def chunk_bounds(b: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
 
 
 class Codec:
-    """One worker's tokenizer and stores."""
+    """One task's tokenizer and stores."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
