@@ -17,6 +17,7 @@ from . import prompts
 
 #: Tokens of a prompt, and of its fixed part.
 INPUT_BUDGET, OVERHEAD = 60_000, 500
+BLOCKS_JSON = "blocks array<struct<block_id:int,message_range:array<int>,intent:string>>"
 SUMMARY_JSON = (
     "session_type string, intent string, what_happened array<struct<phase:string,summary:string>>, "
     "problems_encountered array<struct<problem:string,how_resolved:string,lessons:string>>, "
@@ -40,8 +41,9 @@ class Models:
         for k, v in sums.asDict().items():
             held[k] += v
 
-    def ask(self, df: DataFrame, task: str, prompt: str, system: str, max_tokens: int, temperature: float = 0.2, strong: bool = False) -> DataFrame:
-        return call_model(df, system, prompt, self.strong if strong else self.fast, f"{self.cache}/{task}", temperature, max_tokens, self.concurrency, functools.partial(self._count, task))
+    def ask(self, df: DataFrame, task: str, prompt: str, system: str, max_tokens: int, temperature: float = 0.2, strong: bool = False, reply: str | None = None) -> DataFrame:
+        factory, used = self.strong if strong else self.fast, functools.partial(self._count, task)
+        return call_model(df, system, prompt, factory, f"{self.cache}/{task}", temperature, max_tokens, self.concurrency, used, reply)
 
 
 def _budget(c: Column, system: str) -> Column:
@@ -52,9 +54,8 @@ def intent_blocks(anchors: DataFrame, models: Models) -> DataFrame:
     """Blocks of every session (anchor texts given); of up to two user messages there is one block, unasked."""
     one = lambda rows, intent: rows.select("session_id", F.lit(1).alias("block_id"), F.lit(0).alias("start"), F.col("last_anchor").alias("end"), intent.alias("intent"))
     few, many = anchors.where("n_anchors <= 2"), anchors.where("n_anchors > 2")
-    asked = models.ask(many.withColumn("prompt", _budget(F.col("anchors"), prompts.SEGMENT)), "segment", "prompt", prompts.SEGMENT, 4096)
-    kind = "struct<blocks:array<struct<block_id:int,message_range:array<int>,intent:string>>>"
-    got = asked.withColumn("blocks", F.from_json("response", kind)["blocks"])
+    asked = models.ask(many.withColumn("prompt", _budget(F.col("anchors"), prompts.SEGMENT)), "segment", "prompt", prompts.SEGMENT, 4096, reply=BLOCKS_JSON)
+    got = asked.withColumn("blocks", F.from_json("response", BLOCKS_JSON)["blocks"])
     good = got.where("size(blocks) > 0 and forall(blocks, b -> size(b.message_range) >= 2)").select("session_id", F.posexplode("blocks").alias("i", "b"))
     good = good.select("session_id", F.coalesce("b.block_id", F.col("i") + 1).alias("block_id"), F.col("b.message_range")[0].alias("start"), F.col("b.message_range")[1].alias("end"), F.coalesce("b.intent", F.lit("")).alias("intent"))
     bad = one(got.where("not coalesce(size(blocks) > 0 and forall(blocks, b -> size(b.message_range) >= 2), false)"), F.lit("entire session"))

@@ -77,12 +77,13 @@ class RuleProvider:
 
     @staticmethod
     def _cluster(prompt: str) -> dict:
-        """Topics by project and kind."""
+        """Topics by project and kind; topics by their names."""
         groups: dict[tuple[str, str], list[str]] = {}
         for alias, rest in re.findall(r"(?m)^(s\d+): (.*)$", prompt):
             field = dict(x.split("=", 1) for x in rest.split(" | ")[1:] if "=" in x)
-            groups.setdefault((field.get("project", ""), field.get("type", "")), []).append(alias)
-        clusters = [{"topic_id": f"{p} {k}", "topic_name": f"{p} {k}".strip(), "topic_summary": f"{len(ids)} sessions", "session_ids": ids, "primary_project": p} for (p, k), ids in sorted(groups.items())]
+            project = field.get("project", "")
+            groups.setdefault((project, field["topic"] if "topic" in field else f"{project} {field.get('type', '')}"), []).append(alias)
+        clusters = [{"topic_id": name, "topic_name": name.strip(), "topic_summary": f"{len(ids)} sessions", "session_ids": ids, "primary_project": p} for (p, name), ids in sorted(groups.items())]
         return {"clusters": clusters, "unclustered": []}
 
     @staticmethod

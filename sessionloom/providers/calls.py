@@ -17,12 +17,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.jsontext import extract
 from ..scratch import Scratch
 from ..storage import Store
 from .base import ContextOverflow, Provider
 from .log import CallFailed, PromptLog, opened, usage
+from .schema import mismatch
 
 ATTEMPTS = 3
 STRICTER = "\nReply with one valid JSON object and nothing else."
@@ -31,19 +33,23 @@ CACHE = "prompt_key string, response string, input_tokens long, output_tokens lo
 
 def ask(
     provider: Provider, system: str, prompt: str, temperature: float, max_tokens: int, wait: Callable[[float], None] = time.sleep, log: PromptLog | None = None,
+    declared: StructType | None = None,
 ) -> tuple:
     """One prompt's JSON reply: retried with growing waits, and asked once more if it is no JSON object.
 
+    With ``declared`` fields it is asked once more too if one has another type,
+    and told which. What is wrong after that is the error, beside the reply.
     With a ``log`` what it holds is not asked again, and calls and tokens are those of its request.
     """
-    spent, calls, error, value = [0, 0], 0, None, None
+    spent, calls, error, value, wrong = [0, 0], 0, None, None, None
 
     def result(reply: str | None, why: str | None) -> tuple:
         return (reply, *log.spent, log.made, why) if log else (reply, *spent, calls, why)
 
     for step, suffix in enumerate(("", STRICTER)):
+        said = f" {wrong[0].upper()}{wrong[1:]}." if wrong else ""
         for attempt in range(ATTEMPTS):
-            complete = functools.partial(provider.complete, system + suffix, prompt, temperature, max_tokens)
+            complete = functools.partial(provider.complete, system + suffix + said, prompt, temperature, max_tokens)
             try:
                 calls += 1
                 reply = log.call(step, attempt, complete)[0] if log else complete()
@@ -57,10 +63,15 @@ def ask(
                 error = str(e) if isinstance(e, CallFailed) else f"{type(e).__name__}: {e}"
                 if attempt + 1 < ATTEMPTS:
                     wait(float(2**attempt))
-        if error or (isinstance(value, dict) and not value.get("_parse_error")):
+        if error:
             break
-    if error is None and not isinstance(value, dict):
-        error = "the reply is no JSON object"
+        wrong = None
+        if isinstance(value, dict) and not value.get("_parse_error"):
+            wrong = mismatch(value, declared) if declared else None
+            if not wrong:
+                break
+    if error is None:
+        error = wrong or (None if isinstance(value, dict) else "the reply is no JSON object")
     return result(None if value is None else json.dumps(value, ensure_ascii=False), error)
 
 
@@ -76,7 +87,7 @@ def identity(factory: Callable[[], Provider]) -> str:
 
 def call_model(
     df: DataFrame, system: str, prompt_col: str, factory: Callable[[], Provider], cache: str,
-    temperature: float = 0.2, max_tokens: int = 4096, concurrency: int = 8, used: Callable[[str, Row], None] | None = None,
+    temperature: float = 0.2, max_tokens: int = 4096, concurrency: int = 8, used: Callable[[str, Row], None] | None = None, reply: str | None = None,
 ) -> DataFrame:
     """``df`` with response (JSON), input_tokens, output_tokens, calls and error for the prompt of each row.
 
@@ -85,14 +96,18 @@ def call_model(
     prompts are asked once; a null one is not asked. At most ``concurrency``
     partitions ask at a time. ``used`` is told the model and the sums (calls,
     input_tokens, output_tokens) of what was asked now, calls of lost tasks
-    included (their tokens only if the reply came).
+    included (their tokens only if the reply came). ``reply`` declares fields and
+    types, as ``a string not null, b array<int>``: a reply of other types is asked
+    for once more and then an error of its row. Replies are kept by declaration.
     """
     spark = df.sparkSession
     model = identity(factory)
     log, logged = opened(spark, f"{cache}/log")
     store = Store(spark, cache)
     table = store.path("replies")
-    keyed = df.withColumn("prompt_key", F.sha2(F.concat_ws("\x1f", F.lit(model), F.lit(system), F.lit(str(temperature)), F.lit(str(max_tokens)), F.col(prompt_col)), 256))
+    declared = StructType.fromDDL(reply) if reply else None
+    decides = [F.lit(x) for x in (model, system, str(temperature), str(max_tokens), *([declared.json()] if declared else []))]
+    keyed = df.withColumn("prompt_key", F.sha2(F.concat_ws("\x1f", *decides, F.col(prompt_col)), 256))
     # Read twice here and by all that follows: what led to the prompts is computed once.
     keyed = Scratch(spark, "prompts").save(keyed, "prompts")
     wanted = keyed.select("prompt_key", F.col(prompt_col).alias("prompt")).where("prompt is not null").dropDuplicates(["prompt_key"])
@@ -104,7 +119,7 @@ def call_model(
         try:
             for batch in batches:
                 provider = provider or factory()
-                rows = [(k, *ask(provider, system, p, temperature, max_tokens, log=log.prompt(k)), log.request) for k, p in zip(batch["prompt_key"], batch["prompt"], strict=True)]
+                rows = [(k, *ask(provider, system, p, temperature, max_tokens, log=log.prompt(k), declared=declared), log.request) for k, p in zip(batch["prompt_key"], batch["prompt"], strict=True)]
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in CACHE.split(", ")])
         finally:
             if provider is not None:
