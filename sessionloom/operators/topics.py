@@ -83,6 +83,34 @@ def resolved(raw: DataFrame, trajectories: DataFrame) -> DataFrame:
     return found.groupBy("topic_id").agg(F.coalesce(F.min_by("topic_name", "cluster_pos"), F.first("topic_id")).alias("topic_name"), first("topic_summary"), ordered.alias("session_ids"), first("primary_project"))
 
 
+def topic_descriptor(alias: Column) -> Column:
+    """One line on a topic (topic_id, topic_name, topic_summary, primary_project, n sessions) for a reader that joins topics."""
+    empty = F.lit("")
+    said = lambda name, c, n: F.concat(F.lit(f"{name}="), prefix(F.translate(F.coalesce(c, empty), "\n|", "  "), n))
+    return F.concat_ws(
+        " | ", F.concat(alias, F.lit(": "), F.col("topic_id")), said("project", F.col("primary_project"), 80), said("topic", F.col("topic_name"), 100),
+        F.concat(F.lit("sessions="), F.col("n").cast("string")), said("about", F.col("topic_summary"), 200))
+
+
+def lifted(topics: DataFrame, above: DataFrame) -> DataFrame:
+    """Topics joined as ``above`` says, whose session_ids are topic ids; those it does not name stay.
+
+    Sessions of a joined topic are in the order of its topics, once each. A
+    topic that stays and has the id of a joined one goes into that.
+    """
+    pairs = above.select("topic_id", F.posexplode("session_ids").alias("i", "below"))
+    stays = topics.join(pairs.select(F.col("below").alias("topic_id")).distinct(), "topic_id", "left_anti")
+    named = above.select(F.lit(0).alias("rank"), "topic_id", "topic_name", "topic_summary", "primary_project").unionByName(
+        stays.select(F.lit(1).alias("rank"), "topic_id", "topic_name", "topic_summary", "primary_project"))
+    first = lambda c: F.min_by(c, "rank").alias(c)
+    names = named.groupBy("topic_id").agg(first("topic_name"), first("topic_summary"), first("primary_project"))
+    held = topics.select(F.col("topic_id").alias("below"), "session_ids")
+    members = pairs.join(held, "below").unionByName(stays.select(F.col("topic_id").alias("below"), "topic_id", F.lit(1 << 30).alias("i"), "session_ids"))
+    ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "below", "session_ids"))), lambda x: x["session_ids"]))
+    return names.join(members.groupBy("topic_id").agg(F.array_distinct(ordered).alias("session_ids")), "topic_id").select(
+        "topic_id", "topic_name", "topic_summary", "session_ids", "primary_project")
+
+
 def with_protected(clusters: DataFrame, protected: DataFrame, existing: DataFrame, project: str = "") -> DataFrame:
     """Protected topics (topic_id) that no cluster has but that exist (topic_id, summary), as clusters without sessions."""
     lost = protected.select("topic_id").distinct().join(clusters.select("topic_id"), "topic_id", "left_anti").join(existing, "topic_id")

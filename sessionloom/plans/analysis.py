@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.text import truncate_to_budget
 from ..operators import topics as P
 from ..schemas import RULE
+from ..scratch import Scratch
 from . import prompts
 from .mining import Models
 
 DISTIL_BUDGET = 50_000
-CLUSTER_JSON = "struct<clusters:array<struct<topic_id:string,topic_name:string,topic_summary:string,session_ids:array<string>,primary_project:string>>>"
+CLUSTER_JSON = "clusters array<struct<topic_id:string,topic_name:string,topic_summary:string,session_ids:array<string>,primary_project:string>>"
 SKILL_JSON = f"struct<skill_title:string,skill_type:string,description:string,summary:string,rules:array<{RULE}>,body:string>"
 
 
@@ -25,34 +26,61 @@ class ClusterStrategy(Protocol):
 
 
 class ModelClusters:
-    """One prompt over the descriptors of all sessions.
+    """Topics by a model that reads the descriptors of all sessions.
 
-    ``most_chars`` bounds the prompt: beyond it sessions are put to the model
-    in several prompts of consecutive ones, whose topics are joined by slug.
+    ``most_chars`` bounds a prompt. Where one cannot hold all sessions, several
+    prompts of consecutive ones find topics, and prompts over the topics found
+    join those, until one prompt has held all of them: so the topic limit is
+    put to the model for all sessions together. A topic that a prompt leaves
+    out stays as it is. It ends early only if several prompts join nothing.
     """
 
     def __init__(self, models: Models, project: str = "", min_size: int = 1, max_topics: int = 8, most_chars: int = 90_000):
         self.models, self.project, self.min_size, self.max_topics, self.most_chars = models, project, min_size, max_topics, most_chars
 
+    @property
+    def _each(self) -> int:
+        """Lines of a prompt; two at least, or joining would never end."""
+        return max(2, self.most_chars // 500)
+
     def cluster(self, trajectories: DataFrame, existing: DataFrame, protected: list[str]) -> tuple[DataFrame, DataFrame]:
         spark = trajectories.sparkSession
-        lines = trajectories.select("pos", P.descriptor(F.col("alias")).alias("line"))
-        each = max(1, self.most_chars // 500)
-        batches = lines.groupBy(F.floor(F.col("pos") / each).alias("batch")).agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"), F.count("*").alias("n"))
+        scratch = Scratch(spark, "clusters")
         # Topics are few: they are folders of written skills.
         known = existing.orderBy("topic_id").collect()
         old = "\n".join(f"- {r['topic_id']}: {r['summary']}{' [protected]' if r['topic_id'] in protected else ''}" for r in known) or "(none)"
-        prompt = F.concat(
-            F.lit("At least "), F.least(F.lit(self.min_size), F.col("n")).cast("string"), F.lit(f" sessions a topic, at most {self.max_topics} topics.\nExisting topics:\n{old}\nProtected: {', '.join(protected) or '(none)'}\n\n"), "text")
-        asked = self.models.ask(batches.withColumn("prompt", prompt), "cluster", "prompt", prompts.CLUSTER, 4096)
-        raw = asked.select("batch", F.posexplode(F.from_json("response", CLUSTER_JSON)["clusters"]).alias("i", "c")).select(
-            (F.col("batch") * 1000 + F.col("i")).alias("cluster_pos"), "c.topic_id", "c.topic_name", "c.topic_summary", F.coalesce("c.primary_project", F.lit(self.project)).alias("primary_project"), "c.session_ids")
-        clusters = P.resolved(raw, trajectories)
+        about = f"at most {self.max_topics} topics.\nExisting topics:\n{old}\nProtected: {', '.join(protected) or '(none)'}\n\n"
+        lines = trajectories.select("pos", P.descriptor(F.col("alias")).alias("line"))
+        clusters = P.resolved(self._asked(lines, self.min_size, about), trajectories)
+        if self._prompts(trajectories) > 1:
+            clusters = self._joined(scratch.save(clusters, "found"), about, scratch)
         if protected:
             clusters = P.with_protected(clusters, spark.createDataFrame([(p,) for p in protected], "topic_id string"), existing, self.project)
         return clusters, P.unclustered(trajectories, clusters)
 
+    def _prompts(self, rows: DataFrame) -> int:
+        return -(-rows.count() // self._each)
+
+    def _asked(self, lines: DataFrame, min_size: int, about: str) -> DataFrame:
+        """The clusters that the model makes of ``lines`` (pos, line), with session_ids as it gave them."""
+        batches = lines.groupBy(F.floor(F.col("pos") / self._each).alias("batch")).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"), F.count("*").alias("n"))
+        prompt = F.concat(F.lit("At least "), F.least(F.lit(min_size), F.col("n")).cast("string"), F.lit(f" sessions a topic, {about}"), "text")
+        asked = self.models.ask(batches.withColumn("prompt", prompt), "cluster", "prompt", prompts.CLUSTER, 4096, reply=CLUSTER_JSON)
+        return asked.select("batch", F.posexplode(F.from_json("response", CLUSTER_JSON)["clusters"]).alias("i", "c")).select(
+            (F.col("batch") * 1000 + F.col("i")).alias("cluster_pos"), "c.topic_id", "c.topic_name", "c.topic_summary", F.coalesce("c.primary_project", F.lit(self.project)).alias("primary_project"), "c.session_ids")
+
+    def _joined(self, found: DataFrame, about: str, scratch: Scratch) -> DataFrame:
+        """Topics of several prompts, joined level by level; only their descriptions go to the model, sessions follow by join."""
+        while True:
+            topics = P.aliased(found.withColumn("n", F.size("session_ids")).drop("session_ids"), [F.col("topic_id")], scratch)
+            before = topics.count()
+            lines = topics.select("pos", P.topic_descriptor(F.col("alias")).alias("line"))
+            above = P.resolved(self._asked(lines, 1, f"{about}Each line is a topic of several sessions.\n"), topics.select("alias", F.col("topic_id").alias("session_id")))
+            found = scratch.save(P.lifted(found, scratch.save(above, "above")), "joined")
+            if before <= self._each or found.count() >= before:
+                return found
+
 
 class FieldClusters:
     """Topics by columns of the sessions, without a model."""
