@@ -78,7 +78,7 @@ def build(cfg: C.Config, offline: bool, **chosen):
     models = Models(fast, strong, f"{out}/.cache")
     settings = Settings(out, f"{out}/.work", projects=cfg.filter.projects, protected=cfg.analysis.protected_topics, min_messages=cfg.filter.min_messages, min_tools=cfg.filter.min_tools, form=cfg.output.format, max_rules=cfg.output.max_rules_per_skill, **chosen)
     clusters = ModelClusters(models, settings.project or "", cfg.analysis.clustering_min_size, cfg.analysis.clustering_max_topics)
-    source = create_source(spark, cfg.source.type, os.path.expanduser(cfg.source.path))
+    source = create_source(spark, cfg.source.type, os.path.expanduser(cfg.source.path), f"{out}/.sessions")
     return Pipeline(spark, source, models, settings, clusters, functools.partial(model_merge, models=models))
 
 

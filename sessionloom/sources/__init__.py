@@ -25,9 +25,10 @@ class SessionSource(Protocol):
         ...
 
 
-def create_source(spark: SparkSession, kind: str, path: str) -> SessionSource:
-    """``sqlite``, ``files`` or ``exports``, in either case of letters."""
+def create_source(spark: SparkSession, kind: str, path: str, kept: str | None = None) -> SessionSource:
+    """``sqlite``, ``files`` or ``exports``, in either case of letters. ``kept`` is where ``files`` keep what they parsed."""
     kinds = {"sqlite": SqliteSource, "files": SessionFiles, "exports": SessionExports}
     if kind.lower() not in kinds:
         raise ValueError(f"unknown source {kind!r}; known are {', '.join(sorted(kinds))}")
-    return kinds[kind.lower()](spark, path)
+    more = {"kept": kept} if kind.lower() == "files" else {}
+    return kinds[kind.lower()](spark, path, **more)

@@ -1,43 +1,144 @@
 """Sessions in JSON files, ``<folder>/<short id>/session.json``.
 
-Files are read whole and parsed by Spark as VARIANT; a corrupt one gives a row
-whose ``data`` is null and which no table below shows.
+Files are read whole and parsed by Spark as VARIANT, once for each state of a
+file: what was parsed is kept in a table by path and time of change, and only
+files that are new or changed are read again. A corrupt file gives a row whose
+``data`` is null and which no table below shows.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_to_ms
+from ..scratch import Scratch
+from ..storage import Store, local
 
 # Fixed values of the file format.
 KIND_KEY = "_chrys_kind"
 FINISH = {"turn": "stop", "interrupted": "error"}
 SHORT_ID = 12
 
+#: Bytes of files that a worker hands to Spark at a time; one file may have more.
+BATCH_BYTES = 8 << 20
+#: Files that a task reads.
+TASK_FILES = 2000
+
+LISTED = "path string, modified timestamp, batch string"
+PARSED = "path string, modified timestamp, dir_name string, session_id string, updated_ms long, data variant"
+
 
 def _text(v: Column | str, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of listed files; one that is gone by now gives no row."""
+    from pyarrow import fs
+
+    names = ["path", "modified", "value"]
+    for batch in batches:
+        rows, size = [], 0
+        for path, modified in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            try:
+                store, name = fs.FileSystem.from_uri("file://" + local(path) if path.startswith("file:") else path)
+                with store.open_input_stream(name) as f:
+                    raw = f.read()
+            except FileNotFoundError:
+                continue
+            rows.append((path, modified, raw.decode("utf-8", "replace")))
+            size += len(raw)
+            if size >= BATCH_BYTES:
+                yield _batch(rows, names, batch.schema)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, names, batch.schema)
+
+
+def _batch(rows: list[tuple], names: list[str], given: pa.Schema) -> pa.RecordBatch:
+    kinds = [given.field(0).type, given.field(1).type, pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
 class SessionFiles:
-    """Sessions of one folder."""
+    """Sessions of one folder. ``kept`` is the folder of what was parsed, for later runs; by default this object's own.
 
-    strict_since = False
+    In ``kept`` lie the parsed files of each time that some were new, and
+    listings, tables of which files there were and in which of those parts each
+    is. A reader goes by one listing, whatever others add meanwhile; two that
+    read the same new files at once both parse them, and the later listing stands.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, pattern: str = "*/session.json"):
-        self.spark, self.folder, self.pattern = spark, folder.rstrip("/"), pattern
+    strict_since = False
 
-    def raw(self, since_ms: int | None = None) -> DataFrame:
-        """dir_name, session_id and the file as VARIANT. ``since_ms`` leaves out files not touched since."""
-        reader = self.spark.read
-        if since_ms:
-            reader = reader.option("modifiedAfter", _iso(since_ms))
-        files = reader.text(f"{self.folder}/{self.pattern}", wholetext=True)
-        data = files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("dir_name"), F.try_parse_json("value").alias("data"))
-        found = _text("data", "$.meta.session_id")
-        return data.withColumn("session_id", F.when(found != "", found).otherwise(F.col("dir_name")))
+    def __init__(self, spark: SparkSession, folder: str, pattern: str = "*/session.json", kept: str | None = None):
+        self.spark, self.folder, self.pattern, self._kept = spark, folder.rstrip("/"), pattern, kept
+
+    @property
+    def kept(self) -> Store:
+        self._kept = self._kept or Scratch(self.spark, "session_files").root
+        return Store(self.spark, self._kept)
+
+    def _listed(self) -> DataFrame:
+        """path and modified of the files that are there now; none is opened. A folder without any gives no row, a missing one is an error."""
+        try:
+            files = self.spark.read.format("binaryFile").load(f"{self.folder}/{self.pattern}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND" or not Store(self.spark, self.folder).exists():
+                raise
+            return self.spark.createDataFrame([], "path string, modified timestamp")
+        return files.select("path", F.col("modificationTime").alias("modified"))
+
+    def refresh(self) -> dict:
+        """Parse what is new or changed since the latest listing: {"listing": its path, "parts": {part: its rows}}."""
+        kept = self.kept
+        held = json.loads(kept.read("latest") or '{"listing": null, "parts": {}}')
+        before = self.spark.read.schema(LISTED).parquet(kept.path(held["listing"])) if held["listing"] else self.spark.createDataFrame([], LISTED)
+        name = uuid.uuid4().hex
+        listing = f"listings/{name}"
+        self._listed().join(before, ["path", "modified"], "left").select("path", "modified", F.coalesce("batch", F.lit(name)).alias("batch")).write.parquet(kept.path(listing))
+        listed = self.spark.read.schema(LISTED).parquet(kept.path(listing))
+        alive = {r["batch"]: r["count"] for r in listed.groupBy("batch").count().collect()}
+        if new := alive.get(name):
+            rows = listed.where(F.col("batch") == name).select("path", "modified").repartition(-(-new // TASK_FILES), "path")
+            texts = rows.mapInArrow(_read, "path string, modified timestamp, value string")
+            data = texts.select("path", "modified", F.element_at(F.split("path", "/"), -2).alias("dir_name"), F.try_parse_json("value").alias("data"))
+            found = _text("data", "$.meta.session_id")
+            data.select(
+                "path", "modified", "dir_name", F.when(found != "", found).otherwise(F.col("dir_name")).alias("session_id"),
+                iso_to_ms(_text("data", "$.meta.updated_at")).alias("updated_ms"), "data").write.parquet(kept.path(f"parts/{name}"))
+        elif held["listing"] and alive == held["alive"]:
+            kept.delete(listing)
+            return held
+        now = {"listing": listing, "alive": alive, "parts": {p: held["parts"].get(p, n) for p, n in alive.items()}}
+        kept.replace("latest", json.dumps(now))
+        return now
+
+    def raw(self) -> DataFrame:
+        """path, modified, dir_name, session_id, updated_ms and the file as VARIANT.
+
+        Parts all of whose files are still as they were are read as they are; of
+        others the files that changed or went are left out by a join.
+        """
+        now, kept = self.refresh(), self.kept
+        if not now["parts"]:
+            return self.spark.createDataFrame([], PARSED)
+        read = lambda names: self.spark.read.schema(PARSED).parquet(*[kept.path(f"parts/{p}") for p in names])
+        whole = [p for p, n in now["parts"].items() if now["alive"][p] == n]
+        rest = [p for p in now["parts"] if p not in whole]
+        rows = read(whole) if whole else None
+        if rest:
+            listed = self.spark.read.schema(LISTED).parquet(kept.path(now["listing"])).where(F.col("batch").isin(rest)).select("path", "modified")
+            some = read(rest).join(listed, ["path", "modified"], "left_semi")
+            rows = rows.unionByName(some) if rows else some
+        return rows
 
     def resolve(self, session_id: str) -> DataFrame:
         """The one file of an id: that in the folder of its short id, else that which names it."""
@@ -68,7 +169,7 @@ class SessionFiles:
     def _sessions(self) -> DataFrame:
         return self._meta().select(
             "session_id", _text("data", "$.meta.title").alias("title"), _text("data", "$.meta.primary_cwd").alias("directory"),
-            iso_to_ms(_text("data", "$.meta.created_at")).alias("created_ms"), iso_to_ms(_text("data", "$.meta.updated_at")).alias("updated_ms"))
+            iso_to_ms(_text("data", "$.meta.created_at")).alias("created_ms"), "updated_ms")
 
     def _messages(self) -> DataFrame:
         rows = self._meta().select("session_id", iso_to_ms(_text("data", "$.meta.created_at")).alias("created_ms"), F.posexplode(F.try_variant_get("data", "$.state.messages", "array<variant>")).alias("msg_idx", "m"))
@@ -117,8 +218,3 @@ def finish_of(kind: Column) -> Column:
         out = F.when(kind == value, finish).otherwise(out)
     return out
 
-
-def _iso(ms: int) -> str:
-    from datetime import UTC, datetime
-
-    return datetime.fromtimestamp(ms / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%S")

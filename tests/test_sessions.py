@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import os
+import re
 import shutil
 import sqlite3
 import subprocess
@@ -16,11 +17,12 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sessionloom import scratch
 from sessionloom.operators import sessions as S
 from sessionloom.operators import topics as P
-from sessionloom.plans.analysis import FieldClusters, distil
+from sessionloom.plans.analysis import FieldClusters, ModelClusters, distil
 from sessionloom.plans.merging import model_merge
 from sessionloom.plans.mining import Models
 from sessionloom.plans.pipeline import Pipeline, Settings
@@ -134,6 +136,48 @@ def test_session_files(spark, tmp_path):
     assert S.listing(src.table("sessions"), src.table("messages"), src, project="PROJ", since_ms=1704153600000).count() == 1
 
 
+def test_session_files_are_parsed_once(spark, tmp_path):
+    folder, kept = tmp_path / "files", str(tmp_path / "kept")
+
+    def put(name, title, at):
+        (folder / name).mkdir(parents=True, exist_ok=True)
+        path = folder / name / "session.json"
+        path.write_text(json.dumps({"meta": {"session_id": f"id {name}", "title": title, "updated_at": "2024-01-02T00:00:00Z"}}))
+        os.utime(path, (at, at))
+
+    def titles(source):
+        return sorted((r["session_id"], r["title"]) for r in source.table("sessions").collect())
+
+    parts = lambda: {p: n for p, n in source.refresh()["parts"].items()}
+    for i in range(5):
+        put(f"s{i}", "first", 1000 + i)
+    source = create_source(spark, "files", str(folder), kept)
+    assert titles(source) == [(f"id s{i}", "first") for i in range(5)]
+    for name in ("sessions", "messages", "parts"):
+        source.table(name).count()
+    assert list(parts().values()) == [5] and len(os.listdir(f"{kept}/parts")) == 1
+    before = source.table("sessions")
+    put("s1", "second", 2000)
+    put("older", "late", 10)  # came with an old time of change
+    shutil.rmtree(folder / "s2")
+    later = create_source(spark, "files", str(folder), kept)
+    assert titles(later) == [("id older", "late"), ("id s0", "first"), ("id s1", "second"), ("id s3", "first"), ("id s4", "first")]
+    assert sorted(parts().values()) == [2, 5] and len(os.listdir(f"{kept}/parts")) == 2
+    # A table that was begun goes by its own listing.
+    assert before.count() == 5
+    plan = later.table("sessions").where("updated_ms >= 5")._jdf.queryExecution().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*updated_ms", plan)
+
+
+def test_a_folder_without_session_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "session.json").write_text("{}")
+    source = create_source(spark, "files", str(tmp_path))
+    assert [source.table(x).count() for x in ("sessions", "messages", "parts")] == [0, 0, 0]
+    (tmp_path / "a" / "session.json").unlink()
+    assert [source.table(x).count() for x in ("sessions", "messages", "parts")] == [0, 0, 0]
+
+
 def test_exports(spark, tmp_path):
     messages = [{"info": {"role": r, "time": {"created": i}, "finish": "stop", "tokens": {"total": 4}} | ({"error": {"data": {"message": "boom"}}} if i == 5 else {}), "parts": p} for i, (r, p) in enumerate(TALK)]
     (tmp_path / "a.json").write_text(json.dumps({"info": {"id": "x", "title": "T", "directory": "/w/p", "time": {"created": 1, "updated": 2}}, "messages": messages}))
@@ -554,3 +598,78 @@ def test_running_sums(spark):
         before[g] = want[g, pos] + n
     assert {(r["g"], r["pos"]): r["before"] for r in got} == want and len(got) == 20_000
     assert P.running_sums(rows.limit(0), ["g"], ["pos"], "n").count() == 0
+
+
+def test_replies_of_other_types_are_asked_for_again():
+    declared = StructType.fromDDL("a int not null, b array<struct<c:string,d:double>>, e boolean")
+    ask_for = lambda *replies: ask(Flaky(*replies), "s", "p", 0.2, 9, declared=declared)
+    good = '{"a": 1, "b": [{"c": "x", "d": 2}, null], "e": false, "more": []}'
+    assert ask_for('{"a": "1"}', good)[0] == good and ask_for(good)[3:] == (1, None)
+    assert "_parse_error" in ask_for('{"a": "1"}', "no")[0]
+    assert ask_for(*['{"a": 1, "b": [{"c": 5}]}'] * 2)[3:] == (2, "b[0].c must be a text, not int")
+    for reply, why in (('{"b": []}', "a is missing"), ('{"a": true}', "a must be a whole number, not bool"), ('{"a": 4294967296}', "a must be a whole number, not int"), ('{"a": 1, "b": {}}', "b must be a list, not dict"), ('{"a": 1, "e": 0}', "e must be true or false, not int")):
+        assert ask_for(reply, reply)[4] == why
+
+
+class Strict(RuleProvider):
+    """Gives a whole number as text until it is told of it."""
+
+    model_name = "strict"
+
+    def complete(self, system, prompt, temperature, max_tokens):
+        told = "A must be a whole number" in system and prompt != "never"
+        return Reply('{"a": 1}' if told else '{"a": "1"}', 1, 1)
+
+
+def test_declared_replies_of_rows(spark, tmp_path):
+    df = spark.createDataFrame([("once",), ("never",)], "p string")
+    asked = lambda **k: {r["p"]: (r["response"], r["calls"], r["error"]) for r in call_model(df, "s", "p", Strict, str(tmp_path / "c"), **k).collect()}
+    assert asked(reply="a int") == {"once": ('{"a": 1}', 2, None), "never": ('{"a": "1"}', 2, "a must be a whole number, not str")}
+    assert asked() == {p: ('{"a": "1"}', 1, None) for p in ("once", "never")}  # kept apart by what is declared
+
+
+class Limited(RuleProvider):
+    """Topics by the first letter of what a line is on, at most three; a session in none otherwise."""
+
+    model_name = "limited"
+
+    def complete(self, system, prompt, temperature, max_tokens):
+        lines = re.findall(r"(?m)^(s\d+): (\S+)", prompt)
+        groups = {}
+        for alias, name in lines:
+            if name != "lonely":
+                groups.setdefault(f"t{int(re.findall(r'[0-9]+', name)[0]) % 3}", []).append(alias)
+        return Reply(json.dumps({"clusters": [{"topic_id": k, "topic_name": k, "session_ids": v} for k, v in groups.items()]}), 1, 1)
+
+
+class Numbered(Limited):
+    """Every prompt's topics have names of their own."""
+
+    model_name = "numbered"
+
+    def complete(self, system, prompt, temperature, max_tokens):
+        reply = json.loads(super().complete(system, prompt, temperature, max_tokens).text)
+        if "a topic of several" not in prompt:
+            first = re.search(r"(?m)^s(\d+):", prompt)[1]
+            for c in reply["clusters"]:
+                c["topic_id"] += f"-from-{first}"
+        return Reply(json.dumps(reply), 1, 1)
+
+
+def test_topics_of_many_prompts_keep_the_limit(spark, tmp_path):
+    rows = [(f"x{i}", f"s{i}", i) for i in range(2000)] + [("lonely", "s2000", 2000)]
+    kinds = "what_happened array<struct<phase:string,summary:string>>, problems_encountered array<struct<problem:string>>, key_decisions array<struct<decision:string>>, lessons_learned array<string>"
+    sessions = spark.createDataFrame([(*r, "", "", "", "success", [], [], [], []) for r in rows], f"session_id string, alias string, pos long, project string, session_type string, intent string, label string, {kinds}")
+    models = Models(Numbered, Numbered, str(tmp_path / "cache"), 4)
+    clusters, rest = ModelClusters(models, max_topics=3, most_chars=10_000).cluster(sessions, spark.createDataFrame([], "topic_id string, summary string"), [])
+    found = {r["topic_id"]: r["session_ids"] for r in clusters.collect()}
+    # 101 prompts of 20 sessions find 300 topics, 15 prompts join those to 3, one more sees them all.
+    assert set(found) == {"t0", "t1", "t2"}
+    assert all(sorted(int(x[1:]) for x in found[f"t{k}"]) == list(range(k, 2000, 3)) for k in range(3)) and [r["session_id"] for r in rest.collect()] == ["lonely"]
+    assert next(iter(models.used.values()))["calls"] == 101 + 15 + 1
+
+
+def test_topics_that_are_left_out_stay(spark):
+    topics = spark.createDataFrame([("a", "A", "", ["x", "y"], "p"), ("b", "B", "", ["y", "z"], "p"), ("c", "C", "", ["w"], "q"), ("d", "D", "", ["v"], "q")], "topic_id string, topic_name string, topic_summary string, session_ids array<string>, primary_project string")
+    above = spark.createDataFrame([("c", "Both", "s", ["b", "a"], "r")], topics.schema)
+    assert {tuple(map(str, r)) for r in P.lifted(topics, above).collect()} == {("c", "Both", "s", "['y', 'z', 'x', 'w']", "r"), ("d", "D", "", "['v']", "q")}
