@@ -70,50 +70,126 @@ def _paragraphs(sections: Column) -> Column:
 
 
 def _leaves(paragraphs: Column) -> Column:
-    """The distinct leaves of paragraphs as a fingerprint writes them."""
-    return F.array_distinct(F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(F.substr(p, F.lit(PARAGRAPH + 2)), F.lit("[0-9a-f]{8}"), 0))))
+    """The leaves of paragraphs as a fingerprint writes them."""
+    return F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(F.substring_index(F.substr(p, F.lit(PARAGRAPH + 2)), "#", 1), F.lit("[0-9a-f]{8}"), 0)))
 
 
 def _weight(branches: Column) -> Column:
     """How many leaves there are in all under branches: sections, or paragraphs."""
-    letters = lambda b: F.length(F.regexp_replace(b, f"^[0-9a-f]{{{SECTION}}}\\(|[0-9a-f]{{{PARAGRAPH}}}:|[,)]", ""))
+    letters = lambda b: F.length(F.regexp_replace(b, f"^[0-9a-f]{{{SECTION}}}\\(|[0-9a-f]{{{PARAGRAPH}}}:|[,)]|#[0-9]+$", ""))
     return F.aggregate(branches, F.lit(0), lambda n, b: n + letters(b)) / F.lit(LEAF)
 
 
+def _numbered(items: Column) -> Column:
+    """Texts in their order, the second equal one with ``#1`` after it, the third with ``#2``: all differ, so sets of them count repeats.
+
+    Sorting brings equal ones together; the place of a run's start is what is taken off.
+    """
+    def ran(s: Column, starts: Column) -> Column:
+        last = lambda j: F.coalesce(F.get(starts, j + 1), F.size(s)) - 1
+        key = lambda x, n: F.struct(x["i"].alias("i"), F.when(n == 0, x["x"]).otherwise(F.concat(x["x"], F.lit("#"), n.cast("string"))).alias("x"))
+        runs = F.transform(starts, lambda at, j: F.transform(F.slice(s, at + 1, last(j) - at + 1), key))
+        return F.transform(F.sort_array(F.flatten(runs)), lambda x: x["x"])
+
+    def sorted_(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["x"] != F.get(s, i - 1)["x"]))
+        return _bound(starts, lambda at: ran(s, at))
+
+    placed = lambda xs: F.sort_array(F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    return _bound(items, lambda xs: F.when(F.size(F.array_distinct(xs)) == F.size(xs), xs).otherwise(_bound(placed(xs), sorted_)))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 for two fingerprints: twice the shared leaves over all leaves; equal ones give 1.
+    """0 to 1 for two fingerprints: twice the shared leaves over all leaves; only equal ones give 1.
 
     The trees are walked from the top: sections that both have count whole, then
-    paragraphs that both have within the other sections, then the distinct
-    leaves of what is left.
+    paragraphs that both have within the other sections, then the leaves of what
+    is left. What one side has more often is shared as often as the other has
+    it. The same leaves in another order, n of them on both sides together, give n / (n + 1).
     """
     def from_leaves(shared: Column, x: Column, y: Column) -> Column:
         both = shared + F.size(F.array_intersect(x, y))
         n = 2 * shared + F.size(x) + F.size(y)
-        return F.when(n == 0, F.lit(1.0)).otherwise(2.0 * both / n)
+        return F.when(n == 0, F.lit(0.0)).otherwise(F.least(2.0 * both / n, n / (n + 1.0)))
 
     def from_paragraphs(shared: Column, x: Column, y: Column) -> Column:
-        rest = F.struct((shared + _weight(F.array_intersect(x, y))).alias("n"), _leaves(F.array_except(x, y)).alias("x"), _leaves(F.array_except(y, x)).alias("y"))
+        rest = F.struct(
+            (shared + _weight(F.array_intersect(x, y))).alias("n"), _numbered(_leaves(F.array_except(x, y))).alias("x"), _numbered(_leaves(F.array_except(y, x))).alias("y"))
         return _bound(rest, lambda r: from_leaves(r["n"], r["x"], r["y"]))
 
     def from_sections(x: Column, y: Column) -> Column:
-        rest = F.struct(_weight(F.array_intersect(x, y)).alias("n"), _paragraphs(F.array_except(x, y)).alias("x"), _paragraphs(F.array_except(y, x)).alias("y"))
+        rest = F.struct(
+            _weight(F.array_intersect(x, y)).alias("n"), _numbered(_paragraphs(F.array_except(x, y))).alias("x"), _numbered(_paragraphs(F.array_except(y, x))).alias("y"))
         return _bound(rest, lambda r: from_paragraphs(r["n"], r["x"], r["y"]))
 
-    return F.when(a == b, F.lit(1.0)).otherwise(_bound(F.struct(_sections(a).alias("x"), _sections(b).alias("y")), lambda s: from_sections(s["x"], s["y"])))
+    tops = F.struct(_numbered(_sections(a)).alias("x"), _numbered(_sections(b)).alias("y"))
+    return F.when(a == b, F.lit(1.0)).otherwise(_bound(tops, lambda s: from_sections(s["x"], s["y"])))
+
+
+_NO_EDITS = "array<struct<kind:string,section:int,paragraph:int>>"
 
 
-def differing_paragraphs(a: Column, b: Column) -> Column:
-    """(section, paragraph) places, from 0, of ``b`` whose digest ``a`` lacks: where the edits are.
+def edits(a: Column, b: Column) -> Column:
+    """Where text ``b`` differs from ``a``, by their fingerprints: structs of kind, section and paragraph, places from 0.
 
-    Sections that both have are passed over by their digest.
+    Sections that both have are passed over by their digests. Of the others'
+    paragraphs those of ``a`` alone are ``deleted``, at their places there, and
+    those of ``b`` alone ``added``; a changed one is both. Repeats count. What
+    both have but what follows another one than before, both as far as they are
+    shared, is ``moved``: sections (``paragraph`` null) and, within the sections
+    that differ, paragraphs. Equal texts give an empty list; as fingerprints of
+    different ones differ, so does at least one place.
     """
-    known = F.transform(_sections(a), lambda s: F.substring(s, 1, SECTION))
-    paragraphs = F.transform(_paragraphs(_sections(a)), lambda p: F.substring(p, 1, PARAGRAPH))
-    place = lambda s, i: F.transform(
-        _paragraphs(F.array(s)), lambda p, j: F.when(~F.array_contains(paragraphs, F.substring(p, 1, PARAGRAPH)), F.struct(i.alias("section"), j.alias("paragraph"))))
-    found = F.transform(_sections(b), lambda s, i: F.when(~F.array_contains(known, F.substring(s, 1, SECTION)), place(s, i)).otherwise(F.array().cast("array<struct<section:int,paragraph:int>>")))
-    return F.filter(F.flatten(found), lambda x: x.isNotNull())
+    def alone(items: Column) -> Column:
+        """Of ``items`` with a key, which each side has once at most: (those of one side only, those of both)."""
+        differs = lambda s, x, i: F.coalesce(F.get(s, i)["key"] != x["key"], F.lit(True))
+        split = lambda s: F.transform(s, lambda x, i: F.struct((F.when(i == 0, True).otherwise(differs(s, x, i - 1)) & differs(s, x, i + 1)).alias("alone"), x.alias("x")))
+        of = lambda s, which: F.transform(F.filter(s, lambda x: x["alone"] == which), lambda x: x["x"])
+        return _bound(_bound(F.sort_array(items), split), lambda s: F.struct(of(s, F.lit(True)).alias("one"), of(s, F.lit(False)).alias("both")))
+
+    def moved(both: Column) -> Column:
+        """Items of ``b`` that come after another one than in ``a``."""
+        side = lambda name: F.sort_array(F.transform(F.filter(both, lambda x: x["side"] == name), lambda x: F.struct(x["section"], x["paragraph"], x["key"])))
+        after = lambda name: lambda s: F.transform(s, lambda x, i: F.struct(
+            F.concat(F.when(i == 0, F.lit("")).otherwise(F.get(s, i - 1)["key"]), F.lit(">"), x["key"]).alias("key"), F.lit(name).alias("side"), x["section"].alias("section"), x["paragraph"].alias("paragraph")))
+        pairs = F.concat(*[_bound(side(name), after(name)) for name in ("a", "b")])
+        return F.filter(alone(pairs)["one"], lambda x: x["side"] == "b")
+
+    def told(items: Column, kind: Column | None = None) -> Column:
+        named = lambda x: F.when(x["side"] == "a", "deleted").otherwise("added") if kind is None else kind
+        return F.transform(items, lambda x: F.struct(named(x).alias("kind"), x["section"].alias("section"), x["paragraph"].alias("paragraph")))
+
+    def keyed(digests: Column, side: str, section, paragraph) -> Column:
+        return F.transform(digests, lambda d, i: F.struct(d.alias("key"), F.lit(side).alias("side"), section(i).alias("section"), paragraph(i).alias("paragraph")))
+
+    def within(sections: Column, one: Column, side: str) -> Column:
+        """Paragraphs of the sections that only ``side`` has, with their places."""
+        own = F.filter(one, lambda x: x["side"] == side)
+        places = F.flatten(F.transform(own, lambda x: F.transform(
+            _paragraphs(F.array(F.get(sections, x["section"]))), lambda p, j: F.struct(x["section"].alias("section"), j.alias("paragraph"), F.substring(p, 1, PARAGRAPH).alias("d")))))
+        return _bound(F.sort_array(places), lambda ps: _bound(_numbered(F.transform(ps, lambda p: p["d"])), lambda keys: keyed(
+            keys, side, lambda i: F.get(ps, i)["section"], lambda i: F.get(ps, i)["paragraph"])))
+
+    def from_paragraphs(parts: Column) -> Column:
+        return F.concat(told(parts["one"]), told(moved(parts["both"]), F.lit("moved")))
+
+    def from_sections(x: Column, y: Column, parts: Column) -> Column:
+        inner = alone(F.concat(within(x, parts["one"], "a"), within(y, parts["one"], "b")))
+        return F.concat(told(moved(parts["both"]), F.lit("moved")), _bound(inner, from_paragraphs))
+
+    def top(s: Column) -> Column:
+        digests = lambda ss: _numbered(F.transform(ss, lambda x: F.substring(x, 1, SECTION)))
+        at, none = (lambda i: i), (lambda i: F.lit(None).cast("int"))
+        items = F.concat(keyed(digests(s["x"]), "a", at, none), keyed(digests(s["y"]), "b", at, none))
+        return _bound(alone(items), lambda parts: F.sort_array(from_sections(s["x"], s["y"], parts)))
+
+    sides = F.struct(_sections(a).alias("x"), _sections(b).alias("y"))
+    return F.when(a == b, F.array().cast(_NO_EDITS)).otherwise(_bound(sides, top))
+
+
+def _written(found: Column) -> Column:
+    """Edits as text: ``kind:section:paragraph``, comma-joined; a whole section's paragraph is ``*``."""
+    return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["section"].cast("string"), F.coalesce(x["paragraph"].cast("string"), F.lit("*")))), ",")
 
 
 def _part(cuts: list[int]) -> Column:
@@ -194,7 +270,7 @@ def with_next(docs: DataFrame, scratch: Scratch, part_rows: int = PART_ROWS) ->
 
 
 def edited_documents(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every row of ``docs`` (doc_id, text), of its edited text and of the next document.
+    """Fingerprints of every row of ``docs`` (doc_id, text), of its edited text and of the next document, and ``edits``, the places that were edited.
 
     The edited text has its last quarter of code points replaced by as many of
     the next document's first ones, or all it has. A null text is empty and an
@@ -211,4 +287,5 @@ def edited_documents(docs: DataFrame) -> DataFrame:
     return made.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        _written(edits(F.col("fingerprint"), F.col("edited_fingerprint"))).alias("edits"),
     )

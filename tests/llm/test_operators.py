@@ -4,6 +4,7 @@ The awkward table has null ids and texts, empty and very long texts, repeated
 rows, and columns whose names the operators use themselves.
 """
 
+import collections
 import hashlib
 import itertools
 import json
@@ -352,14 +353,40 @@ def written(tree):
 def brute_likeness(a, b):
     if a == b:
         return 1.0
+    count = collections.Counter
     key = lambda s: (s[0][:16], tuple((p[:16], tuple(leaves)) for p, leaves in s[1]))
-    x, y = ({key(s) for s in t[1]} for t in (a, b))
-    shared = sum(len(leaves) for s in x & y for _, leaves in s[1])
-    x, y = ({p for s in one - two for p in s[1]} for one, two in ((x, y), (y, x)))
-    shared += sum(len(leaves) for _, leaves in x & y)
-    x, y = ({leaf for _, leaves in one - two for leaf in leaves} for one, two in ((x, y), (y, x)))
-    n = 2 * shared + len(x) + len(y)
-    return 2 * (shared + len(x & y)) / n if n else 1.0
+    x, y = (count(key(s) for s in t[1]) for t in (a, b))
+    shared = sum(n * len(leaves) for s, n in (x & y).items() for _, leaves in s[1])
+    x, y = (count(p for s in (one - two).elements() for p in s[1]) for one, two in ((x, y), (y, x)))
+    shared += sum(n * len(leaves) for (_, leaves), n in (x & y).items())
+    x, y = (count(leaf for _, leaves in (one - two).elements() for leaf in leaves) for one, two in ((x, y), (y, x)))
+    n = 2 * shared + x.total() + y.total()
+    return min(2 * (shared + (x & y).total()) / n, n / (n + 1)) if n else 0.0
+
+
+def brute_edits(a, b):
+    def numbered(items):
+        seen = collections.Counter()
+        for key, place in items:
+            yield (key, seen[key]), place
+            seen[key] += 1
+
+    def compared(x, y):
+        x, y = dict(numbered(x)), dict(numbered(y))
+        found = [("deleted", x[k]) for k in x if k not in y] + [("added", y[k]) for k in y if k not in x]
+        before = lambda one, two: dict(zip(kept, [None, *kept], strict=False)) if (kept := [k for k in one if k in two]) else {}
+        was, now = before(x, y), before(y, x)
+        return found, [("moved", y[k]) for k in now if now[k] != was[k]]
+
+    if a == b:
+        return ""
+    sides = [[(s[0][:16], i) for i, s in enumerate(t[1])] for t in (a, b)]
+    found, moved = compared(*sides)
+    out = [(kind, i, None) for kind, i in moved]
+    own = [sorted(i for kind, i in found if kind == name) for name in ("deleted", "added")]
+    places = [[(p[:16], (i, j)) for i in ids for j, (p, _) in enumerate(t[1][i][1])] for ids, t in zip(own, (a, b), strict=True)]
+    out += [(kind, *at) for kinds in compared(*places) for kind, at in kinds]
+    return ",".join(f"{kind}:{i}:{'*' if j is None else j}" for kind, i, j in sorted(out, key=lambda x: (x[0], x[1], -1 if x[2] is None else x[2])))
 
 
 def test_fingerprints(spark, awkward, nothing):
@@ -373,8 +400,8 @@ def test_fingerprints(spark, awkward, nothing):
         after, n = rows[(i + 1) % len(rows)][1], len(t)
         edited = t[: n - n // 4] + after[: n // 4]
         trees = [brute_print(x) for x in (t, edited, after)]
-        want.append((k, n, hashlib.sha256(edited.encode()).hexdigest(), written(trees[0]), written(trees[1]), round(brute_likeness(*trees[:2]), 9), round(brute_likeness(trees[0], trees[2]), 9)))
-    assert sorted(((*r[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got), key=str) == sorted(want, key=str)
+        want.append((k, n, hashlib.sha256(edited.encode()).hexdigest(), written(trees[0]), written(trees[1]), round(brute_likeness(*trees[:2]), 9), round(brute_likeness(trees[0], trees[2]), 9), brute_edits(*trees[:2])))
+    assert sorted(((*r[:5], round(r["near_edited"], 9), round(r["near_next"], 9), r["edits"]) for r in got), key=str) == sorted(want, key=str)
     assert len({r[3] for r in want}) == len({t for _, t in rows})
     assert next(r for r in got if r["doc_id"] == 14)["near_edited"] > 0.6
     assert merkle.edited_documents(nothing).count() == 0
@@ -387,12 +414,36 @@ def test_short_leaves_do_not_make_equal_roots(spark, monkeypatch):
     assert len({r["f"].split("|")[0] for r in df.collect()}) == 20
 
 
-def test_merkle_finds_the_edit(spark):
-    a = "# One\n\nfirst line here\nsecond line there\n\n# Two\n\nthird line of many words in a row\n"
-    b = a.replace("there", "where")
-    df = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
-    r = df.select("a", "b", merkle.differing_paragraphs(F.col("a"), F.col("b")).alias("d"), merkle.likeness(F.col("a"), F.col("b")).alias("l"), merkle.likeness(F.col("a"), F.col("a")).alias("s")).first()
-    assert [tuple(x) for x in r["d"]] == [(1, 1)] and 0.5 < r["l"] < 1 and r["s"] == 1
+def test_merkle_finds_the_edits(spark):
+    a = "# One\n\nfirst line here\nsecond line there\nlast of these\n\n# Two\n\nthird line of many words in a row\n"
+    lines = "one is first\ntwo comes next\nthree then\nfour is last\n"
+    turned = "".join(reversed(lines.splitlines(keepends=True)))
+    cases = [
+        (a, a.replace("there", "where"), "added:1:1,deleted:1:1"),
+        (a, a.replace("second line there\n", ""), "deleted:1:1"),  # a paragraph less
+        (a, a.replace("second line there\n", "second line there\n" * 2), "added:1:2"),  # once more
+        (a, a.replace("first line here\nsecond line there\n", "second line there\nfirst line here\n"), "moved:1:0,moved:1:1,moved:1:2"),
+        (lines, turned, "moved:0:0,moved:0:1,moved:0:2,moved:0:3,moved:0:4"),  # the last is what comes after the last line end: nothing
+        ("x\n\ny\n\nz", "y\n\nx\n\nz", "moved:0:*,moved:1:*,moved:2:*"),  # whole sections
+        (a, "", ""), ("", "word", "added:0:0,deleted:0:0"), (a, a, ""),
+    ]
+    df = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, a string, b string").select("i", *[merkle.fingerprint(F.col(x)).alias(x) for x in "ab"])
+    f = [F.col("a"), F.col("b")]
+    got = {r["i"]: r for r in df.select("i", merkle._written(merkle.edits(*f)).alias("d"), merkle.likeness(*f).alias("l"), merkle.likeness(f[1], f[0]).alias("back")).collect()}
+    for i, (x, y, want) in enumerate(cases):
+        trees = brute_print(x), brute_print(y)
+        assert got[i]["d"] == brute_edits(*trees) and (y == "" or got[i]["d"] == want)
+        assert got[i]["l"] == got[i]["back"] == pytest.approx(brute_likeness(*trees)) and (got[i]["l"] == 1) == (x == y)
+        assert (got[i]["d"] == "") == (x == y)
+
+
+def test_repeats_and_order_are_no_equality(spark):
+    """The text twice over, and its paragraphs the other way round."""
+    text = "\n".join(prose(9, i) for i in range(40)) + "\n"
+    rows = [(text, text * 2), (text, "".join(reversed(text.splitlines(keepends=True)))), ("same\n" * 500, "same\n" * 499)]
+    df = spark.createDataFrame(rows, "a string, b string").select(*[merkle.fingerprint(F.col(x)).alias(x) for x in "ab"])
+    got = [r["l"] for r in df.select(merkle.likeness(F.col("a"), F.col("b")).alias("l")).collect()]
+    assert got[0] == pytest.approx(2 / 3, abs=0.01) and 0.98 < got[1] < 1 and 0.99 < got[2] < 1
 
 
 def test_parts_of_next(spark):
