@@ -15,9 +15,10 @@ from .functions import text as T
 from .operators import sessions as S
 from .operators import topics as P
 from .plans.analysis import FieldClusters, ModelClusters, distil
+from .plans.merging import model_merge
 from .plans.mining import Models, block_summaries, intent_blocks, mine
 from .providers import RuleProvider
-from .queries import query
+from .queries import ORACLE_SQL, query
 from .scratch import Scratch
 from .sinks import files
 from .sinks.report import Report
@@ -119,6 +120,42 @@ def session_file_texts(spark, sf):
     return source.table("parts").where("type = 'text'").select("session_id", "msg_idx", "text")
 
 
+@query("session_file_listing", """
+SELECT CAST(conv_id AS VARCHAR) AS session_id, 'T' AS title, 'p' AS project, count(*) AS msg_count, 1704153600000 AS timestamp, CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS tool_count
+FROM conversations GROUP BY 1
+""")
+def session_file_listing(spark, sf):
+    """Three tables of one parse."""
+    source = SessionFiles(spark, _one_file_each(_session_file_rows(spark, sf), "session_files"), "*")
+    listed = S.listing(source.table("sessions"), source.table("messages"), source)
+    return S.candidates(listed, source.table("parts"), 0, 0)
+
+
+@query("iso_millis", """
+SELECT event_id, CASE event_id % 4 WHEN 3 THEN 0 WHEN 1 THEN epoch_us(CAST(ts AS TIMESTAMP)) // 1000 ELSE epoch_ms(date_trunc('second', CAST(ts AS TIMESTAMP))) END AS ms FROM events
+""")
+def iso_millis(spark, sf):
+    """Times in UTC, in another zone, without a zone, and what is no time."""
+    ts, kind = F.col("ts").cast("timestamp"), F.col("event_id") % 4
+    plain = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    ahead = F.concat(F.date_format(ts + F.expr("interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+02:00"))
+    given = F.when(kind == 0, F.concat(plain, F.lit("Z"))).when(kind == 1, ahead).when(kind == 2, plain).otherwise(F.concat(F.lit("no time "), F.col("event_id").cast("string")))
+    return read(spark, sf, "events").select("event_id", T.iso_to_ms(given).alias("ms"))
+
+
+@query("thought_lines", f"""
+WITH r AS ({ORACLE_SQL["reasoning_conclusion"]}) SELECT CAST(doc_id AS VARCHAR) AS session_id, '[THOUGHT] ' || line AS line FROM r WHERE doc_id % 3 <> 0 AND line <> ''
+""")
+def thought_lines(spark, sf):
+    """Documents as thoughts; those without a conclusion go."""
+    empty = F.lit("")
+    d = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("session_id"), F.lit(0).alias("msg_idx"), F.when(F.col("doc_id") % 3 != 0, F.col("text")).otherwise("").alias("text"))
+    parts = d.select(
+        "*", F.lit(0).alias("part_idx"), F.lit("reasoning").alias("type"), *[empty.alias(x) for x in ("tool", "input_json", "output", "hash", "description")], F.array().cast("array<string>").alias("files"))
+    messages = d.select("session_id", "msg_idx", F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("error"))
+    return S.block_lines(messages, S.compress_parts(parts)).select("session_id", "line")
+
+
 @query("exported_sessions", """
 SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS n_messages, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS stops
 FROM conversations GROUP BY 1
@@ -273,6 +310,37 @@ def model_clusters(spark, sf):
     return _topics(spark, sf, models, ModelClusters(models))[1].select("topic_id", "topic_name", F.size("session_ids").alias("sessions"), "primary_project")
 
 
+@query("joined_topics", _TOPICS)
+def joined_topics(spark, sf):
+    """Prompts of ten sessions each, whose topics are joined by prompts over topics."""
+    models = _models(spark)
+    return _topics(spark, sf, models, ModelClusters(models, most_chars=5000))[1].select("topic_id", "topic_name", F.size("session_ids").alias("sessions"), "primary_project")
+
+
+@query("trajectory_texts", """
+SELECT CAST(conv_id AS VARCHAR) AS session_id, '### Session: ' || conv_id || chr(10) || 'Type: config | Label: partial' || chr(10) || 'Intent: ' || count(*) || ' messages' || chr(10)
+  || 'Phases:' || chr(10) || string_agg('  - ' || role || ': ' || coalesce(text, '') || chr(10), '' ORDER BY turn)
+  || coalesce('Problems:' || chr(10) || string_agg('  - ' || coalesce(text, '') || ' -> ' || turn || chr(10), '' ORDER BY turn) FILTER (WHERE role = 'user'), '')
+  || coalesce('Decisions:' || chr(10) || string_agg('  - ' || turn || ' (reason: ' || coalesce(text, '') || ')' || chr(10), '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')
+  || 'Lessons: ' || string_agg(CAST(turn AS VARCHAR), '; ' ORDER BY turn) || chr(10)
+  || coalesce('Discoveries:' || chr(10) || string_agg('  - ' || role || chr(10), '' ORDER BY turn) FILTER (WHERE turn % 2 = 1), '') AS content
+FROM conversations GROUP BY conv_id
+""")
+def trajectory_texts(spark, sf):
+    """Messages as phases, questions as problems, answers as decisions."""
+    all_of = F.array_sort(F.collect_list(F.struct("msg_idx", "role", "text")))
+    c = conversation_messages(spark, sf).groupBy("session_id").agg(all_of.alias("m"))
+    said = lambda role: F.filter("m", lambda x: x["role"] == role)
+    number = lambda x: x["msg_idx"].cast("string")
+    t = c.select(
+        "session_id", F.lit("config").alias("session_type"), F.lit("partial").alias("label"), F.concat(F.size("m").cast("string"), F.lit(" messages")).alias("intent"),
+        F.transform("m", lambda x: F.struct(x["role"].alias("phase"), x["text"].alias("summary"))).alias("what_happened"),
+        F.transform(said("user"), lambda x: F.struct(x["text"].alias("problem"), number(x).alias("how_resolved"))).alias("problems_encountered"),
+        F.transform(said("assistant"), lambda x: F.struct(number(x).alias("decision"), x["text"].alias("rationale"))).alias("key_decisions"),
+        F.transform("m", number).alias("lessons_learned"), F.transform(F.filter("m", lambda x: x["msg_idx"] % 2 == 1), lambda x: x["role"]).alias("discoveries"))
+    return t.select("session_id", P.trajectory_text().alias("content"))
+
+
 @query("field_clusters", _TOPICS)
 def field_clusters(spark, sf):
     return _topics(spark, sf, _models(spark), FieldClusters())[1].select("topic_id", "topic_name", F.size("session_ids").alias("sessions"), "primary_project")
@@ -356,6 +424,29 @@ def written_skills(spark, sf):
     return files.existing_topics(spark, folder, "all")
 
 
+@query("merged_skills", """
+SELECT source || '-' || lang AS topic_id, source || chr(10) || lang || chr(10) || count(*) || ' documents' AS merged_body, CAST(NULL AS VARCHAR) AS merged_description FROM documents GROUP BY source, lang
+""")
+def merged_skills(spark, sf):
+    """What is written of a topic names its source and language, what is new its language and size."""
+    lines = lambda *cols: F.concat_ws("\n", *cols)
+    d = read(spark, sf, "documents").groupBy("source", "lang").agg(F.concat(F.count("*").cast("string"), F.lit(" documents")).alias("n"))
+    both = d.select(F.concat_ws("-", "source", "lang").alias("topic_id"), lines("source", "lang").alias("current_body"), lines("lang", "n").alias("new_body"))
+    return model_merge(both, _models(spark)).select("topic_id", "merged_body", "merged_description")
+
+
+@query("written_trajectories", _SESSIONS + """
+SELECT CAST(conv_id AS VARCHAR) AS session_id, session_type, CAST(problem AS INT) AS problems, label_score, '2024-01-01' AS day, CASE WHEN problem THEN 'second' ELSE 'first' END AS run FROM t
+""")
+def written_trajectories(spark, sf):
+    """Two runs of a day, the second of sessions with problems only: the last one of each session is found."""
+    mined = Scratch(spark, "mined").save(_mined(spark, sf, _models(spark)), "mined")
+    folder = Scratch(spark, "trajectories").root
+    files.write_trajectories(mined, folder, "all", "2024-01-01", "first")
+    files.write_trajectories(mined.where("size(problems_encountered) > 0"), folder, "all", "2024-01-01", "second")
+    return files.read_trajectories(spark, folder).select("session_id", "session_type", F.size("problems_encountered").alias("problems"), "label_score", "day", "run")
+
+
 @query("processed_union", "SELECT CAST(conv_id AS VARCHAR) AS session_id FROM conversations UNION SELECT CAST(user_id AS VARCHAR) FROM events")
 def processed_union(spark, sf):
     """Two runs' sessions in the state's table."""
