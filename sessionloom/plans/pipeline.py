@@ -19,7 +19,7 @@ from ..operators.topics import aliased
 from ..sinks import files
 from ..sinks.report import Report
 from ..sinks.state import StateStore
-from ..sources import SessionSource
+from ..sources import SessionSource, bounded
 from ..storage import Store
 from ..streaming.sessions import run_new
 from .analysis import ClusterStrategy, ModelClusters, distil
@@ -132,10 +132,11 @@ class Pipeline:
         self.run_id = f"{batch[0]}-{batch[1]}-{uuid.uuid4().hex}" if batch else uuid.uuid4().hex
         name = f"{batch[0]}-{batch[1]}" if batch else self.run_id
         report = Report(project, s.today or datetime.now(UTC).strftime("%Y-%m-%d"))
-        sessions = self.source.table("sessions") if sessions is None else sessions
-        messages, parts = self.source.table("messages"), self.source.table("parts")
-        if s.session_id:
-            wanted = self.source.full_id(s.session_id)
+        wanted = self.source.full_id(s.session_id) if s.session_id else None
+        if sessions is None:
+            sessions = bounded(self.source, "sessions", None if wanted else s.since_ms or None, wanted)
+        messages, parts = (bounded(self.source, x, session=wanted) for x in ("messages", "parts"))
+        if wanted is not None:
             # A named session skips the listing's filter on messages; its tools still count.
             listed = S.listing(sessions.where(F.col("session_id") == wanted), messages, self.source)
             listed = listed.withColumn("msg_count", F.greatest("msg_count", F.lit(s.min_messages)))

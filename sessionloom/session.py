@@ -9,7 +9,6 @@ CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

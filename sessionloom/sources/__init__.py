@@ -32,3 +32,12 @@ def create_source(spark: SparkSession, kind: str, path: str, kept: str | None =
         raise ValueError(f"unknown source {kind!r}; known are {', '.join(sorted(kinds))}")
     more = {"kept": kept} if kind.lower() == "files" else {}
     return kinds[kind.lower()](spark, path, **more)
+
+
+def bounded(source: SessionSource, name: str, from_ms: int | None = None, session: str | None = None) -> DataFrame:
+    """A table of a source, of which no more need be right than one session, or than sessions updated from ``from_ms`` on.
+
+    Sources that can read less do so; callers filter all the same.
+    """
+    narrow = getattr(source, "bounded", None)
+    return narrow(name, from_ms, session) if narrow else source.table(name)

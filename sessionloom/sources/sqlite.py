@@ -2,8 +2,11 @@
 
 ``spark.read.format("session_sqlite").option("path", …).option("table", …)``
 with table ``sessions``, ``messages`` or ``parts``. Each read is split by
-session id over ``partitions`` tasks; a filter on ``updated_ms`` reaches SQLite
-when ``spark.sql.python.filterPushdown.enabled`` is set.
+session id over ``partitions`` tasks and comes as Arrow batches. With the
+options ``from_ms`` and ``session`` SQLite reads only sessions updated from then
+on, and only the rows of one session. Filters of a plan are not taken: Spark
+keeps a Python reader with what was pushed into it, so that a later query on the
+same DataFrame without the filter would read too little.
 
 ``spark.readStream`` with the same options gives the sessions that are new or
 changed: its offsets are (time of the update, id), so each batch is a range of
@@ -18,14 +21,36 @@ import os
 import sqlite3
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..schemas import MESSAGES, PARTS, SESSIONS
 
 _TABLES = {"sessions": SESSIONS, "messages": MESSAGES, "parts": PARTS}
 
+#: Rows and letters that a batch has about at most; one row may have more.
+BATCH_ROWS, BATCH_CHARS = 1000, 4 << 20
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
+
+
+def _batches(rows: Iterator[tuple], declared: str) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in declared.split(", "))])
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) >= BATCH_ROWS or size >= BATCH_CHARS:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
 
 def _connect(path: str) -> sqlite3.Connection:
     if not os.path.exists(path):
@@ -39,27 +64,29 @@ class _Slice(InputPartition):
     def __init__(self, lo: str | None, hi: str | None):
         self.lo, self.hi = lo, hi
 
-    def where(self, column: str) -> tuple[str, list[str]]:
-        """A condition on the column, which an index can serve, and its values."""
+    def where(self, column: str, more: list[tuple[str, list]]) -> tuple[str, list]:
+        """A condition on the column, which an index can serve, and ``more`` of them, with their values."""
         bounds = [(f"{column} >= ?", self.lo), (f"{column} < ?", self.hi)]
-        return " AND ".join(c for c, v in bounds if v is not None) or "TRUE", [v for _, v in bounds if v is not None]
+        found = [(c, [v]) for c, v in bounds if v is not None] + more
+        return " AND ".join(c for c, _ in found) or "TRUE", [v for _, vs in found for v in vs]
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table = options["path"], options.get("table", "sessions")
-        self.slices, self.since = int(options.get("partitions", 8)), None
+        self.slices = int(options.get("partitions", 8))
+        self.from_ms, self.session = options.get("from_ms"), options.get("session")
         _connect(self.path).close()
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds on updated_ms narrow the scan; Spark applies all filters once more."""
-        for f in filters:
-            if self.table == "sessions" and isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("updated_ms",):
-                bound = f.value if isinstance(f, GreaterThanOrEqual) else f.value + 1
-                self.since = max(self.since or bound, bound)
-            yield f
+    def _where(self, part: _Slice, column: str) -> tuple[str, list]:
+        more = [] if self.session is None else [(f"{column} = ?", [self.session])]
+        if self.table == "sessions" and self.from_ms is not None:
+            more.append(("time_updated >= ?", [int(self.from_ms)]))
+        return part.where(column, more)
 
     def partitions(self) -> list[InputPartition]:
+        if self.session is not None:
+            return [_Slice(None, None)]
         db = _connect(self.path)
         try:
             # The least id of each of so many equal shares; the first share is open below, the last above.
@@ -68,33 +95,29 @@ class _Reader(DataSourceReader):
             db.close()
         return [_Slice(a, b) for a, b in itertools.pairwise([None, *starts[1:], None])]
 
-    def read(self, part: _Slice) -> Iterator[tuple]:
+    def read(self, part: _Slice) -> Iterator[pa.RecordBatch]:
         db = _connect(self.path)
         try:
-            if self.table == "sessions":
-                where, values = part.where("id")
-                since = "" if self.since is None else f" AND time_updated >= {int(self.since)}"
-                yield from db.execute(f"SELECT id, title, directory, time_created, time_updated FROM session WHERE {where}{since}", values)
-            elif self.table == "messages":
-                yield from self._messages(db, part)
-            else:
-                yield from self._parts(db, part)
+            rows = {"sessions": self._sessions, "messages": self._messages, "parts": self._parts}[self.table]
+            yield from _batches(rows(db, part), _TABLES[self.table])
         finally:
             db.close()
 
-    @staticmethod
-    def _messages(db: sqlite3.Connection, part: _Slice) -> Iterator[tuple]:
+    def _sessions(self, db: sqlite3.Connection, part: _Slice) -> Iterator[tuple]:
+        where, values = self._where(part, "id")
+        yield from db.execute(f"SELECT id, title, directory, time_created, time_updated FROM session WHERE {where}", values)
+
+    def _messages(self, db: sqlite3.Connection, part: _Slice) -> Iterator[tuple]:
         last, idx = None, 0
-        where, values = part.where("session_id")
+        where, values = self._where(part, "session_id")
         for session, data in db.execute(f"SELECT session_id, data FROM message WHERE {where} ORDER BY session_id, time_created, id", values):
             last, idx = session, idx + 1 if session == last else 0
             yield message_row(session, idx, json.loads(data))
 
-    @staticmethod
-    def _parts(db: sqlite3.Connection, part: _Slice) -> Iterator[tuple]:
+    def _parts(self, db: sqlite3.Connection, part: _Slice) -> Iterator[tuple]:
         place: dict[str, int] = {}
         last, idx = None, 0
-        where, values = part.where("session_id")
+        where, values = self._where(part, "session_id")
         for session, message in db.execute(f"SELECT session_id, id FROM message WHERE {where} ORDER BY session_id, time_created, id", values):
             last, idx = session, idx + 1 if session == last else 0
             place[message] = idx
@@ -209,7 +232,14 @@ class SqliteSource:
         spark.dataSource.register(SessionStore)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.format("session_sqlite").option("path", self.path).option("table", name).option("partitions", str(self.slices)).load()
+        return self.bounded(name)
+
+    def bounded(self, name: str, from_ms: int | None = None, session: str | None = None) -> DataFrame:
+        """A table of which SQLite reads only one session, or, of ``sessions``, those updated from ``from_ms`` on."""
+        reader = self.spark.read.format("session_sqlite").option("path", self.path).option("table", name).option("partitions", str(self.slices))
+        for option, value in (("from_ms", from_ms), ("session", session)):
+            reader = reader if value is None else reader.option(option, str(value))
+        return reader.load()
 
     def changes(self, since_ms: int | None = None) -> DataFrame:
         """A stream of sessions that are new or were updated after ``since_ms``."""

@@ -36,7 +36,9 @@ from sessionloom.sinks import report as reports
 from sessionloom.sinks import state as states
 from sessionloom.sinks.state import StateStore
 from sessionloom.sources import create_source
-from sessionloom.sources.sqlite import _Changes
+from sessionloom.schemas import SESSIONS
+from sessionloom.sources import sqlite
+from sessionloom.sources.sqlite import _Changes, _Reader
 from sessionloom.storage import WorkerStore
 
 # Workers cannot import this module.
@@ -101,6 +103,29 @@ def test_sqlite_source(spark, store):
         create_source(spark, "csv", store)
 
 
+def test_what_sqlite_reads(spark, store):
+    src = create_source(spark, "sqlite", store)
+    sessions = src.table("sessions")
+    rows = {r["session_id"]: r["updated_ms"] for r in sessions.collect()}
+    last = max(rows.values())
+    # A filter is of its own query only.
+    assert sessions.where(F.col("updated_ms") >= last).count() == 1 and sessions.count() == len(rows) == sessions.where("updated_ms > 0").count()
+    assert [r["session_id"] for r in src.bounded("sessions", last).collect()] == [k for k, v in rows.items() if v == last]
+    for name in ("sessions", "messages", "parts"):
+        one = src.bounded(name, session="s-two")
+        assert {r["session_id"] for r in one.collect()} == {"s-two"} and one.exceptAll(src.table(name).where("session_id = 's-two'")).isEmpty()
+        assert one.count() == src.table(name).where("session_id = 's-two'").count() and src.bounded(name, session="none").isEmpty()
+    reader = _Reader({"path": store, "table": "parts", "session": "s-two"})
+    assert {x for p in reader.partitions() for b in reader.read(p) for x in b.column("session_id").to_pylist()} == {"s-two"}
+
+
+def test_batches_are_bounded(monkeypatch):
+    monkeypatch.setattr(sqlite, "BATCH_CHARS", 100)
+    rows = [(f"{i:010d}", "x" * 20, None, i, 0) for i in range(10)]
+    got = list(sqlite._batches(iter(rows), SESSIONS))
+    assert [b.num_rows for b in got] == [4, 4, 2] and [tuple(r.values()) for b in got for r in b.to_pylist()] == rows and not list(sqlite._batches(iter([]), SESSIONS))
+
+
 def test_compression(spark, store):
     src = create_source(spark, "sqlite", store)
     m, p = src.table("messages"), src.table("parts")
