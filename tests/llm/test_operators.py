@@ -574,6 +574,58 @@ def test_fit_is_bounded_and_repeatable(spark, monkeypatch):
     assert sizes[0] == sizes[1] > 1000 >= sizes[2] > 500
 
 
+def test_all_labelled_documents_train_and_set_thresholds(spark, monkeypatch):
+    """A first network that saw few documents misses words that only others hold; parts and order do not depend on partitions."""
+    for name, value in (("PART_ROWS", 300), ("MEET", 2), ("MORE_EPOCHS", 12), ("MORE_RATE", 0.08)):
+        monkeypatch.setattr(toxicity, name, value)
+    r, rows, labels = random.Random(4), [], []
+    for i in range(1500):
+        bad = i % 5 == 1
+        w = [r.choice(VOCAB) for _ in range(20)]
+        if bad:
+            w.insert(r.randrange(20), ["zonk", "blarg", "frump", "quib"][i % 4])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame([*rows, rows[7], rows[7]], "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen, merged = [], toxicity.Sums.added
+    monkeypatch.setattr(toxicity, "committee", lambda s, texts, y: seen.append(len(texts)) or toxicity.Committee([toxicity.train(texts, y, 2, k) for k in (1, 2)]))
+    one, two = (toxicity.fit(d, table, rows=20) for d in (docs.repartition(5), docs.coalesce(1)))
+    assert seen == [20, 20]
+    for a, b in zip(one.members, two.members, strict=True):
+        assert (a.tables[0] == b.tables[0]).all() and (a.out == b.out).all() and a.bias == b.bias and (a.words == b.words).all()
+    assert (one.thresholds == two.thresholds).all()
+    # Each of the words stands in a few texts of the first 20 at most, and in many of all.
+    assert set(toxicity._numbers("zonk blarg frump quib").tolist()) <= set(one.members[0].words.tolist())
+    got = {x["doc_id"]: x for x in toxicity.score_toxicity(docs, one).collect()}
+    held = [k for k, _ in labels if got[k]["held_out"]]
+    assert np.mean([got[k]["predicted"] == labels[k][1] for k in held]) > 0.97
+    # Sums of networks: rows weigh as many documents as changed them.
+    learners = [toxicity.Learner(toxicity.Classifier.fresh(1), 1, 0.1) for _ in range(2)]
+    words_ = words.mix(np.arange(4, dtype=np.uint64))
+    for k, learner in enumerate(learners):
+        learner.learn([words_[2 * k : 2 * k + 2]], np.array([k]), [np.ones(2, bool)], 1.0, 1)
+    mean = merged([toxicity.Sums.of(x, n) for x, n in zip(learners, (1, 3), strict=True)]).mean(toxicity.Classifier.fresh(1), words_)
+    assert np.allclose(mean.out, (learners[0].model.out + 3 * learners[1].model.out) / 4, atol=1e-6)
+    for k, learner in enumerate(learners):
+        rows_ = np.flatnonzero(learner.touched()[0])
+        assert len(rows_) and np.allclose(mean.tables[0][rows_], learner.model.tables[0][rows_], atol=1e-6)
+
+
+def test_thresholds_count_every_text(spark):
+    """Counts by step of probability give the cut that all probabilities give."""
+    model = toxicity.Classifier.fresh(4)
+    for t in model.tables:
+        t[:-1] *= 100
+    numbers = [words.mix(np.array([i], np.uint64)) for i in range(2000)]
+    p = np.array([model.raw(x, np.array([0, 1]))[0] for x in numbers])
+    r = random.Random(9)
+    y = np.array([int(r.random() < x) for x in p])
+    toxicity.calibrate(model, spark.createDataFrame([(int(t), x.view(np.int64).tolist()) for t, x in zip(y, numbers, strict=True)], "toxic int, numbers array<long>").repartition(5))
+    f1 = lambda t: 2 * y[p >= t].sum() / ((p >= t).sum() + y.sum())
+    assert f1(model.thresholds[-1]) > max(f1(t) for t in p if 0.05 <= t <= 0.95) - 0.002
+
+
 # --- 6 ---------------------------------------------------------------------------
 
 def test_sharding(spark, awkward, nothing):
