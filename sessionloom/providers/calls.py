@@ -15,6 +15,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -115,17 +116,22 @@ def call_model(
         wanted = wanted.join(spark.read.schema(CACHE).parquet(table).where("error is null").select("prompt_key"), "prompt_key", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = None
+        provider, task = None, log.task(TaskContext.get().partitionId())
         try:
             for batch in batches:
                 provider = provider or factory()
-                rows = [(k, *ask(provider, system, p, temperature, max_tokens, log=log.prompt(k), declared=declared), log.request) for k, p in zip(batch["prompt_key"], batch["prompt"], strict=True)]
+                rows = []
+                for k, p in zip(batch["prompt_key"], batch["prompt"], strict=True):
+                    calls = task.prompt(k)
+                    rows.append((k, *ask(provider, system, p, temperature, max_tokens, log=calls, declared=declared), log.request))
+                    task.close(calls)
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in CACHE.split(", ")])
+            task.gather()
         finally:
             if provider is not None:
                 provider.close()
 
-    wanted.repartition(concurrency, "prompt_key").mapInPandas(run, CACHE).write.mode("append").parquet(table)
+    wanted.repartition(concurrency, "prompt_key").sortWithinPartitions("prompt_key").mapInPandas(run, CACHE).write.mode("append").parquet(table)
     if used:
         used(model, usage(spark, log, logged))
     # The table has all of it now.

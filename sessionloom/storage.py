@@ -131,3 +131,33 @@ class WorkerStore:
                 except ValueError:
                     continue
         return out
+
+    def names(self, folder: str) -> list[str]:
+        """What a folder holds, sorted; nothing if there is no such folder."""
+        from pyarrow import fs
+
+        return sorted(x.base_name for x in self._fs.get_file_info(fs.FileSelector(f"{self._root}/{folder}", allow_not_found=True)))
+
+    def write_lines(self, name: str, values: list[dict]) -> None:
+        path = f"{self._root}/{name}"
+        self._fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with self._fs.open_output_stream(path) as f:
+            f.write("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in values).encode())
+
+    def read_lines(self, name: str) -> list[dict]:
+        """The lines of a file; one that is not whole is passed over."""
+        with self._fs.open_input_stream(f"{self._root}/{name}") as f:
+            raw = f.read()
+        out = []
+        for line in raw.split(b"\n"):
+            try:
+                out.append(json.loads(line))
+            except ValueError:
+                continue
+        return out
+
+    def delete(self, folder: str) -> None:
+        try:
+            self._fs.delete_dir(f"{self._root}/{folder}")
+        except FileNotFoundError:
+            pass

@@ -39,7 +39,7 @@ from sessionloom.sources import create_source
 from sessionloom.schemas import SESSIONS
 from sessionloom.sources import sqlite
 from sessionloom.sources.sqlite import _Changes, _Reader
-from sessionloom.storage import WorkerStore
+from sessionloom.storage import Store, WorkerStore
 
 # Workers cannot import this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -402,6 +402,44 @@ def test_failed_calls_are_logged(tmp_path):
     assert ask(Flaky('{"a": 1}'), "s", "p", 0.2, 9, log=PromptLog(store, "new", ("r",), "k"))[0] == '{"a": 1}'
 
 
+def test_a_request_lists_few_files(spark, tmp_path, monkeypatch):
+    """Calls of many prompts lie in one file for so many of them; what a lost attempt left is found there, and counts once."""
+    from sessionloom.providers import log as L
+
+    seen, usage = [], L.usage
+    monkeypatch.setattr("sessionloom.providers.calls.usage", lambda s, log, store: seen.append((store.names(log.request), store.names(f"{log.request}/done"))) or usage(s, log, store))
+    df = spark.createDataFrame([(f"p{i}",) for i in range(300)], "p string")
+    used = []
+    got = call_model(df, "cluster", "p", RuleProvider, str(tmp_path / "cache"), concurrency=3, used=lambda m, r: used.append(r)).collect()
+    assert len(got) == 300 and used[0]["calls"] == 300 == sum(r["calls"] for r in got)
+    assert seen[0][0] == ["done"] and len(seen[0][1]) == 3
+    store = WorkerStore(f"file://{tmp_path}/log")
+    monkeypatch.setattr(L, "GATHERED", 2)
+    reply = lambda text: (lambda: Reply(text, 1, 2))
+    first = L.CallLog(f"file://{tmp_path}/log", "r").task(7)
+    for k in "abcde":
+        p = first.prompt(k)
+        assert p.call(0, 0, reply(k))[1]
+        first.close(p)
+    assert len(store.names("r/done")) == 2 and store.names("r") == ["done", "e"]
+    again = L.CallLog(f"file://{tmp_path}/log", "r").task(7)
+    for k in "abcde":  # nothing is asked again, in whatever form it lies there
+        p = again.prompt(k)
+        assert p.call(0, 0, reply("no"))[0].text == k and p.made == 1
+        again.close(p)
+    again.gather()
+    assert store.names("r") == ["done"]
+    # A folder that was gathered but not yet deleted, a call that never ended, and a cut line.
+    store.write("r/e/0-0-twice.begun", {"name": "0-0"})
+    e = next(x for n in store.names("r/done") for x in store.read_lines(f"r/done/{n}") if x["key"] == "e")
+    store.write(f"r/e/{e['at']}.begun", {"name": "0-0"})
+    (tmp_path / "log/r/done/7-f-f-x.json").write_text('{"key": "f", "at"')
+    sums = usage(spark, L.CallLog(f"file://{tmp_path}/log", "r"), Store(spark, f"file://{tmp_path}/log"))
+    assert (sums["calls"], sums["input_tokens"], sums["output_tokens"]) == (6, 5, 10)
+    later = L.CallLog(f"file://{tmp_path}/log", "s", ("r",)).task(0)
+    assert later.prompt("c").call(0, 0, reply("no"))[0].text == "c" and later.prompt("x").call(0, 0, reply("new"))[0].text == "new"
+
+
 class NoSkill(RuleProvider):
     model_name = "mute"
 
