@@ -26,7 +26,7 @@ from .sinks.state import StateStore
 from .sources.exports import SessionExports
 from .sources.session_files import SessionFiles
 from .sources.tables import conversation_messages, event_parts, read
-from .storage import Store
+from .storage import Store, WorkerStore
 
 
 def _tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -81,9 +81,22 @@ def noise_filtered_tools(spark, sf):
 
 
 def _one_file_each(rows: DataFrame, name: str) -> str:
-    """A folder of files, one for each row (value)."""
-    folder = Scratch(rows.sparkSession, name).path("files")
-    rows.write.option("maxRecordsPerFile", 1).text(folder)
+    """A folder of files, one for each row (session_id, value) under the session's id.
+
+    Tasks put them where they stay, and a task that is run again writes the
+    same: a job of Spark's writers would have the driver rename each of them.
+    """
+    spark = rows.sparkSession
+    folder = Store(spark, Scratch(spark, name).path("files")).root
+
+    def put(batches):
+        store = WorkerStore(folder)
+        for batch in batches:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store.put(f"{key}.json", value.encode())
+        yield from ()
+
+    rows.select("session_id", "value").repartition(spark.sparkContext.defaultParallelism, "session_id").mapInArrow(put, "n long").write.format("noop").mode("overwrite").save()
     return folder
 
 
@@ -99,7 +112,7 @@ def _session_file_rows(spark, sf) -> DataFrame:
     message = F.concat(F.lit('{"role": "'), "role", F.lit('", "contents": ['), held, F.lit("]}"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("msg_idx", message.alias("m")))), lambda x: x["m"]), ", ")
     rows = c.groupBy("session_id").agg(listed.alias("messages"))
-    return rows.select(F.concat(
+    return rows.select("session_id", F.concat(
         F.lit('{"meta": {"session_id": "'), "session_id", F.lit('", "title": "T", "primary_cwd": "/w/p", "updated_at": "2024-01-02T00:00:00Z"}, "state": {"messages": ['), "messages", F.lit("]}}")).alias("value"))
 
 
@@ -166,7 +179,7 @@ def exported_sessions(spark, sf):
         F.struct("role", F.when(F.col("role") == "assistant", "stop").otherwise("").alias("finish"), F.struct(F.col("msg_idx").alias("created")).alias("time")).alias("info"),
         F.array(F.struct(F.lit("text").alias("type"), "text")).alias("parts")))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("msg_idx", message.alias("m")))), lambda x: x["m"]), ", ")
-    rows = c.groupBy("session_id").agg(listed.alias("m")).select(F.concat(F.lit('{"info": {"id": "'), "session_id", F.lit('"}, "messages": ['), "m", F.lit("]}")).alias("value"))
+    rows = c.groupBy("session_id").agg(listed.alias("m")).select("session_id", F.concat(F.lit('{"info": {"id": "'), "session_id", F.lit('"}, "messages": ['), "m", F.lit("]}")).alias("value"))
     source = SessionExports(spark, _one_file_each(rows, "exports"), "*")
     m = source.table("messages").groupBy("session_id").agg(F.count("*").alias("n_messages"), F.count_if(F.col("finish") == "stop").alias("stops"))
     p = source.table("parts").groupBy("session_id").agg(F.sum(F.length("text")).alias("chars"))

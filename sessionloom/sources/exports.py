@@ -15,7 +15,7 @@ def _number(v: str, path: str) -> Column:
 
 
 class SessionExports:
-    """All ``*.json`` files of a folder; what is no session is passed over."""
+    """All ``*.json`` files of a folder, none of those below it; what is no session is passed over."""
 
     strict_since = True
 
@@ -23,7 +23,8 @@ class SessionExports:
         self.spark, self.folder, self.pattern = spark, folder.rstrip("/"), pattern
 
     def _raw(self) -> DataFrame:
-        files = self.spark.read.text(f"{self.folder}/{self.pattern}", wholetext=True)
+        # A filter of names lists the folder once; a glob is a job of a task for each file it finds.
+        files = self.spark.read.text(self.folder, wholetext=True, pathGlobFilter=self.pattern)
         return files.select(F.try_parse_json("value").alias("v")).select(F.try_variant_get("v", "$.info.id", "string").alias("session_id"), "v").where("session_id is not null")
 
     def _each(self) -> DataFrame:

@@ -8,12 +8,12 @@ files that are new or changed are read again. A corrupt file gives a row whose
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +30,8 @@ SHORT_ID = 12
 BATCH_BYTES = 8 << 20
 #: Files that a task reads.
 TASK_FILES = 2000
+#: Names that a task hands to Spark at a time.
+LIST_ROWS = 10_000
 
 LISTED = "path string, modified timestamp, batch string"
 PARSED = "path string, modified timestamp, dir_name string, session_id string, updated_ms long, data variant"
@@ -39,16 +41,42 @@ def _text(v: Column | str, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of listed files; one that is gone by now gives no row."""
+def _file_system(path: str):
+    """The store of a full path, and the path within it."""
     from pyarrow import fs
 
+    return fs.FileSystem.from_uri("file://" + local(path) if path.startswith("file:") else path)
+
+
+def _entries(pattern: str, last: bool):
+    """Of listed folders (path) what matches a segment of the pattern: files with their times, or folders."""
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        plain = not any(x in pattern for x in "*?[")
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, name = _file_system(path)
+                found = store.get_file_info([f"{name}/{pattern}"] if plain else fs.FileSelector(name, allow_not_found=True))
+                kind = fs.FileType.File if last else fs.FileType.Directory
+                # As Spark's readers, pass over files whose names begin so.
+                found = [x for x in found if x.type == kind and fnmatch.fnmatchcase(x.base_name, pattern) and not (last and x.base_name[0] in "._")]
+                for lo in range(0, len(found), LIST_ROWS):
+                    some = found[lo : lo + LIST_ROWS]
+                    times = pa.array([x.mtime_ns // 1_000_000 for x in some], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{x.base_name}" for x in some], pa.string()), times], names=["path", "ms"])
+
+    return entries
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of listed files; one that is gone by now gives no row."""
     names = ["path", "modified", "value"]
     for batch in batches:
         rows, size = [], 0
         for path, modified in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
             try:
-                store, name = fs.FileSystem.from_uri("file://" + local(path) if path.startswith("file:") else path)
+                store, name = _file_system(path)
                 with store.open_input_stream(name) as f:
                     raw = f.read()
             except FileNotFoundError:
@@ -87,14 +115,20 @@ class SessionFiles:
         return Store(self.spark, self._kept)
 
     def _listed(self) -> DataFrame:
-        """path and modified of the files that are there now; none is opened. A folder without any gives no row, a missing one is an error."""
-        try:
-            files = self.spark.read.format("binaryFile").load(f"{self.folder}/{self.pattern}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND" or not Store(self.spark, self.folder).exists():
-                raise
-            return self.spark.createDataFrame([], "path string, modified timestamp")
-        return files.select("path", F.col("modificationTime").alias("modified"))
+        """path and modified of the files that are there now; none is opened. A folder without any gives no row, a missing one is an error.
+
+        Tasks list them, one for the folder itself and several for those below
+        it: a glob of Spark's readers is a job of a task for each file, whose
+        results all go to the driver.
+        """
+        store = Store(self.spark, self.folder)
+        if not store.exists():
+            self.spark.read.text(self.folder)  # the error of Spark's readers
+        rows = self.spark.range(1, numPartitions=1).select(F.lit(store.root).alias("path"))
+        *folders, name = self.pattern.split("/")
+        for folder in folders:
+            rows = rows.mapInArrow(_entries(folder, False), "path string, ms long").select("path").repartition(self.spark.sparkContext.defaultParallelism, "path")
+        return rows.mapInArrow(_entries(name, True), "path string, ms long").select("path", F.timestamp_millis("ms").alias("modified"))
 
     def refresh(self) -> dict:
         """Parse what is new or changed since the latest listing: {"listing": its path, "parts": {part: its rows}}."""

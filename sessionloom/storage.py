@@ -112,10 +112,7 @@ class WorkerStore:
         self._fs, self._root = fs.FileSystem.from_uri("file://" + local(root) if root.startswith("file:") else root)
 
     def write(self, name: str, value: dict) -> None:
-        path = f"{self._root}/{name}"
-        self._fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with self._fs.open_output_stream(path) as f:
-            f.write(json.dumps(value, ensure_ascii=False).encode())
+        self.put(name, json.dumps(value, ensure_ascii=False).encode())
 
     def read_all(self, folder: str, suffix: str) -> dict[str, dict]:
         """The files of a folder by name; those that are not whole are passed over."""
@@ -138,11 +135,14 @@ class WorkerStore:
 
         return sorted(x.base_name for x in self._fs.get_file_info(fs.FileSelector(f"{self._root}/{folder}", allow_not_found=True)))
 
-    def write_lines(self, name: str, values: list[dict]) -> None:
+    def put(self, name: str, raw: bytes) -> None:
         path = f"{self._root}/{name}"
         self._fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         with self._fs.open_output_stream(path) as f:
-            f.write("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in values).encode())
+            f.write(raw)
+
+    def write_lines(self, name: str, values: list[dict]) -> None:
+        self.put(name, "".join(json.dumps(x, ensure_ascii=False) + "\n" for x in values).encode())
 
     def read_lines(self, name: str) -> list[dict]:
         """The lines of a file; one that is not whole is passed over."""

@@ -203,6 +203,33 @@ def test_a_folder_without_session_files(spark, tmp_path):
     assert [source.table(x).count() for x in ("sessions", "messages", "parts")] == [0, 0, 0]
 
 
+def test_many_session_files_are_few_tasks(spark, tmp_path):
+    """Listing and reading take tasks by what is read, not one for each file; hidden files and folders of the name are none."""
+    (tmp_path / "x").mkdir()
+    for i in range(300):
+        (tmp_path / f"f/d{i}").mkdir(parents=True)
+        (tmp_path / f"f/d{i}/session.json").write_text(json.dumps({"meta": {"session_id": f"s{i}"}}))
+        (tmp_path / f"x/x{i}.json").write_text(json.dumps({"info": {"id": f"s{i}"}, "messages": []}))
+    (tmp_path / "f/d0/_session.json").write_text("{}")
+    (tmp_path / "f/e/session.json").mkdir(parents=True)
+    (tmp_path / "x/deep").mkdir()
+    (tmp_path / "x/deep/y.json").write_text(json.dumps({"info": {"id": "deep"}, "messages": []}))
+    (tmp_path / "x/_z.json").write_text(json.dumps({"info": {"id": "hidden"}, "messages": []}))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few-tasks", "")
+    try:
+        source = create_source(spark, "files", str(tmp_path / "f"), str(tmp_path / "kept"))
+        listed = {r["path"]: r["modified"] for r in source._listed().collect()}
+        assert source.table("sessions").count() == 300 and create_source(spark, "exports", str(tmp_path / "x")).table("sessions").count() == 300
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s) < 100
+    # Paths and times are those of Spark's own readers, which earlier listings hold.
+    theirs = spark.read.format("binaryFile").load(str(tmp_path / "f/d*/session.json")).select("path", "modificationTime").collect()
+    assert listed == {r["path"]: r["modificationTime"] for r in theirs} and len(listed) == 300
+
+
 def test_exports(spark, tmp_path):
     messages = [{"info": {"role": r, "time": {"created": i}, "finish": "stop", "tokens": {"total": 4}} | ({"error": {"data": {"message": "boom"}}} if i == 5 else {}), "parts": p} for i, (r, p) in enumerate(TALK)]
     (tmp_path / "a.json").write_text(json.dumps({"info": {"id": "x", "title": "T", "directory": "/w/p", "time": {"created": 1, "updated": 2}}, "messages": messages}))
