@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.jsontext import pyrepr
 from ..functions.text import prefix, project_name, reasoning_conclusion, text_or_empty, tool_summary
+from ..joins import shuffled
 from ..schemas import NOISE_TOOLS
 
 MIN_MESSAGES, MIN_TOOLS = 5, 3
@@ -38,7 +39,7 @@ def listing(sessions: DataFrame, messages: DataFrame, source=None, project: str
         rows = rows.where(F.col("updated_ms") <= until_ms)
     counts = messages.groupBy("session_id").agg(F.count("*").alias("msg_count"))
     return (
-        rows.join(counts, "session_id", "left")
+        rows.join(shuffled(counts), "session_id", "left")
         .select("session_id", "title", project_name(F.col("directory")).alias("project"), F.coalesce("msg_count", F.lit(0)).alias("msg_count"), F.col("updated_ms").alias("timestamp"))
         .orderBy(F.desc("timestamp"), "session_id")
     )
@@ -52,7 +53,7 @@ def tool_counts(parts: DataFrame) -> DataFrame:
 def candidates(sessions: DataFrame, parts: DataFrame, min_messages: int = MIN_MESSAGES, min_tools: int = MIN_TOOLS) -> DataFrame:
     """Listed sessions with enough messages and tools; parts are counted once for all."""
     kept = sessions.where(F.col("msg_count") >= min_messages)
-    return kept.join(tool_counts(parts), "session_id", "left").withColumn("tool_count", F.coalesce("tool_count", F.lit(0))).where(F.col("tool_count") >= min_tools)
+    return kept.join(shuffled(tool_counts(parts)), "session_id", "left").withColumn("tool_count", F.coalesce("tool_count", F.lit(0))).where(F.col("tool_count") >= min_tools)
 
 
 def processable(cleaned: DataFrame, min_messages: int = MIN_MESSAGES, min_tools: int = MIN_TOOLS) -> DataFrame:
@@ -94,7 +95,7 @@ def message_texts(messages: DataFrame, parts: DataFrame) -> DataFrame:
         parts.where("type = 'text'").groupBy("session_id", "msg_idx")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("part_idx", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]).alias("texts"))
     )
-    return messages.join(texts, ["session_id", "msg_idx"], "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
+    return messages.join(shuffled(texts), ["session_id", "msg_idx"], "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
 
 
 def user_anchors(messages: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def rollup(messages: DataFrame, parts: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(assistant, F.col("tokens_total"))), F.lit(0)).alias("total_tokens"),
     )
     p = parts.groupBy("session_id").agg(F.count_if(F.col("type") == "tool").alias("tool_count"), F.bool_or(F.col("type") == "patch").alias("has_patches"))
-    return m.join(p, "session_id", "left").withColumns({"tool_count": F.coalesce("tool_count", F.lit(0)), "has_patches": F.coalesce("has_patches", F.lit(False))})
+    return m.join(shuffled(p), "session_id", "left").withColumns({"tool_count": F.coalesce("tool_count", F.lit(0)), "has_patches": F.coalesce("has_patches", F.lit(False))})
 
 
 def block_lines(messages: DataFrame, compressed: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def block_lines(messages: DataFrame, compressed: DataFrame) -> DataFrame:
     for kind, (k, name) in kinds.items():
         rank, label = F.when(F.col("type") == kind, k).otherwise(rank), F.when(F.col("type") == kind, name).otherwise(label)
     said = (
-        compressed.where(F.col("type").isin(*kinds)).join(messages.select("session_id", "msg_idx", "role"), ["session_id", "msg_idx"])
+        compressed.where(F.col("type").isin(*kinds)).join(shuffled(messages.select("session_id", "msg_idx", "role")), ["session_id", "msg_idx"])
         .select("session_id", "msg_idx", rank.alias("rank"), "part_idx", F.concat(label, "line").alias("line"))
     )
     reason = F.coalesce(F.get_json_object("error", "$.data.message"), pyrepr(F.col("error")))
@@ -169,13 +170,13 @@ def block_texts(blocks: DataFrame, lines: DataFrame, counts: DataFrame) -> DataF
     reach beyond the session; they mean what a Python slice would.
     """
     first, stop = sliced_range(F.col("start"), F.col("end"), F.col("message_count").cast("int"))
-    ranged = blocks.join(counts.select("session_id", "message_count"), "session_id").withColumn("lo", first).withColumn("hi", stop)
+    ranged = blocks.join(shuffled(counts.select("session_id", "message_count")), "session_id").withColumn("lo", first).withColumn("hi", stop)
     # A row for each message of a block, so that lines meet their own blocks only.
     places = F.when(F.col("hi") > F.col("lo"), F.sequence(F.col("lo"), F.col("hi") - 1)).otherwise(F.array().cast("array<int>"))
-    inside = ranged.select("session_id", "block_id", F.explode(places).alias("msg_idx")).join(lines, ["session_id", "msg_idx"])
+    inside = ranged.select("session_id", "block_id", F.explode(places).alias("msg_idx")).join(shuffled(lines), ["session_id", "msg_idx"])
     ordered = F.array_sort(F.collect_list(F.struct("msg_idx", "rank", "part_idx", "line")))
     texts = inside.groupBy("session_id", "block_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("content"))
-    return blocks.join(texts, ["session_id", "block_id"], "left").withColumn("content", F.coalesce("content", F.lit("")))
+    return blocks.join(shuffled(texts), ["session_id", "block_id"], "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
 def label_score(has_patches: Column, has_errors: Column, tool_count: Column, last_finish: Column, outcome: Column, n_lessons: Column, n_decisions: Column) -> Column:

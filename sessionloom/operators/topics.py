@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import prefix, topic_slug
+from ..joins import shuffled
 from ..scratch import Scratch
 
 
@@ -74,8 +75,8 @@ def resolved(raw: DataFrame, trajectories: DataFrame) -> DataFrame:
         .select("cluster_pos", "topic_id", "topic_name", "topic_summary", "primary_project", F.posexplode("session_ids").alias("i", "given"))
     )
     found = (
-        items.join(known.select(F.col("alias").alias("given"), F.col("session_id").alias("by_alias")), "given", "left")
-        .join(known.select(F.col("session_id").alias("given"), F.col("session_id").alias("by_id")), "given", "left")
+        items.join(shuffled(known.select(F.col("alias").alias("given"), F.col("session_id").alias("by_alias"))), "given", "left")
+        .join(shuffled(known.select(F.col("session_id").alias("given"), F.col("session_id").alias("by_id"))), "given", "left")
         .withColumn("sid", F.coalesce("by_alias", "by_id")).where("sid is not null")
     )
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("cluster_pos", "i", "sid"))), lambda x: x["sid"])
@@ -105,9 +106,9 @@ def lifted(topics: DataFrame, above: DataFrame) -> DataFrame:
     first = lambda c: F.min_by(c, "rank").alias(c)
     names = named.groupBy("topic_id").agg(first("topic_name"), first("topic_summary"), first("primary_project"))
     held = topics.select(F.col("topic_id").alias("below"), "session_ids")
-    members = pairs.join(held, "below").unionByName(stays.select(F.col("topic_id").alias("below"), "topic_id", F.lit(1 << 30).alias("i"), "session_ids"))
+    members = pairs.join(shuffled(held), "below").unionByName(stays.select(F.col("topic_id").alias("below"), "topic_id", F.lit(1 << 30).alias("i"), "session_ids"))
     ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "below", "session_ids"))), lambda x: x["session_ids"]))
-    return names.join(members.groupBy("topic_id").agg(F.array_distinct(ordered).alias("session_ids")), "topic_id").select(
+    return names.join(shuffled(members.groupBy("topic_id").agg(F.array_distinct(ordered).alias("session_ids"))), "topic_id").select(
         "topic_id", "topic_name", "topic_summary", "session_ids", "primary_project")
 
 
@@ -119,13 +120,13 @@ def with_protected(clusters: DataFrame, protected: DataFrame, existing: DataFram
 
 
 def unclustered(trajectories: DataFrame, clusters: DataFrame) -> DataFrame:
-    return trajectories.join(clusters.select(F.explode("session_ids").alias("session_id")).distinct(), "session_id", "left_anti")
+    return trajectories.join(shuffled(clusters.select(F.explode("session_ids").alias("session_id")).distinct()), "session_id", "left_anti")
 
 
 def topic_members(trajectories: DataFrame, clusters: DataFrame) -> DataFrame:
     """(topic_id, trajectory) pairs; a session may be in several topics, once in each."""
     ids = clusters.select("topic_id", F.explode(F.array_distinct("session_ids")).alias("session_id"))
-    return trajectories.join(ids, "session_id")
+    return trajectories.join(shuffled(ids), "session_id")
 
 
 def running_sums(rows: DataFrame, group: list[str], order: list[str], value: str, scratch: Scratch | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate_to_budget
+from ..joins import shuffled
 from ..operators import topics as P
 from ..schemas import RULE
 from ..scratch import Scratch
@@ -105,7 +106,7 @@ def distil(trajectories: DataFrame, clusters: DataFrame, models: Models, max_rul
     half = (DISTIL_BUDGET - len(system) // 4 - 1) // 2
     some = lambda c: F.when(c == "", "(none)").otherwise(truncate_to_budget(c, half))
     # A text of four characters a token is over the budget whatever its characters are, and is cut to less than that.
-    topics = clusters.join(P.topic_inputs(P.topic_members(trajectories, clusters), 4 * half + 8), "topic_id")
+    topics = clusters.join(shuffled(P.topic_inputs(P.topic_members(trajectories, clusters), 4 * half + 8)), "topic_id")
     about = F.when(F.coalesce("topic_summary", F.lit("")) == "", F.col("topic_name")).otherwise(F.col("topic_summary"))
     prompt = F.concat(F.lit("Topic: "), "topic_name", F.lit("\nAbout: "), about, F.lit("\n\nWent well:\n"), some(F.col("good")), F.lit("\n\nDid not:\n"), some(F.col("bad")))
     asked = models.ask(topics.withColumn("prompt", prompt), "distil", "prompt", system, 8192, 0.3, strong=True).withColumn("r", F.from_json("response", SKILL_JSON))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import prefix, truncate_to_budget
+from ..joins import shuffled
 from ..operators import sessions as S
 from ..providers import Provider, call_model
 from ..scratch import Scratch
@@ -77,7 +78,7 @@ def trajectories(cleaned: DataFrame, summaries: DataFrame, models: Models) -> Da
     parts = summaries.groupBy("session_id").agg(
         F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", "summary"))), lambda x: x["summary"]), ",\n"), F.lit("]")).alias("notes"),
         F.max("error").alias("block_error"))
-    rows = cleaned.join(parts, "session_id").withColumn(
+    rows = cleaned.join(shuffled(parts), "session_id").withColumn(
         "prompt", F.concat(_budget(F.col("notes"), prompts.AGGREGATE), F.lit("\n\nProject: "), "project", F.lit("\nTitle: "), "title"))
     asked = models.ask(rows, "aggregate", "prompt", prompts.AGGREGATE, 3000).withColumn("r", F.from_json("response", SUMMARY_JSON))
     none = lambda name: F.coalesce(F.col(f"r.{name}"), F.array().cast(asked.select(f"r.{name}").schema[0].dataType))
@@ -92,12 +93,12 @@ def trajectories(cleaned: DataFrame, summaries: DataFrame, models: Models) -> Da
 
 def mine(sessions: DataFrame, messages: DataFrame, parts: DataFrame, models: Models, min_messages: int = S.MIN_MESSAGES, min_tools: int = S.MIN_TOOLS) -> DataFrame:
     """Trajectories of the given sessions (session_id, title, project, timestamp) that are worth it."""
-    chosen = sessions.select("session_id")
+    chosen = shuffled(sessions.select("session_id"))
     m, p = messages.join(chosen, "session_id", "left_semi"), parts.join(chosen, "session_id", "left_semi")
     scratch = Scratch(sessions.sparkSession, "mining")
-    cleaned = S.processable(S.rollup(m, p).join(sessions.select("session_id", "title", "project", "timestamp"), "session_id"), min_messages, min_tools)
+    cleaned = S.processable(S.rollup(m, p).join(shuffled(sessions.select("session_id", "title", "project", "timestamp")), "session_id"), min_messages, min_tools)
     cleaned = scratch.save(cleaned, "cleaned")
-    kept = m.join(cleaned.select("session_id"), "session_id", "left_semi")
+    kept = m.join(shuffled(cleaned.select("session_id")), "session_id", "left_semi")
     anchors = S.anchor_texts(S.user_anchors(S.message_texts(kept, p)))
     blocks = intent_blocks(anchors, models)
     lines = S.block_lines(kept, S.compress_parts(p))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.jsontext import extract
+from ..joins import shuffled
 from ..scratch import Scratch
 from ..storage import Store
 from .base import ContextOverflow, Provider
@@ -113,7 +114,7 @@ def call_model(
     keyed = Scratch(spark, "prompts").save(keyed, "prompts")
     wanted = keyed.select("prompt_key", F.col(prompt_col).alias("prompt")).where("prompt is not null").dropDuplicates(["prompt_key"])
     if store.exists("replies"):
-        wanted = wanted.join(spark.read.schema(CACHE).parquet(table).where("error is null").select("prompt_key"), "prompt_key", "left_anti")
+        wanted = wanted.join(shuffled(spark.read.schema(CACHE).parquet(table).where("error is null").select("prompt_key")), "prompt_key", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider, task = None, log.task(TaskContext.get().partitionId())
@@ -136,7 +137,7 @@ def call_model(
         used(model, usage(spark, log, logged))
     # The table has all of it now.
     logged.delete(log.request)
-    replies = spark.read.schema(CACHE).parquet(table).join(keyed.select("prompt_key"), "prompt_key", "left_semi")
+    replies = spark.read.schema(CACHE).parquet(table).join(shuffled(keyed.select("prompt_key")), "prompt_key", "left_semi")
     # A prompt that failed before and was asked again has two rows: the good one counts.
     best = replies.groupBy("prompt_key").agg(F.max_by(F.struct("response", "input_tokens", "output_tokens", "calls", "error"), F.when(F.col("error").isNull(), 1).otherwise(0)).alias("r"))
-    return keyed.join(best, "prompt_key", "left").select(*df.columns, "r.*")
+    return keyed.join(shuffled(best), "prompt_key", "left").select(*df.columns, "r.*")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_body, frontmatter_description, percent, skill_markdown
+from ..joins import shuffled
 from ..schemas import TRAJECTORIES
 from ..storage import Store
 
@@ -114,4 +115,4 @@ def read_trajectories(spark: SparkSession, output: str) -> DataFrame:
     # Folder names would be read as dates and numbers: the schema says that they are text.
     rows = spark.read.schema(f"{TRAJECTORIES}, mined_ms long, day string, run string").json(f"{output}/trajectories")
     last = rows.groupBy("session_id").agg(F.max(F.struct("mined_ms", "run")).alias("last"))
-    return rows.join(last, "session_id").where((F.col("mined_ms") == F.col("last.mined_ms")) & (F.col("run") == F.col("last.run"))).drop("last")
+    return rows.join(shuffled(last), "session_id").where((F.col("mined_ms") == F.col("last.mined_ms")) & (F.col("run") == F.col("last.run"))).drop("last")

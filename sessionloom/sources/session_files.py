@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_to_ms
+from ..joins import shuffled
 from ..scratch import Scratch
 from ..storage import Store, local
 
@@ -137,7 +138,7 @@ class SessionFiles:
         before = self.spark.read.schema(LISTED).parquet(kept.path(held["listing"])) if held["listing"] else self.spark.createDataFrame([], LISTED)
         name = uuid.uuid4().hex
         listing = f"listings/{name}"
-        self._listed().join(before, ["path", "modified"], "left").select("path", "modified", F.coalesce("batch", F.lit(name)).alias("batch")).write.parquet(kept.path(listing))
+        self._listed().join(shuffled(before), ["path", "modified"], "left").select("path", "modified", F.coalesce("batch", F.lit(name)).alias("batch")).write.parquet(kept.path(listing))
         listed = self.spark.read.schema(LISTED).parquet(kept.path(listing))
         alive = {r["batch"]: r["count"] for r in listed.groupBy("batch").count().collect()}
         if new := alive.get(name):
@@ -170,7 +171,7 @@ class SessionFiles:
         rows = read(whole) if whole else None
         if rest:
             listed = self.spark.read.schema(LISTED).parquet(kept.path(now["listing"])).where(F.col("batch").isin(rest)).select("path", "modified")
-            some = read(rest).join(listed, ["path", "modified"], "left_semi")
+            some = read(rest).join(shuffled(listed), ["path", "modified"], "left_semi")
             rows = rows.unionByName(some) if rows else some
         return rows
 
@@ -213,7 +214,7 @@ class SessionFiles:
 
     def _parts(self) -> DataFrame:
         c = self._contents().withColumn("kind", _text("c", "$.type")).where(F.col("kind").isin("text", "function_call")).withColumn("call_id", _text("c", "$.call_id"))
-        paired = c.join(self.results(), ["session_id", "call_id"], "left")
+        paired = c.join(shuffled(self.results()), ["session_id", "call_id"], "left")
         call = F.col("kind") == "function_call"
         empty, none = F.lit(""), F.array().cast("array<string>")
         return paired.select(

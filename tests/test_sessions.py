@@ -255,6 +255,28 @@ def test_blocks_are_slices(spark):
         assert got[k] == "\n".join(f"[USER] {i}" for i in list(range(n))[a : z + 1]), (a, z)
 
 
+def test_tables_that_grow_are_not_broadcast(spark, tmp_path):
+    """Small here, so Spark would send each of them around whole if it chose."""
+    m = spark.createDataFrame([("s", i, "user", None, 1, "", 1) for i in range(4)], "session_id string, msg_idx int, role string, error string, created_ms long, finish string, tokens_total long")
+    parts = m.select("session_id", "msg_idx", F.lit(0).alias("part_idx"), F.lit("text").alias("type"), F.lit("t").alias("text"), F.lit("t").alias("line"))
+    blocks = spark.createDataFrame([("s", 1, 0, 3, "")], "session_id string, block_id int, start int, end int, intent string")
+    lines, rolled, texts = S.block_lines(m, parts), S.rollup(m, parts), S.message_texts(m, parts)
+    contents = S.block_texts(blocks, lines, rolled)
+    mined = P.aliased(spark.createDataFrame([("a", 0), ("b", 1)], "session_id string, ts int"), [F.col("ts")])
+    raw = spark.createDataFrame([(0, "x", "N", "", "p", ["s0", "b"])], "cluster_pos int, topic_id string, topic_name string, topic_summary string, primary_project string, session_ids array<string>")
+    # The placing of aliases broadcasts a row for each partition.
+    known = Scratch(spark, "known").save(mined, "known")
+    clusters = P.resolved(raw, known)
+    asked = call_model(contents.select("content"), "segment\n", "content", RuleProvider, str(tmp_path / "c"))
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/session.json").write_text(json.dumps({"meta": {"session_id": "s"}, "state": {"messages": [{"role": "user", "contents": [text("t")]}]}}))
+    files_parts = create_source(spark, "files", str(tmp_path), str(tmp_path / "kept")).table("parts")
+    for df in (lines, rolled, texts, contents, clusters, P.unclustered(known, clusters), P.topic_members(known, clusters), asked, files_parts):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert contents.first()["content"] == "\n".join(["[USER] t"] * 4) and clusters.first()["session_ids"] == ["a", "b"] and asked.count() == files_parts.count() == 1
+
+
 def test_labels(spark):
     rows = []
     for patch, error, tools, stop, outcome, lessons, decisions in itertools.product((0, 1), (0, 1), (4, 5), (0, 1), ("success", "failure", ""), (0, 1), (0, 1)):
