@@ -192,9 +192,9 @@ class SessionFiles:
         messages = self._meta().select("session_id", F.posexplode_outer(F.try_variant_get("data", "$.state.messages", "array<variant>")).alias("msg_idx", "m")).where("m is not null")
         return messages.select("session_id", "msg_idx", F.posexplode(F.coalesce(F.try_variant_get("m", "$.contents", "array<variant>"), F.array().cast("array<variant>"))).alias("part_idx", "c"))
 
-    def results(self) -> DataFrame:
-        """The last result of every call id."""
-        c = self._contents().where(F.try_variant_get("c", "$.type", "string") == "function_result")
+    def results(self, contents: DataFrame | None = None) -> DataFrame:
+        """The last result of every call id; with ``contents`` of those, without another listing."""
+        c = (self._contents() if contents is None else contents).where(F.try_variant_get("c", "$.type", "string") == "function_result")
         c = c.select("session_id", "msg_idx", "part_idx", _text("c", "$.call_id").alias("call_id"), _result(F.col("c")).alias("r")).where("call_id <> ''")
         return c.groupBy("session_id", "call_id").agg(F.max_by("r", F.struct("msg_idx", "part_idx")).alias("r"))
 
@@ -213,8 +213,9 @@ class SessionFiles:
             F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("tokens_total"))
 
     def _parts(self) -> DataFrame:
-        c = self._contents().withColumn("kind", _text("c", "$.type")).where(F.col("kind").isin("text", "function_call")).withColumn("call_id", _text("c", "$.call_id"))
-        paired = c.join(shuffled(self.results()), ["session_id", "call_id"], "left")
+        contents = self._contents()
+        c = contents.withColumn("kind", _text("c", "$.type")).where(F.col("kind").isin("text", "function_call")).withColumn("call_id", _text("c", "$.call_id"))
+        paired = c.join(shuffled(self.results(contents)), ["session_id", "call_id"], "left")
         call = F.col("kind") == "function_call"
         empty, none = F.lit(""), F.array().cast("array<string>")
         return paired.select(

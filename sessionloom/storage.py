@@ -137,8 +137,12 @@ class WorkerStore:
 
     def put(self, name: str, raw: bytes) -> None:
         path = f"{self._root}/{name}"
-        self._fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with self._fs.open_output_stream(path) as f:
+        try:
+            f = self._fs.open_output_stream(path)
+        except FileNotFoundError:  # the first file of its folder: asking for the folder each time costs more than the file
+            self._fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            f = self._fs.open_output_stream(path)
+        with f:
             f.write(raw)
 
     def write_lines(self, name: str, values: list[dict]) -> None:

@@ -38,6 +38,7 @@ from sessionloom.sinks.state import StateStore
 from sessionloom.sources import create_source
 from sessionloom.schemas import SESSIONS
 from sessionloom.sources import sqlite
+from sessionloom.sources.session_files import SessionFiles
 from sessionloom.sources.sqlite import _Changes, _Reader
 from sessionloom.storage import Store, WorkerStore
 
@@ -230,6 +231,22 @@ def test_many_session_files_are_few_tasks(spark, tmp_path):
     assert listed == {r["path"]: r["modificationTime"] for r in theirs} and len(listed) == 300
 
 
+def test_parts_take_one_listing(spark, tmp_path, monkeypatch):
+    """Parts and their results come of one snapshot, and a folder is made once, not for each file."""
+    listings, made = [], []
+    listed = SessionFiles._listed
+    monkeypatch.setattr(SessionFiles, "_listed", lambda self: listings.append(1) or listed(self))
+    contents = [{"type": "function_call", "call_id": "1", "name": "bash", "arguments": "{}"}, {"type": "function_result", "call_id": "1", "result": "r"}]
+    store = WorkerStore(str(tmp_path))
+    fs = store._fs
+    store._fs = SimpleNamespace(open_output_stream=fs.open_output_stream, create_dir=lambda path, recursive: made.append(path) or fs.create_dir(path, recursive=recursive))
+    for name in "ab":
+        store.put(f"new/{name}.json", json.dumps({"meta": {"session_id": name}, "state": {"messages": [{"role": "assistant", "contents": contents}]}}).encode())
+    parts = SessionFiles(spark, str(tmp_path / "new"), "*").table("parts")
+    assert sorted((r["session_id"], r["output"], r["status"]) for r in parts.collect()) == [("a", "r", "completed"), ("b", "r", "completed")]
+    assert len(listings) == 1 and made == [str(tmp_path / "new")]
+
+
 def test_exports(spark, tmp_path):
     messages = [{"info": {"role": r, "time": {"created": i}, "finish": "stop", "tokens": {"total": 4}} | ({"error": {"data": {"message": "boom"}}} if i == 5 else {}), "parts": p} for i, (r, p) in enumerate(TALK)]
     (tmp_path / "a.json").write_text(json.dumps({"info": {"id": "x", "title": "T", "directory": "/w/p", "time": {"created": 1, "updated": 2}}, "messages": messages}))
