@@ -17,6 +17,7 @@ split is known to be exact go through the library whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -116,15 +117,22 @@ def chunk_bounds(b: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     return np.unique(cuts)
 
 
+@functools.lru_cache(1)
+def tokenizer(path: str):
+    """The tokenizer of a vocabulary file, read once by a worker: what each task read anew stayed with the worker in part."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
 class Codec:
-    """One task's tokenizer and stores."""
+    """One task's stores, and the worker's tokenizer."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = tokenizer(path)
         self.words = Words(self.tokenizer.model)
         self.chunks = Store(KEPT_CHUNKS)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]

@@ -983,3 +983,13 @@ def test_pipeline_with_repeated_ids_and_many_copies(spark, tmp_path):
     # 500 and 501 are one group; of 502 one row stays, unless it is the one of the benchmark's words.
     assert [k for k in ids if k != "502"] == sorted(["0", "500", "503", "504", "505", "None", "None", "None"]) and ids.count("502") <= 1
     assert dict(got)["504"] == dict(got)["505"] == 0 and dict(got)["503"] > 40_000
+
+
+def test_tasks_of_a_worker_share_one_tokenizer():
+    """Reading the vocabulary anew for each task made a worker grow with its tasks; stores of words and chunks are a task's own."""
+    from sessionloom.llm.queries import vocabulary
+
+    a, b = bpe.Codec(vocabulary()), bpe.Codec(vocabulary())
+    assert a.tokenizer is b.tokenizer and a.words is not b.words and a.chunks is not b.chunks
+    assert a.encode("One two, three.") == b.encode("One two, three.")
+    assert a.tokenizer.truncation is None and a.tokenizer.padding is None
