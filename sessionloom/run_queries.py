@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import jsontext as J
 from .functions import text as T
+from .joins import shuffled
 from .operators import sessions as S
 from .operators import topics as P
 from .plans.analysis import FieldClusters, ModelClusters, distil
@@ -183,7 +184,7 @@ def exported_sessions(spark, sf):
     source = SessionExports(spark, _one_file_each(rows, "exports"), "*")
     m = source.table("messages").groupBy("session_id").agg(F.count("*").alias("n_messages"), F.count_if(F.col("finish") == "stop").alias("stops"))
     p = source.table("parts").groupBy("session_id").agg(F.sum(F.length("text")).alias("chars"))
-    return m.join(p, "session_id")
+    return m.join(shuffled(p), "session_id")
 
 
 # --- replies ---------------------------------------------------------------------
@@ -270,8 +271,8 @@ def _intent_blocks(spark, sf):
 
 def _blocks(spark, sf, models: Models) -> tuple[DataFrame, DataFrame]:
     sessions, messages, parts = _tables(spark, sf)
-    cleaned = S.processable(S.rollup(messages, parts).join(sessions, "session_id"), 3, 1)
-    kept = messages.join(cleaned.select("session_id"), "session_id", "left_semi")
+    cleaned = S.processable(S.rollup(messages, parts).join(shuffled(sessions), "session_id"), 3, 1)
+    kept = messages.join(shuffled(cleaned.select("session_id")), "session_id", "left_semi")
     blocks = intent_blocks(S.anchor_texts(S.user_anchors(S.message_texts(kept, parts))), models)
     return blocks, S.block_texts(blocks, S.block_lines(kept, S.compress_parts(parts)), cleaned)
 

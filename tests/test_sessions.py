@@ -19,7 +19,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sessionloom import scratch
+from sessionloom import run_queries, scratch
 from sessionloom.operators import sessions as S
 from sessionloom.operators import topics as P
 from sessionloom.plans.analysis import FieldClusters, ModelClusters, distil
@@ -802,3 +802,10 @@ def test_topics_that_are_left_out_stay(spark):
     topics = spark.createDataFrame([("a", "A", "", ["x", "y"], "p"), ("b", "B", "", ["y", "z"], "p"), ("c", "C", "", ["w"], "q"), ("d", "D", "", ["v"], "q")], "topic_id string, topic_name string, topic_summary string, session_ids array<string>, primary_project string")
     above = spark.createDataFrame([("c", "Both", "s", ["b", "a"], "r")], topics.schema)
     assert {tuple(map(str, r)) for r in P.lifted(topics, above).collect()} == {("c", "Both", "s", "['y', 'z', 'x', 'w']", "r"), ("d", "D", "", "['v']", "q")}
+
+
+def test_blocks_of_the_tables_are_not_broadcast(spark, tmp_path):
+    rows = [(0, i, "assistant" if i % 2 else "user", "t") for i in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for df in run_queries._blocks(spark, str(tmp_path), run_queries._models(spark)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
