@@ -100,7 +100,7 @@ def lifted(topics: DataFrame, above: DataFrame) -> DataFrame:
     topic that stays and has the id of a joined one goes into that.
     """
     pairs = above.select("topic_id", F.posexplode("session_ids").alias("i", "below"))
-    stays = topics.join(pairs.select(F.col("below").alias("topic_id")).distinct(), "topic_id", "left_anti")
+    stays = topics.join(shuffled(pairs.select(F.col("below").alias("topic_id")).distinct()), "topic_id", "left_anti")
     named = above.select(F.lit(0).alias("rank"), "topic_id", "topic_name", "topic_summary", "primary_project").unionByName(
         stays.select(F.lit(1).alias("rank"), "topic_id", "topic_name", "topic_summary", "primary_project"))
     first = lambda c: F.min_by(c, "rank").alias(c)
@@ -146,7 +146,7 @@ def running_sums(rows: DataFrame, group: list[str], order: list[str], value: str
     sums = spread.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
     sums = sums.select(*group, "_part", F.coalesce(F.sum("_sum").over(earlier(Window.partitionBy(*group).orderBy("_part"))), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum(value).over(earlier(Window.partitionBy("_part", *group).orderBy("_at"))), F.lit(0))
-    placed = spread.withColumn("_inside", inside).join(sums, [*group, "_part"])
+    placed = spread.withColumn("_inside", inside).join(shuffled(sums), [*group, "_part"])
     return placed.withColumn("before", F.col("_before") + F.col("_inside")).drop("_at", "_part", "_before", "_inside")
 
 
@@ -167,7 +167,7 @@ def topic_inputs(members: DataFrame, most_chars: int | None = None, scratch: Scr
         rows = scratch.save(rows, "texts")
         lengths = rows.select("topic_id", "good", "pos", (F.length("t") + 5).alias("n"))
         read = running_sums(lengths, ["topic_id", "good"], ["pos"], "n", scratch).where(F.col("before") <= most_chars)
-        rows = rows.join(read.select("topic_id", "good", "pos"), ["topic_id", "good", "pos"], "left_semi")
+        rows = rows.join(shuffled(read.select("topic_id", "good", "pos")), ["topic_id", "good", "pos"], "left_semi")
 
     def text(keep: Column) -> Column:
         found = F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "t"))))

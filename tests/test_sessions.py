@@ -804,6 +804,17 @@ def test_topics_that_are_left_out_stay(spark):
     assert {tuple(map(str, r)) for r in P.lifted(topics, above).collect()} == {("c", "Both", "s", "['y', 'z', 'x', 'w']", "r"), ("d", "D", "", "['v']", "q")}
 
 
+def test_topics_that_are_joined_are_not_broadcast(spark):
+    """Small here, so Spark would send each side around whole if it chose."""
+    topics = spark.createDataFrame([("a", "A", "", ["x"], "p"), ("b", "B", "", ["y"], "p")], "topic_id string, topic_name string, topic_summary string, session_ids array<string>, primary_project string")
+    members = spark.createDataFrame(
+        [("t", 0, "s", "k", "success", "i", [], [], [], [], [])],
+        "topic_id string, pos long, session_id string, session_type string, label string, intent string, what_happened array<struct<phase:string,summary:string>>, "
+        "problems_encountered array<struct<problem:string,how_resolved:string>>, key_decisions array<struct<decision:string,rationale:string>>, lessons_learned array<string>, discoveries array<string>")
+    for df in (P.lifted(topics, topics.where("topic_id = 'a'")), P.running_sums(members, ["topic_id"], ["pos"], "pos"), P.topic_inputs(members, 10)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_blocks_of_the_tables_are_not_broadcast(spark, tmp_path):
     rows = [(0, i, "assistant" if i % 2 else "user", "t") for i in range(4)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
