@@ -815,6 +815,19 @@ def test_topics_that_are_joined_are_not_broadcast(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_field_clusters_are_not_broadcast(spark):
+    """Neither the topics nor what is left, though small here; the counts are whole."""
+    rows = [(f"x{i}", f"s{i}", i, f"p{i % 4}", "debugging" if i % 3 else "config") for i in range(240)]
+    # Spark knows the size of files.
+    sessions = Scratch(spark, "known").save(spark.createDataFrame(rows, "session_id string, alias string, pos long, project string, session_type string"), "known")
+    clusters, rest = FieldClusters().cluster(sessions, spark.createDataFrame([], "topic_id string, summary string"), [])
+    for df in (clusters, rest):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    found = {r["topic_id"]: r["session_ids"] for r in clusters.collect()}
+    assert len(found) == 8 and found["p1-config"] == [f"x{i}" for i in range(9, 240, 12)] and sum(map(len, found.values())) == 240 and rest.count() == 0
+
+
 def test_blocks_of_the_tables_are_not_broadcast(spark, tmp_path):
     rows = [(0, i, "assistant" if i % 2 else "user", "t") for i in range(4)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
